@@ -138,3 +138,133 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = 64) -> DataFra
             F.col("node").isNotNull().alias("links"),
         )
     )
+
+
+# Near copies at a given similarity of their word shingles.
+
+SEGMENTS, SEGMENT_BITS = 8, 32
+
+
+def wide_fingerprint(text: str | None) -> list[int]:
+    """256 bits, as eight segments, of which each is 1 if most of the text's different words have it."""
+    found = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    counts = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
+    digest, words = xxhash.xxh3_128_digest, list(found)
+    for at in range(0, len(words), BLOCK // 4):
+        part = words[at : at + BLOCK // 4]
+        raw = b"".join([digest(w, 1) + digest(w, 2) for w in part])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1)
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(words)).view(">u4").astype(np.int64).tolist()
+
+
+def candidate_pairs(prints: DataFrame, anchors: int = 8, max_distance: int = 40) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose fingerprints agree up to one bit in a segment.
+
+    ``prints`` has a unique id and the segments as an array. Every fingerprint is filed in one table per
+    segment and looks itself up under each value of the ball of radius 1 around its segments; of two
+    values that differ in a bit, the one without it looks for the other. Matches whose whole fingerprints
+    differ in more than ``max_distance`` of 256 bits are dropped.
+
+    In a bucket of more than ``anchors`` members only the most central ones are looked up: those whose
+    segments fill the largest buckets, as those of the text do that many others are near copies of. So the
+    pairs grow with the number of documents, whatever the size of a group; the rest of a group is reached
+    over the links to its centre.
+    """
+    segment = F.explode(F.transform("segments", lambda s, i: i.cast("long") * (1 << SEGMENT_BITS) + s))
+    filed = prints.select("id", segment.alias("key"))
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
+    central = filed.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central"))
+    ranked = filed.join(central, "id").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "id"))
+    )
+    table = ranked.where(F.col("rank") <= anchors).select("key", F.col("id").alias("other"))
+    masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SEGMENT_BITS))]])
+    ball = F.transform(
+        "segments",
+        lambda s, i: F.transform(
+            F.filter(masks, lambda m: s.bitwiseAND(m) == 0), lambda m: i.cast("long") * (1 << SEGMENT_BITS) + s + m
+        ),
+    )
+    probes = prints.select("id", F.explode(F.flatten(ball)).alias("key"))
+    met = (
+        probes.join(table, "key")
+        .where("id != other")
+        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .distinct()
+    )
+    left = prints.select(F.col("id").alias("a"), F.col("segments").alias("x"))
+    right = prints.select(F.col("id").alias("b"), F.col("segments").alias("y"))
+    distance = F.aggregate(
+        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
+    )
+    return met.join(left, "a").join(right, "b").where(distance <= max_distance).select("a", "b")
+
+
+def similar_links(texts: DataFrame, pairs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b) whose sets of word shingles have at least this Jaccard similarity.
+
+    ``texts`` has (id, text), an id's texts being equal. A text of fewer words has one shingle of them
+    all; two texts without words are alike.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = (
+        stored(texts.join(needed, "id", "left_semi").mapInArrow(shingles, "id bigint, shingles binary"))
+        .groupBy("id").agg(F.max("shingles").alias("shingles"))
+    )
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id stays.
+
+    Equal texts are one node, named by a 64-bit hash. Candidates come from multi-index hashing of the
+    texts' fingerprints, links from the exact similarity of their shingle sets. Null and wordless texts
+    are one group. Of rows with the same doc_id and text one stays; a null doc_id counts as larger than
+    any other. All columns pass through, and an empty table stays empty.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = [wide_fingerprint(x.as_py()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("doc_id"), pa.array(segments, pa.list_(pa.int64()))],
+                ["id", "doc_id", "segments"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.select(F.xxhash64(text).alias("id"), "doc_id", text.alias("text"))
+    marked = stored(named.mapInArrow(prints, f"id bigint, doc_id {kind}, segments array<bigint>"))
+    nodes = stored(
+        marked.groupBy("id").agg(F.min(order).alias("first"), F.min("segments").alias("segments"))
+    )
+    pairs = stored(candidate_pairs(nodes.select("id", "segments")))
+    roots = connected_components(similar_links(named.select("id", "text"), pairs, words, similarity))
+    group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
+        "id", "first", F.coalesce("root", "id").alias("root")
+    )
+    kept = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("kept")).select(
+        F.col("kept.id").alias("__id"), F.coalesce(F.col("kept.first.doc_id").cast("string"), F.lit("")).alias("__doc")
+    )
+    keyed = docs.withColumns({"__id": F.xxhash64(text), "__doc": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    return keyed.join(kept, ["__id", "__doc"]).dropDuplicates(["__id", "__doc"]).select(*docs.columns)
