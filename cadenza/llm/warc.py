@@ -222,9 +222,10 @@ def merge_index(runs: DataFrame, rows_per_range: int = 200_000) -> DataFrame:
     names = runs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         order = [table.column(n).to_pylist() for n in INDEX_ORDER]
         # None sorts before any number.
         keys = [(k, c, p is not None, p or 0, a, o) for k, c, p, a, o in zip(*order)]
