@@ -158,75 +158,113 @@ def wide_fingerprint(text: str | None) -> list[int]:
     return np.packbits(counts * 2 > len(words)).view(">u4").astype(np.int64).tolist()
 
 
-def candidate_pairs(prints: DataFrame, anchors: int = 8, max_distance: int = 40) -> DataFrame:
-    """Pairs (a, b), a < b, of ids whose fingerprints agree up to one bit in a segment.
+def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int = 40) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose fingerprints may belong to near copies.
 
     ``prints`` has a unique id and the segments as an array. Every fingerprint is filed in one table per
     segment and looks itself up under each value of the ball of radius 1 around its segments; of two
     values that differ in a bit, the one without it looks for the other. Matches whose whole fingerprints
     differ in more than ``max_distance`` of 256 bits are dropped.
 
-    In a bucket of more than ``anchors`` members only the most central ones are looked up: those whose
-    segments fill the largest buckets, as those of the text do that many others are near copies of. So the
-    pairs grow with the number of documents, whatever the size of a group; the rest of a group is reached
-    over the links to its centre.
+    A bucket of more than ``open_bucket`` members is represented by its most central one: that whose
+    segments fill the largest buckets, as those of a text do that many others are near copies of. Members
+    meet it by their own segment; it looks for neighbours in both directions. The rest of a group is
+    reached over the centres: every fingerprint is also paired with the centre of its most central
+    partner, and with that one's. So pairs grow with the number of documents, whatever a group's size.
     """
-    segment = F.explode(F.transform("segments", lambda s, i: i.cast("long") * (1 << SEGMENT_BITS) + s))
-    filed = prints.select("id", segment.alias("key"))
+    base = 1 << SEGMENT_BITS
+    filed = prints.select("id", F.explode(F.transform("segments", lambda s, i: i.cast("long") * base + s)).alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
-    central = filed.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central"))
-    ranked = filed.join(central, "id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "id"))
+    sized = filed.join(sizes, "key")
+    central = sized.groupBy("id").agg(F.sum("n").alias("central"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "id"))
+    # Only shared buckets need a centre.
+    centres = (
+        sized.where(F.col("n") > open_bucket).join(central, "id").withColumn("rank", first).where("rank = 1")
+        .select("key", F.col("id").alias("other"), F.lit(False).alias("open"))
     )
-    table = ranked.where(F.col("rank") <= anchors).select("key", F.col("id").alias("other"))
+    table = sized.where(F.col("n") <= open_bucket).select("key", F.col("id").alias("other"), F.lit(True).alias("open"))
+    heads = centres.select(F.col("other").alias("id")).distinct().withColumn("head", F.lit(True))
+    marked = prints.join(heads, "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SEGMENT_BITS))]])
     ball = F.transform(
         "segments",
         lambda s, i: F.transform(
-            F.filter(masks, lambda m: s.bitwiseAND(m) == 0), lambda m: i.cast("long") * (1 << SEGMENT_BITS) + s + m
+            F.filter(masks, lambda m: F.col("head") | (s.bitwiseAND(m) == 0)),
+            lambda m: F.struct((i.cast("long") * base + s.bitwiseXOR(m)).alias("key"), ((m != 0) & ~F.col("head")).alias("far")),
         ),
     )
-    probes = prints.select("id", F.explode(F.flatten(ball)).alias("key"))
+    probes = marked.select("id", F.explode(F.flatten(ball)).alias("k")).select("id", "k.key", "k.far")
     met = (
-        probes.join(table, "key")
-        .where("id != other")
+        probes.join(table.unionByName(centres), "key")
+        .where((F.col("id") != F.col("other")) & (F.col("open") | ~F.col("far")))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
     )
-    left = prints.select(F.col("id").alias("a"), F.col("segments").alias("x"))
-    right = prints.select(F.col("id").alias("b"), F.col("segments").alias("y"))
+    sides = prints.join(central, "id")
+    left = sides.select(F.col("id").alias("a"), F.col("segments").alias("x"), F.col("central").alias("ca"))
+    right = sides.select(F.col("id").alias("b"), F.col("segments").alias("y"), F.col("central").alias("cb"))
     distance = F.aggregate(
         F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
-    return met.join(left, "a").join(right, "b").where(distance <= max_distance).select("a", "b")
+    close = stored(met.join(left, "a").join(right, "b").where(distance <= max_distance).select("a", "b", "ca", "cb"))
+    first_less = F.struct("ca", -F.col("a")) < F.struct("cb", -F.col("b"))
+    towards = close.select(
+        F.when(first_less, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(first_less, F.col("b")).otherwise(F.col("a")).alias("top"),
+        F.greatest("ca", "cb").alias("c"),
+    )
+    parent = stored(towards.groupBy("child").agg(F.max_by("top", F.struct("c", -F.col("top"))).alias("parent")))
+    once = parent.join(parent.toDF("parent", "up"), "parent").select("child", F.col("up").alias("parent"))
+    twice = once.join(parent.toDF("parent", "up"), "parent").select("child", F.col("up").alias("parent"))
+    hops = once.unionByName(twice).select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b"))
+    return close.select("a", "b").unionByName(hops).distinct()
+
+
+#: Bits of the table of ids whose shingles are wanted; more ids only make more needless sets.
+WANTED_BITS = 1 << 23
+
+
+def wanted(ids: DataFrame) -> np.ndarray:
+    """A bit table of the hashed ids (column id), of one fixed size whatever their number."""
+    place = F.pmod("id", F.lit(WANTED_BITS)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    out = np.zeros(WANTED_BITS // 8, np.uint8)
+    for bucket, bits in rows.collect():
+        part = np.frombuffer(bytes(bits), np.uint8)
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
+    return out
 
 
 def similar_links(texts: DataFrame, pairs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The pairs (a, b) whose sets of word shingles have at least this Jaccard similarity.
 
     ``texts`` has (id, text), an id's texts being equal. A text of fewer words has one shingle of them
-    all; two texts without words are alike.
+    all; two texts without words are alike. Sets are made where the texts are read, of those texts that a
+    pair may need, and only the sets move.
     """
+    bits = texts.sparkSession.sparkContext.broadcast(wanted(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            at = np.mod(batch.column("id").to_numpy(), WANTED_BITS)
+            needed = pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+            some = batch.filter(needed)
+            sets = [np.unique(shingle_hashes(x.as_py(), words).astype("<u4")).tobytes() for x in some.column("text")]
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = (
-        stored(texts.join(needed, "id", "left_semi").mapInArrow(shingles, "id bigint, shingles binary"))
-        .groupBy("id").agg(F.max("shingles").alias("shingles"))
-    )
+    made = texts.select("id", "text").mapInArrow(shingles, "id bigint, shingles binary")
+    sets = stored(made.groupBy("id").agg(F.max("shingles").alias("shingles")))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
     )
