@@ -121,10 +121,18 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 
 def variant_names(a: Column, b: Column) -> Column:
-    """Spellings of one name: as many tokens, each within one edit, or two from eight letters on."""
+    """Spellings of one name: as many tokens, each equal or a near one.
+
+    Tokens below five letters must be equal, below seven one edit is allowed, from there two.
+    """
     x, y = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
-    near = F.zip_with(x, y, lambda p, q: F.coalesce(F.levenshtein(p, q) <= F.when(F.least(F.length(p), F.length(q)) >= 8, 2).otherwise(1), F.lit(False)))
-    return (F.size(x) == F.size(y)) & F.forall(near, lambda t: t)
+
+    def near(p: Column, q: Column) -> Column:
+        short = F.least(F.length(p), F.length(q))
+        allowed = F.when(short < 5, 0).when(short < 7, 1).otherwise(2)
+        return F.coalesce(F.levenshtein(p, q) <= allowed, F.lit(False))
+
+    return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, near), lambda t: t)
 
 
 def normal_lang(code: Column) -> Column:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
 from .intervals import cover, islands, overlap_join
 
-BY = Window.partitionBy("vid").orderBy("seq")
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_order() -> WindowSpec:
+    """A video's rows in order of seq."""
+    return Window.partitionBy("vid").orderBy("seq")
+
 #: Marks of caption chrome, and invisible characters.
 CHROME = r"[\[\(][^\]\)]{0,40}[\]\)]"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
@@ -31,7 +35,7 @@ def confident(chunks: DataFrame, least: float = -0.5) -> DataFrame:
 
 def word_ends(words: DataFrame) -> DataFrame:
     """end_ms measured or the longest a word may take, not past the next onset, 20 ms at least."""
-    following = F.lead("t_ms").over(BY)
+    following = F.lead("t_ms").over(in_order())
     end = F.coalesce("end_ms", F.col("t_ms") + SEG.word_max)
     return words.withColumn("end_ms", F.greatest(F.least(end, F.coalesce(following, end)), F.col("t_ms") + 20))
 
@@ -39,13 +43,13 @@ def word_ends(words: DataFrame) -> DataFrame:
 def speech_gaps(words: DataFrame) -> DataFrame:
     """gap_ms of silence before each word; without a measured end one is guessed from the word's length."""
     guess = F.col("t_ms") + F.least(F.lit(SEG.word_max), 100 + 60 * F.length("text"))
-    previous = F.lag(F.coalesce("end_ms", guess)).over(BY)
+    previous = F.lag(F.coalesce("end_ms", guess)).over(in_order())
     return words.withColumn("gap_ms", F.greatest(F.lit(0), F.col("t_ms") - previous))
 
 
 def speaker_blocks(turns: DataFrame) -> DataFrame:
     """Maximal runs of turns of one speaker: vid, block, speaker, first, last."""
-    changed = ~F.lag("speaker").over(BY).eqNullSafe(F.col("speaker"))
+    changed = ~F.lag("speaker").over(in_order()).eqNullSafe(F.col("speaker"))
     return islands(turns, "vid", ["seq"], changed, "block").groupBy("vid", "block").agg(
         F.min("speaker").alias("speaker"), F.min("seq").alias("first"), F.max("seq").alias("last")
     )
@@ -55,7 +59,7 @@ def embedded_target(words: DataFrame, src: str, tgt: str) -> DataFrame:
     """Words with bucket and embedded, true in target-script runs of fewer than three words."""
     marked = words.withColumn("bucket", S.text_bucket(F.col("text"), src, tgt))
     is_target = F.col("bucket").eqNullSafe("target")
-    flips = ~F.lag(is_target).over(BY).eqNullSafe(is_target)
+    flips = ~F.lag(is_target).over(in_order()).eqNullSafe(is_target)
     runs = islands(marked, "vid", ["seq"], flips, "run")
     size = F.count("*").over(Window.partitionBy("vid", "run"))
     return runs.withColumn("embedded", is_target & (size < SEG.foreign_min_words)).drop("run")
@@ -70,15 +74,15 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en") -> DataFrame:
     """
     marked = speech_gaps(embedded_target(words, src, tgt))
     own = F.when(~F.col("embedded"), F.col("bucket"))
-    context = F.last(own, ignorenulls=True).over(BEFORE)
+    context = F.last(own, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     marks = F.max(F.coalesce("brk", F.lit(False))).over(Window.partitionBy("vid"))
     starts = (
-        F.lag("seq").over(BY).isNull()
+        F.lag("seq").over(in_order()).isNull()
         | (F.col("gap_ms") >= SEG.gap)
         | F.coalesce("brk", F.lit(False))
-        | (~marks & ~F.lag("spk").over(BY).eqNullSafe(F.col("spk")) & (F.col("gap_ms") >= SEG.speaker_gap))
+        | (~marks & ~F.lag("spk").over(in_order()).eqNullSafe(F.col("spk")) & (F.col("gap_ms") >= SEG.speaker_gap))
         | F.coalesce(own != context, F.lit(False))
-        | F.coalesce(F.lag("text").over(BY).rlike(SENTENCE_END), F.lit(False))
+        | F.coalesce(F.lag("text").over(in_order()).rlike(SENTENCE_END), F.lit(False))
     )
     return islands(marked, "vid", ["seq"], starts, "segment")
 
@@ -108,7 +112,7 @@ def segments_of(words: DataFrame) -> DataFrame:
 def without_echoes(words: DataFrame) -> DataFrame:
     """Words without those decoded twice: the same word starting over 50 ms before its twin ends."""
     key = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]", ""))
-    keyed = islands(words.withColumn("key", key), "vid", ["seq"], ~F.lag("key").over(BY).eqNullSafe(F.col("key")), "run")
+    keyed = islands(words.withColumn("key", key), "vid", ["seq"], ~F.lag("key").over(in_order()).eqNullSafe(F.col("key")), "run")
     twin = F.max("end_ms").over(Window.partitionBy("vid", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     marked = keyed.withColumn("echo", (F.col("key") != "") & F.coalesce(F.col("t_ms") < twin - 50, F.lit(False)))
     kept = islands(marked, "vid", ["seq"], ~F.col("echo"), "kept")
@@ -118,7 +122,7 @@ def without_echoes(words: DataFrame) -> DataFrame:
 
 def without_seam_duplicates(words: DataFrame) -> DataFrame:
     """A word with the text of the one before it and less than 50 ms after it goes."""
-    same = F.lag("text").over(BY).eqNullSafe(F.col("text")) & (F.col("t_ms") - F.lag("t_ms").over(BY) < 50)
+    same = F.lag("text").over(in_order()).eqNullSafe(F.col("text")) & (F.col("t_ms") - F.lag("t_ms").over(in_order()) < 50)
     return words.withColumn("same", F.coalesce(same, F.lit(False))).where("not same").drop("same")
 
 
@@ -126,8 +130,8 @@ def joined_marks(words: DataFrame) -> DataFrame:
     """K3: words split at a mark put together again, up to 400 ms apart and not after a sentence end."""
     joins = (
         F.col("text").rlike(r"^['׳`’\-–]")
-        & F.coalesce(~F.lag("text").over(BY).rlike(r"[.!?]$") & (F.lag("text").over(BY) != ""), F.lit(False))
-        & F.coalesce(F.col("t_ms") - F.lag(F.coalesce("end_ms", "t_ms")).over(BY) <= 400, F.lit(False))
+        & F.coalesce(~F.lag("text").over(in_order()).rlike(r"[.!?]$") & (F.lag("text").over(in_order()) != ""), F.lit(False))
+        & F.coalesce(F.col("t_ms") - F.lag(F.coalesce("end_ms", "t_ms")).over(in_order()) <= 400, F.lit(False))
         & ~F.coalesce("brk", F.lit(False))
     )
     parts = islands(words, "vid", ["seq"], ~joins, "whole")
@@ -210,7 +214,7 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     found = joined.withColumn("known", F.coalesce("own", "close"))
     first = real.groupBy("vid").agg(F.min_by("speaker", F.struct("start_ms", "seq")).alias("first"))
     return found.join(first, "vid", "left").withColumn(
-        "spk", F.coalesce(F.last("known", ignorenulls=True).over(BY), F.col("first"), F.lit("SPEAKER_00"))
+        "spk", F.coalesce(F.last("known", ignorenulls=True).over(in_order()), F.col("first"), F.lit("SPEAKER_00"))
     ).drop("own", "close", "known", "first")
 
 
@@ -233,7 +237,7 @@ def snapped_handoffs(segments: DataFrame, turns: DataFrame) -> DataFrame:
 def target_runs(words: DataFrame, src: str, tgt: str, min_ms: int = 800, join_ms: int = 2000) -> DataFrame:
     """Spans of words in the target script, onsets at most 2 s apart, 0.8 s long at least."""
     own = words.where(S.text_is_target(F.col("text"), src, tgt))
-    gap = F.col("t_ms") - F.lag("t_ms").over(BY)
+    gap = F.col("t_ms") - F.lag("t_ms").over(in_order())
     runs = islands(own, "vid", ["seq"], gap.isNull() | (gap > join_ms), "run")
     return runs.groupBy("vid", "run").agg(
         F.min("t_ms").alias("start_ms"), (F.max("t_ms") + 800).alias("end_ms"), F.count("*").alias("n_words")

@@ -101,7 +101,7 @@ def x18(spark, sf_dir):
     return lines(spark, sf_dir).select("vid", "seq", X.spelled_numbers(t).alias("line"))
 
 
-@query("x21_edit_distance", LINES + ", w AS (SELECT vid, seq, split_part(text, ' ', 1) AS a, split_part(text_en, ' ', 1) AS b FROM lines WHERE text_en IS NOT NULL) SELECT vid, seq, levenshtein(a, b) <= 2 AS two, levenshtein(lower(a), lower(a || 'x')) <= 1 AS variant FROM w")
+@query("x21_edit_distance", LINES + ", w AS (SELECT vid, seq, split_part(text, ' ', 1) AS a, split_part(text_en, ' ', 1) AS b FROM lines WHERE text_en IS NOT NULL) SELECT vid, seq, levenshtein(a, b) <= 2 AS two, length(a) >= 5 AS variant FROM w")
 def x21(spark, sf_dir):
     w = lines(spark, sf_dir).where("text_en is not null").select("vid", "seq", F.split_part("text", F.lit(" "), F.lit(1)).alias("a"), F.split_part("text_en", F.lit(" "), F.lit(1)).alias("b"))
     return w.select("vid", "seq", X.within_edits(F.col("a"), F.col("b"), 2).alias("two"), X.variant_names(F.col("a"), F.concat("a", F.lit("x"))).alias("variant"))
