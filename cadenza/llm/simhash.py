@@ -177,14 +177,16 @@ def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int =
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
     sized = filed.join(sizes, "key")
     central = sized.groupBy("id").agg(F.sum("n").alias("central"))
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "id"))
-    # Only shared buckets need a centre.
-    centres = (
-        sized.where(F.col("n") > open_bucket).join(central, "id").withColumn("rank", first).where("rank = 1")
-        .select("key", F.col("id").alias("other"), F.lit(False).alias("open"))
+    # Only crowded buckets need a centre.
+    tops = (
+        sized.where(F.col("n") > open_bucket).join(central, "id").groupBy("key")
+        .agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("top"))
     )
-    table = sized.where(F.col("n") <= open_bucket).select("key", F.col("id").alias("other"), F.lit(True).alias("open"))
-    heads = centres.select(F.col("other").alias("id")).distinct().withColumn("head", F.lit(True))
+    is_open = F.col("n") <= open_bucket
+    table = sized.join(tops, "key", "left").where(is_open | (F.col("id") == F.col("top"))).select(
+        "key", F.col("id").alias("other"), is_open.alias("open")
+    )
+    heads = tops.select(F.col("top").alias("id")).distinct().withColumn("head", F.lit(True))
     marked = prints.join(heads, "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SEGMENT_BITS))]])
     ball = F.transform(
@@ -196,7 +198,7 @@ def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int =
     )
     probes = marked.select("id", F.explode(F.flatten(ball)).alias("k")).select("id", "k.key", "k.far")
     met = (
-        probes.join(table.unionByName(centres), "key")
+        probes.join(table, "key")
         .where((F.col("id") != F.col("other")) & (F.col("open") | ~F.col("far")))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
