@@ -261,3 +261,71 @@ def spelled_numbers(text: Column) -> Column:
     return F.when(F.size(whole) == 0, empty(text)).otherwise(
         F.array_join(F.transform(pieces, lambda x: F.when(F.array_contains(whole, x), say(x)).otherwise(x)), "")
     )
+
+
+# Marks of unspaced scripts and the plain mark each stands for.
+PLAIN_MARKS = {"。": ".", "｡": ".", "！": "!", "？": "?", "，": ",", "、": ",", "；": ";", "：": ":"}
+
+
+def prepared(text: Column, lang: str) -> Column:
+    """What a voice may be given: letters of the target's script, digits and plain marks, ended by a stop."""
+    plain = F.translate(empty(text), "".join(PLAIN_MARKS), "".join(PLAIN_MARKS.values()))
+    kept = F.regexp_replace(plain, rf"[^{S.char_class(S.RANGES[S.script_name(lang)])}0-9.,!?;:'\"\- ]", " ")
+    line = F.trim(F.regexp_replace(kept, " {2,}", " "))
+    return F.when(~line.rlike(r"[\p{L}\p{N}]"), "").when(line.rlike("[.!?]$"), line).otherwise(F.concat(line, F.lit(".")))
+
+
+def without_repeated_end(text: Column) -> Column:
+    """The line without closing clauses of four words or more that it said before; ended by a stop."""
+    def norm(x: Column) -> Column:
+        return F.trim(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " ")))
+
+    clauses = F.regexp_extract_all(F.trim(empty(text)), F.lit(r"([^,;:.!?…]+[,;:.!?…]*\s*)"), F.lit(1))
+
+    def drop(kept: Column, _: Column) -> Column:
+        last, before = norm(F.element_at(kept, -1)), norm(F.array_join(F.slice(kept, F.lit(1), F.size(kept) - 1), " "))
+        said = (F.size(kept) > 1) & (F.size(F.split(last, " ")) >= 4) & F.concat(F.lit(" "), before, F.lit(" ")).contains(F.concat(F.lit(" "), last, F.lit(" ")))
+        return F.when(said, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+
+    line = F.rtrim(F.array_join(F.aggregate(clauses, clauses, drop), ""))
+    return F.when((line == "") | line.rlike("[.!?…]$"), line).otherwise(F.concat(F.regexp_replace(line, "[,;: ]+$", ""), F.lit(".")))
+
+
+def latin_skeleton(word: Column) -> Column:
+    """A word's consonants, c as k, doubles once."""
+    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(empty(word)), "c", "k"), "[aeiou]", ""), r"(.)\1+", "$1")
+
+
+# Options of a voice as a map of strings; a default is the same as nothing.
+OPTIONS = {"seed": "", "greedy": "false", "speed": "1.0", "ref": "auto", "temperature": "0.9"}
+
+
+def _defaults() -> Column:
+    return F.create_map(*[F.lit(x) for kv in OPTIONS.items() for x in kv])
+
+
+def option_violations(options: Column) -> Column:
+    """Unknown options, and values that are not of the option's kind."""
+    def bad(k: Column, v: Column) -> Column:
+        number = v.rlike(r"^\d+(\.\d+)?$")
+        return ~F.coalesce(
+            F.when(k == "seed", v.rlike(r"^\d*$")).when(k == "greedy", v.isin("true", "false")).when(k.isin("speed", "temperature"), number).when(k == "ref", v != ""), F.lit(False)
+        )
+    return F.array_sort(F.map_keys(F.map_filter(options, bad)))
+
+
+def options_stripped(options: Column) -> Column:
+    """The options that are known and no default."""
+    return F.map_filter(options, lambda k, v: F.map_contains_key(_defaults(), k) & (v != F.try_element_at(_defaults(), k)))
+
+
+def options_merged(current: Column, updates: Column) -> Column:
+    """Updates laid over the current options; an update that is null resets to the default."""
+    both = F.map_zip_with(current, updates, lambda k, a, b: F.when(F.map_contains_key(updates, k), b).otherwise(a))
+    return options_stripped(F.map_filter(both, lambda k, v: v.isNotNull()))
+
+
+def options_fingerprint(options: Column) -> Column:
+    """A hash of the options that are no default, in the order of their names; empty without any."""
+    pairs = F.array_sort(F.transform(F.map_entries(options_stripped(options)), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return F.when(F.size(pairs) == 0, "").otherwise(F.substring(F.sha1(F.array_join(pairs, "|")), 1, 10))

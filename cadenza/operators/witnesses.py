@@ -121,3 +121,47 @@ def with_worker(rows: DataFrame, work: Callable[[list[str]], list[str]]) -> Data
             yield pd.DataFrame({"id": pdf["id"], "reply": replies, "error": errors})
 
     return rows.select("id", "text").mapInPandas(each, "id bigint, reply string, error string")
+
+
+def rolling_names(lines: DataFrame, most: int = 12) -> DataFrame:
+    """(vid, seq, names): the most recent distinct names as of each segment (vid, seq, text).
+
+    A segment's own names come first, in text order. The segments of one video, which are few, are folded
+    in one array expression.
+    """
+    named = lines.select("vid", "seq", X.proper_nouns(F.col("text")).alias("names"))
+    listed = named.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("seq", "names"))).alias("rows"))
+    start = F.struct(F.array().cast("array<string>").alias("recent"), F.array().cast("array<struct<seq: bigint, names: array<string>>>").alias("out"))
+
+    def step(state: Column, row: Column) -> Column:
+        recent = F.slice(F.array_union(row["names"], state["recent"]), 1, most)
+        return F.struct(recent.alias("recent"), F.array_append(state["out"], F.struct(row["seq"].alias("seq"), recent.alias("names"))).alias("out"))
+
+    return listed.select("vid", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("vid", "o.seq", "o.names")
+
+
+# Stock lines that speech recognition invents over music.
+STOCK = ("thanks for watching", "thank you for watching", "subtitles by", "subtitle by", "спасибо за просмотр", "продолжение следует")
+
+
+def without_stock_phrases(words: DataFrame, gap_ms: int = 1000, reach_ms: int = 4000) -> DataFrame:
+    """Words without stock phrases and the words around them, up to 4 s off and no pause of 1 s between."""
+    by = Window.partitionBy("vid").orderBy("seq")
+    keyed = words.withColumn("key", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]", "")))
+    hit = F.lit(False)
+    for phrase in STOCK:
+        tokens = phrase.split()
+        for at in range(len(tokens)):  # the word may be any of the phrase's
+            same = [F.coalesce((F.lead("key", i - at) if i > at else F.lag("key", at - i)).over(by) == t, F.lit(False)) if i != at else F.col("key") == t for i, t in enumerate(tokens)]
+            whole = same[0]
+            for s in same[1:]:
+                whole = whole & s
+            hit = hit | whole
+    pause = F.col("t_ms") - F.lag(F.coalesce("end_ms", "t_ms")).over(by)
+    marked = keyed.withColumns({"hit": hit, "opens": F.coalesce(pause > gap_ms, F.lit(True)).cast("int")}).withColumn("run", F.sum("opens").over(by))
+    inside = Window.partitionBy("vid", "run").orderBy("seq")
+    when = F.when(F.col("hit"), F.col("t_ms"))
+    before = F.last(when, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(when, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    near = F.coalesce(F.col("t_ms") - before <= reach_ms, F.lit(False)) | F.coalesce(after - F.col("t_ms") <= reach_ms, F.lit(False))
+    return marked.withColumn("near", near).where("not near").select(*words.columns)

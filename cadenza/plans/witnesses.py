@@ -142,3 +142,53 @@ def d1(spark, sf_dir):
         .otherwise(X.spelled_number(F.col("n")))
     )
     return drawn.select("id", "type", written.alias("written"), spoken.alias("spoken"))
+
+
+LATIN = r"\x{0041}-\x{005A}\x{0061}-\x{007A}\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}"
+
+
+@query("x9_prepared_text", cte("segments") + rf""", p AS (SELECT vid, seq, trim(regexp_replace(regexp_replace(translate('«' || text || '»，x%', '。｡！？，、；：', '..!?,,;:'), '[^{LATIN}0-9.,!?;:''"\- ]', ' ', 'g'), ' {{2,}}', ' ', 'g')) AS t FROM segments)
+  SELECT vid, seq, CASE WHEN NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') THEN '' WHEN regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS line FROM p""")
+def x9(spark, sf_dir):
+    odd = F.concat(F.lit("«"), "text", F.lit("»，x%"))
+    return T.segments(spark, sf_dir).select("vid", "seq", X.prepared(odd, "en").alias("line"))
+
+
+@query("x14_without_repeated_end", cte("segments") + " SELECT vid, seq, 'one two three four five. Six seven' || seq || '.' AS line FROM segments WHERE seq % 2 = 0 UNION ALL SELECT vid, seq, 'we go, we go, we go.' FROM segments WHERE seq % 2 = 1")
+def x14(spark, sf_dir):
+    said = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("one two three four five. Six seven"), F.col("seq").cast("string"), F.lit(". One two three four five."))).otherwise("we go, we go, we go.")
+    return T.segments(spark, sf_dir).select("vid", "seq", X.without_repeated_end(said).alias("line"))
+
+
+@query("x20_skeletons")
+def x20(spark, sf_dir):
+    return T.words(spark, sf_dir).select("vid", "seq", X.latin_skeleton(F.col("text")).alias("skeleton"))
+
+
+@query("x26_options")
+def x26(spark, sf_dir):
+    """Options of each line merged with an update, checked and hashed."""
+    lines = T.segments(spark, sf_dir).selectExpr("vid", "seq", "map('seed', cast(seq AS string), 'greedy', 'false', 'speed', '1.2') AS current", "map('speed', if(seq % 2 = 0, null, '0.9'), 'pitch', 'x') AS updates")
+    merged = X.options_merged(F.col("current"), F.col("updates"))
+    return lines.select("vid", "seq", F.size(merged).alias("n"), F.array_join(X.option_violations(F.col("updates")), ",").alias("bad"), X.options_fingerprint(merged).alias("fingerprint"))
+
+
+
+@query("n25_rolling_names", cte("segments") + f""", o AS (SELECT vid, seq, a, generate_subscripts(a, 1) AS pos, unnest(a) AS name FROM (SELECT vid, seq, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY x)) AS a FROM (SELECT vid, seq,
+  list_transform(list_filter(regexp_extract_all('.' || regexp_replace(text, ' e([a-z])', ' E\\1', 'g'), '([.!?][^\\p{{L}}\\p{{N}}_]*[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_''-]*|[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_''-]*)'), lambda x: regexp_matches(x, '^\\p{{Lu}}[\\p{{L}}\\p{{N}}_''-]{{2,}}$')), lambda x: lower(x)) AS l FROM segments))),
+  r AS (SELECT s.vid, s.seq, o.name, max(o.seq) AS last, arg_max(o.pos, o.seq) AS pos FROM segments s JOIN o ON o.vid = s.vid AND o.seq <= s.seq GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vid, seq ORDER BY last DESC, pos) AS n FROM r)
+  SELECT s.vid, s.seq, coalesce(string_agg(k.name, ',' ORDER BY k.n) FILTER (k.n <= 12), '') AS names FROM segments s LEFT JOIN k USING (vid, seq) GROUP BY ALL""")
+def n25(spark, sf_dir):
+    lines = T.segments(spark, sf_dir).withColumn("text", F.regexp_replace("text", " e([a-z])", " E$1"))
+    return N.rolling_names(lines).select("vid", "seq", F.array_join("names", ",").alias("names"))
+
+
+STOCKED = "st AS (SELECT vid, seq, CASE seq % 150 WHEN 70 THEN 'Thanks' WHEN 71 THEN 'for' WHEN 72 THEN 'watching!' ELSE text END AS text, t_ms, end_ms FROM words)"
+
+
+@query("n23_without_stock_phrases", cte("words") + f",{STOCKED}," + """ h AS (SELECT *, seq % 150 BETWEEN 70 AND 72 AND count(*) OVER (PARTITION BY vid, seq // 150, seq % 150 BETWEEN 70 AND 72) = 3 AS hit, coalesce(t_ms - lag(end_ms) OVER (PARTITION BY vid ORDER BY seq) > 1000, true) AS opens FROM st),
+  r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY vid ORDER BY seq) AS run FROM h), n AS (SELECT *, last_value(CASE WHEN hit THEN t_ms END IGNORE NULLS) OVER (PARTITION BY vid, run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS b, first_value(CASE WHEN hit THEN t_ms END IGNORE NULLS) OVER (PARTITION BY vid, run ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM r)
+  SELECT vid, seq, text FROM n WHERE NOT (coalesce(t_ms - b <= 4000, false) OR coalesce(a - t_ms <= 4000, false))""")
+def n23(spark, sf_dir):
+    text = F.expr("CASE seq % 150 WHEN 70 THEN 'Thanks' WHEN 71 THEN 'for' WHEN 72 THEN 'watching!' ELSE text END")
+    return N.without_stock_phrases(T.words(spark, sf_dir).withColumn("text", text)).select("vid", "seq", "text")
