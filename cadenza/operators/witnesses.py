@@ -165,3 +165,45 @@ def without_stock_phrases(words: DataFrame, gap_ms: int = 1000, reach_ms: int =
     after = F.first(when, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
     near = F.coalesce(F.col("t_ms") - before <= reach_ms, F.lit(False)) | F.coalesce(after - F.col("t_ms") <= reach_ms, F.lit(False))
     return marked.withColumn("near", near).where("not near").select(*words.columns)
+
+
+def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "hebrew", exact: int = 4, loose: int = 5) -> DataFrame:
+    """(vid, seq, note): the clauses of a video's note that belong to each segment.
+
+    ``clauses`` has (vid, k, clause). A clause without a word in the source script is background and belongs
+    to all. One with such words belongs where one of them is said: words of ``exact`` letters as they are,
+    of ``loose`` or more also inside a word or one edit from it. Segments meet their own video's clauses
+    only, of which a note has a few.
+    """
+    from ..functions.script import count_letters, letters
+
+    def own(x: Column) -> Column:
+        return (letters(x) > 0) & (count_letters(x, script) * 2 > letters(x))
+
+    told = clauses.withColumn("words", F.filter(X.words(F.lower("clause")), own))
+    said = segments.select("vid", "seq", F.lower("text").alias("low"), F.array_distinct(X.words(F.lower("text"))).alias("tokens"))
+
+    def hit(w: Column) -> Column:
+        n = F.length(w)
+        near = F.col("low").contains(w) | F.exists("tokens", lambda t: F.levenshtein(t, w, 1) >= 0)
+        return F.when(n < exact, False).when(n < loose, F.array_contains("tokens", w)).otherwise(near)
+
+    met = said.join(told, "vid").where((F.size("words") == 0) | F.exists("words", hit))
+    notes = met.groupBy("vid", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "clause"))), lambda c: c["clause"]), "; ").alias("note"))
+    return segments.select("vid", "seq").join(notes, ["vid", "seq"], "left").withColumn("note", F.coalesce("note", F.lit("")))
+
+
+def attempt_plan(segments: DataFrame, canonical: DataFrame, others: DataFrame, references: int = 2) -> DataFrame:
+    """(key, rung, ref, greedy): the attempts of each segment (key, speaker), in order.
+
+    Its own window comes first, then up to ``references`` canonical and alternate ones (speaker, ref, place)
+    of its speaker that differ, and last its own window with the other decoding.
+    """
+    own = segments.select("key", F.col("key").alias("ref"), F.lit(0).alias("at"))
+    first = segments.join(canonical.select("speaker", F.col("key").alias("ref")), "speaker").select("key", "ref", F.lit(1).alias("at"))
+    more = segments.join(others.select("speaker", F.col("key").alias("ref"), "place"), "speaker").select("key", "ref", (F.col("place") + 1).alias("at"))
+    distinct = own.unionByName(first).unionByName(more).groupBy("key", "ref").agg(F.min("at").alias("at"))
+    by = Window.partitionBy("key").orderBy("at", "ref")
+    ladder = distinct.withColumn("rung", F.row_number().over(by) - 1).where(F.col("rung") <= references).select("key", "rung", "ref", F.lit(False).alias("greedy"))
+    last = ladder.groupBy("key").agg((F.max("rung") + 1).alias("rung")).select("key", "rung", F.col("key").alias("ref"), F.lit(True).alias("greedy"))
+    return ladder.unionByName(last)

@@ -150,3 +150,8 @@ def s12(spark, sf_dir):
     runs = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("run")).agg(F.max("o_orderdate").alias("at"), F.count("*").alias("segments"))
     newest = runs.orderBy(F.desc("at"), "run").limit(50).select("run", F.lit(True).alias("listed"))
     return runs.join(newest, "run", "left").select("run", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("changed"), "segments", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("st4_replay", f"{FRAMES}, b AS (SELECT * FROM frames WHERE t <= 1705276800000000 QUALIFY row_number() OVER (PARTITION BY job ORDER BY t DESC, seq DESC) = 1) SELECT true AS prelude, job, t, seq, stage, status FROM b UNION ALL SELECT false, job, t, seq, stage, status FROM frames WHERE t > 1705276800000000")
+def st4(spark, sf_dir):
+    return S.replay(T.frames(spark, sf_dir), F.lit(1705276800000000))

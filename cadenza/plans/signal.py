@@ -95,3 +95,25 @@ def o3(spark, sf_dir):
 @query("o4_alternates", f"{REFS} SELECT speaker, key, row_number() OVER (PARTITION BY speaker ORDER BY noise, start_ms, key) AS place FROM cand WHERE key NOT IN (SELECT key FROM refs) QUALIFY place <= 3")
 def o4(spark, sf_dir):
     return V.alternates(candidates(spark, sf_dir), V.reference_windows(candidates(spark, sf_dir)))
+
+
+@query("o9_attempt_plan", f"""{REFS}, alt AS (SELECT speaker, key AS ref, row_number() OVER (PARTITION BY speaker ORDER BY noise, start_ms, key) AS place FROM cand WHERE key NOT IN (SELECT key FROM refs) QUALIFY place <= 3),
+  u AS (SELECT key, key AS ref, 0 AS pos FROM cand UNION ALL SELECT c.key, r.key, 1 FROM cand c JOIN refs r USING (speaker) UNION ALL SELECT c.key, a.ref, a.place + 1 FROM cand c JOIN alt a USING (speaker)),
+  d AS (SELECT key, ref, min(pos) AS pos FROM u GROUP BY ALL), l AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos, ref) - 1 AS rung, ref, false AS greedy FROM d QUALIFY rung <= 2)
+  SELECT * FROM l UNION ALL SELECT key, max(rung) + 1, key, true FROM l GROUP BY key""")
+def o9(spark, sf_dir):
+    from ..operators.witnesses import attempt_plan
+
+    windows = candidates(spark, sf_dir)
+    chosen = V.reference_windows(windows)
+    return attempt_plan(windows.select("key", "speaker"), chosen, V.alternates(windows, chosen))
+
+
+@query("o10_reference", f"{REFS}, c AS (SELECT speaker, arg_min(key, (start_ms, key)) AS canon FROM refs GROUP BY speaker) SELECT key, CASE WHEN key % 11 = 0 THEN key + 1 WHEN end_ms - start_ms >= 2500 AND noise < 60 THEN key WHEN noise < 20 AND canon IS NULL THEN key ELSE canon END AS ref FROM cand LEFT JOIN c USING (speaker)")
+def o10(spark, sf_dir):
+    """The reference of each line: pinned, else its own window if long and clean, else the canonical one."""
+    windows = candidates(spark, sf_dir)
+    canon = V.reference_windows(windows).groupBy("speaker").agg(F.min_by("key", F.struct("start_ms", "key")).alias("canon"))
+    long, noise = F.col("end_ms") - F.col("start_ms") >= 2500, F.col("noise")
+    ref = F.when(F.col("key") % 11 == 0, F.col("key") + 1).when(long & (noise < 60), F.col("key")).when((noise < 20) & F.col("canon").isNull(), F.col("key")).otherwise(F.col("canon"))
+    return windows.join(canon, "speaker", "left").select("key", ref.alias("ref"))

@@ -102,3 +102,10 @@ def smoothed(rows: list[dict], step: float = 0.12, scene: int = 2000, passes: in
         if not changed:
             break
     return [{"vid": r["vid"], "seq": r["seq"], "rate": round(x, 4)} for r, x in zip(rows, rates)]
+
+
+@query("k11_rescued")
+def k11(spark, sf_dir):
+    """Placements after the worst overrunners took a line of two thirds the length."""
+    candidates = items(spark, sf_dir).where("seq % 2 = 0").select("vid", "seq", F.expr("dur_ms * 2 div 3").alias("short_ms"))
+    return L.rescued(items(spark, sf_dir), candidates)

@@ -192,3 +192,13 @@ STOCKED = "st AS (SELECT vid, seq, CASE seq % 150 WHEN 70 THEN 'Thanks' WHEN 71
 def n23(spark, sf_dir):
     text = F.expr("CASE seq % 150 WHEN 70 THEN 'Thanks' WHEN 71 THEN 'for' WHEN 72 THEN 'watching!' ELSE text END")
     return N.without_stock_phrases(T.words(spark, sf_dir).withColumn("text", text)).select("vid", "seq", "text")
+
+
+@query("j12_relevant_clauses", cte("segments") + r""", m AS (SELECT vid, seq, lower(translate(text, 'abcdefghijklmnopqrstuvwxyz', repeat('ש', 26))) AS low FROM segments), c AS (SELECT DISTINCT vid, unnest([0, 1, 2, 3]) AS k, unnest(['a film about x', 'ששש means a', 'שששש means b', 'ששששששששששששש means c']) AS clause, unnest(['', 'ששש', 'שששש', 'ששששששששששששש']) AS w FROM segments),
+  t AS (SELECT vid, seq, low, regexp_extract_all(low, '([\p{L}\p{N}_]+)') AS tokens FROM m), h AS (SELECT t.vid, t.seq, k, clause FROM t JOIN c USING (vid) WHERE w = '' OR (length(w) = 4 AND list_contains(tokens, w)) OR (length(w) >= 5 AND (contains(low, w) OR len(list_filter(tokens, lambda x: levenshtein(strip_accents(replace(replace(x, 'ש', 'q'), 'ß', 'z')), replace(w, 'ש', 'q')) <= 1)) > 0)))
+  SELECT m.vid, m.seq, coalesce(string_agg(clause, '; ' ORDER BY k), '') AS note FROM m LEFT JOIN h USING (vid, seq) GROUP BY ALL""")
+def j12(spark, sf_dir):
+    lines = T.segments(spark, sf_dir).select("vid", "seq", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ש" * 26).alias("text"))
+    note = F.array(*[F.lit(x) for x in ("a film about x", "ששש means a", "שששש means b", "ששששששששששששש means c")])
+    clauses = lines.select("vid").distinct().select("vid", F.posexplode(note).alias("k", "clause"))
+    return N.relevant_clauses(lines, clauses)

@@ -75,3 +75,11 @@ def run_once(result: DataFrame, path: str, checkpoint: str, mode: str = "complet
     query = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(path)
+
+
+def replay(frames: DataFrame, since: Column) -> DataFrame:
+    """ST4: what a subscriber who comes at ``since`` is sent: one frame with each job's last state, then all later ones."""
+    before = frames.where(F.col("t") <= since)
+    last = before.groupBy("job").agg(F.max_by(F.struct("t", "seq", "stage", "status"), F.struct("t", "seq")).alias("f"))
+    prelude = last.select(F.lit(True).alias("prelude"), "job", "f.t", "f.seq", "f.stage", "f.status")
+    return prelude.unionByName(frames.where(F.col("t") > since).select(F.lit(False).alias("prelude"), "job", "t", "seq", "stage", "status"))
