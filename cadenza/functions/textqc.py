@@ -305,11 +305,11 @@ def _defaults() -> Column:
 
 
 def option_violations(options: Column) -> Column:
-    """Unknown options, and values that are not of the option's kind."""
+    """Unknown options, and values that are not of the option's kind; a null value is a reset and is fine."""
     def bad(k: Column, v: Column) -> Column:
         number = v.rlike(r"^\d+(\.\d+)?$")
         return ~F.coalesce(
-            F.when(k == "seed", v.rlike(r"^\d*$")).when(k == "greedy", v.isin("true", "false")).when(k.isin("speed", "temperature"), number).when(k == "ref", v != ""), F.lit(False)
+            F.when(v.isNull(), True).when(k == "seed", v.rlike(r"^\d*$")).when(k == "greedy", v.isin("true", "false")).when(k.isin("speed", "temperature"), number).when(k == "ref", v != ""), F.lit(False)
         )
     return F.array_sort(F.map_keys(F.map_filter(options, bad)))
 

@@ -171,3 +171,72 @@ def window_level(levels: DataFrame, windows: DataFrame, hop_ms: int = 100) -> Da
     framed = windows.withColumn("frame", F.explode(F.sequence(first, last)))
     found = framed.join(levels, ["vid", "frame"]).groupBy("vid", "seq").agg(F.percentile("rms", F.lit(0.5)).alias("median"))
     return windows.join(found, ["vid", "seq"], "left")
+
+
+def passages(runs: DataFrame, join_ms: int = 1500) -> DataFrame:
+    """Passages (vid, start_ms, end_ms, lang) of language runs (vid, start_ms, end_ms, lang).
+
+    Runs of one language join over gaps of up to 1.5 s and over unlabelled runs of up to 1.5 s; a longer
+    unlabelled run, a longer gap or another language ends a passage. Unlabelled runs at its ends are not
+    part of it.
+    """
+    by = Window.partitionBy("vid").orderBy("start_ms", "end_ms")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col("lang").isNull() & (F.col("end_ms") - F.col("start_ms") > join_ms)
+    last = F.last("lang", ignorenulls=True).over(before)
+    starts = (
+        F.lag("end_ms").over(by).isNull()
+        | (F.col("start_ms") - F.lag("end_ms").over(by) > join_ms)
+        | long
+        | F.coalesce(F.lag(long).over(by), F.lit(False))
+        | F.coalesce(F.col("lang") != last, F.lit(False))
+    )
+    # A run of another language after unlabelled ones starts at itself, as those are dropped at the ends.
+    named = islands(runs, "vid", ["start_ms", "end_ms"], starts, "passage").where(F.col("lang").isNotNull())
+    return named.groupBy("vid", "passage").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("lang").alias("lang")
+    ).drop("passage")
+
+
+def spliced(segments: DataFrame, spans: DataFrame, words: DataFrame, least_ms: int = 400, overlap_ms: int = 50) -> DataFrame:
+    """Vid, start_ms, end_ms, text, origin: segments with text-bearing spans laid over them.
+
+    ``segments``, ``spans`` and ``words`` have vid, seq, start_ms, end_ms and text. A span takes the place
+    of what it covers. What is left of a segment, if 0.4 s long, keeps the words that lie in it by more
+    than 50 ms; a piece without a word goes. Segments that no span touches stay as they are.
+    """
+    told = spans.where(F.trim("text") != "")
+    touched = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), told.select("vid", "start_ms", "end_ms")).where(cover() > 0)
+    hit = touched.select("vid", "seq").distinct()
+    whole = segments.join(hit, ["vid", "seq"], "left_anti").select("vid", "start_ms", "end_ms", "text", F.lit("segment").alias("origin"))
+    pieces = residues(segments.join(hit, ["vid", "seq"], "left_semi"), told).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    held = overlap_join(pieces, words).where(cover() > overlap_ms)
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r_seq", "r_text"))), lambda w: w["r_text"]), " ")
+    kept = held.groupBy("vid", "seq", "start_ms", "end_ms").agg(line.alias("text")).select("vid", "start_ms", "end_ms", "text", F.lit("rest").alias("origin"))
+    laid = told.select("vid", "start_ms", "end_ms", "text", F.lit("span").alias("origin"))
+    return whole.unionByName(kept).unionByName(laid)
+
+
+def absorbed_rests(pieces: DataFrame, touch_ms: int = 50, most_ms: int = 1200) -> DataFrame:
+    """Spliced pieces in which a short rest joins the span it touches, the one before it first.
+
+    ``pieces`` has vid, start_ms, end_ms, text, origin. A rest of under 1.2 s at most 50 ms from a span
+    widens that span and adds its words; other rests stay.
+    """
+    by = Window.partitionBy("vid").orderBy("start_ms", "end_ms")
+    prev, nxt = F.lag(F.struct("origin", "end_ms", "start_ms")).over(by), F.lead(F.struct("origin", "end_ms", "start_ms")).over(by)
+    short = (F.col("origin") == "rest") & (F.col("end_ms") - F.col("start_ms") < most_ms)
+    marked = pieces.withColumns({"p": prev, "n": nxt}).withColumns(
+        {
+            "back": short & F.coalesce((F.col("p.origin") == "span") & (F.col("start_ms") - F.col("p.end_ms") <= touch_ms), F.lit(False)),
+            "ahead": short & F.coalesce((F.col("n.origin") == "span") & (F.col("n.start_ms") - F.col("end_ms") <= touch_ms), F.lit(False)),
+        }
+    )
+    goes_ahead = F.col("ahead") & ~F.col("back")
+    # A piece opens a group unless it joins the one before it.
+    opens = ~F.col("back") & ~F.coalesce(F.lag(goes_ahead).over(by), F.lit(False))
+    grouped = islands(marked, "vid", ["start_ms", "end_ms"], opens, "g")
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " ")
+    return grouped.groupBy("vid", "g").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), line.alias("text"), F.max("origin").alias("origin")
+    ).drop("g")

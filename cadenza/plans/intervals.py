@@ -212,3 +212,42 @@ def o5(spark, sf_dir):
     )
     score = F.round((F.col("high") - F.col("low")) / F.greatest("m", F.lit(0.000001)), 9)
     return stats.groupBy("vid").agg(F.min(F.struct(score.alias("s"), "i")).alias("b")).select("vid", (F.col("b.i") * 100).alias("start_ms"), ((F.col("b.i") + 12) * 100).alias("end_ms"))
+
+
+@query("n7_passages", cte("spans") + """, r AS (SELECT vid, start_ms // 60 AS start_ms, start_ms // 60 + (end_ms - start_ms) // 60 AS end_ms, CASE WHEN seq % 4 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END END AS lang FROM spans),
+  f AS (SELECT *, lag(end_ms) OVER w AS pe, lang IS NULL AND end_ms - start_ms > 60000 AS lng, last_value(lang IGNORE NULLS) OVER (PARTITION BY vid ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r WINDOW w AS (PARTITION BY vid ORDER BY start_ms, end_ms)),
+  g AS (SELECT *, pe IS NULL OR start_ms - pe > 60000 OR lng OR coalesce(lag(lng) OVER (PARTITION BY vid ORDER BY start_ms, end_ms), false) OR coalesce(lang <> last, false) AS b FROM f),
+  h AS (SELECT *, sum(b::INT) OVER (PARTITION BY vid ORDER BY start_ms, end_ms) AS k FROM g) SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(lang) AS lang FROM h WHERE lang IS NOT NULL GROUP BY vid, k""")
+def n7(spark, sf_dir):
+    runs = T.spans(spark, sf_dir).selectExpr("vid", "start_ms div 60 AS start_ms", "start_ms div 60 + (end_ms - start_ms) div 60 AS end_ms", "CASE WHEN seq % 4 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END END AS lang")
+    return I.passages(runs, 60_000)
+
+
+TOLD = """seg AS (SELECT vid, seq, start_ms, end_ms, 'segment ' || seq AS text FROM sg), spn AS (SELECT vid, seq, start_ms, end_ms, CASE WHEN seq % 7 <> 1 THEN 'span ' || seq ELSE ' ' END AS text FROM sp),
+wd AS (SELECT vid, seq * 8 + k AS seq, start_ms + k * 4000 AS start_ms, start_ms + k * 4000 + 900 AS end_ms, 'w' || k AS text FROM sg, (SELECT unnest(range(8)) AS k)), told AS (SELECT * FROM spn WHERE trim(text) <> ''),
+hit AS (SELECT DISTINCT g.vid, g.seq FROM seg g JOIN told p ON g.vid = p.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms),
+c AS (SELECT g.vid, g.seq, g.start_ms, greatest(g.start_ms, p.start_ms) AS a, least(g.end_ms, p.end_ms) AS b FROM seg g JOIN hit USING (vid, seq) JOIN told p ON g.vid = p.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms UNION ALL SELECT g.vid, g.seq, g.start_ms, g.end_ms, g.end_ms FROM seg g JOIN hit USING (vid, seq)),
+d AS (SELECT *, coalesce(max(b) OVER (PARTITION BY vid, seq ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ms) AS free FROM c),
+e AS (SELECT vid, seq, free AS start_ms, a AS end_ms FROM d WHERE a - free >= 400),
+j4 AS (SELECT g.vid, g.start_ms, g.end_ms, g.text, 'segment' AS origin FROM seg g ANTI JOIN hit USING (vid, seq)
+  UNION ALL SELECT e.vid, e.start_ms, e.end_ms, string_agg(wd.text, ' ' ORDER BY wd.seq), 'rest' FROM e JOIN wd ON e.vid = wd.vid AND least(e.end_ms, wd.end_ms) - greatest(e.start_ms, wd.start_ms) > 50 GROUP BY e.vid, e.seq, e.start_ms, e.end_ms
+  UNION ALL SELECT vid, start_ms, end_ms, text, 'span' FROM told)"""
+
+
+def splice(spark, sf_dir):
+    segs = sg(spark, sf_dir)
+    words = segs.select("vid", "seq", "start_ms", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).selectExpr(
+        "vid", "seq * 8 + k AS seq", "start_ms + k * 4000 AS start_ms", "start_ms + k * 4000 + 900 AS end_ms", "'w' || k AS text"
+    )
+    told = sp(spark, sf_dir).selectExpr("vid", "seq", "start_ms", "end_ms", "CASE WHEN seq % 7 <> 1 THEN 'span ' || seq ELSE ' ' END AS text")
+    return I.spliced(segs.selectExpr("vid", "seq", "start_ms", "end_ms", "'segment ' || seq AS text"), told, words)
+
+
+@query("j4_spliced", cte("spans") + f",{PAIR},{TOLD} SELECT * FROM j4")
+def j4(spark, sf_dir):
+    return splice(spark, sf_dir)
+
+
+@query("j5_absorbed_rests")
+def j5(spark, sf_dir):
+    return I.absorbed_rests(splice(spark, sf_dir), most_ms=60_000)

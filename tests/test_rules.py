@@ -172,3 +172,31 @@ def test_files_are_read_by_kind(spark, tmp_path):
     line = [(1000, "Hello"), (2000, "there"), (4500, "general"), (5000, "kenobi")]
     assert got == {"a.srt": line, "b.vtt": line, "json3": [(1000, "hi")]}
     assert sorted((r["path"][-5:], r["reason"]) for r in rejects.collect()) == [("d.txt", "unknown kind of file"), ("e.srt", "no words")]
+
+
+def test_options_strip_merge_and_refuse(spark):
+    row = spark.createDataFrame([({"seed": "7", "greedy": "false", "speed": "1.2"}, {"speed": None, "greedy": "true", "pitch": "x", "seed": "a"})], "c map<string,string>, u map<string,string>").select(
+        X.options_merged(F.col("c"), F.col("u")).alias("m"), X.option_violations(F.col("u")).alias("bad"), X.options_fingerprint(F.create_map().cast("map<string,string>")).alias("none")
+    ).first()
+    assert row["m"] == {"seed": "a", "greedy": "true"} and row["bad"] == ["pitch", "seed"]
+    assert row["none"] == ""
+
+
+@pytest.mark.parametrize("text, want", [
+    ("may the Lord turn his face to you, and be kind, may the Lord turn his face to you.", "may the Lord turn his face to you, and be kind."), ("go on, go on.", "go on, go on."), ("", ""),
+])
+def test_without_repeated_end(spark, text, want):
+    assert one(spark, X.without_repeated_end(F.col("text")), text) == want
+
+
+@pytest.mark.parametrize("word, want", [("Welcome", "wlkm"), ("hello", "hl"), (None, "")])
+def test_latin_skeleton(spark, word, want):
+    assert one(spark, X.latin_skeleton(F.col("text")), word) == want
+
+
+def test_a_short_rest_joins_the_span_it_touches(spark):
+    from cadenza.operators import intervals as I
+
+    rows = [(1, 0, 1000, "a", "segment"), (1, 1000, 5000, "b", "span"), (1, 5010, 5600, "c", "rest"), (1, 9000, 9500, "d", "rest"), (1, 9520, 12000, "e", "span")]
+    got = I.absorbed_rests(spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, text string, origin string")).orderBy("start_ms").collect()
+    assert [(r["text"], r["start_ms"], r["end_ms"]) for r in got] == [("a", 0, 1000), ("b c", 1000, 5600), ("d e", 9000, 12000)]
