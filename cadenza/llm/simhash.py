@@ -158,13 +158,13 @@ def wide_fingerprint(text: str | None) -> list[int]:
     return np.packbits(counts * 2 > len(words)).view(">u4").astype(np.int64).tolist()
 
 
-def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int = 40) -> DataFrame:
+def candidate_pairs(prints: DataFrame, open_bucket: int = 4) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose fingerprints may belong to near copies.
 
     ``prints`` has a unique id and the segments as an array. Every fingerprint is filed in one table per
     segment and looks itself up under each value of the ball of radius 1 around its segments; of two
-    values that differ in a bit, the one without it looks for the other. Matches whose whole fingerprints
-    differ in more than ``max_distance`` of 256 bits are dropped.
+    values that differ in a bit, the one without it looks for the other. The whole fingerprints are
+    compared in ``similar_links``, where both sides of a pair are fetched anyway.
 
     A bucket of more than ``open_bucket`` members is represented by its most central one: that whose
     segments fill the largest buckets, as those of a text do that many others are near copies of. Members
@@ -177,17 +177,17 @@ def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int =
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
     sized = filed.join(sizes, "key")
     central = sized.groupBy("id").agg(F.sum("n").alias("central"))
+    ranked = sized.join(central, "id")
     # Only crowded buckets need a centre.
-    tops = (
-        sized.where(F.col("n") > open_bucket).join(central, "id").groupBy("key")
-        .agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("top"))
+    tops = ranked.where(F.col("n") > open_bucket).groupBy("key").agg(
+        F.max_by("id", F.struct("central", -F.col("id"))).alias("top")
     )
     is_open = F.col("n") <= open_bucket
-    table = sized.join(tops, "key", "left").where(is_open | (F.col("id") == F.col("top"))).select(
-        "key", F.col("id").alias("other"), is_open.alias("open")
+    table = ranked.join(tops, "key", "left").where(is_open | (F.col("id") == F.col("top"))).select(
+        "key", F.col("id").alias("other"), F.col("central").alias("oc"), is_open.alias("open")
     )
     heads = tops.select(F.col("top").alias("id")).distinct().withColumn("head", F.lit(True))
-    marked = prints.join(heads, "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
+    marked = prints.join(central, "id").join(heads, "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
     masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SEGMENT_BITS))]])
     ball = F.transform(
         "segments",
@@ -196,20 +196,19 @@ def candidate_pairs(prints: DataFrame, open_bucket: int = 4, max_distance: int =
             lambda m: F.struct((i.cast("long") * base + s.bitwiseXOR(m)).alias("key"), ((m != 0) & ~F.col("head")).alias("far")),
         ),
     )
-    probes = marked.select("id", F.explode(F.flatten(ball)).alias("k")).select("id", "k.key", "k.far")
-    met = (
+    probes = marked.select("id", F.col("central").alias("c"), F.explode(F.flatten(ball)).alias("k")).select(
+        "id", "c", "k.key", "k.far"
+    )
+    less = F.col("id") < F.col("other")
+    close = stored(
         probes.join(table, "key")
         .where((F.col("id") != F.col("other")) & (F.col("open") | ~F.col("far")))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .select(
+            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
+            F.when(less, F.col("c")).otherwise(F.col("oc")).alias("ca"), F.when(less, F.col("oc")).otherwise(F.col("c")).alias("cb"),
+        )
         .distinct()
     )
-    sides = prints.join(central, "id")
-    left = sides.select(F.col("id").alias("a"), F.col("segments").alias("x"), F.col("central").alias("ca"))
-    right = sides.select(F.col("id").alias("b"), F.col("segments").alias("y"), F.col("central").alias("cb"))
-    distance = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
-    )
-    close = stored(met.join(left, "a").join(right, "b").where(distance <= max_distance).select("a", "b", "ca", "cb"))
     first_less = F.struct("ca", -F.col("a")) < F.struct("cb", -F.col("b"))
     towards = close.select(
         F.when(first_less, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(first_less, F.col("b")).otherwise(F.col("a")).alias("top"),
@@ -239,10 +238,13 @@ def wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def similar_links(texts: DataFrame, pairs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The pairs (a, b) whose sets of word shingles have at least this Jaccard similarity.
+def similar_links(
+    texts: DataFrame, prints: DataFrame, pairs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 40
+) -> DataFrame:
+    """The pairs (a, b) of texts that are alike: fingerprints at most ``max_distance`` of 256 bits apart, and
+    sets of word shingles of at least this Jaccard similarity.
 
-    ``texts`` has (id, text), an id's texts being equal. A text of fewer words has one shingle of them
+    ``texts`` has (id, text), an id's texts being equal, and ``prints`` their fingerprints. A text of fewer words has one shingle of them
     all; two texts without words are alike. Sets are made where the texts are read, of those texts that a
     pair may need, and only the sets move.
     """
@@ -259,18 +261,18 @@ def similar_links(texts: DataFrame, pairs: DataFrame, words: int = 5, similarity
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            sides = (batch.column(c) for c in ("x", "y", "sx", "sy"))
+            for x, y, sx, sy in zip(*sides):
+                apart = np.bitwise_count(np.array(sx.as_py()) ^ np.array(sy.as_py())).sum()
                 p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                both = len(np.intersect1d(p, q, assume_unique=True)) if apart <= max_distance else -1
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     made = texts.select("id", "text").mapInArrow(shingles, "id bigint, shingles binary")
-    sets = stored(made.groupBy("id").agg(F.max("shingles").alias("shingles")))
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    sets = stored(made.groupBy("id").agg(F.max("shingles").alias("shingles")).join(prints, "id"))
+    joined = pairs.join(sets.toDF("a", "x", "sx"), "a").join(sets.toDF("b", "y", "sy"), "b")
+    return joined.select("a", "b", "x", "y", "sx", "sy").mapInArrow(similar, "a bigint, b bigint")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,7 +301,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
         marked.groupBy("id").agg(F.min(order).alias("first"), F.min("segments").alias("segments"))
     )
     pairs = stored(candidate_pairs(nodes.select("id", "segments")))
-    roots = connected_components(similar_links(named.select("id", "text"), pairs, words, similarity))
+    roots = connected_components(similar_links(named.select("id", "text"), nodes.select("id", "segments"), pairs, words, similarity))
     group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
         "id", "first", F.coalesce("root", "id").alias("root")
     )
