@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = 1024
@@ -111,14 +111,15 @@ def fit(
     )
     # A hash for this draw alone; the ids of training rows already share a remainder of another.
     drawn = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < chance
+    # The cut to the most frequent grams is made in tasks; the driver gets numbers only, in columns.
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    code = (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1).cast("int")
     grams = (
-        count_grams(usable.where(drawn))
-        .orderBy(F.desc("n"), "lang", "gram")
-        .limit(max_grams * len(languages))
-        .toPandas()
+        count_grams(usable.where(drawn)).withColumn("place", F.row_number().over(by_count))
+        .where(F.col("place") <= max_grams).select(code.alias("code"), "gram", "n").toArrow()
     )
-    code = grams["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
-    return build(languages, code, grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), max_contexts)
+    columns = [grams.column(c).to_numpy().astype(np.int64) for c in ("code", "gram", "n")]
+    return build(languages, *columns, max_contexts)
 
 
 def build(languages: list[str], code: np.ndarray, grams: np.ndarray, n: np.ndarray, max_contexts: int) -> Model:
@@ -134,7 +135,7 @@ def build(languages: list[str], code: np.ndarray, grams: np.ndarray, n: np.ndarr
     unseen = 256 - len(seen)
     width = np.ones(size)
     width[0] = unseen
-    tables = [np.full((1, size, many), 1 / 256)]  # below the empty context
+    tables = [np.full((1, size, many), 1 / 256, np.float32)]  # below the empty context
     index: list[np.ndarray] = []
     for order in range(4):
         whole = (context[order] % size > 0) & (context[order] // size % size > 0 if order > 1 else True) & (
@@ -148,7 +149,7 @@ def build(languages: list[str], code: np.ndarray, grams: np.ndarray, n: np.ndarr
         number[kept] = np.arange(len(kept))
         keys = keys[kept]
         rows = number[which]
-        counts = np.zeros((len(keys), size, many), np.float64)
+        counts = np.zeros((len(keys), size, many), np.float32)
         ok = rows >= 0
         np.add.at(counts, (rows[ok], parts[3][whole][ok], code[whole][ok]), n[whole][ok])
         # Every context's suffix is one order down, or, where that was not kept, further down.

@@ -185,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qual
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", "y").mapInArrow(each, f"doc_id {kind}, y int, x array<double>").toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
-    x = np.stack(got["x"].to_list()).astype(float) if len(got) else np.empty((0, len(FEATURES)))
-    return boost(x, got["y"].to_numpy(float))
+    got = rows.select("doc_id", "text", "y").mapInArrow(each, f"doc_id {kind}, y int, x array<double>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return boost(x, got.column("y").to_numpy().astype(float))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
