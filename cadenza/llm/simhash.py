@@ -140,168 +140,220 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = 64) -> DataFra
     )
 
 
-# Near copies at a given similarity of their word shingles.
+# Near copies at a given similarity of their word shingles, all of them, by prefix filtering.
+#
+# All shingles have one order, rare ones first. A text of n shingles is filed under its first
+# n - ceil(t n) + 1: two sets of Jaccard similarity t share at least ceil(t n) of either's shingles, so their
+# first common shingle is filed for both. It stands at places i and j of sets of sizes n and m, and all that
+# they share follows it, so that min(n - i, m - j) >= t / (1 + t) (n + m). Only pairs that pass are verified.
 
-SEGMENTS, SEGMENT_BITS = 8, 32
+#: Shingles that are counted to find common ones; the order decides the work, never the result.
+DRAWN = 8_000_000
+#: Key of the sets without shingles, which are all alike, and mark of rows that are pairs.
+NO_SHINGLES, PAIR = -1, -2
+#: Next members of a crowded key that each of them meets at first.
+AHEAD = 10
+#: Pairs that a task makes at a time.
+PAIR_ROWS = 1 << 18
+SLACK = 1e-9
 
 
-def wide_fingerprint(text: str | None) -> list[int]:
-    """256 bits, as eight segments, of which each is 1 if most of the text's different words have it."""
-    found = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    counts = np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
-    digest, words = xxhash.xxh3_128_digest, list(found)
-    for at in range(0, len(words), BLOCK // 4):
-        part = words[at : at + BLOCK // 4]
-        raw = b"".join([digest(w, 1) + digest(w, 2) for w in part])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(words)).view(">u4").astype(np.int64).tolist()
+def as_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words).astype("<u4"))
+
+
+def common_shingles(sets: DataFrame, drawn: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their counts: those found three times or more in a bounded draw of the sets."""
+    total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    some = sets.where(F.pmod("id", F.lit(max(1, total // 4 // drawn))) == 0).select("shingles")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_py(), "<u4") for x in batch.column("shingles")]
+            key, n = np.unique(np.concatenate([np.empty(0, "<u4"), *held]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    counted = some.mapInArrow(each, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3")
+    found = counted.toArrow()
+    key, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    return key[order].astype("<u4"), n[order]
+
 
+def prefix(held: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all; every similar set shares one of them."""
+    many = len(held) - int(np.ceil(similarity * len(held) - SLACK)) + 1
+    seen = np.ones(len(held), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+        seen = np.where(common[at] == held, counts[at], 1)
+    return held[np.lexsort((held, seen))[:many]]
 
-def candidate_pairs(prints: DataFrame, open_bucket: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of ids whose fingerprints may belong to near copies.
 
-    ``prints`` has a unique id and the segments as an array. Every fingerprint is filed in one table per
-    segment and looks itself up under each value of the ball of radius 1 around its segments; of two
-    values that differ in a bit, the one without it looks for the other. The whole fingerprints are
-    compared in ``similar_links``, where both sides of a pair are fetched anyway.
+def filings(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, n, place): every set under the shingles of its prefix."""
+    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
-    A bucket of more than ``open_bucket`` members is represented by its most central one: that whose
-    segments fill the largest buckets, as those of a text do that many others are near copies of. Members
-    meet it by their own segment; it looks for neighbours in both directions. The rest of a group is
-    reached over the centres: every fingerprint is also paired with the centre of its most central
-    partner, and with that one's. So pairs grow with the number of documents, whatever a group's size.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                held = [np.frombuffer(x.as_py(), "<u4") for x in part.column("shingles")]
+                keys = [prefix(x, similarity, *common.value).astype(np.int64) if len(x) else np.array([NO_SHINGLES]) for x in held]
+                sizes = np.array([len(k) for k in keys], np.int64)
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                n = np.repeat(np.array([len(x) for x in held], np.int64), sizes)
+                ids = np.repeat(part.column("id").to_numpy(), sizes)
+                columns = [np.concatenate(keys), ids, n.astype(np.int32), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "place"])
+
+    return sets.select("id", "shingles").mapInArrow(each, "key bigint, id bigint, n int, place int")
+
+
+def meetings(filed: DataFrame, similarity: float, open_bucket: int) -> DataFrame:
+    """(key, a, b, n, place): pairs of sets filed under one key, marked PAIR, and the members of crowded keys.
+
+    A key of up to ``open_bucket`` sets gives all pairs that pass the bound. A larger one gives those of its
+    members with one of them and with the next few in a mixed order, which connect most of a group, and its
+    members as (key, a, n, place), for ``missing_pairs``.
     """
-    base = 1 << SEGMENT_BITS
-    filed = prints.select("id", F.explode(F.transform("segments", lambda s, i: i.cast("long") * base + s)).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
-    sized = filed.join(sizes, "key")
-    central = sized.groupBy("id").agg(F.sum("n").alias("central"))
-    ranked = sized.join(central, "id")
-    # Only crowded buckets need a centre.
-    tops = ranked.where(F.col("n") > open_bucket).groupBy("key").agg(
-        F.max_by("id", F.struct("central", -F.col("id"))).alias("top")
-    )
-    is_open = F.col("n") <= open_bucket
-    table = ranked.join(tops, "key", "left").where(is_open | (F.col("id") == F.col("top"))).select(
-        "key", F.col("id").alias("other"), F.col("central").alias("oc"), is_open.alias("open")
-    )
-    heads = tops.select(F.col("top").alias("id")).distinct().withColumn("head", F.lit(True))
-    marked = prints.join(central, "id").join(heads, "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
-    masks = F.array(*[F.lit(m) for m in [0, *(1 << i for i in range(SEGMENT_BITS))]])
-    ball = F.transform(
-        "segments",
-        lambda s, i: F.transform(
-            F.filter(masks, lambda m: F.col("head") | (s.bitwiseAND(m) == 0)),
-            lambda m: F.struct((i.cast("long") * base + s.bitwiseXOR(m)).alias("key"), ((m != 0) & ~F.col("head")).alias("far")),
-        ),
-    )
-    probes = marked.select("id", F.col("central").alias("c"), F.explode(F.flatten(ball)).alias("k")).select(
-        "id", "c", "k.key", "k.far"
-    )
-    less = F.col("id") < F.col("other")
-    close = stored(
-        probes.join(table, "key")
-        .where((F.col("id") != F.col("other")) & (F.col("open") | ~F.col("far")))
-        .select(
-            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
-            F.when(less, F.col("c")).otherwise(F.col("oc")).alias("ca"), F.when(less, F.col("oc")).otherwise(F.col("c")).alias("cb"),
-        )
-        .distinct()
-    )
-    first_less = F.struct("ca", -F.col("a")) < F.struct("cb", -F.col("b"))
-    towards = close.select(
-        F.when(first_less, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(first_less, F.col("b")).otherwise(F.col("a")).alias("top"),
-        F.greatest("ca", "cb").alias("c"),
-    )
-    parent = stored(towards.groupBy("child").agg(F.max_by("top", F.struct("c", -F.col("top"))).alias("parent")))
-    once = parent.join(parent.toDF("parent", "up"), "parent").select("child", F.col("up").alias("parent"))
-    twice = once.join(parent.toDF("parent", "up"), "parent").select("child", F.col("up").alias("parent"))
-    hops = once.unionByName(twice).select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b"))
-    return close.select("a", "b").unionByName(hops).distinct()
+    share = similarity / (1 + similarity)
+
+    def passing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        room = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3])
+        ok = (room >= share * (x[:, 2] + y[:, 2]) - SLACK) & (x[:, 1] != y[:, 1])
+        a, b = x[ok, 1], y[ok, 1]
+        none = np.zeros(len(a), np.int64)
+        return np.stack([none + PAIR, np.minimum(a, b), np.maximum(a, b), none, none], axis=1)
+
+    def buckets(rows: np.ndarray) -> Iterator[np.ndarray]:
+        first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        sizes = np.diff(np.append(first, len(rows)))
+        for k in range(2, open_bucket + 1):
+            starts = first[sizes == k]
+            for i in range(k if len(starts) else 0):
+                for j in range(i):
+                    yield passing(rows[starts + j], rows[starts + i])
+        for at, n in zip(first[sizes > open_bucket], sizes[sizes > open_bucket]):
+            held = rows[at : at + n]
+            mixed = (held[:, 1] ^ held[:, 0] << 31).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            held = held[np.argsort(mixed)]
+            yield passing(held[1:], np.broadcast_to(held[0], held[1:].shape))
+            for k in range(1, AHEAD + 1):
+                yield passing(held[1 + k :], held[1:-k])
+            yield np.stack([held[:, 0], held[:, 1], np.zeros(n, np.int64), held[:, 2], held[:, 3]], axis=1)
+
+    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key, a, b, n, place = np.concatenate(parts).T
+        columns = [key, a, b, n.astype(np.int32), place.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "a", "b", "n", "place"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Rows of whole keys; those of the last key wait for more."""
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "id", "n", "place")], axis=1)
+            if not len(rows):
+                continue
+            edge = np.searchsorted(rows[:, 0], rows[-1, 0])
+            if edge or parts and parts[-1][-1, 0] != rows[-1, 0]:
+                yield np.concatenate([*parts, rows[:edge]])
+                parts = [rows[edge:]]
+            else:
+                parts.append(rows)
+        if parts:
+            yield np.concatenate(parts)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for rows in runs(batches):
+            for found in buckets(rows) if len(rows) else ():
+                waiting.append(found)
+                if sum(map(len, waiting)) >= PAIR_ROWS or len(waiting) >= 4096:
+                    yield batch_of(waiting)
+                    waiting = []
+        if waiting:
+            yield batch_of(waiting)
 
+    sorted_keys = filed.repartition("key").sortWithinPartitions("key")
+    return sorted_keys.mapInArrow(each, "key bigint, a bigint, b bigint, n int, place int")
 
-#: Bits of the table of ids whose shingles are wanted; more ids only make more needless sets.
-WANTED_BITS = 1 << 23
 
+def missing_pairs(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of crowded keys' members that pass the bound and that no links connect yet.
 
-def wanted(ids: DataFrame) -> np.ndarray:
-    """A bit table of the hashed ids (column id), of one fixed size whatever their number."""
-    place = F.pmod("id", F.lit(WANTED_BITS)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-    )
-    out = np.zeros(WANTED_BITS // 8, np.uint8)
-    for bucket, bits in rows.collect():
-        part = np.frombuffer(bytes(bits), np.uint8)
-        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
-    return out
-
-
-def similar_links(
-    texts: DataFrame, prints: DataFrame, pairs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 40
-) -> DataFrame:
-    """The pairs (a, b) of texts that are alike: fingerprints at most ``max_distance`` of 256 bits apart, and
-    sets of word shingles of at least this Jaccard similarity.
-
-    ``texts`` has (id, text), an id's texts being equal, and ``prints`` their fingerprints. A text of fewer words has one shingle of them
-    all; two texts without words are alike. Sets are made where the texts are read, of those texts that a
-    pair may need, and only the sets move.
+    ``crowded`` has (key, id, n, place), ``roots`` the components (node, root) so far. All pairs of different
+    components are there; of a key's largest component only those that meet one of another.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(wanted(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    placed = crowded.join(roots, crowded["id"] == roots["node"], "left").select(
+        "key", "id", "n", "place", F.coalesce("root", "id").alias("root")
+    )
+    counted = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
+    split = counted.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
+    members = stored(placed.join(split.where("roots > 1"), "key").drop("roots"))
+    x = members.where("root != main").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"))
+    y = members.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("in_main"))
+    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
+    bound = similarity / (1 + similarity) * (F.col("xn") + F.col("yn")) - SLACK
+    met = x.join(y, "key").where((F.col("xr") != F.col("yr")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (room >= bound))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.mod(batch.column("id").to_numpy(), WANTED_BITS)
-            needed = pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
-            some = batch.filter(needed)
-            sets = [np.unique(shingle_hashes(x.as_py(), words).astype("<u4")).tobytes() for x in some.column("text")]
-            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, shingles) have at least this Jaccard similarity; empty sets are alike."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            sides = (batch.column(c) for c in ("x", "y", "sx", "sy"))
-            for x, y, sx, sy in zip(*sides):
-                apart = np.bitwise_count(np.array(sx.as_py()) ^ np.array(sy.as_py())).sum()
+            for x, y in zip(batch.column("x"), batch.column("y")):
                 p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(p, q, assume_unique=True)) if apart <= max_distance else -1
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = texts.select("id", "text").mapInArrow(shingles, "id bigint, shingles binary")
-    sets = stored(made.groupBy("id").agg(F.max("shingles").alias("shingles")).join(prints, "id"))
-    joined = pairs.join(sets.toDF("a", "x", "sx"), "a").join(sets.toDF("b", "y", "sy"), "b")
-    return joined.select("a", "b", "x", "y", "sx", "sy").mapInArrow(similar, "a bigint, b bigint")
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+
+
+def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16) -> DataFrame:
+    """(node, root) of the sets (id, shingles) that similar pairs link, directly or over others: no pair is missed.
+
+    A pair whose first common shingle has few sets is verified at once. In a crowded one most of a group is
+    linked first, and then all pairs of its members that are still in different components are verified.
+    """
+    met = stored(meetings(filings(sets, similarity), similarity, open_bucket))
+    links = stored(similar_links(sets, met.where(F.col("key") == PAIR).select("a", "b").distinct(), similarity))
+    roots = stored(connected_components(links))
+    crowded = met.where(F.col("key") != PAIR).select("key", F.col("a").alias("id"), "n", "place")
+    late = stored(similar_links(sets, missing_pairs(crowded, roots, similarity), similarity))
+    if late.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id stays.
 
-    Equal texts are one node, named by a 64-bit hash. Candidates come from multi-index hashing of the
-    texts' fingerprints, links from the exact similarity of their shingle sets. Null and wordless texts
-    are one group. Of rows with the same doc_id and text one stays; a null doc_id counts as larger than
-    any other. All columns pass through, and an empty table stays empty.
+    Equal texts are one node, named by a 64-bit hash. Texts link if the sets of their word shingles have at
+    least this Jaccard similarity, and all such pairs count; a text of fewer words has one shingle of them
+    all. Null and wordless texts are one group. Of rows with the same doc_id and text one stays; a null
+    doc_id counts as larger than any other. All columns pass through, and an empty table stays empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            segments = [wide_fingerprint(x.as_py()) for x in batch.column("text")]
+            sets = [as_set(x.as_py(), words).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("doc_id"), pa.array(segments, pa.list_(pa.int64()))],
-                ["id", "doc_id", "segments"],
+                [batch.column("id"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "doc_id", "shingles"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select(F.xxhash64(text).alias("id"), "doc_id", text.alias("text"))
-    marked = stored(named.mapInArrow(prints, f"id bigint, doc_id {kind}, segments array<bigint>"))
-    nodes = stored(
-        marked.groupBy("id").agg(F.min(order).alias("first"), F.min("segments").alias("segments"))
-    )
-    pairs = stored(candidate_pairs(nodes.select("id", "segments")))
-    roots = connected_components(similar_links(named.select("id", "text"), nodes.select("id", "segments"), pairs, words, similarity))
+    marked = named.mapInArrow(shingles, f"id bigint, doc_id {kind}, shingles binary")
+    nodes = stored(marked.groupBy("id").agg(F.min(order).alias("first"), F.max("shingles").alias("shingles")))
+    roots = near_groups(nodes.select("id", "shingles"), similarity)
     group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
         "id", "first", F.coalesce("root", "id").alias("root")
     )

@@ -107,6 +107,45 @@ def test_near_copies_leave_one(spark):
     assert ids == [1, 3, 7, 8, 9, 50, *range(500, 520), None]
 
 
+def near_by_brute_force(texts):
+    """The smallest index of each text's group, by all pairs of five-word shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return root, pairs
+
+
+def test_crowded_near_copies_all_meet(spark):
+    """Chains, and groups that share crowded shingles but are not alike, against all pairs."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(3):  # chains: every text is like the next one only
+        text = [word() for _ in range(100)]
+        for _ in range(40):
+            text = text[10:] + [word() for _ in range(10)]
+            texts.append(" ".join(text))
+    shared = [word() for _ in range(60)]
+    for _ in range(30):  # half of each text is the same for all; pairs differ in a word
+        own = [word() for _ in range(60)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:59] + [word()])]
+    rng.shuffle(texts)
+    root, pairs = near_by_brute_force(texts)
+    assert len(set(root)) == 33 and len(pairs) == 3 * 39 + 30
+    for crowd in (2, 16):
+        sets = [(i, bytearray(simhash.as_set(t, 5).tobytes())) for i, t in enumerate(texts)]
+        found = simhash.near_groups(spark.createDataFrame(sets, "id long, shingles binary"), 0.8, crowd).collect()
+        got = {r["node"]: r["root"] for r in found}
+        assert [got.get(i, i) for i in range(len(texts))] == root
+    kept = simhash.keep_one_of_each(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     said = langid.identify(docs)
