@@ -146,6 +146,20 @@ def test_crowded_near_copies_all_meet(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
 
 
+def test_copies_with_a_fifth_of_new_words_leave_one(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        n = (40, 200, 1000)[i % 3]
+        text, new = [f"w{rng.randrange(10**6)}" for _ in range(n)], [f"n{rng.randrange(10**6)}" for _ in range(n // 5)]
+        at = n if i % 2 else rng.randrange(5, n - 5)
+        rows += [(2 * i, " ".join(text), "en", "a"), (2 * i + 1, " ".join(text[:at] + new + text[at:]), "en", "a")]
+    root, _ = near_by_brute_force([r[1] for r in rows])
+    assert all(root[2 * i + 1] == 2 * i for i in range(1, 60, 2))  # all with an appended fifth
+    kept = simhash.keep_one_of_each(documents(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     said = langid.identify(docs)
