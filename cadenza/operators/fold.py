@@ -8,25 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key that a task folds; a video has some thousands of words or segments.
-MAX_ROWS = 200_000
-
 
 def ordered_fold(
-    df: DataFrame, key: str, order: list[str], step: Callable[[list[dict]], Iterable[dict]], schema: str, max_rows: int = MAX_ROWS
+    df: DataFrame, key: str, order: list[str], step: Callable[[list[dict]], Iterable[dict]], schema: str, max_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Applies ``step`` to the ordered rows of every key; returns the results and the rejected keys.
 
-    Keys with more than ``max_rows`` rows are not folded but reported as (key, rows, reason), so that one
-    key never fills a task. Filter ``df`` beforehand to the keys that can change at all.
+    Every key is folded, however long: a key is one group of one task, which must hold its rows. Only where
+    a caller sets ``max_rows`` are longer keys not folded but reported as (key, rows, reason). Filter ``df``
+    beforehand to the keys that can change at all.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("rows"))
-    too_long = sizes.where(F.col("rows") > max_rows)
+    too_long = sizes.where(F.lit(False) if max_rows is None else F.col("rows") > max_rows)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order, kind="stable").astype(object).where(pdf.notna(), None).to_dict("records")
         return pd.DataFrame(list(step(rows)), columns=names)
 
-    kept = df.join(too_long.select(key), key, "left_anti")
+    kept = df if max_rows is None else df.join(too_long.select(key), key, "left_anti")
     return kept.groupBy(key).applyInPandas(fold, schema), too_long.withColumn("reason", F.lit("too many rows for one fold"))

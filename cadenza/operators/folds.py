@@ -25,11 +25,11 @@ def bare(text: str) -> str:
 
 
 def _only(df: DataFrame, vids: DataFrame, step, order: list[str], schema: str) -> DataFrame:
-    """Folds the videos in ``vids`` and passes the others by; too long ones also pass by unchanged."""
+    """Folds the videos in ``vids`` and passes the others by."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     chosen = df.select(*names).join(vids, "vid", "left_semi")
-    folded, too_long = ordered_fold(chosen, "vid", order, step, schema)
-    rest = df.select(*names).join(vids.join(too_long.select("vid"), "vid", "left_anti"), "vid", "left_anti")
+    folded = ordered_fold(chosen, "vid", order, step, schema)[0]
+    rest = df.select(*names).join(vids, "vid", "left_anti")
     return folded.unionByName(rest)
 
 

@@ -200,3 +200,11 @@ def test_a_short_rest_joins_the_span_it_touches(spark):
     rows = [(1, 0, 1000, "a", "segment"), (1, 1000, 5000, "b", "span"), (1, 5010, 5600, "c", "rest"), (1, 9000, 9500, "d", "rest"), (1, 9520, 12000, "e", "span")]
     got = I.absorbed_rests(spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, text string, origin string")).orderBy("start_ms").collect()
     assert [(r["text"], r["start_ms"], r["end_ms"]) for r in got] == [("a", 0, 1000), ("b c", 1000, 5600), ("d e", 9000, 12000)]
+
+
+def test_long_keys_are_folded_too(spark):
+    n = 200_001
+    said = spark.range(n).selectExpr("7L AS vid", "id AS seq", "if(id >= 199998, 'go', concat('w', id)) AS text", "100 * id AS t_ms", "100 * id + 60 AS end_ms")
+    assert K.loops_collapsed(said).count() == n - 2
+    items = spark.range(n).selectExpr("7L AS vid", "id AS seq", "2000 * id AS source_start", "2000 * id + 900 AS source_end", "1000L AS dur_ms", "'A' AS speaker", "true AS stretchable")
+    assert L.placed(items)[0].count() == n
