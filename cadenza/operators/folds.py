@@ -5,6 +5,8 @@ Every operator first picks, natively, the videos in which its rule can fire at a
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import script as S
 
 from ..params import SEG
+from ..sources.shared import shared_dir
 from .fold import ordered_fold
 from .words import in_order, speech_gaps
 
@@ -239,12 +242,13 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def long_split(words: DataFrame, rounds: int = 12) -> DataFrame:
+def long_split(words: DataFrame, rounds: int | None = None) -> DataFrame:
     """K6: words with piece: segments over 13 s and of four words or more cut at their best pause, again and again.
 
     A cut scores its pause less a fiftieth of the imbalance of its sides, each of them 1 s at least; where
     none is possible the middle word starts the second half. All segments are cut in parallel each round,
-    so rounds are as many as the deepest segment needs.
+    until none is over the limit or ``rounds``, where given, are done. Only pieces that are too long enter a
+    round; each round is written to the shared folder, and only whether any are left reaches the driver.
     """
     all_words = speech_gaps(words).withColumn("piece", F.lit("").cast("string"))
     ends = all_words.groupBy("vid", "segment").agg(F.min("t_ms").alias("a"), F.max("end_ms").alias("b"), F.count("*").alias("n"))
@@ -252,23 +256,31 @@ def long_split(words: DataFrame, rounds: int = 12) -> DataFrame:
     over = ends.where((F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)).select("vid", "segment")
     rest = all_words.join(over, ["vid", "segment"], "left_anti").drop("gap_ms")
     timed = all_words.join(over, ["vid", "segment"], "left_semi")
-    for _ in range(rounds):
-        whole = Window.partitionBy("vid", "segment", "piece")
-        order = whole.orderBy("seq")
+    done, over_length = [], (F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)
+    whole = Window.partitionBy("vid", "segment", "piece")
+    order = whole.orderBy("seq")
+    for _ in itertools.count() if rounds is None else range(rounds):
         spans = timed.withColumns(
             {
                 "a": F.min("t_ms").over(whole), "b": F.last("end_ms").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
                 "n": F.count("*").over(whole), "i": F.row_number().over(order) - 1, "left_end": F.lag("end_ms").over(order),
             }
         )
-        long = (F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)
         left, right = F.col("left_end") - F.col("a"), F.col("b") - F.col("t_ms")
         score = F.when((F.col("i") > 0) & (left >= 1000) & (right >= 1000), F.col("gap_ms") * 50 - F.abs(left - right))
         # A score of -1 s or less is no better than none.
         best = F.max(F.when(score > -50_000, F.struct(score.alias("s"), (-F.col("i")).alias("i")))).over(whole)
         cut = F.coalesce(-best["i"], F.floor(F.col("n") / 2))
-        timed = spans.withColumn("piece", F.when(long, F.concat("piece", F.when(F.col("i") < cut, "a").otherwise("b"))).otherwise(F.col("piece"))).drop("a", "b", "n", "i", "left_end")
-    return timed.drop("gap_ms").unionByName(rest)
+        half = F.concat("piece", F.when(F.col("i") < cut, "a").otherwise("b"))
+        path = shared_dir(words.sparkSession)
+        marked = spans.withColumns({"long": over_length, "half": half}).drop("a", "b", "n", "i", "left_end")
+        marked.withColumn("piece", F.when(F.col("long"), F.col("half")).otherwise(F.col("piece"))).drop("half").write.parquet(path)
+        written = words.sparkSession.read.parquet(path)
+        done.append(written.where(~F.col("long")).drop("long"))
+        timed = written.where("long").drop("long")
+        if timed.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, done, timed).drop("gap_ms").unionByName(rest)
 
 
 def two_voices(turns: DataFrame, cut: float = 0.80, margin: float = 1.10) -> DataFrame:

@@ -46,7 +46,7 @@ def k7(spark, sf_dir):
 def k5(spark, sf_dir):
     """Words to segments by all rules: groups, long sentences cut, turns, stubs merged."""
     words = W.sessions(W.word_ends(T.words(spark, sf_dir)).withColumn("brk", F.lit(False)))
-    cut = K.long_split(words.drop("gap_ms"), rounds=3).withColumn("segment", F.dense_rank().over(W.Window.partitionBy("vid").orderBy("segment", "piece"))).drop("piece")
+    cut = K.long_split(words.drop("gap_ms")).withColumn("segment", F.dense_rank().over(W.Window.partitionBy("vid").orderBy("segment", "piece"))).drop("piece")
     split = W.split_at_turns(cut, T.turns(spark, sf_dir)).withColumn("segment", F.dense_rank().over(W.Window.partitionBy("vid").orderBy("segment", "piece")).cast("long"))
     marks = split.groupBy("vid", "segment").agg(F.min_by("brk", "seq").alias("brk"))
     whole = W.segments_of(split).join(marks, ["vid", "segment"])
@@ -57,7 +57,7 @@ def k5(spark, sf_dir):
 def k6(spark, sf_dir):
     """No word is lost when blocks of sixty words are cut at their pauses."""
     blocks = W.word_ends(T.words(spark, sf_dir)).withColumn("segment", F.floor(F.col("seq") / 60))
-    return K.long_split(blocks, rounds=3).groupBy("vid", "segment").agg(F.count("*").alias("words"))
+    return K.long_split(blocks).groupBy("vid", "segment").agg(F.count("*").alias("words"))
 
 
 @query("k8_fragments_merged")

@@ -208,3 +208,27 @@ def test_long_keys_are_folded_too(spark):
     assert K.loops_collapsed(said).count() == n - 2
     items = spark.range(n).selectExpr("7L AS vid", "id AS seq", "2000 * id AS source_start", "2000 * id + 900 AS source_end", "1000L AS dur_ms", "'A' AS speaker", "true AS stretchable")
     assert L.placed(items)[0].count() == n
+
+
+def test_long_split_leaves_no_long_piece(spark):
+    """Against the rule applied to one piece at a time."""
+    rng, rows, t = random.Random(4), [], 0
+    for i in range(1500):
+        rows.append((7, i, f"w{i}", t, t + 300))
+        t += 300 + rng.randrange(250)
+
+    def split(part, piece):
+        a, b, n = part[0][3], part[-1][4], len(part)
+        if b - a <= 13000 or n < 4:
+            return {r[1]: piece for r in part}
+        best = None
+        for i in range(1, n):
+            left, right = part[i - 1][4] - a, b - part[i][3]
+            score = (part[i][3] - part[i - 1][4]) * 50 - abs(left - right)
+            if left >= 1000 and right >= 1000 and score > -50_000 and (best is None or score > best[0]):
+                best = score, i
+        cut = best[1] if best else n // 2
+        return split(part[:cut], piece + "a") | split(part[cut:], piece + "b")
+
+    got = {r["seq"]: r["piece"] for r in K.long_split(words(spark, [r[2:] for r in rows]).withColumn("segment", F.lit(0))).collect()}
+    assert got == split(rows, "") and max(map(len, got.values())) > 3
