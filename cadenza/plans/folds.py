@@ -69,7 +69,7 @@ def k8(spark, sf_dir):
 
 @query("k12_two_voices")
 def k12(spark, sf_dir):
-    turns = T.vectors(spark, sf_dir).select(F.floor(F.col("key") / 9).alias("run"), "key", "vec")
+    turns = T.vectors(spark, sf_dir, each=None).select(F.floor(F.col("key") / 9).alias("run"), "key", "vec")
     return K.two_voices(turns)
 
 

@@ -135,10 +135,13 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vid", F.col("frame").cast("long"), (F.abs(F.col("x").cast("double")) * 0.1).alias("rms"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, speaker, vec: up to 30 vectors for each speaker."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return _table(spark, sf_dir, "embeddings").withColumn("k", k).where("k <= 30").select(
+def vectors(spark: SparkSession, sf_dir: str, each: int | None = 30) -> DataFrame:
+    """key, speaker, vec: up to ``each`` vectors for each speaker, or all."""
+    rows = _table(spark, sf_dir, "embeddings")
+    if each is not None:
+        k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+        rows = rows.withColumn("k", k).where(F.col("k") <= each)
+    return rows.select(
         F.col("vec_id").alias("key"), F.col("label").alias("speaker"), F.col("embedding").cast("array<double>").alias("vec")
     )
 

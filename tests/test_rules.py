@@ -232,3 +232,11 @@ def test_long_split_leaves_no_long_piece(spark):
 
     got = {r["seq"]: r["piece"] for r in K.long_split(words(spark, [r[2:] for r in rows]).withColumn("segment", F.lit(0))).collect()}
     assert got == split(rows, "") and max(map(len, got.values())) > 3
+
+
+def test_two_voices_sees_all_vectors(spark, sf):
+    from cadenza.plans import folds
+
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    sizes = {run: sum(i // 9 == run for i in ids) for run in {i // 9 for i in ids}}
+    assert folds.k12(spark, sf).count() == sum(n for n in sizes.values() if n >= 3) > 300
