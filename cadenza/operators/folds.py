@@ -5,7 +5,6 @@ Every operator first picks, natively, the videos in which its rule can fire at a
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 
@@ -256,7 +255,7 @@ def long_split(words: DataFrame, rounds: int | None = None) -> DataFrame:
     over = ends.where((F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)).select("vid", "segment")
     rest = all_words.join(over, ["vid", "segment"], "left_anti").drop("gap_ms")
     timed = all_words.join(over, ["vid", "segment"], "left_semi")
-    done, over_length = [], (F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)
+    paths, over_length = [], (F.col("b") - F.col("a") > SEG.sentence_max) & (F.col("n") >= 4)
     whole = Window.partitionBy("vid", "segment", "piece")
     order = whole.orderBy("seq")
     for _ in itertools.count() if rounds is None else range(rounds):
@@ -276,11 +275,12 @@ def long_split(words: DataFrame, rounds: int | None = None) -> DataFrame:
         marked = spans.withColumns({"long": over_length, "half": half}).drop("a", "b", "n", "i", "left_end")
         marked.withColumn("piece", F.when(F.col("long"), F.col("half")).otherwise(F.col("piece"))).drop("half").write.parquet(path)
         written = words.sparkSession.read.parquet(path)
-        done.append(written.where(~F.col("long")).drop("long"))
+        paths.append(path)
         timed = written.where("long").drop("long")
         if timed.isEmpty():
             break
-    return functools.reduce(DataFrame.unionByName, done, timed).drop("gap_ms").unionByName(rest)
+    done = words.sparkSession.read.parquet(*paths).where(~F.col("long")).drop("long")  # one scan of all rounds
+    return done.unionByName(timed).drop("gap_ms").unionByName(rest)
 
 
 def two_voices(turns: DataFrame, cut: float = 0.80, margin: float = 1.10) -> DataFrame:
