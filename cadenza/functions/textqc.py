@@ -185,7 +185,7 @@ def slug(text: Column) -> Column:
 
 def percent(x: Column) -> Column:
     """A share as whole percent."""
-    return F.concat(F.round(x * 100).cast("int").cast("string"), F.lit("%"))
+    return F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%"))
 
 
 def clock(ms: Column) -> Column:

@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+#: Rows of a batch of results.
+OUT_ROWS = 4096
+
+
+def fields(schema: str) -> dict[str, str]:
+    """Names and types of a schema such as ``vid bigint, text string``."""
+    return dict(x.split() for x in schema.split(","))
+
 
 def ordered_fold(
-    df: DataFrame, key: str, order: list[str], step: Callable[[list[dict]], Iterable[dict]], schema: str, max_rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Applies ``step`` to the ordered rows of every key; returns the results and the rejected keys.
+    df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str
+) -> DataFrame:
+    """Applies ``step`` to the rows of every key in order; it gets them one by one and may carry state along.
 
-    Every key is folded, however long: a key is one group of one task, which must hold its rows. Only where
-    a caller sets ``max_rows`` are longer keys not folded but reported as (key, rows, reason). Filter ``df``
-    beforehand to the keys that can change at all.
+    Spark deals the keys out and sorts them, spilling where it must; a task never holds more of a key than
+    the step keeps. A key is folded by one task, so callers cut long keys where their rule cannot reach
+    across, and leave out what it cannot change. All rows are folded; a null key is a key.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("rows"))
-    too_long = sizes.where(F.lit(False) if max_rows is None else F.col("rows") > max_rows)
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    arrow = pa.schema([(n, TYPES[t]) for n, t in fields(schema).items()])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        folded = (x for _, group in itertools.groupby(rows, lambda r: [r[k] for k in keys]) for x in step(group))
+        while part := list(itertools.islice(folded, OUT_ROWS)):
+            yield pa.RecordBatch.from_pylist(part, arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+
+
+def cut(df: DataFrame, order: list[str | Column], opens: Column, touched: Column, key: str = "vid") -> DataFrame:
+    """``df`` with island, counted anew in every key where ``opens``, and fold, whether a row of the island is ``touched``."""
+    by = Window.partitionBy(key).orderBy(*order)
+    numbered = df.withColumns({"__opens": F.coalesce(opens, F.lit(True)).cast("int"), "__touched": F.coalesce(touched, F.lit(False))})
+    islands = numbered.withColumn("island", F.sum("__opens").over(by))
+    return islands.withColumn("fold", F.max("__touched").over(Window.partitionBy(key, "island"))).drop("__opens", "__touched")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame(list(step(rows)), columns=names)
 
-    kept = df if max_rows is None else df.join(too_long.select(key), key, "left_anti")
-    return kept.groupBy(key).applyInPandas(fold, schema), too_long.withColumn("reason", F.lit("too many rows for one fold"))
+def fold_islands(
+    df: DataFrame, order: list[str | Column], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str, key: str = "vid"
+) -> DataFrame:
+    """The rows of ``df`` after ``cut``: islands marked ``fold`` go through ``step``, the others pass by."""
+    folded = ordered_fold(df.where("fold").drop("fold"), [key, "island"], order, step, schema)
+    return folded.unionByName(df.where("not fold").select(*fields(schema)))

@@ -1,129 +1,185 @@
-"""Ordered rules as steps of ``ordered_fold``: each takes one video's rows in order and returns its new rows.
+"""Ordered rules as steps of ``ordered_fold``.
 
-Every operator first picks, natively, the videos in which its rule can fire at all; the others pass by.
+Every operator first cuts, natively, each video into islands that its rule cannot reach across, and folds
+only those in which the rule can fire at all; the others pass by.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
-import re
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
-
-from ..params import SEG
+from ..params import SEG, SENTENCE_END
 from ..sources.shared import shared_dir
-from .fold import ordered_fold
+from .fold import cut, fields, fold_islands, ordered_fold
 from .words import in_order, speech_gaps
 
 WORD_COLUMNS = "vid bigint, seq bigint, text string, t_ms bigint, end_ms bigint"
 
 
-def bare(text: str) -> str:
-    return re.sub(r"\W", "", text or "").lower()
-
-
-def _only(df: DataFrame, vids: DataFrame, step, order: list[str], schema: str) -> DataFrame:
-    """Folds the videos in ``vids`` and passes the others by."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    chosen = df.select(*names).join(vids, "vid", "left_semi")
-    folded = ordered_fold(chosen, "vid", order, step, schema)[0]
-    rest = df.select(*names).join(vids, "vid", "left_anti")
-    return folded.unionByName(rest)
-
-
 def loops_collapsed(words: DataFrame, longest: int = 4, times: int = 3) -> DataFrame:
     """K1: any run of up to ``longest`` words said ``times`` or more in a row keeps its first copy.
 
     Longer runs are tried first at each place, from left to right; words compare without punctuation.
+    Only stretches of words that lie in such a run are folded, each on its own.
     """
-    key = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]", ""))
-    keyed = words.withColumn("key", key)
-    hit = F.lit(False)
+    keyed = words.withColumn("key", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]", "")))
+    inside = F.lit(False)
     for n in range(1, longest + 1):
-        same = F.coalesce((F.lag("key", n).over(in_order()) == F.col("key")), F.lit(False)).cast("int")
-        keyed = keyed.withColumn(f"s{n}", same)
-        run = F.min(f"s{n}").over(in_order().rowsBetween(-(n * (times - 1) - 1), 0))
-        full = F.count("*").over(in_order().rowsBetween(-(n * (times - 1) - 1), 0)) == n * (times - 1)
-        hit = hit | ((run == 1) & full)
-    vids = keyed.withColumn("hit", hit).where("hit").select("vid").distinct()
-
-    def step(rows: list[dict]) -> list[dict]:
-        keys, out, at = [bare(r["text"]) for r in rows], [], 0
-        while at < len(rows):
-            skip = 1
-            for n in range(longest, 0, -1):
-                copies = 1
-                while keys[at + copies * n : at + (copies + 1) * n] == keys[at : at + n] and at + (copies + 1) * n <= len(keys):
-                    copies += 1
-                if copies >= times:
-                    out += rows[at : at + n]
-                    skip = copies * n
-                    break
-            else:
-                out.append(rows[at])
-            at += skip
-        return out
+        need = n * (times - 1)
+        keyed = keyed.withColumn(f"same{n}", F.coalesce(F.lag("key", n).over(in_order()) == F.col("key"), F.lit(False)).cast("int"))
+        keyed = keyed.withColumn(f"full{n}", F.sum(f"same{n}").over(in_order().rowsBetween(1 - need, 0)) == need)
+        inside = inside | F.max(f"full{n}").over(in_order().rowsBetween(0, n * times - 1))
+    marked = keyed.withColumn("inside", inside)
+    opens = F.col("inside") & ~F.coalesce(F.lag("inside").over(in_order()), F.lit(False))
+    numbered = marked.withColumns({"island": F.sum(opens.cast("int")).over(in_order()), "fold": F.col("inside")})
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        ahead: deque[dict] = deque()
+
+        def has(n: int) -> bool:
+            ahead.extend(itertools.islice(rows, max(0, n - len(ahead))))
+            return len(ahead) >= n
 
-    return _only(words, vids, step, ["seq"], WORD_COLUMNS)
+        def says(n: int, said: list[str]) -> bool:
+            return has(n) and all(ahead[i]["key"] == said[i % len(said)] for i in range(n))
+
+        while has(1):
+            has(longest)
+            starts = [r["key"] for r in itertools.islice(ahead, longest)]
+            n = next((n for n in range(longest, 0, -1) if says(n * times, starts[:n])), 0)
+            for _ in range(n or 1):
+                yield ahead.popleft()
+            while n and says(n, starts[:n]):
+                for _ in range(n):
+                    ahead.popleft()
+
+    return fold_islands(numbered.select("vid", "island", "fold", "key", *[c for c in fields(WORD_COLUMNS) if c != "vid"]), ["seq"], step, WORD_COLUMNS)
 
 
 def stretched_dropped(words: DataFrame, most_ms: int = 2500) -> DataFrame:
     """K2: a word over 2.5 s long that swallows later ones goes, with those that end well inside it and up
-    to two words seamlessly before it."""
+    to two words seamlessly before it. Words are in order of time.
+
+    A stretch ends where no word reaches the next one and that one follows neither seamlessly nor within a second.
+    """
+    past = F.max("end_ms").over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("t_ms") - F.lag("t_ms").over(in_order()) > 1000
+    opens = (past + 150 <= F.col("t_ms")) | ((past - 50 <= F.col("t_ms")) & apart)
     swallows = (F.col("end_ms") - F.col("t_ms") > most_ms) & (F.lead("t_ms").over(in_order()) < F.col("end_ms") - 50)
-    vids = words.withColumn("hit", F.coalesce(swallows, F.lit(False))).where("hit").select("vid").distinct()
-
-    def step(rows: list[dict]) -> list[dict]:
-        out, left = [], list(rows)
-        while left:
-            w = left.pop(0)
-            nested = [v for v in left if v["t_ms"] < w["end_ms"] - 50]
-            if w["end_ms"] - w["t_ms"] <= most_ms or not nested:
-                out.append(w)
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        kept: deque[dict] = deque()  # what a later word may still take back
+        over: list[int] = []  # ends of the words that swallow
+        waiting = None
+
+        def gone(r: dict) -> bool:
+            return any(r["t_ms"] < end - 50 and r["end_ms"] < end - 250 for end in over)
+
+        for r in rows:
+            over = [end for end in over if end - 50 > r["t_ms"]]
+            if gone(r):
+                continue
+            if waiting and r["t_ms"] < waiting["end_ms"] - 50:
+                edge, taken = waiting["t_ms"], 0
+                while kept and taken < 2 and waiting["t_ms"] - kept[-1]["t_ms"] <= 1000 and edge - kept[-1]["end_ms"] < 150:
+                    edge, taken = kept.pop()["t_ms"], taken + 1
+                over.append(waiting["end_ms"])
+            elif waiting:
+                kept.append(waiting)
+            waiting = None
+            if gone(r):
                 continue
-            edge, taken = w["t_ms"], 0
-            while out and taken < 2 and w["t_ms"] - out[-1]["t_ms"] <= 1000 and edge - out[-1]["end_ms"] < 150:
-                edge, taken = out.pop()["t_ms"], taken + 1
-            gone = {v["seq"] for v in nested if v["end_ms"] < w["end_ms"] - 250}
-            left = [v for v in left if v["seq"] not in gone]
-        return out
+            if r["end_ms"] - r["t_ms"] > most_ms:
+                waiting = r
+            else:
+                kept.append(r)
+            while kept and r["t_ms"] - kept[0]["t_ms"] > 1000:
+                yield kept.popleft()
+        yield from kept
+        if waiting:
+            yield waiting
 
-    return _only(words, vids, step, ["seq"], WORD_COLUMNS)
+    return fold_islands(cut(words.select(*fields(WORD_COLUMNS)), ["seq"], opens, swallows), ["seq"], step, WORD_COLUMNS)
 
 
 TURN_COLUMNS = "vid bigint, seq bigint, speaker string, start_ms bigint, end_ms bigint"
 
 
+def absorbed(blocks: list[dict]) -> Iterator[tuple[dict, str]]:
+    """The blocks, of those given in order, that are islands of K4, each with the name it takes.
+
+    The shortest island goes first, the earlier of equals; it and its two neighbours are one block from then on.
+    """
+    before = {i: i - 1 for i in range(len(blocks))}
+    after = {i: i + 1 for i in range(len(blocks))}
+    length, end = [b["length"] for b in blocks], [b["end_ms"] for b in blocks]
+    waiting: list[tuple[int, int]] = []
+
+    def offer(i: int) -> None:
+        if 0 <= i < len(blocks) and length[i] < SEG.min_turn:
+            heapq.heappush(waiting, (length[i], i))
+
+    def fits(i: int) -> bool:
+        p, n = before[i], after[i]
+        if p < 0 or n >= len(blocks) or blocks[p]["speaker"] != blocks[n]["speaker"]:
+            return False
+        far = max(blocks[i]["start_ms"] - end[p], blocks[n]["start_ms"] - end[i])
+        return far <= SEG.island_gap and min(length[p], length[n]) >= length[i] and max(length[p], length[n]) >= SEG.min_turn
+
+    for i in range(len(blocks)):
+        offer(i)
+    while waiting:
+        size, i = heapq.heappop(waiting)
+        if i not in before or size != length[i] or not fits(i):
+            continue
+        p, n = before[i], after[i]
+        yield blocks[i], blocks[p]["speaker"]
+        length[p] += length[i] + length[n]
+        end[p], after[p] = end[n], after[n]
+        if after[p] < len(blocks):
+            before[after[p]] = p
+        del before[i], before[n]
+        offer(before[p])
+        offer(after[p])
+
+
 def turns_smoothed(turns: DataFrame) -> DataFrame:
     """K4: islands of under 0.4 s between two longer blocks of one other speaker take that speaker's name.
 
-    The shortest island goes first, and blocks are formed anew after each, until none is left.
+    The shortest island goes first, and blocks are formed anew after each, until none is left. A block of
+    0.4 s or more keeps its name whatever happens around it, so the stretches between two such blocks are
+    folded each on its own, with both at their ends; only blocks enter the fold, not their turns.
     """
-    short = turns.where(F.col("end_ms") - F.col("start_ms") < SEG.min_turn).select("vid").distinct()
-
-    def step(rows: list[dict]) -> list[dict]:
-        names = [r["speaker"] for r in rows]
-        while True:
-            edges = [i for i in range(len(rows)) if i == 0 or names[i] != names[i - 1]] + [len(rows)]
-            blocks = list(zip(edges, edges[1:]))
-            length = [sum(r["end_ms"] - r["start_ms"] for r in rows[a:b]) for a, b in blocks]
-            fits = []
-            for k in range(1, len(blocks) - 1):
-                (_, p), (a, b), (n, _) = blocks[k - 1 : k + 2]
-                sides = sorted((length[k - 1], length[k + 1]))
-                near = max(rows[a]["start_ms"] - rows[p - 1]["end_ms"], rows[n]["start_ms"] - rows[b - 1]["end_ms"]) <= SEG.island_gap
-                if names[p - 1] == names[n] and length[k] < SEG.min_turn and sides[0] >= length[k] and sides[1] >= SEG.min_turn and near:
-                    fits.append((length[k], k))
-            if not fits:
-                return [r | {"speaker": s} for r, s in zip(rows, names)]
-            a, b = blocks[min(fits)[1]]
-            names[a:b] = [names[a - 1]] * (b - a)
-
-    return _only(turns, short, step, ["start_ms", "end_ms"], TURN_COLUMNS)
+    by = Window.partitionBy("vid").orderBy("start_ms", "end_ms", "seq")
+    changed = ~F.lag("speaker").over(by).eqNullSafe(F.col("speaker"))
+    turned = turns.select(*fields(TURN_COLUMNS)).withColumn("block", F.sum(changed.cast("int")).over(by))
+    order = F.struct("start_ms", "end_ms", "seq")
+    blocks = turned.groupBy("vid", "block").agg(
+        F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("length")
+    )
+    along = Window.partitionBy("vid").orderBy("block")
+    long = F.col("length") >= SEG.min_turn
+    numbered = blocks.withColumns({"long": long, "stretch": F.sum(long.cast("int")).over(along)})
+    beside = F.coalesce(~F.lag("long").over(along), F.lit(False)) | F.coalesce(~F.lead("long").over(along), F.lit(False))
+    near = numbered.withColumn("beside", beside).where("not long or beside")
+    ends = near.withColumn("stretch", F.explode(F.when(F.col("long"), F.array("stretch", F.col("stretch") - 1)).otherwise(F.array("stretch"))))
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        for block, name in absorbed(list(rows)):
+            yield {"vid": block["vid"], "block": block["block"], "name": name, "renamed": True}
+
+    renamed = ordered_fold(ends, ["vid", "stretch"], ["block"], step, "vid bigint, block bigint, name string, renamed boolean")
+    return turned.join(renamed, ["vid", "block"], "left").select(
+        "vid", "seq", F.when(F.col("renamed"), F.col("name")).otherwise(F.col("speaker")).alias("speaker"), "start_ms", "end_ms"
+    )
 
 
 PIECE_COLUMNS = "vid bigint, seq bigint, speaker string, text string, start_ms bigint, end_ms bigint, n_words bigint, brk boolean, bucket string"
@@ -133,42 +189,45 @@ def stubs_merged(segments: DataFrame, src: str = "he", tgt: str = "en") -> DataF
     """K7: segments under 1.2 s or three words join the nearer neighbour of their speaker.
 
     The gap may be 0.5 s, or 1.5 s for a lone word or under 0.9 s if the neighbour is no stub; never over a
-    mark, a change of script or 10 s. After a merge the search starts again from the left.
+    mark, a change of script or 10 s. The leftmost stub that can join goes first. Nothing joins over a change
+    of speaker, a longer gap or between two segments that are no stubs, so these cut what is folded.
     """
-    stub = (F.col("end_ms") - F.col("start_ms") < SEG.min_len) | (F.col("n_words") < SEG.min_words)
-    by = Window.partitionBy("vid").orderBy("seq")
-    beside = F.lag("speaker").over(by).eqNullSafe(F.col("speaker")) | F.lead("speaker").over(by).eqNullSafe(F.col("speaker"))
     full = segments.withColumns({"bucket": S.text_bucket(F.col("text"), src, tgt), "brk": F.coalesce("brk", F.lit(False))})
-    vids = full.withColumn("hit", stub & beside).where("hit").select("vid").distinct()
+    stub = (F.col("end_ms") - F.col("start_ms") < SEG.min_len) | (F.col("n_words") < SEG.min_words)
+    before = lambda name: F.lag(name).over(in_order())
+    apart = ~before("speaker").eqNullSafe(F.col("speaker")) | (F.col("start_ms") - before("end_ms") > SEG.lone_word_gap) | ~(F.col("stub") | before("stub"))
+    marked = full.withColumn("stub", stub).withColumn("opens", F.coalesce(apart, F.lit(True)))
+    together = ~F.col("opens") | ~F.coalesce(F.lead("opens").over(in_order()), F.lit(True))
 
     def weak(r: dict) -> bool:
         return r["end_ms"] - r["start_ms"] < SEG.min_len or r["n_words"] < SEG.min_words
 
-    def step(rows: list[dict]) -> list[dict]:
-        rows, at = list(rows), 0
+    def side(rows: list[dict], at: int) -> int | None:
+        """The neighbour that a stub is near enough to join: the nearer one, the left one of equals."""
+        r, reach = rows[at], []
+        tiny = r["n_words"] == 1 or r["end_ms"] - r["start_ms"] < SEG.micro
+        for j in (at - 1, at + 1):
+            if 0 <= j < len(rows):
+                firm = rows[j]["end_ms"] - rows[j]["start_ms"] >= SEG.min_len or rows[j]["n_words"] >= SEG.min_words
+                gap = rows[max(at, j)]["start_ms"] - rows[min(at, j)]["end_ms"]
+                if gap <= (SEG.lone_word_gap if tiny and firm else SEG.merge_gap):
+                    reach.append((gap, j))
+        return min(reach)[1] if reach else None
+
+    def step(group: Iterator[dict]) -> Iterator[dict]:
+        rows, at = list(group), 0
         while at < len(rows):
-            r, joined = rows[at], False
-            if weak(r):
-                tiny = r["n_words"] == 1 or r["end_ms"] - r["start_ms"] < SEG.micro
-                options = []
-                for j in (at - 1, at + 1):
-                    if 0 <= j < len(rows) and rows[j]["speaker"] == r["speaker"]:
-                        gap = r["start_ms"] - rows[j]["end_ms"] if j < at else rows[j]["start_ms"] - r["end_ms"]
-                        strong = rows[j]["end_ms"] - rows[j]["start_ms"] >= SEG.min_len or rows[j]["n_words"] >= SEG.min_words
-                        if gap <= (SEG.lone_word_gap if tiny and strong else SEG.merge_gap):
-                            options.append((gap, j))
-                if options:
-                    j = min(options)[1]
-                    a, b = rows[min(at, j)], rows[max(at, j)]
-                    other_script = a["bucket"] and b["bucket"] and a["bucket"] != b["bucket"]
-                    if not b["brk"] and not other_script and b["end_ms"] - a["start_ms"] <= SEG.max_len:
-                        whole = a | {"text": f"{a['text']} {b['text']}", "end_ms": b["end_ms"], "n_words": a["n_words"] + b["n_words"], "bucket": a["bucket"] or b["bucket"]}
-                        rows[min(at, j) : max(at, j) + 1] = [whole]
-                        joined = True
-            at = 0 if joined else at + 1
-        return rows
-
-    return _only(full, vids, step, ["seq"], PIECE_COLUMNS)
+            other = side(rows, at) if weak(rows[at]) else None
+            left = at if other is None else min(at, other)
+            a, b = rows[left], rows[left + 1] if other is not None else None
+            if b is None or b["brk"] or (a["bucket"] and b["bucket"] and a["bucket"] != b["bucket"]) or b["end_ms"] - a["start_ms"] > SEG.max_len:
+                at += 1
+                continue
+            rows[left : left + 2] = [a | {"text": f"{a['text']} {b['text']}", "end_ms": b["end_ms"], "n_words": a["n_words"] + b["n_words"], "bucket": a["bucket"] or b["bucket"]}]
+            at = max(0, left - 1)  # what stands further left has met the same neighbours before
+        return iter(rows)
+
+    return fold_islands(cut(marked, ["seq"], F.col("opens"), F.col("stub") & together), ["seq"], step, PIECE_COLUMNS)
 
 
 FRAGMENT_COLUMNS = "vid bigint, seq bigint, speaker string, text string, start_ms bigint, end_ms bigint, keep boolean, merged_from string"
@@ -176,60 +235,78 @@ FRAGMENT_COLUMNS = "vid bigint, seq bigint, speaker string, text string, start_m
 
 def fragments_merged(segments: DataFrame, interjections: tuple[str, ...] = ()) -> DataFrame:
     """K8: an opener of one or two words and 2 s at most, torn from its line by a gap of 2–8 s, joins the next
-    segment of its speaker; the spans it came from are kept in merged_from. Scans from the right."""
-    by = Window.partitionBy("vid").orderBy("seq")
-    gap = F.lead("start_ms").over(by) - F.col("end_ms")
-    units = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    torn = (units <= SEG.orphan_words) & (F.col("end_ms") - F.col("start_ms") <= SEG.orphan_len) & gap.between(SEG.orphan_gap_min, SEG.orphan_gap_max)
-    full = segments.withColumn("merged_from", F.lit(None).cast("string"))
-    vids = full.withColumn("hit", F.coalesce(torn, F.lit(False))).where("hit").select("vid").distinct()
-
-    def step(rows: list[dict]) -> list[dict]:
-        done: list[dict] = []
-        for r in reversed(rows):
-            nxt = done[-1] if done else None
-            text = (r["text"] or "").strip()
-            tokens = text.split()
-            fits = (
-                nxt is not None and text and (nxt["text"] or "").strip() and not r["keep"] and not nxt["keep"] and r["speaker"] == nxt["speaker"]
-                and len(tokens) <= SEG.orphan_words and r["end_ms"] - r["start_ms"] <= SEG.orphan_len
-                and SEG.orphan_gap_min <= nxt["start_ms"] - r["end_ms"] <= SEG.orphan_gap_max
-                and not re.search(r"[.!?…。｡！？]['\"»׳״」』]?$", text) and not all(t.strip(".,!?").lower() in interjections for t in tokens)
-            )
-            if fits:
-                spans = [f"{r['start_ms']}-{r['end_ms']}", *([nxt["merged_from"]] if nxt["merged_from"] else [])]
-                done[-1] = nxt | {"text": f"{text} {nxt['text']}", "merged_from": ",".join(spans)}
-            else:
-                done.append(r)
-        return done[::-1]
+    segment of its speaker; the spans it came from are kept in merged_from. Scans from the right.
+
+    A segment that is no such opener is where an island ends, whatever it takes in.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    stock = F.array(*[F.lit(x) for x in interjections]) if interjections else F.array().cast("array<string>")
+    only_stock = F.forall(tokens, lambda t: F.array_contains(stock, F.lower(F.btrim(t, F.lit(".,!?")))))
+    opener = (
+        ~F.coalesce("keep", F.lit(False)) & F.size(tokens).between(1, SEG.orphan_words) & (F.col("end_ms") - F.col("start_ms") <= SEG.orphan_len)
+        & ~text.rlike(SENTENCE_END) & ~only_stock
+    )
+    full = segments.withColumns({"merged_from": F.lit(None).cast("string"), "opener": F.coalesce(opener, F.lit(False))})
+    ended = ~F.coalesce(F.lag("opener").over(in_order()), F.lit(False))
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        line = None
+        for r in rows:
+            if line is not None:
+                gap = line["start_ms"] - r["end_ms"]
+                joins = r["opener"] and r["speaker"] == line["speaker"] and not line["keep"] and (line["text"] or "").strip()
+                if joins and SEG.orphan_gap_min <= gap <= SEG.orphan_gap_max:
+                    spans = ",".join(filter(None, [f"{r['start_ms']}-{r['end_ms']}", line["merged_from"]]))
+                    line = line | {"text": f"{r['text'].strip()} {line['text']}", "merged_from": spans}
+                    continue
+                yield line
+            line = r
+        if line is not None:
+            yield line
 
-    return _only(full, vids, step, ["seq"], FRAGMENT_COLUMNS)
+    return fold_islands(cut(full, ["seq"], ended, F.col("opener")), [F.desc("seq")], step, FRAGMENT_COLUMNS)
 
 
 def canonical_names(counts: DataFrame) -> DataFrame:
     """(vid, name, canonical) of the forms (vid, name, n, first): variants take the best-attested form.
 
-    A form joins the first group one of whose forms it varies; the earliest wins ties.
+    A form joins the first group one of whose forms it varies; the earliest wins ties. Only forms of as many
+    words can be variants, so each video's forms are folded by their number of words; a form is compared
+    with those alone whose first word becomes the same by leaving out as many letters as may differ.
     """
-    def near(a: str, b: str) -> bool:
-        x, y = a.split(), b.split()
-        if len(x) != len(y):
-            return False
-        for p, q in zip(x, y):
-            short = min(len(p), len(q))
-            if p != q and (short < 5 or _edits(p, q) > (1 if short < 7 else 2)):
-                return False
-        return True
+    def slack(word: str) -> int:
+        return 0 if len(word) < 5 else 1 if len(word) < 7 else 2
+
+    def near(a: list[str], b: list[str]) -> bool:
+        return all(p == q or _edits(p, q) <= min(slack(p), slack(q)) for p, q in zip(a, b))
 
-    def step(rows: list[dict]) -> list[dict]:
+    def leaving_out(word: str) -> set[str]:
+        found = level = {word}
+        for _ in range(slack(word)):
+            level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+            found = found | level
+        return found
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
         groups: list[list[dict]] = []
+        filed: dict[str, list[tuple[int, list[str]]]] = {}
         for r in rows:
-            home = next((g for g in groups if any(near(r["name"], f["name"]) for f in g)), None)
-            groups.append([r]) if home is None else home.append(r)
-        best = {id(g): min(g, key=lambda f: (-f["n"], f["first"]))["name"] for g in groups}
-        return [{"vid": f["vid"], "name": f["name"], "canonical": best[id(g)]} for g in groups for f in g]
-
-    return ordered_fold(counts.select("vid", "name", "n", "first"), "vid", ["first", "name"], step, "vid bigint, name string, canonical string")[0]
+            said = r["name"].split()
+            keys = leaving_out(said[0]) if said else {""}
+            met = sorted({(g, tuple(other)) for k in keys for g, other in filed.get(k, ())})
+            home = next((g for g, other in met if near(said, list(other))), len(groups))
+            if home == len(groups):
+                groups.append([])
+            groups[home].append(r)
+            for k in keys:
+                filed.setdefault(k, []).append((home, said))
+        for group in groups:
+            best = min(group, key=lambda f: (-f["n"], f["first"]))["name"]
+            yield from ({"vid": f["vid"], "name": f["name"], "canonical": best} for f in group)
+
+    sized = counts.select("vid", "name", "n", "first").withColumn("words", F.size(F.filter(F.split("name", r"\s+"), lambda x: x != "")))
+    return ordered_fold(sized, ["vid", "words"], ["first", "name"], step, "vid bigint, name string, canonical string")
 
 
 def _edits(a: str, b: str) -> int:

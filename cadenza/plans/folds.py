@@ -77,4 +77,4 @@ def k12(spark, sf_dir):
 def k13(spark, sf_dir):
     from .textqc import a10
 
-    return K.canonical_names(a10(spark, sf_dir).where("n >= 2"))
+    return K.canonical_names(a10(spark, sf_dir))

@@ -79,7 +79,7 @@ def x19(spark, sf_dir):
     return lines.select("vid", "seq", F.when(F.col("text").rlike(r"\d"), X.spelled_numbers(F.col("text"))).otherwise(F.col("text")).alias("line"))
 
 
-@query("x29_display", cte("segments") + " SELECT vid, seq, round((dur_ms % 1000) / 10.0::DOUBLE)::BIGINT || '%' AS share, dur_ms // 60000 || ':' || printf('%02d', dur_ms // 1000 % 60) AS clock FROM segments")
+@query("x29_display", cte("segments") + " SELECT vid, seq, floor((dur_ms % 1000) / 1000.0::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT || '%' AS share, dur_ms // 60000 || ':' || printf('%02d', dur_ms // 1000 % 60) AS clock FROM segments")
 def x29(spark, sf_dir):
     return T.segments(spark, sf_dir).select("vid", "seq", X.percent((F.col("dur_ms") % 1000).cast("double") / 1000).alias("share"), X.clock(F.col("dur_ms")).alias("clock"))
 

@@ -125,23 +125,119 @@ def items(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_placements_never_overlap_and_nothing_is_cut(seed):
-    rows = items(seed)
-    places = L.place_rows(rows)
-    for a, b in zip(places, places[1:]):
-        assert b["start_ms"] >= a["end_ms"] - 1
-    for p, it in zip(places, rows):
-        assert abs(p["end_ms"] - p["start_ms"] - it["dur_ms"] / p["rate"]) < 2 + it["dur_ms"] * 1e-3
-        assert p["start_ms"] >= it["source_start"] - L.LEAD_MAX - 1 and 0.82 - 1e-9 <= p["rate"] <= 1.3 + 1e-9
+ITEM = "vid long, seq long, source_start long, source_end long, dur_ms long, speaker string, stretchable boolean"
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame([[r[n.split()[0]] for n in ITEM.split(", ")] for r in rows], ITEM)
+
+
+def test_placements_never_overlap_and_nothing_is_cut(spark):
+    rows = {(r["vid"], r["seq"]): r for seed in range(40) for r in items(seed)}
+    for genre, most in (("documentary", 1.3), ("movie", 1.15)):
+        places = L.placed(frame_of(spark, rows.values()), genre).orderBy("vid", "seq").collect()
+        assert len(places) == len(rows)
+        for a, b in zip(places, places[1:]):
+            assert a["vid"] != b["vid"] or b["start_ms"] >= a["end_ms"] - 1
+        for p in places:
+            it = rows[p["vid"], p["seq"]]
+            assert abs(p["end_ms"] - p["start_ms"] - it["dur_ms"] / p["rate"]) < 2 + it["dur_ms"] * 1e-3
+            assert p["start_ms"] >= it["source_start"] - L.LEAD_MAX - 1 and 0.82 - 1e-9 <= p["rate"] <= most + 1e-9
+    assert L.violations(L.placed(frame_of(spark, rows.values())), frame_of(spark, rows.values())).count() == 0
+
+
+def test_islands_do_not_change_places(spark, monkeypatch):
+    """The same places if every video is folded whole."""
+    frame = frame_of(spark, [r for seed in range(20) for r in items(seed)])
+    apart = {tuple(r) for r in L.placed(frame).collect()}
+    whole = L.cut
+    monkeypatch.setattr(L, "cut", lambda df, order, opens, touched: whole(df, order, F.lit(False), touched))
+    assert {tuple(r) for r in L.placed(frame).collect()} == apart
 
 
 def test_closed_form_equals_the_fold_without_walls(spark):
-    rows = [r | {"stretchable": False, "speaker": "A"} for seed in range(5) for r in items(seed)]
-    frame = spark.createDataFrame(rows, "vid long, seq long, source_start long, source_end long, dur_ms long, speaker string, stretchable boolean")
+    frame = frame_of(spark, [r | {"stretchable": False, "speaker": "A"} for seed in range(5) for r in items(seed)])
     closed = {(r["vid"], r["seq"]): r["start_ms"] for r in L.placed_closed(frame).collect()}
-    folded, too_long = L.placed(frame)
-    assert {(r["vid"], r["seq"]): r["start_ms"] for r in folded.collect()} == closed and too_long.count() == 0
+    assert {(r["vid"], r["seq"]): r["start_ms"] for r in L.placed(frame).collect()} == closed
+
+
+def clips(spark, *rows):
+    """Clips from (onset, length, end, speaker, stretchable), times in ms."""
+    return frame_of(spark, [dict(vid=1, seq=i, source_start=a, dur_ms=d, source_end=e, speaker=s, stretchable=t) for i, (a, d, e, s, t) in enumerate(rows)])
+
+
+@pytest.mark.parametrize("rows, want", [
+    ([(5000, 4500, 8000, "A", True), (8200, 1000, 9200, "B", True)], lambda p: 4400 <= p[0]["start_ms"] < 5000 and p[0]["end_ms"] <= 8200 and p[0]["overrun_ms"] == 0 and p[1]["start_ms"] == 8200),
+    ([(0, 3600, 3000, "A", True), (3200, 1000, 4200, "B", True)], lambda p: p[0]["start_ms"] == 0 and p[0]["rate"] == 1.2 and p[0]["overrun_ms"] == 0 and p[1]["drift_ms"] == 0),
+    ([(0, 5000, 2000, "A", True), (2200, 1000, 3200, "B", True)], lambda p: p[0]["rate"] == 1.3 and abs(p[0]["end_ms"] - 5000 / 1.3) < 2 and abs(p[0]["overrun_ms"] - (p[0]["end_ms"] - 2200)) < 2 and p[1]["start_ms"] >= p[0]["end_ms"]),
+    ([(0, 3000, 2000, "A", False), (2300, 1000, 3300, "B", True)], lambda p: p[0]["rate"] == 1.0 and p[0]["overrun_ms"] == 700),
+    ([(0, 4000, 2000, "A", False), (2100, 800, 2900, "B", True), (3000, 1000, 4000, "C", True)], lambda p: p[1]["rate"] == 1.3 and p[1]["overrun_ms"] > 0),
+    ([(0, 4000, 2000, "A", False), (2200, 2300, 4200, "B", True), (7000, 1000, 8000, "C", True)], lambda p: p[0]["overrun_ms"] > 1000 and p[1]["drift_ms"] > 1000 and p[1]["end_ms"] <= 7000 and p[1]["overrun_ms"] == 0 and p[2]["drift_ms"] == 0),
+    ([(0, 5200, 3000, "A", True), (3200, 1000, 4200, "A", True)], lambda p: p[0]["start_ms"] == 0 and p[0]["rate"] == 1.3 and p[0]["end_ms"] > 3200 and p[0]["overrun_ms"] == 0),
+    ([(0, 5000, 2000, "A", True), (2000, 1000, 3000, "B", True), (6000, 1000, 7000, "B", True)], lambda p: p[1]["drift_ms"] > 0 and p[2]["drift_ms"] == 0 and p[2]["start_ms"] == 6000),
+])
+def test_walls_and_drift(spark, rows, want):
+    frame = clips(spark, *rows)
+    places = L.placed(frame).orderBy("seq").collect()
+    assert want(places) and L.violations(L.placed(frame), frame).count() == 0
+
+
+def test_the_end_of_the_media_is_the_last_wall(spark):
+    ends = lambda ms: spark.createDataFrame([(1, ms)], "vid long, media_end long")
+    one_clip = clips(spark, (5000, 4000, 8000, "A", True))
+    assert L.placed(one_clip).first()["end_ms"] > 8000
+    walled = L.placed(one_clip, ends=ends(8000)).first()
+    assert walled["end_ms"] <= 8000 and walled["overrun_ms"] == 0
+    too_long = L.placed(clips(spark, (9000, 6000, 10000, "A", True)), ends=ends(10000)).first()
+    assert abs(too_long["end_ms"] - too_long["start_ms"] - 6000 / too_long["rate"]) < 20 and too_long["overrun_ms"] > 0
+    two = clips(spark, (1000, 2500, 3000, "A", True), (4000, 1500, 6000, "B", True))
+    assert sorted(L.placed(two).collect()) == sorted(L.placed(two, ends=ends(10**9)).collect())
+
+
+@pytest.mark.parametrize("rows, change", [
+    ([(0, 4000, 2000, "A", True), (3000, 1700, 5000, "A", True), (20000, 1000, 21000, "B", True)], True),
+    ([(0, 4000, 2000, "A", True), (2100, 1700, 4100, "B", True)], False),
+    ([(0, 4000, 2000, "A", True), (2200, 1700, 4200, "B", True), (10000, 1700, 12000, "B", True)], False),
+    ([(0, 4000, 2000, "A", False), (3000, 1700, 5000, "A", True), (20000, 1000, 21000, "B", True)], None),
+    ([(0, 4000, 2000, "A", True), (2100, 1600, 4000, "A", True), (4200, 1000, 5200, "B", True)], None),
+])
+def test_rates_of_neighbours_come_together(spark, rows, change):
+    frame = clips(spark, *rows)
+    before = L.placed(frame, "movie").orderBy("seq").collect()
+    after = L.smoothed(frame, L.placed(frame, "movie")).orderBy("seq").collect()
+    assert [r["start_ms"] for r in after] == [r["start_ms"] for r in before]
+    assert all(b["start_ms"] >= a["end_ms"] - 1 for a, b in zip(after, after[1:]))
+    if change is False:
+        assert [r["rate"] for r in after] == [r["rate"] for r in before]
+    if change:
+        assert before[0]["rate"] - before[1]["rate"] > 0.12 >= abs(after[0]["rate"] - after[1]["rate"]) - 1e-6
+        assert after[0]["rate"] < before[0]["rate"] and before[1]["rate"] < after[1]["rate"] <= 1
+    if not rows[0][4]:
+        assert after[0]["rate"] == before[0]["rate"] == 1
+
+
+def test_the_slow_one_is_raised_where_the_fast_one_has_no_room(spark):
+    frame = clips(spark, (0, 1640, 2000, "A", True), (2000, 2600, 4000, "A", True), (4000, 1000, 5000, "B", True))
+    places = spark.createDataFrame([(1, 0, 0, 2000, 0.82, 0, 0), (1, 1, 2000, 4000, 1.3, 0, 0), (1, 2, 4000, 5000, 1.0, 0, 0)], L.PLACES)
+    assert [r["rate"] for r in L.smoothed(frame, places).orderBy("seq").collect()] == [1.0, 1.3, 1.0]
+
+
+def test_a_settled_place_keeps_its_walls(spark):
+    frame = clips(spark, (5000, 4500, 8000, "A", True), (8200, 1000, 9200, "B", True))
+    first, second = L.settled_places(frame).orderBy("seq").collect()
+    assert first["start_ms"] < 5000 and first["end_ms"] <= 8200 and second["start_ms"] == 8200 and first["rate"] > 1.01
+
+
+def test_the_worst_overrunner_is_shortened_once(spark):
+    frame = clips(spark, (0, 9000, 3000, "A", True), (3000, 4000, 6000, "B", False), (6000, 3000, 9000, "A", True), (90000, 1000, 91000, "B", True))
+    told = frame.withColumns({"units": F.lit(20).cast("long"), "locked": F.lit(False)})
+    asked = L.shorten_requests(L.placed(told).alias("p"), told.withColumn("tried", F.lit(False))).collect()
+    assert [r["seq"] for r in asked] == [0]
+    short = spark.createDataFrame([(1, 0, 6, 2500)], "vid long, seq long, units long, short_ms long")
+    got = L.rescued(told, short).orderBy("seq").collect()
+    assert [r["shortened"] for r in got] == [True, False, False, False] and got[1]["drift_ms"] == 0
+    for other in (told.withColumn("locked", F.lit(True)), told.withColumn("units", F.lit(3).cast("long"))):
+        assert not any(r["shortened"] for r in L.rescued(other, short).collect())
 
 
 def test_every_word_survives_sessionizing(spark, sf):
@@ -203,11 +299,161 @@ def test_a_short_rest_joins_the_span_it_touches(spark):
 
 
 def test_long_keys_are_folded_too(spark):
-    n = 200_001
-    said = spark.range(n).selectExpr("7L AS vid", "id AS seq", "if(id >= 199998, 'go', concat('w', id)) AS text", "100 * id AS t_ms", "100 * id + 60 AS end_ms")
-    assert K.loops_collapsed(said).count() == n - 2
-    items = spark.range(n).selectExpr("7L AS vid", "id AS seq", "2000 * id AS source_start", "2000 * id + 900 AS source_end", "1000L AS dur_ms", "'A' AS speaker", "true AS stretchable")
-    assert L.placed(items)[0].count() == n
+    n = 300_000
+    said = spark.range(n).selectExpr("7L AS vid", "id AS seq", "if(id >= 299998 OR id < 100000, 'go', concat('w', id)) AS text", "100 * id AS t_ms", "100 * id + 60 AS end_ms")
+    assert K.loops_collapsed(said).count() == n - 100_000 + 4  # runs of four words are tried first
+    items = spark.range(n).selectExpr("7L AS vid", "id AS seq", "2000 * id AS source_start", "2000 * id + 900 AS source_end", "2000L AS dur_ms", "'A' AS speaker", "false AS stretchable")
+    assert L.placed(items).agg(F.count("*"), F.max("drift_ms")).first()[:] == (n, 100 * (n - 1))
+
+
+# The rules said over whole lists, for comparison with those over islands.
+
+
+def plain_loops(rows, longest=4, times=3):
+    keys, out, at = [r["text"].strip(".").lower() for r in rows], [], 0
+    while at < len(rows):
+        for n in range(longest, 0, -1):
+            copies = 1
+            while keys[at + copies * n : at + (copies + 1) * n] == keys[at : at + n] and at + (copies + 1) * n <= len(keys):
+                copies += 1
+            if copies >= times:
+                out += rows[at : at + n]
+                at += copies * n
+                break
+        else:
+            out.append(rows[at])
+            at += 1
+    return out
+
+
+def plain_stretched(rows):
+    out, left = [], list(rows)
+    while left:
+        w = left.pop(0)
+        nested = [v for v in left if v["t_ms"] < w["end_ms"] - 50]
+        if w["end_ms"] - w["t_ms"] <= 2500 or not nested:
+            out.append(w)
+            continue
+        edge, taken = w["t_ms"], 0
+        while out and taken < 2 and w["t_ms"] - out[-1]["t_ms"] <= 1000 and edge - out[-1]["end_ms"] < 150:
+            edge, taken = out.pop()["t_ms"], taken + 1
+        left = [v for v in left if not (v in nested and v["end_ms"] < w["end_ms"] - 250)]
+    return out
+
+
+def plain_smoothed(rows):
+    names = [r["speaker"] for r in rows]
+    while True:
+        edges = [i for i in range(len(rows)) if i == 0 or names[i] != names[i - 1]] + [len(rows)]
+        blocks = list(zip(edges, edges[1:]))
+        length = [sum(r["end_ms"] - r["start_ms"] for r in rows[a:b]) for a, b in blocks]
+        fits = []
+        for k in range(1, len(blocks) - 1):
+            (_, p), (a, b), (n, _) = blocks[k - 1 : k + 2]
+            sides = sorted((length[k - 1], length[k + 1]))
+            near = max(rows[a]["start_ms"] - rows[p - 1]["end_ms"], rows[n]["start_ms"] - rows[b - 1]["end_ms"]) <= 600
+            if names[p - 1] == names[n] and length[k] < 400 and sides[0] >= length[k] and sides[1] >= 400 and near:
+                fits.append((length[k], k))
+        if not fits:
+            return [r | {"speaker": s} for r, s in zip(rows, names)]
+        a, b = blocks[min(fits)[1]]
+        names[a:b] = [names[a - 1]] * (b - a)
+
+
+def plain_stubs(rows):
+    rows, weak = list(rows), lambda r: r["end_ms"] - r["start_ms"] < 1200 or r["n_words"] < 3
+    while True:
+        for at, r in enumerate(rows):
+            options = []
+            for j in (at - 1, at + 1):
+                if weak(r) and 0 <= j < len(rows) and rows[j]["speaker"] == r["speaker"]:
+                    gap = r["start_ms"] - rows[j]["end_ms"] if j < at else rows[j]["start_ms"] - r["end_ms"]
+                    firm = rows[j]["end_ms"] - rows[j]["start_ms"] >= 1200 or rows[j]["n_words"] >= 3
+                    if gap <= (1500 if firm and (r["n_words"] == 1 or r["end_ms"] - r["start_ms"] < 900) else 500):
+                        options.append((gap, j))
+            if options:
+                i = min(at, min(options)[1])
+                a, b = rows[i : i + 2]
+                if not b["brk"] and b["end_ms"] - a["start_ms"] <= 10_000:
+                    rows[i : i + 2] = [a | {"text": f"{a['text']} {b['text']}", "end_ms": b["end_ms"], "n_words": a["n_words"] + b["n_words"]}]
+                    break
+        else:
+            return rows
+
+
+def plain_fragments(rows):
+    done = []
+    for r in reversed(rows):
+        nxt, text = done[-1] if done else None, r["text"]
+        if nxt and not r["keep"] and not nxt["keep"] and r["speaker"] == nxt["speaker"] and 0 < len(text.split()) <= 2 and nxt["text"] and not text.endswith(".") and r["end_ms"] - r["start_ms"] <= 2000 and 2000 <= nxt["start_ms"] - r["end_ms"] <= 8000:
+            done[-1] = nxt | {"text": f"{text} {nxt['text']}", "merged_from": ",".join(filter(None, [f"{r['start_ms']}-{r['end_ms']}", nxt["merged_from"]]))}
+        else:
+            done.append(r)
+    return done[::-1]
+
+
+def plain_names(rows):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def near(a, b):
+        a, b = a.split(), b.split()
+        return len(a) == len(b) and all(p == q or (min(len(p), len(q)) >= 5 and edits(p, q) <= (1 if min(len(p), len(q)) < 7 else 2)) for p, q in zip(a, b))
+
+    groups = []
+    for r in rows:
+        home = next((g for g in groups if any(near(r["name"], f["name"]) for f in g)), None)
+        groups.append([r]) if home is None else home.append(r)
+    return {(f["vid"], f["name"]): min(g, key=lambda f: (-f["n"], f["first"]))["name"] for g in groups for f in g}
+
+
+def by_video(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["vid"], []).append(r)
+    return out.values()
+
+
+def whole(spark, rows, schema, operator, plain):
+    """Whether the operator over islands says what the plain rule says of each whole list."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    frame = spark.createDataFrame([[r[n] for n in names] for r in rows], schema)
+    want = [r for part in by_video(rows) for r in plain(part)]
+    names = [n for n in names if n in operator(frame).columns]
+    got = sorted(tuple(r[n] for n in names) for r in operator(frame).collect())
+    assert got == sorted(tuple(r[n] for n in names) for r in want) and want != rows
+
+
+def test_islands_say_what_whole_lists_say(spark):
+    rng = random.Random(11)
+    said, turns, segments, names = [], [], [], []
+    for vid in range(60):
+        t = u = v = 0
+        for i in range(60):
+            long = rng.random() < 0.08
+            said.append(dict(vid=vid, seq=i, text=rng.choice(["a", "b", "a.", "B"] if vid % 2 else "abcdefgh"), t_ms=t, end_ms=t + (rng.choice([3000, 4000]) if long else rng.choice([60, 200, 700]))))
+            t += rng.choice([100, 200, 300, 900, 1200])
+            n = rng.choice([20, 100, 300, 380, 400, 900])
+            turns.append(dict(vid=vid, seq=i, speaker=rng.choice("AB" if vid % 2 else "ABC"), start_ms=u, end_ms=u + n))
+            u += n + rng.choice([0, 50, 500, 700])
+            w = rng.choice([1, 2, 3, 6])
+            segments.append(dict(vid=vid, seq=i, speaker=rng.choice("AAB"), text=" ".join(["w"] * w) + rng.choice(["", "."]), start_ms=v, end_ms=v + 300 * w, n_words=w, brk=rng.random() < 0.1, keep=rng.random() < 0.1, merged_from=None))
+            v += 300 * w + rng.choice([0, 400, 800, 1400, 1600, 2500, 6000])
+            names.append(dict(vid=vid, name=" ".join(rng.choice(["jolani", "julani", "nusra", "nussra", "iran", "iraq", "jabhatal", "jablatal", "jablatall"]) for _ in range(1 + i % 2)), n=rng.randrange(9), first=i))
+    whole(spark, said, "vid long, seq long, text string, t_ms long, end_ms long", K.loops_collapsed, plain_loops)
+    whole(spark, said, "vid long, seq long, text string, t_ms long, end_ms long", K.stretched_dropped, plain_stretched)
+    whole(spark, turns, "vid long, seq long, speaker string, start_ms long, end_ms long", K.turns_smoothed, plain_smoothed)
+    whole(spark, segments, "vid long, seq long, speaker string, text string, start_ms long, end_ms long, n_words long, brk boolean", K.stubs_merged, plain_stubs)
+    whole(spark, segments, "vid long, seq long, speaker string, text string, start_ms long, end_ms long, keep boolean, merged_from string", lambda df: K.fragments_merged(df.drop("merged_from")), plain_fragments)
+    once = list({(r["vid"], r["name"]): r for r in reversed(names)}.values())
+    frame = spark.createDataFrame([[r["vid"], r["name"], r["n"], r["first"]] for r in once], "vid long, name string, n long, first long")
+    want = {k: x for part in by_video(sorted(once, key=lambda r: (r["vid"], r["first"], r["name"]))) for k, x in plain_names(part).items()}
+    assert {(r["vid"], r["name"]): r["canonical"] for r in K.canonical_names(frame).collect()} == want
 
 
 def test_long_split_leaves_no_long_piece(spark):
