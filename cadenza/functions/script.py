@@ -93,17 +93,13 @@ def speech_units(text: Column, lang: str) -> Column:
 def join_words(parts: Column) -> Column:
     """Words in a line, with a space only where both sides of the seam are written with spaces."""
     kept = F.filter(F.transform(parts, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    return F.aggregate(
-        kept,
-        F.lit(""),
-        lambda line, x: F.when(line == "", x).otherwise(
-            F.concat(
-                line,
-                F.when(F.right(line, F.lit(1)).rlike(f"[{SPACELESS}]") | F.left(x, F.lit(1)).rlike(f"[{SPACELESS}]"), "").otherwise(" "),
-                x,
-            )
-        ),
-    )
+
+    def after(before: Column, x: Column) -> Column:
+        seam = F.concat(F.right(before, F.lit(1)), F.left(x, F.lit(1)))
+        return F.when(x.isNull(), "").when(before.isNull() | seam.rlike(f"[{SPACELESS}]"), x).otherwise(F.concat(F.lit(" "), x))
+
+    # Each word beside the one before it, so that the line is never copied.
+    return F.array_join(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), kept), kept, after), "")
 
 
 def split_words(text: Column) -> Column:

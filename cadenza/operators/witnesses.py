@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textqc as X
 from ..functions.script import contradicts_source
+from .fold import ordered_fold
 
 
 def decoded_words(chunks: DataFrame) -> DataFrame:
@@ -48,13 +49,10 @@ def nearest_speaker(spans: DataFrame, segments: DataFrame) -> DataFrame:
     """
     a = spans.select("vid", "seq", "start_ms", "end_ms", F.lit(None).cast("struct<end_ms: bigint, speaker: string, start_ms: bigint>").alias("s"))
     b = segments.select("vid", F.lit(None).cast("long").alias("seq"), "start_ms", "end_ms", F.struct("end_ms", "speaker", "start_ms").alias("s"))
-    order = Window.partitionBy("vid").orderBy("start_ms", F.col("seq").isNotNull())
-    both = a.unionByName(b).withColumns(
-        {
-            "low": F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "high": F.first("s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("seq is not null")
+    # Both looks go back in their order: a look ahead to the end would be made anew for every row.
+    low = Window.partitionBy("vid").orderBy("start_ms", F.col("seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    high = Window.partitionBy("vid").orderBy(F.desc("start_ms"), F.col("seq").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumns({"low": F.last("s", ignorenulls=True).over(low), "high": F.last("s", ignorenulls=True).over(high)}).where("seq is not null")
     below, above = F.greatest(F.lit(0), F.col("start_ms") - F.col("low.end_ms")), F.greatest(F.lit(0), F.col("high.start_ms") - F.col("end_ms"))
     pick = F.when(below.isNull() | (above < below), F.col("high.speaker")).otherwise(F.col("low.speaker"))
     return both.select("vid", "seq", pick.alias("speaker"))
@@ -126,18 +124,16 @@ def with_worker(rows: DataFrame, work: Callable[[list[str]], list[str]]) -> Data
 def rolling_names(lines: DataFrame, most: int = 12) -> DataFrame:
     """(vid, seq, names): the most recent distinct names as of each segment (vid, seq, text).
 
-    A segment's own names come first, in text order. The segments of one video, which are few, are folded
-    in one array expression.
+    A segment's own names come first, in text order. Only the list is carried from one segment to the next.
     """
-    named = lines.select("vid", "seq", X.proper_nouns(F.col("text")).alias("names"))
-    listed = named.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("seq", "names"))).alias("rows"))
-    start = F.struct(F.array().cast("array<string>").alias("recent"), F.array().cast("array<struct<seq: bigint, names: array<string>>>").alias("out"))
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        recent: list[str] = []
+        for r in rows:
+            recent = list(dict.fromkeys([*r["names"], *recent]))[:most]
+            yield {"vid": r["vid"], "seq": r["seq"], "names": recent}
 
-    def step(state: Column, row: Column) -> Column:
-        recent = F.slice(F.array_union(row["names"], state["recent"]), 1, most)
-        return F.struct(recent.alias("recent"), F.array_append(state["out"], F.struct(row["seq"].alias("seq"), recent.alias("names"))).alias("out"))
-
-    return listed.select("vid", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("vid", "o.seq", "o.names")
+    named = lines.select("vid", "seq", F.coalesce(X.proper_nouns(F.col("text")), F.array().cast("array<string>")).alias("names"))
+    return ordered_fold(named, ["vid"], ["seq"], step, "vid bigint, seq bigint, names array<string>")
 
 
 # Stock lines that speech recognition invents over music.
@@ -159,10 +155,10 @@ def without_stock_phrases(words: DataFrame, gap_ms: int = 1000, reach_ms: int =
             hit = hit | whole
     pause = F.col("t_ms") - F.lag(F.coalesce("end_ms", "t_ms")).over(by)
     marked = keyed.withColumns({"hit": hit, "opens": F.coalesce(pause > gap_ms, F.lit(True)).cast("int")}).withColumn("run", F.sum("opens").over(by))
-    inside = Window.partitionBy("vid", "run").orderBy("seq")
+    inside, back = Window.partitionBy("vid", "run").orderBy("seq"), Window.partitionBy("vid", "run").orderBy(F.desc("seq"))
     when = F.when(F.col("hit"), F.col("t_ms"))
     before = F.last(when, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(when, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(when, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     near = F.coalesce(F.col("t_ms") - before <= reach_ms, F.lit(False)) | F.coalesce(after - F.col("t_ms") <= reach_ms, F.lit(False))
     return marked.withColumn("near", near).where("not near").select(*words.columns)
 

@@ -200,13 +200,10 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     edges = real.select("vid", F.lit(None).cast("long").alias("seq"), F.explode(F.array(F.col("start_ms") * 2, F.col("end_ms") * 2)).alias("at"), "speaker", F.col("start_ms"))
     every = mid.withColumn("start_ms", F.lit(None).cast("long")).unionByName(edges)
     edge = F.when(F.col("speaker").isNotNull(), F.struct("at", "start_ms", "speaker"))
-    order = Window.partitionBy("vid").orderBy("at", F.col("speaker").isNull())
-    near = every.withColumns(
-        {
-            "low": F.last(edge, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "high": F.first(edge, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("seq is not null")
+    # Both looks go back in their order: a look ahead to the end would be made anew for every row.
+    low = Window.partitionBy("vid").orderBy("at", F.col("speaker").isNull(), F.desc("start_ms")).rowsBetween(Window.unboundedPreceding, 0)
+    high = Window.partitionBy("vid").orderBy(F.desc("at"), F.col("speaker").isNull().desc(), F.desc("start_ms")).rowsBetween(Window.unboundedPreceding, 0)
+    near = every.withColumns({"low": F.last(edge, ignorenulls=True).over(low), "high": F.last(edge, ignorenulls=True).over(high)}).where("seq is not null")
     below, above = F.col("at") - F.col("low.at"), F.col("high.at") - F.col("at")
     pick = F.when(below.isNull() | (above < below), F.col("high")).otherwise(F.col("low"))
     nearest = near.select("vid", "seq", F.when(F.least(below, above) <= 1000, pick["speaker"]).alias("close"))
@@ -220,17 +217,20 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
 
 def snapped_handoffs(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """A segment after a speaker change starts at its speaker's turn onset, if one lies up to 300 ms
-    before it and not before the previous segment's end."""
-    by = Window.partitionBy("vid").orderBy("seq")
+    before it and not before the previous segment's end.
+
+    Of turns that still sound at the start the latest onset counts; time buckets bring the two together.
+    """
     marked = segments.withColumns(
-        {"prev_end": F.coalesce(F.lag("end_ms").over(by), F.lit(0)), "handed": ~F.lag("speaker").over(by).eqNullSafe(F.col("speaker"))}
+        {"prev_end": F.coalesce(F.lag("end_ms").over(in_order()), F.lit(0)), "handed": ~F.lag("speaker").over(in_order()).eqNullSafe(F.col("speaker"))}
     )
     lower = F.greatest("prev_end", F.col("start_ms") - SEG.snap)
-    onsets = real_turns(turns).select("vid", "speaker", F.col("start_ms").alias("on"), F.col("end_ms").alias("off"))
-    hits = marked.where("handed").join(onsets, ["vid", "speaker"]).where(
-        (F.col("off") > F.col("start_ms")) & (F.col("on") >= lower) & (F.col("on") < F.col("start_ms") - 20)
+    reach = marked.where("handed").select("vid", "seq", "speaker", F.col("start_ms").alias("start"), lower.alias("start_ms"), F.col("start_ms").alias("end_ms"))
+    onsets = real_turns(turns).select("vid", "speaker", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("off"))
+    hits = overlap_join(reach, onsets, touch=1).where(
+        (F.col("speaker") == F.col("r_speaker")) & (F.col("r_off") > F.col("start")) & (F.col("r_start_ms") >= F.col("start_ms")) & (F.col("r_start_ms") < F.col("start") - 20)
     )
-    best = hits.groupBy("vid", "seq").agg(F.max("on").alias("snap"))
+    best = hits.groupBy("vid", "seq").agg(F.max("r_start_ms").alias("snap"))
     return marked.join(best, ["vid", "seq"], "left").withColumn("start_ms", F.coalesce("snap", "start_ms")).drop("prev_end", "handed", "snap")
 
 

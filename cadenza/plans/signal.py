@@ -30,9 +30,9 @@ def a9(spark, sf_dir):
     return V.band_ratio(windows, 44_100)
 
 
-@query("v1_voice_outliers", cte("vectors") + """, p AS (SELECT a.key, a.speaker, list_dot_product(a.vec, b.vec) AS s, a.key = b.key AS own, b.key AS other FROM vectors a JOIN vectors b USING (speaker)),
-  t AS (SELECT speaker, sum(s) AS total, sum(s) FILTER (own) AS tr, count(DISTINCT key) AS n FROM p GROUP BY speaker), m AS (SELECT key, speaker, sum(s) AS row, sum(s) FILTER (own) AS own FROM p GROUP BY ALL),
-  k AS (SELECT key, speaker, n < 3 OR round((row - own)/(n - 1), 9) >= 0.25 OR round((total - 2*row + own - (tr - own))/((n - 1)*(n - 2)), 9) < 0.35 AS keep FROM m JOIN t USING (speaker))
+@query("v1_voice_outliers", cte("vectors") + """, d AS (SELECT speaker, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM vectors), sm AS (SELECT speaker, d, sum(x) AS x FROM d GROUP BY ALL), sv AS (SELECT speaker, list(x ORDER BY d) AS total FROM sm GROUP BY speaker),
+  sz AS (SELECT speaker, count(*) AS n, sum(list_dot_product(vec, vec)) AS squares FROM vectors GROUP BY speaker), m AS (SELECT key, speaker, n, squares, list_dot_product(vec, total) AS w, list_dot_product(vec, vec) AS sq, list_dot_product(total, total) AS t FROM vectors JOIN sv USING (speaker) JOIN sz USING (speaker)),
+  k AS (SELECT key, speaker, n < 3 OR round((w - sq)/(n - 1), 9) >= 0.25 OR round((t - 2*w + sq - (squares - sq))/((n - 1)*(n - 2)), 9) < 0.35 AS keep FROM m)
   SELECT key, speaker, keep OR NOT bool_or(keep) OVER (PARTITION BY speaker) AS keep FROM k""")
 def v1(spark, sf_dir):
     return V.voice_outliers(T.vectors(spark, sf_dir))

@@ -37,8 +37,7 @@ spans AS (SELECT user_id AS vid, event_id AS seq, event_type AS lang, epoch_us(t
     "levels": r"""
 levels AS (SELECT vec_id AS vid, (unnest(range(len(embedding))))::BIGINT AS frame, abs(unnest(embedding)::DOUBLE) * 0.1::DOUBLE AS rms FROM embeddings)""",
     "vectors": r"""
-v0 AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-vectors AS (SELECT vec_id AS key, label AS speaker, embedding::DOUBLE[] AS vec FROM v0 WHERE k <= 30)""",
+vectors AS (SELECT vec_id AS key, label AS speaker, embedding::DOUBLE[] AS vec FROM embeddings)""",
     "attempts": r"""
 attempts AS (SELECT conv_id AS vid, turn AS seq, k AS attempt, text AS speak,
   CASE WHEN turn % 7 <> 6 THEN array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: i % (k + 2) <> 0), lambda i: a[i]), ' ') END AS heard,
@@ -135,13 +134,9 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vid", F.col("frame").cast("long"), (F.abs(F.col("x").cast("double")) * 0.1).alias("rms"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, each: int | None = 30) -> DataFrame:
-    """key, speaker, vec: up to ``each`` vectors for each speaker, or all."""
-    rows = _table(spark, sf_dir, "embeddings")
-    if each is not None:
-        k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-        rows = rows.withColumn("k", k).where(F.col("k") <= each)
-    return rows.select(
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, speaker, vec: all vectors and their speakers."""
+    return _table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("key"), F.col("label").alias("speaker"), F.col("embedding").cast("array<double>").alias("vec")
     )
 
