@@ -377,30 +377,58 @@ def test_sharding(spark, sf):
     assert len(spread) == 8 and max(r["n"] for r in spread) < 1.3 * min(r["n"] for r in spread)
 
 
+VOCABULARY = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+HARD = [
+    "see <|endoftext|> here", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|>  ", "<|endoftext", " " * 10**6, "a" + "\n \t" * 100_000 + "b",
+    "#" * 200_000, "é" * 100_000, "=" * 70_000 + " " * 70_000, "x\u2028\u00a0\u3000y", "👩‍👩‍👧 it's we'll I'M ١٢٣ ½",
+]
+
+
 def test_packing(spark, sf):
+    """Against an untouched tokenizer of the vocabulary's own library."""
     from tokenizers import Tokenizer
 
-    docs = documents(spark, ODD).select("doc_id", "text", "size").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
-        spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 1000, "text", F.lit(0).cast("long").alias("size")).toDF("doc_id", "text", "size")
+    hard = spark.createDataFrame([(2000 + i, x, 0) for i, x in enumerate(HARD)], "doc_id long, text string, size long")
+    docs = documents(spark, ODD).select("doc_id", "text", "size").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(hard).unionByName(
+        spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 10_000, "text", F.lit(0).cast("long").alias("size")).toDF("doc_id", "text", "size")
     )
-    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_segments=40).collect()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    pieces, bins = defaultdict(list), defaultdict(list)
-    for r in packed:
-        pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
-        bins[r["sequence_id"]].append((r["offset"], r["length"]))
-    assert set(pieces) == set(texts)
-    for doc, text in texts.items():
-        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
-        assert b"".join(x for _, x, _ in sorted(pieces[doc])) == ids.tobytes() and {n for _, _, n in pieces[doc]} == {len(ids)}
-    for held in bins.values():
-        held.sort()
-        assert sum(n for _, n in held) <= 1024 and len(held) <= 40
-        assert [o for o, _ in held] == np.cumsum([0, *[n for _, n in held[:-1]]]).tolist()
-    assert sum(n for held in bins.values() for _, n in held) / 1024 / len(bins) > 0.95
-    assert packing.pack_documents(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    tokenizer = Tokenizer.from_file(VOCABULARY[0])
+    for special in (True, False):
+        tokenizer.encode_special_tokens = not special
+        packed = packing.pack_documents(docs, *VOCABULARY, max_segments=40, special=special).collect()
+        pieces, bins = defaultdict(list), defaultdict(list)
+        for r in packed:
+            pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert set(pieces) == set(texts)
+        for doc, text in texts.items():
+            ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+            assert b"".join(x for _, x, _ in sorted(pieces[doc])) == ids.tobytes() and {n for _, _, n in pieces[doc]} == {len(ids)}, text[:40]
+        for held in bins.values():
+            held.sort()
+            assert sum(n for _, n in held) <= 1024 and len(held) <= 40
+            assert [o for o, _ in held] == np.cumsum([0, *[n for _, n in held[:-1]]]).tolist()
+        assert sum(n for held in bins.values() for _, n in held) / 1024 / len(bins) > 0.95
+    assert packing.pack_documents(docs.limit(0), *VOCABULARY).count() == 0
+
+
+def test_the_limit_on_loss_closes_sequences(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{'q ' * rng.randrange(1, 30)}|{' r' * n}", 0, n) for i, n in enumerate([rng.randrange(0, 60) for _ in range(400)] + [900, 2000])]
+    docs = spark.createDataFrame([(i, t, t.index("|") + 1, len(t) - t.index("|") - 1) for i, t, _, _ in rows], "doc_id long, text string, first long, many long")
+    got = packing.pack_documents(docs, *VOCABULARY, max_loss=200, loss=("first", "many")).collect()
+    by_doc, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        bins[r["sequence_id"]].append(r)
+    for i, _, _, n in rows:  # each r and the end id bear loss, but for the first id of a later piece
+        assert sum(r["loss_tokens"] for r in by_doc[i]) == (n + 1 if n else 0) - (len(by_doc[i]) - 1)
+    held = [(sum(r["length"] for r in x), len(x), sum(r["loss_tokens"] for r in x)) for x in bins.values()]
+    assert all(a <= 1024 and b <= 64 and c <= 200 for a, b, c in held)
+    assert sum(a < 700 and b < 40 and c >= 190 for a, b, c in held) > len(held) / 2  # loss alone closed them
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, *VOCABULARY, max_loss=0)
 
 
 def test_dot_product_bins_keep_all_limits():
