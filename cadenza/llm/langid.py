@@ -4,8 +4,13 @@ Each language has a tree of byte contexts of up to three bytes. A context gives
 share count / (n + q) of its n observations, q being its number of different bytes, and leaves q / (n + q)
 for an escape to the next shorter context, where the bytes already ruled out are excluded; below the empty
 context all 256 bytes are equally likely. Statistics are frozen after training, so the code length of a
-byte depends on its context alone: the trees become one table of code lengths per context and byte, and
-the cost of a text under every language is a sum of table entries, exact in units of 2**-10 bits.
+byte depends on its context alone, and the cost of a text under every language is a sum of code lengths,
+exact in units of 2**-10 bits. What the exclusion leaves of the shorter context is a factor that the
+context has once and for all, so a tree is a few sorted arrays; for the contexts met most often a table
+has the code lengths of all bytes and languages ready.
+
+A pass over the texts holds the trees of a few languages. Where there are more, one pass follows another
+and carries the best language so far, so neither the driver nor a task holds more than a pass needs.
 """
 
 from __future__ import annotations
@@ -15,23 +20,105 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import stored
 
 UNIT = 1024
 #: Bytes scored at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Contexts of two and of three bytes whose code lengths are kept ready; the others are worked out.
+READY = 8192
+#: Languages and counts that a pass holds at most; a language of more counts has a pass of its own.
+LANGUAGES, COUNTS = 16, 4_000_000
+
+
+def _low(order: int) -> int:
+    """Mask of the last ``order`` bytes of a context and the byte after them."""
+    return (1 << 8 * (order + 1)) - 1
+
+
+class Tree:
+    """One language: per order the byte contexts with a byte after each, their shares, and what an escape is worth."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        seen = np.zeros(256, bool)
+        seen[grams & 255] = True
+        self.grams, self.shares, self.contexts, self.escapes, self.weights = [], [], [], [], []
+        usable = np.ones(len(grams), bool)
+        for order in range(4):
+            if order:  # bytes that never follow one are those before a text's start
+                usable = usable & seen[(grams >> 8 * order) & 255]
+            keys, which = np.unique(grams[usable] & _low(order), return_inverse=True)
+            counts = np.bincount(which, n[usable], len(keys))
+            contexts, first, different = np.unique(keys >> 8, return_index=True, return_counts=True)
+            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+            owner = np.repeat(np.arange(len(contexts)), different)
+            below = self.probabilities(order - 1, keys)
+            room = 1 - (np.add.reduceat(below, first) if len(first) else np.zeros(0))
+            self.grams.append(keys)
+            self.shares.append(counts / (total + different)[owner])
+            self.contexts.append(contexts)
+            self.escapes.append(different / (total + different) / np.maximum(room, 1e-12))
+            self.weights.append(total)
+
+    def probabilities(self, order: int, grams: np.ndarray) -> np.ndarray:
+        """Of the last byte of each gram after the ``order`` bytes before it."""
+        if order < 0:
+            return np.full(len(grams), 1 / 256)
+        found, at = _find(self.grams[order], grams & _low(order))
+        out = np.where(found, self.shares[order][at] if len(self.shares[order]) else 0.0, 0.0)
+        rest = grams[~found]
+        if len(rest):
+            out[~found] = self.escape(order, (rest & _low(order)) >> 8) * self.probabilities(order - 1, rest)
+        return out
+
+    def escape(self, order: int, contexts: np.ndarray) -> np.ndarray:
+        found, at = _find(self.contexts[order], contexts)
+        return np.where(found, self.escapes[order][at] if len(self.escapes[order]) else 1.0, 1.0)
+
+
+def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``wanted`` is among the sorted ``values``, and where."""
+    if not len(values):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return values[at] == wanted, at
+
+
+def _units(probabilities: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(-np.log2(np.maximum(probabilities, 2.0**-60)) * UNIT), 65535).astype(np.uint16)
 
 
 @dataclass
 class Model:
-    """Frozen statistics: class of each byte, table row of each context, code lengths (row, class, language)."""
+    """Frozen statistics of some languages: class of each byte, table row of each context, whether a longer
+    one is known that the table lacks, code lengths (row, class, language), and the trees."""
 
     languages: list[str]
     classes: np.ndarray
     rows: np.ndarray
+    longer: np.ndarray
     costs: np.ndarray
+    trees: list[Tree]
+
+
+@dataclass
+class Learned:
+    """Counts (lang, gram, n) of all languages, as a stored table, and the languages of each pass."""
+
+    passes: list[list[str]]
+    grams: DataFrame | None
+
+    def models(self) -> Iterator[Model]:
+        for languages in self.passes:
+            mine = self.grams.where(F.col("lang").isin(languages))
+            code = (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1).cast("int")
+            table = mine.select(code.alias("code"), "gram", "n").toArrow()
+            yield build(languages, *(table.column(c).to_numpy().astype(np.int64) for c in ("code", "gram", "n")))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,98 +171,71 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(
-    docs: DataFrame,
-    training: Column,
-    docs_per_language: int = 2000,
-    max_languages: int = 100,
-    max_grams: int = 200_000,
-    max_contexts: int = 8192,
-) -> Model:
+def fit(docs: DataFrame, training: Column, docs_per_language: int = 2000) -> Learned:
     """Learns from the rows of ``docs`` (doc_id, text, lang) that ``training`` marks and whose lang is not null.
 
-    About ``docs_per_language`` whole documents of each of the ``max_languages`` most frequent languages
-    are used, drawn by a hash of their id; the driver gets at most ``max_grams`` counts per language, the
-    most frequent ones, and the model has at most ``max_contexts`` contexts of two and of three bytes.
-    Without any such row the model has no languages.
+    About ``docs_per_language`` whole documents of every language are used, drawn by a hash of their id;
+    all their contexts count. Without any such row there are no languages.
     """
-    usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = (
-        usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    )
-    if not counts:
-        return Model([], np.zeros(256, np.uint8), np.zeros((1, 1, 1), np.int32), np.zeros((1, 1, 0), np.uint16))
-    languages = sorted(r["lang"] for r in counts)
-    chance = F.coalesce(
-        *[F.when(F.col("lang") == r["lang"], F.lit(docs_per_language / r["n"])) for r in counts], F.lit(0.0)
-    )
+    usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("docs"))  # one row for each language
     # A hash for this draw alone; the ids of training rows already share a remainder of another.
-    drawn = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1 << 30)) / float(1 << 30) < chance
-    # The cut to the most frequent grams is made in tasks; the driver gets numbers only, in columns.
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    code = (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1).cast("int")
-    grams = (
-        count_grams(usable.where(drawn)).withColumn("place", F.row_number().over(by_count))
-        .where(F.col("place") <= max_grams).select(code.alias("code"), "gram", "n").toArrow()
-    )
-    columns = [grams.column(c).to_numpy().astype(np.int64) for c in ("code", "gram", "n")]
-    return build(languages, *columns, max_contexts)
-
-
-def build(languages: list[str], code: np.ndarray, grams: np.ndarray, n: np.ndarray, max_contexts: int) -> Model:
-    """Turns counts into code lengths."""
+    chance = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.join(F.broadcast(sizes), "lang").where(chance < docs_per_language / F.col("docs"))
+    grams = stored(count_grams(drawn))
+    passes: list[list[str]] = []
+    held = 0
+    for lang, many in sorted((r["lang"], r["many"]) for r in grams.groupBy("lang").agg(F.count("*").alias("many")).collect()):
+        if not passes or len(passes[-1]) >= LANGUAGES or held + many > COUNTS:
+            passes.append([])
+            held = 0
+        passes[-1].append(lang)
+        held += many
+    return Learned(passes, grams)
+
+
+def build(languages: list[str], code: np.ndarray, grams: np.ndarray, n: np.ndarray, ready: int | None = None) -> Model:
+    """Turns counts into trees and the table of the ``ready`` most frequent contexts of two and three bytes."""
+    ready, many = READY if ready is None else ready, len(languages)
+    trees = [Tree(grams[code == i], n[code == i]) for i in range(many)]
     seen = np.unique(grams & 255)
-    size, many = len(seen) + 1, len(languages)
+    size = len(seen) + 1
     classes = np.zeros(256, np.int64)
     classes[seen] = np.arange(1, size)  # class 0: bytes never seen, and before the start
-    parts = [classes[(grams >> shift) & 255] for shift in (24, 16, 8, 0)]
-    context = {0: np.zeros(len(grams), np.int64), 1: parts[2], 2: parts[1] * size + parts[2]}
-    context[3] = parts[0] * size * size + context[2]
-
-    unseen = 256 - len(seen)
-    width = np.ones(size)
-    width[0] = unseen
-    tables = [np.full((1, size, many), 1 / 256, np.float32)]  # below the empty context
-    index: list[np.ndarray] = []
-    for order in range(4):
-        whole = (context[order] % size > 0) & (context[order] // size % size > 0 if order > 1 else True) & (
-            context[order] // (size * size) > 0 if order > 2 else True
-        ) if order else np.ones(len(grams), bool)
-        keys, which = np.unique(context[order][whole], return_inverse=True)
-        total = np.bincount(which, n[whole], len(keys))
-        kept = np.argsort(-total, kind="stable")[: max_contexts if order > 1 else None]
-        kept.sort()
-        number = np.full(len(keys), -1)
-        number[kept] = np.arange(len(kept))
-        keys = keys[kept]
-        rows = number[which]
-        counts = np.zeros((len(keys), size, many), np.float32)
-        ok = rows >= 0
-        np.add.at(counts, (rows[ok], parts[3][whole][ok], code[whole][ok]), n[whole][ok])
-        # Every context's suffix is one order down, or, where that was not kept, further down.
-        if order == 0:
-            lower = np.zeros(len(keys), np.int64)
-        else:
-            lower = index[-1][keys % size ** (order - 1)] if order > 1 else np.zeros(len(keys), np.int64)
-        below = tables[-1][lower] if order < 2 else flat[lower]
-        observed, different = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        escape = np.where(observed > 0, different / np.maximum(observed + different, 1), 1.0)
-        left = np.where(counts > 0, 0.0, below)
-        room = (left * width[None, :, None]).sum(axis=1, keepdims=True)
-        table = np.where(counts > 0, counts / np.maximum(observed + different, 1), escape * left / np.maximum(room, 1e-12))
-        tables.append(table)
-        flat = np.concatenate(tables[1:])
-        base = len(flat) - len(table)
-        if order == 0:
-            continue
-        full = np.zeros(size**order, np.int64)
-        if order > 1:  # start from the suffix's row
-            full = np.tile(index[-1], size)
-        full[keys] = base + np.arange(len(keys))
-        index.append(full)
-    bits = -np.log2(np.maximum(np.concatenate(tables[1:]), 2.0**-60))
-    costs = np.minimum(np.round(bits * UNIT), 65535).astype(np.uint16)
-    return Model(languages, classes.astype(np.uint8 if size <= 256 else np.int16), index[-1].astype(np.int32), costs)
+
+    def frequent(order: int) -> np.ndarray:
+        contexts = np.concatenate([t.contexts[order] for t in trees])
+        known, which = np.unique(contexts, return_inverse=True)
+        weight = np.bincount(which, np.concatenate([t.weights[order] for t in trees]), len(known))
+        return known[np.sort(np.argsort(-weight, kind="stable")[: ready if order > 1 else None])]
+
+    def place(contexts: np.ndarray, order: int) -> np.ndarray:
+        out = np.zeros(len(contexts), np.int64)
+        for k in range(order):
+            out += classes[(contexts >> 8 * k) & 255] * size**k
+        return out
+
+    chosen = [frequent(order) for order in range(4)]
+    chosen[2] = np.union1d(chosen[2], chosen[3] & 0xFFFF)
+    starts = np.cumsum([0, *[len(x) for x in chosen]])
+    costs = np.empty((starts[-1], size, many), np.uint16)
+    for i, tree in enumerate(trees):
+        lower = np.full((1, size), 1 / 256)
+        for order, contexts in enumerate(chosen):
+            suffix = np.searchsorted(chosen[order - 1], contexts & (1 << 8 * (order - 1)) - 1) if order > 1 else np.zeros(len(contexts), np.int64)
+            table = tree.escape(order, contexts)[:, None] * lower[suffix]
+            inside, row = _find(contexts, tree.grams[order] >> 8)
+            table[row[inside], classes[tree.grams[order][inside] & 255]] = tree.shares[order][inside]
+            costs[starts[order] : starts[order + 1], :, i] = _units(table)
+            lower = table
+    rows, longer = np.zeros(1, np.int32), np.zeros(1, bool)
+    for order in range(1, 4):
+        rows, longer = np.tile(rows, size), np.tile(longer, size)
+        here = place(chosen[order], order)
+        longer[place(np.concatenate([t.contexts[order] for t in trees]), order)] = True
+        longer[here] = False
+        rows[here] = starts[order] + np.arange(len(here))
+    return Model(languages, classes.astype(np.uint8 if size <= 256 else np.int16), rows, longer, costs, trees)
 
 
 def _costs(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -183,7 +243,15 @@ def _costs(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     size = model.costs.shape[1]
     symbols = model.classes[data].astype(np.int32)
     one, two, three = _contexts(symbols, starts)
-    return model.costs[model.rows[(three * size + two) * size + one], symbols]
+    context = (three * size + two) * size + one
+    out = model.costs[model.rows[context], symbols]
+    at = np.flatnonzero(model.longer[context])
+    if len(at):
+        one, two, three = (x[at].astype(np.int64) for x in _contexts(data, starts))
+        grams, which = np.unique((three << 24) | (two << 16) | (one << 8) | data[at], return_inverse=True)
+        for i, tree in enumerate(model.trees):
+            out[at, i] = _units(tree.probabilities(3, grams))[which]
+    return out
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -202,52 +270,64 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
         while end < len(texts) and total + len(texts[end]) <= BLOCK:
             total += len(texts[end])
             end += 1
-        data, starts = _joined(texts[at:end])
-        if len(data):
-            sums = np.zeros((len(data) + 1, len(model.languages)), np.int64)
-            np.cumsum(_costs(model, data, starts[starts < len(data)]), axis=0, dtype=np.int64, out=sums[1:])
-            out[at:end] = sums[np.append(starts[1:], len(data))] - sums[starts]
+        some = [k for k in range(at, end) if texts[k]]
+        if some:
+            data, starts = _joined([texts[k] for k in some])
+            out[some] = np.add.reduceat(_costs(model, data, starts), starts, axis=0, dtype=np.int64)
         at = end
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, learned: Learned) -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte; columns of these names are replaced.
 
     Predicts from the whole of column text alone. ``score`` is the probability of the prediction if all
     languages are as likely beforehand; ``bits_per_byte`` is its code length by the text's length. A null
     text, one without a letter, and any text if nothing was learned are ``und`` with score 0 and null
     bits. Ties go to the first language in code-point order. Repeated rows stay, an empty table gives no
-    rows, and all other columns pass through.
+    rows, and all other columns pass through, whatever their names.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     new = ["lang_pred", "score", "bits_per_byte"]
-    kept = docs.drop(*new, "__letters").withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    names = [c for c in kept.columns if c != "__letters"]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
-        for batch in batches:
-            letters = batch.column("__letters").to_pylist()
-            texts = [
-                (t.as_py() or "").encode("utf-8", "surrogatepass") if ok and frozen.languages else b""
-                for t, ok in zip(batch.column("text"), letters)
-            ]
-            length = code_lengths(frozen, texts) if frozen.languages else np.zeros((len(texts), 1), np.int64)
-            best = length.argmin(axis=1)
-            least = length.min(axis=1, keepdims=True)
-            sure = 1 / np.exp2(np.maximum(least - length, -1000 * UNIT) / UNIT).sum(axis=1)
-            known = [bool(x) for x in texts]
-            added = [
-                pa.array([frozen.languages[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
-                pa.array([float(s) if k else 0.0 for s, k in zip(sure, known)], pa.float64()),
-                pa.array([c / UNIT / len(t) if k else None for c, t, k in zip(least[:, 0].tolist(), texts, known)], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], [*names, *new])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__letters")
-    return kept.mapInArrow(each, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    kept = [c for c in docs.columns if c not in new]
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    # Columns of the input travel in one struct and cannot clash with those that are carried.
+    carried = docs.select(
+        F.struct(*kept).alias("row"), F.when(letters, F.col("text")).alias("said"), F.lit(None).cast("string").alias("best"),
+        F.lit(None).cast("bigint").alias("least"), F.lit(0.0).alias("mass"),
+    )
+    schema = T.StructType([*(f for f in carried.schema if f.name in ("row", "said")), T.StructField("best", T.StringType()), T.StructField("least", T.LongType()), T.StructField("mass", T.DoubleType())])
+    for number, model in enumerate(learned.models()):
+        if number:
+            carried = stored(carried)
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        del model
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("said")]
+                length = code_lengths(model, texts)
+                known = np.array([bool(t) for t in texts], bool)
+                mine, first = length.min(axis=1), length.argmin(axis=1)
+                before = np.array([mine[i] if x is None else x for i, x in enumerate(batch.column("least").to_pylist())], np.int64)
+                least = np.minimum(mine, before)
+                # Shares of the probability by that of the best language so far.
+                old = batch.column("mass").to_numpy(zero_copy_only=False) * np.exp2(np.maximum(least - before, -1000 * UNIT) / UNIT)
+                mass = old + np.exp2(np.maximum(least[:, None] - length, -1000 * UNIT) / UNIT).sum(axis=1)
+                said = batch.column("best").to_pylist()
+                best = [x if x is not None and b <= m else model.languages[f] for x, b, m, f in zip(said, before, mine, first)]
+                columns = [
+                    batch.column("row"), batch.column("said"), pa.array([b if k else None for b, k in zip(best, known)], pa.string()),
+                    pa.array(least, pa.int64(), mask=~known), pa.array(np.where(known, mass, 0.0)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "said", "best", "least", "mass"])
+
+        carried = carried.mapInArrow(each, schema)
+    return carried.select(
+        *[F.col("row")[c].alias(c) for c in kept], F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("best").isNotNull(), 1 / F.col("mass")).otherwise(0.0).alias("score"),
+        (F.col("least") / UNIT / F.octet_length("said")).alias("bits_per_byte"),
+    )
 
 
 def held_out(doc_id: Column) -> Column:

@@ -185,7 +185,7 @@ def test_code_lengths_follow_the_tree():
                 key = key << 8 | (t[j] if j >= 0 else 0)
             grams[lang, key] += 1
     code, gram = np.array(list(grams)).T
-    model = langid.build(["x", "y"], code, gram, np.array(list(grams.values())), 1000)
+    models = [langid.build(["x", "y"], code, gram, np.array(list(grams.values())), ready) for ready in (1000, 2, 0)]
 
     def cost(lang, text):  # the tree walked byte by byte
         total = 0.0
@@ -209,8 +209,27 @@ def test_code_lengths_follow_the_tree():
         return total
 
     for text in (b"abra cad", "là côté".encode(), b"zzz"):
-        got = langid.code_lengths(model, [text])[0] / langid.UNIT
-        assert got == pytest.approx([cost(0, text), cost(1, text)], abs=0.01)
+        for model in models:  # the table and what it lacks say the same
+            got = langid.code_lengths(model, [text])[0] / langid.UNIT
+            assert got == pytest.approx([cost(0, text), cost(1, text)], abs=0.03)
+
+
+def test_three_hundred_languages(spark):
+    """None is left out, however many there are; passes agree with one pass over all."""
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    speech = lambda k: " ".join(letters[2 * k + rng.randrange(2)] + letters[2 * k] for _ in range(12))
+    rows = [(i, speech(i % 300), f"l{i % 300:03}", -1.0) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row double")
+    learned = langid.fit(docs, F.lit(True))
+    assert len(learned.passes) == 19 and sum(map(len, learned.passes)) == 300
+    learned.passes = [sum(learned.passes[:9], []), sum(learned.passes[9:], [])]
+    two = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, learned).collect()}
+    assert all(two[i][0] == lang for i, _, lang, _ in rows)
+    learned.passes = [sum(learned.passes, [])]
+    one_pass = langid.predict(docs, learned)
+    assert one_pass.columns == ["doc_id", "text", "lang", "row", "lang_pred", "score", "bits_per_byte"]
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in one_pass.collect()} == two
 
 
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
