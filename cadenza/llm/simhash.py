@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -145,7 +145,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = 64) -> DataFra
 # All shingles have one order, rare ones first. A text of n shingles is filed under its first
 # n - ceil(t n) + 1: two sets of Jaccard similarity t share at least ceil(t n) of either's shingles, so their
 # first common shingle is filed for both. It stands at places i and j of sets of sizes n and m, and all that
-# they share follows it, so that min(n - i, m - j) >= t / (1 + t) (n + m). Only pairs that pass are verified.
+# they share follows it, so that min(n - i, m - j) >= t / (1 + t) (n + m). A set also has a bit for each value
+# of its hashes modulo a power of two, set if an odd number of them has it. Bits in which two sets differ are
+# no more than the shingles in which they do, and those are (1 - t) / (1 + t) (n + m) at most. Only pairs that
+# pass both bounds are verified on the sets themselves.
 
 #: Shingles that are counted to find common ones; the order decides the work, never the result.
 DRAWN = 8_000_000
@@ -162,6 +165,29 @@ def as_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).astype("<u4"))
 
 
+def marks_of(held: np.ndarray) -> np.ndarray:
+    """The set's bits as 64-bit words: as many bits as a power of two that is at least its size."""
+    width = max(64, 1 << max(0, len(held) - 1).bit_length())
+    odd = np.bincount(held & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_be_similar(n: Column, marks: Column, other_n: Column, other_marks: Column, similarity: float) -> Column:
+    """Whether two sets differ in few enough bits; similar sets have widths that are equal or one is twice the other."""
+    def halved(x: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+
+    one, two = F.size(marks), F.size(other_marks)
+    bits = F.when(one == two, differing(marks, other_marks)).when(one == 2 * two, differing(halved(marks), other_marks)).when(
+        two == 2 * one, differing(marks, halved(other_marks))
+    )
+    return F.coalesce(bits <= (1 - similarity) / (1 + similarity) * (n + other_n) + SLACK, F.lit(False))
+
+
 def common_shingles(sets: DataFrame, drawn: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles and their counts: those found three times or more in a bounded draw of the sets."""
     total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
@@ -279,10 +305,10 @@ def meetings(filed: DataFrame, similarity: float, open_bucket: int) -> DataFrame
     return sorted_keys.mapInArrow(each, "key bigint, a bigint, b bigint, n int, place int")
 
 
-def missing_pairs(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of crowded keys' members that pass the bound and that no links connect yet.
+def missing_pairs(crowded: DataFrame, roots: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of crowded keys' members that pass both bounds and that no links connect yet.
 
-    ``crowded`` has (key, id, n, place), ``roots`` the components (node, root) so far. All pairs of different
+    ``crowded`` has (key, id, n, place), ``roots`` the components (node, root) so far, ``marks`` (id, n, marks). All pairs of different
     components are there; of a key's largest component only those that meet one of another.
     """
     placed = crowded.join(roots, crowded["id"] == roots["node"], "left").select(
@@ -290,12 +316,13 @@ def missing_pairs(crowded: DataFrame, roots: DataFrame, similarity: float) -> Da
     )
     counted = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
     split = counted.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
-    members = stored(placed.join(split.where("roots > 1"), "key").drop("roots"))
-    x = members.where("root != main").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"))
-    y = members.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("in_main"))
+    members = stored(placed.join(split.where("roots > 1"), "key").drop("roots").join(marks.select("id", "marks"), "id"))
+    x = members.where("root != main").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"), F.col("marks").alias("xm"))
+    y = members.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr"), F.col("marks").alias("ym"), (F.col("root") == F.col("main")).alias("in_main"))
     room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
     bound = similarity / (1 + similarity) * (F.col("xn") + F.col("yn")) - SLACK
-    met = x.join(y, "key").where((F.col("xr") != F.col("yr")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (room >= bound))
+    alike = may_be_similar(F.col("xn"), F.col("xm"), F.col("yn"), F.col("ym"), similarity)
+    met = x.join(y, "key").where((F.col("xr") != F.col("yr")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (room >= bound) & alike)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -316,16 +343,22 @@ def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
 
 
 def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16) -> DataFrame:
-    """(node, root) of the sets (id, shingles) that similar pairs link, directly or over others: no pair is missed.
+    """(node, root) of the sets (id, n, marks, shingles) that similar pairs link, directly or over others: no pair is missed.
 
     A pair whose first common shingle has few sets is verified at once. In a crowded one most of a group is
     linked first, and then all pairs of its members that are still in different components are verified.
     """
     met = stored(meetings(filings(sets, similarity), similarity, open_bucket))
-    links = stored(similar_links(sets, met.where(F.col("key") == PAIR).select("a", "b").distinct(), similarity))
+    marks = sets.select("id", "n", "marks")
+    close = (
+        met.where(F.col("key") == PAIR).select("a", "b").distinct()
+        .join(marks.toDF("a", "an", "am"), "a").join(marks.toDF("b", "bn", "bm"), "b")
+        .where(may_be_similar(F.col("an"), F.col("am"), F.col("bn"), F.col("bm"), similarity)).select("a", "b")
+    )
+    links = stored(similar_links(sets.select("id", "shingles"), stored(close), similarity))
     roots = stored(connected_components(links))
     crowded = met.where(F.col("key") != PAIR).select("key", F.col("a").alias("id"), "n", "place")
-    late = stored(similar_links(sets, missing_pairs(crowded, roots, similarity), similarity))
+    late = stored(similar_links(sets.select("id", "shingles"), missing_pairs(crowded, roots, marks, similarity), similarity))
     if late.isEmpty():
         return roots
     return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
@@ -344,21 +377,29 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [as_set(x.as_py(), words).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "doc_id", "shingles"]
-            )
+            sets = [as_set(x.as_py(), words) for x in batch.column("text")]
+            columns = [
+                pa.array([len(x) for x in sets], pa.int64()), pa.array([marks_of(x) for x in sets], pa.list_(pa.int64())),
+                pa.array([x.tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *columns], ["id", "doc_id", "n", "marks", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select(F.xxhash64(text).alias("id"), "doc_id", text.alias("text"))
-    marked = named.mapInArrow(shingles, f"id bigint, doc_id {kind}, shingles binary")
-    nodes = stored(marked.groupBy("id").agg(F.min(order).alias("first"), F.max("shingles").alias("shingles")))
-    roots = near_groups(nodes.select("id", "shingles"), similarity)
+    marked = named.mapInArrow(shingles, f"id bigint, doc_id {kind}, n bigint, marks array<bigint>, shingles binary")
+    one = F.max(F.struct("n", "marks", "shingles")).alias("set")  # equal texts have equal sets
+    nodes = stored(marked.groupBy("id").agg(F.min(order).alias("first"), one).select("id", "first", "set.*"))
+    roots = near_groups(nodes.select("id", "n", "marks", "shingles"), similarity)
     group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
         "id", "first", F.coalesce("root", "id").alias("root")
     )
     kept = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("kept")).select(
-        F.col("kept.id").alias("__id"), F.coalesce(F.col("kept.first.doc_id").cast("string"), F.lit("")).alias("__doc")
+        "kept.id", F.coalesce(F.col("kept.first.doc_id").cast("string"), F.lit("")).alias("doc")
     )
-    keyed = docs.withColumns({"__id": F.xxhash64(text), "__doc": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    return keyed.join(kept, ["__id", "__doc"]).dropDuplicates(["__id", "__doc"]).select(*docs.columns)
+    # The columns of the input travel in one struct and cannot clash with the key; of rows that agree in
+    # doc_id and text the one whose other columns come first in their JSON stays.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
+    mine = keyed.withColumn("id", F.xxhash64("text")).drop("text").join(kept, ["id", "doc"])
+    others = F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    first = mine.groupBy("id", "doc").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), others)).alias("row"))
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -120,6 +120,38 @@ def near_by_brute_force(texts):
             return root, pairs
 
 
+def sets_of(spark, texts):
+    sets = [simhash.as_set(t, 5) for t in texts]
+    rows = [(i, len(x), simhash.marks_of(x).tolist(), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "id long, n long, marks array<bigint>, shingles binary")
+
+
+def test_pairs_about_the_bound_are_all_found(spark):
+    """Texts of all lengths whose similarity lies about 0.8, in groups: no pair is lost, none is made up."""
+    rng = random.Random(21)
+    texts = []
+    for n in (6, 9, 14, 30, 61, 64, 66, 130, 300, 520, 1030):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(25):
+            near = list(text)
+            for _ in range(rng.randrange(1 + n // 30)):
+                near[rng.randrange(n)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(near[: n - rng.randrange(1 + n // 8)] if k % 3 else near))
+    root, pairs = near_by_brute_force(texts)
+    assert len(pairs) > 300 and len(set(root)) > 20
+    for crowd in (2, 16):
+        got = {r["node"]: r["root"] for r in simhash.near_groups(sets_of(spark, texts), 0.8, crowd).collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == root
+
+
+def test_names_that_clash_pass_through(spark):
+    rows = [(i, t, "r", "d", i, "k", "c") for i, t in [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, ""), (4, "x y"), (4, "x y")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, doc string, id long, key string, __copies string")
+    for out in (simhash.keep_one_of_each(docs), mixing.mix_documents(docs.withColumn("source", F.lit("s"))).drop("source"), langid.predict(docs, langid.fit(docs.withColumn("lang", F.lit("x")), F.lit(True)))):
+        assert out.columns[:7] == docs.columns and {tuple(r)[2:7] for r in out.collect()} <= {("r", "d", i, "k", "c") for i in range(5)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == [1, 3, 4]
+
+
 def test_crowded_near_copies_all_meet(spark):
     """Chains, and groups that share crowded shingles but are not alike, against all pairs."""
     rng = random.Random(12)
@@ -138,8 +170,7 @@ def test_crowded_near_copies_all_meet(spark):
     root, pairs = near_by_brute_force(texts)
     assert len(set(root)) == 33 and len(pairs) == 3 * 39 + 30
     for crowd in (2, 16):
-        sets = [(i, bytearray(simhash.as_set(t, 5).tobytes())) for i, t in enumerate(texts)]
-        found = simhash.near_groups(spark.createDataFrame(sets, "id long, shingles binary"), 0.8, crowd).collect()
+        found = simhash.near_groups(sets_of(spark, texts), 0.8, crowd).collect()
         got = {r["node"]: r["root"] for r in found}
         assert [got.get(i, i) for i in range(len(texts))] == root
     kept = simhash.keep_one_of_each(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
