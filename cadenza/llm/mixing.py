@@ -98,18 +98,16 @@ def mix_documents(
     size = word_count(F.col("text"))
     targets = source_targets(docs.groupBy("source").agg(F.sum(size).alias("source_size")), weights, share, most)
     rates = targets.select(
-        F.col("source").alias("__source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"),
-    )
-    extra = (unit_hash(docs["doc_id"], seed) < F.col("__rate") - F.floor("__rate")).cast("int")
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
-    copies = (F.floor("__rate").cast("int") + extra).alias("__copies")
-    return (
-        joined.select(*[docs[c] for c in docs.columns], copies)
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .drop("__copies", "__copy")
+        F.col("source").alias("of"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
     )
+    # The columns of the input travel in one struct and cannot clash with those of the plan.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(rates, F.col("row.source").eqNullSafe(F.col("of")))
+    extra = (unit_hash(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
+    copies = joined.select("row", (F.floor("rate").cast("int") + extra).alias("copies")).where("copies > 0")
+    each = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """
