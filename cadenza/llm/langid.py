@@ -15,14 +15,13 @@ and carries the best language so far, so neither the driver nor a task holds mor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import stored
 
@@ -290,46 +289,51 @@ def predict(docs: DataFrame, learned: Learned) -> DataFrame:
     new = ["lang_pred", "score", "bits_per_byte"]
     kept = [c for c in docs.columns if c not in new]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    # Columns of the input travel in one struct and cannot clash with those that are carried.
-    carried = docs.select(
-        F.struct(*kept).alias("row"), F.when(letters, F.col("text")).alias("said"), F.lit(None).cast("string").alias("best"),
-        F.lit(None).cast("bigint").alias("least"), F.lit(0.0).alias("mass"),
-    )
-    schema = T.StructType([*(f for f in carried.schema if f.name in ("row", "said")), T.StructField("best", T.StringType()), T.StructField("least", T.LongType()), T.StructField("mass", T.DoubleType())])
+    # Columns of the input stay in one struct in the JVM and cannot clash with what is found.
+    none = F.lit(None).cast(f"struct<{FOUND}>")
+    carried = docs.select(F.struct(*kept).alias("row"), F.when(letters, F.col("text")).alias("said"), none.alias("found"))
     for number, model in enumerate(learned.models()):
         if number:
             carried = stored(carried)
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        find = finder(docs.sparkSession.sparkContext.broadcast(model))
         del model
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            for batch in batches:
-                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("said")]
-                length = code_lengths(model, texts)
-                known = np.array([bool(t) for t in texts], bool)
-                mine, first = length.min(axis=1), length.argmin(axis=1)
-                before = np.array([mine[i] if x is None else x for i, x in enumerate(batch.column("least").to_pylist())], np.int64)
-                least = np.minimum(mine, before)
-                # Shares of the probability by that of the best language so far.
-                old = batch.column("mass").to_numpy(zero_copy_only=False) * np.exp2(np.maximum(least - before, -1000 * UNIT) / UNIT)
-                mass = old + np.exp2(np.maximum(least[:, None] - length, -1000 * UNIT) / UNIT).sum(axis=1)
-                said = batch.column("best").to_pylist()
-                best = [x if x is not None and b <= m else model.languages[f] for x, b, m, f in zip(said, before, mine, first)]
-                columns = [
-                    batch.column("row"), batch.column("said"), pa.array([b if k else None for b, k in zip(best, known)], pa.string()),
-                    pa.array(least, pa.int64(), mask=~known), pa.array(np.where(known, mass, 0.0)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "said", "best", "least", "mass"])
-
-        carried = carried.mapInArrow(each, schema)
+        carried = carried.withColumn("found", find(F.col("said"), F.col("found")))
     return carried.select(
-        *[F.col("row")[c].alias(c) for c in kept], F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(F.col("best").isNotNull(), 1 / F.col("mass")).otherwise(0.0).alias("score"),
-        (F.col("least") / UNIT / F.octet_length("said")).alias("bits_per_byte"),
+        *[F.col("row")[c].alias(c) for c in kept], F.coalesce("found.best", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("found.best").isNotNull(), 1 / F.col("found.mass")).otherwise(0.0).alias("score"),
+        (F.col("found.least") / UNIT / F.octet_length("said")).alias("bits_per_byte"),
     )
 
 
+FOUND = "best: string, least: bigint, mass: double"
+
+
+def finder(shared) -> Callable[[Column, Column], Column]:
+    """A column of the best language, its code length and the sum of all shares by it, from a text and what was found before.
+
+    Only the text goes to Python and only these three come back. A null or empty text has none.
+    """
+
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = shared.value
+        for said, found in batches:
+            best, least, mass = (found.field(i) for i in range(3))
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in said]
+            known = np.array([bool(t) for t in texts], bool)
+            length = code_lengths(model, texts)
+            mine, first = length.min(axis=1), length.argmin(axis=1)
+            before = np.array([m if x is None else x for m, x in zip(mine.tolist(), least.to_pylist())], np.int64)
+            lowest = np.minimum(mine, before)
+            # Shares of the probability by that of the best language so far.
+            old = np.array([x or 0.0 for x in mass.to_pylist()]) * np.exp2(np.maximum(lowest - before, -1000 * UNIT) / UNIT)
+            shares = old + np.exp2(np.maximum(lowest[:, None] - length, -1000 * UNIT) / UNIT).sum(axis=1)
+            names = [x if x is not None and b <= m else model.languages[f] for x, b, m, f in zip(best.to_pylist(), before, mine, first)]
+            columns = [pa.array([n if k else None for n, k in zip(names, known)], pa.string()), pa.array(lowest, pa.int64(), mask=~known), pa.array(shares, pa.float64(), mask=~known)]
+            yield pa.StructArray.from_arrays(columns, ["best", "least", "mass"])
+
+    return F.arrow_udf(each, f"struct<{FOUND}>")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
