@@ -338,7 +338,11 @@ def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
                 keep.append(both >= similarity * (len(p) + len(q) - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    # Only the sets that pairs name are fetched; where those are few, Spark sends the ids to the sets.
+    pairs = stored(pairs)
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = sets.join(ids, "id", "left_semi").select("id", "shingles")
+    joined = pairs.join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
 
 
@@ -355,10 +359,10 @@ def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16)
         .join(marks.toDF("a", "an", "am"), "a").join(marks.toDF("b", "bn", "bm"), "b")
         .where(may_be_similar(F.col("an"), F.col("am"), F.col("bn"), F.col("bm"), similarity)).select("a", "b")
     )
-    links = stored(similar_links(sets.select("id", "shingles"), stored(close), similarity))
+    links = stored(similar_links(sets, close, similarity))
     roots = stored(connected_components(links))
     crowded = met.where(F.col("key") != PAIR).select("key", F.col("a").alias("id"), "n", "place")
-    late = stored(similar_links(sets.select("id", "shingles"), missing_pairs(crowded, roots, marks, similarity), similarity))
+    late = stored(similar_links(sets, missing_pairs(crowded, roots, marks, similarity), similarity))
     if late.isEmpty():
         return roots
     return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
@@ -394,12 +398,17 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
         "id", "first", F.coalesce("root", "id").alias("root")
     )
     kept = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("kept")).select(
-        "kept.id", F.coalesce(F.col("kept.first.doc_id").cast("string"), F.lit("")).alias("doc")
+        "kept.id", F.coalesce(F.col("kept.first.doc_id").cast("string"), F.lit("")).alias("doc"), F.lit(True).alias("stays")
     )
-    # The columns of the input travel in one struct and cannot clash with the key; of rows that agree in
-    # doc_id and text the one whose other columns come first in their JSON stays.
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
-    mine = keyed.withColumn("id", F.xxhash64("text")).drop("text").join(kept, ["id", "doc"])
+    # The columns of the input travel in one struct and cannot clash with the key. Rows whose keys go or repeat
+    # are found from the keys alone, so that where those are few no text is shuffled.
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("id"), doc)
+    keys = docs.select(F.xxhash64(text).alias("id"), doc).groupBy("id", "doc").agg(F.count("*").alias("rows"))
+    odd = stored(keys.join(kept, ["id", "doc"], "left").where("stays is null or rows > 1"))
+    single = keyed.join(odd.select("id", "doc"), ["id", "doc"], "left_anti")
+    # Of rows that agree in doc_id and text the one whose other columns come first in their JSON stays.
     others = F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    first = mine.groupBy("id", "doc").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), others)).alias("row"))
-    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    several = keyed.join(odd.where("stays").select("id", "doc"), ["id", "doc"], "left_semi")
+    first = several.groupBy("id", "doc").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), others)).alias("row"))
+    return single.select("row").unionByName(first.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
