@@ -194,6 +194,16 @@ def clock(ms: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(s / 60), s % 60)
 
 
+def timecode(ms: Column) -> Column:
+    """M:ss.d."""
+    return F.concat(clock(ms), F.lit("."), (F.floor((ms % 1000 + 50) / 100) % 10).cast("string"))
+
+
+def lines(n: Column) -> Column:
+    """How many lines."""
+    return F.concat(n.cast("string"), F.when(n == 1, " line").otherwise(" lines"))
+
+
 def without_editorial(text: Column) -> Column:
     """X11: a translator's line without channel label, closing note, bracketed alternatives and leading junk."""
     out = F.regexp_replace(F.trim(empty(text)), r"(?i)^(thought|analysis|final)\s*\n+", "")

@@ -240,3 +240,36 @@ def absorbed_rests(pieces: DataFrame, touch_ms: int = 50, most_ms: int = 1200) -
     return grouped.groupBy("vid", "g").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), line.alias("text"), F.max("origin").alias("origin")
     ).drop("g")
+
+
+def filled_gaps(
+    levels: DataFrame, segments: DataFrame, target: Column, win_ms: int = 4000, least_ms: int = 600, peak: float = 0.04,
+    floor: float = 0.008, head: int = 10, hop_ms: int = 100,
+) -> DataFrame:
+    """Vid, start_ms, end_ms of original audio to keep where no segment is and the target language is heard.
+
+    ``levels`` has vid, frame, rms and voice. A gap is a run of frames that no segment touches; it opens a
+    frame after the voice first pauses, if it does so in its first second. It is judged in windows of 4 s, a
+    rest of less than half a window with the one before; ``target`` is the witness's word on a window (vid,
+    start_ms, end_ms). Windows in a row are one stretch, kept if 0.6 s long and somewhere loud.
+    """
+    half = win_ms // 2
+    touched = segments.select("vid", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), "start_ms") / hop_ms), F.floor(F.col("end_ms") / hop_ms))).alias("frame")).distinct()
+    along = Window.partitionBy("vid").orderBy("frame")
+    free = levels.join(touched, ["vid", "frame"], "left_anti").withColumn("run", F.col("frame") - F.row_number().over(along))
+    gap = Window.partitionBy("vid", "run")
+    placed = free.withColumns({"first": F.min("frame").over(gap), "end": F.max("frame").over(gap) + 1})
+    pause = F.min(F.when((F.col("voice") < floor) & (F.col("frame") - F.col("first") < head), F.col("frame") + 1)).over(gap)
+    opened = placed.withColumn("a", F.least(F.coalesce(pause, F.col("first")), F.col("end"))).where("frame >= a")
+    length = (F.col("end") - F.col("a")) * hop_ms
+    loud = opened.withColumn("top", F.max("rms").over(gap)).where((length >= least_ms) & (F.col("top") >= peak))
+    count = F.greatest(F.lit(1), F.floor((length + half) / win_ms))
+    numbered = loud.withColumn("k", F.least(F.floor((F.col("frame") - F.col("a")) * hop_ms / win_ms), count - 1))
+    windows = numbered.groupBy("vid", "run", "k").agg(
+        (F.min("frame") * hop_ms).alias("start_ms"), ((F.max("frame") + 1) * hop_ms).alias("end_ms"), F.max("rms").alias("top")
+    ).where(target)
+    row = Window.partitionBy("vid", "run").orderBy("k")
+    stretches = windows.withColumn("stretch", F.col("k") - F.row_number().over(row)).groupBy("vid", "run", "stretch").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("top").alias("top")
+    )
+    return stretches.where((F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.col("top") >= peak)).select("vid", "start_ms", "end_ms")

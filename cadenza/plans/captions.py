@@ -49,6 +49,23 @@ def s3(spark, sf_dir):
     return C.cue_words(C.cues(subtitles(spark, sf_dir))).drop("brk")
 
 
+@query("s4_read_files", CUES + r""", w AS (SELECT vid, count(*) AS words FROM (SELECT vid, unnest(regexp_extract_all(text, '([^ \t\n\x0B\f\r]+)')) FROM cu WHERE vid % 4 < 2) GROUP BY vid UNION ALL SELECT vid, count(*) FROM segments WHERE vid % 4 = 3 AND trim(text) <> '' GROUP BY vid),
+  f AS (SELECT DISTINCT vid, 'run-' || vid || (['.srt', '.VTT', '.txt', '.json3'])[(vid % 4 + 1)::INT] AS path FROM segments)
+  SELECT path, words, CASE WHEN vid % 4 = 2 THEN 'unknown kind of file' WHEN words IS NULL THEN 'no words' END AS reason FROM f LEFT JOIN w USING (vid)""")
+def s4(spark, sf_dir):
+    """Transcripts of four kinds, told apart by their names: how many words each has, or why it is refused."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in (".srt", ".VTT", ".txt", ".json3")]), (F.col("vid") % 4 + 1).cast("int"))
+    event = F.struct("seq", F.col("start_ms").cast("double").alias("tStartMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
+    events = F.transform(F.sort_array(F.collect_list(event)), lambda e: F.struct(e["tStartMs"].alias("tStartMs"), e["segs"].alias("segs")))
+    captions = T.segments(spark, sf_dir).groupBy("vid").agg(F.to_json(F.struct(events.alias("events"))).alias("json"))
+    files = subtitles(spark, sf_dir).join(captions, "vid").select(
+        F.concat(F.lit("run-"), F.col("vid").cast("string"), kind).alias("path"), F.when(F.col("vid") % 4 == 3, F.col("json")).otherwise(F.col("text")).alias("text")
+    )
+    words, rejects = C.words_of(files)
+    found = words.groupBy(F.col("vid").alias("path")).agg(F.count("*").alias("words"))
+    return found.select("path", "words", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("path", F.lit(None).cast("bigint").alias("words"), "reason"))
+
+
 @query("s5_checked_transcripts", CUES + " SELECT s.vid, count(cu.seq) AS cues, count(cu.seq) > 0 AS ok FROM (SELECT DISTINCT vid FROM segments) s LEFT JOIN cu USING (vid) GROUP BY s.vid")
 def s5(spark, sf_dir):
     """How many cues each transcript has; none means refusal."""

@@ -251,3 +251,23 @@ def j4(spark, sf_dir):
 @query("j5_absorbed_rests")
 def j5(spark, sf_dir):
     return I.absorbed_rests(splice(spark, sf_dir), most_ms=60_000)
+
+
+LONG = """long AS (SELECT vec_id // 16 AS vid, vec_id % 16 * 64 + frame AS frame, rms * 3.0::DOUBLE AS rms, rms * 2.0::DOUBLE AS voice FROM (SELECT vid AS vec_id, frame, rms FROM levels)),
+  said AS (SELECT DISTINCT vec_id // 16 AS vid, vec_id % 16 AS k, 6400 * (vec_id % 16) + (vec_id // 16 * 700) % 3000 AS start_ms, 6400 * (vec_id % 16) + (vec_id // 16 * 700) % 3000 + CASE WHEN vec_id % 3 = 0 THEN 6000 ELSE 1500 END AS end_ms FROM embeddings WHERE vec_id % 4 < 2)"""
+
+
+@query("n13_filled_gaps", cte("levels") + f",{LONG}" + """, hid AS (SELECT DISTINCT vid, unnest(range(start_ms // 100, end_ms // 100 + 1)) AS frame FROM said),
+  f AS (SELECT l.*, l.frame - row_number() OVER (PARTITION BY l.vid ORDER BY l.frame) AS run FROM long l ANTI JOIN hid h ON l.vid = h.vid AND l.frame = h.frame),
+  p AS (SELECT *, min(frame) OVER g AS first, max(frame) OVER g + 1 AS stop FROM f WINDOW g AS (PARTITION BY vid, run)),
+  o AS (SELECT *, least(coalesce(min(frame + 1) FILTER (voice < 0.008::DOUBLE AND frame - first < 10) OVER (PARTITION BY vid, run), first), stop) AS a FROM p),
+  l AS (SELECT *, max(rms) OVER (PARTITION BY vid, run) AS top FROM o WHERE frame >= a), n AS (SELECT *, least((frame - a) // 40, greatest(1, (stop - a + 20) // 40) - 1) AS k FROM l WHERE stop - a >= 6 AND top >= 0.04::DOUBLE),
+  w AS (SELECT vid, run, k, min(frame) * 100 AS start_ms, (max(frame) + 1) * 100 AS end_ms, max(rms) AS top FROM n GROUP BY ALL), t AS (SELECT *, k - row_number() OVER (PARTITION BY vid, run ORDER BY k) AS stretch FROM w WHERE (vid + start_ms // 1000) % 3 <> 0)
+  SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM t GROUP BY vid, run, stretch HAVING max(end_ms) - min(start_ms) >= 600 AND max(top) >= 0.04::DOUBLE""")
+def n13(spark, sf_dir):
+    """What is heard between segments of videos of a hundred seconds; every third second speaks another language."""
+    long = T.levels(spark, sf_dir).selectExpr("vid div 16 AS vid", "vid % 16 * 64 + frame AS frame", "rms * 3D AS rms", "rms * 2D AS voice")
+    said = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 4 < 2").selectExpr(
+        "vec_id div 16 AS vid", "6400 * (vec_id % 16) + (vec_id div 16 * 700) % 3000 AS start_ms", "6400 * (vec_id % 16) + (vec_id div 16 * 700) % 3000 + if(vec_id % 3 = 0, 6000, 1500) AS end_ms"
+    )
+    return I.filled_gaps(long, said, F.expr("(vid + start_ms div 1000) % 3 <> 0"))

@@ -27,6 +27,29 @@ def s13(spark, sf_dir):
     return spark.read.schema(S.FRAME).parquet(f"{out}/data")
 
 
+@query("s14_tolerant_reader", f"{FRAMES} SELECT seq, type FROM frames WHERE seq % 7 NOT IN (2, 4, 6)")
+def s14(spark, sf_dir):
+    """Frames of lines of which some are cut off, some are empty and some are of no known kind."""
+    value = F.col("value")
+    lines = T.frames(spark, sf_dir).select("seq", F.to_json(F.struct(*S.FRAME.names)).alias("value")).select(
+        F.when(F.col("seq") % 7 == 2, F.substring(value, 1, 20)).when(F.col("seq") % 7 == 4, "").when(F.col("seq") % 7 == 6, '{"type": "noise", "seq": 1}').otherwise(value).alias("value")
+    )
+    return S.counted(lines)[0].select("seq", "type")
+
+
+@query("uf3_progress", f"{FRAMES} SELECT project, count(*) AS frames, count(*) FILTER (status = 'failed') AS failed, true AS told FROM frames GROUP BY project")
+def uf3(spark, sf_dir):
+    """Frames saved from a stream whose progress was told batch by batch; told says whether it came to all rows."""
+    path, out = shared_dir(spark), shared_dir(spark)
+    S.encoded(T.frames(spark, sf_dir)).write.text(path)
+    told: list[dict] = []
+    S.with_progress(S.decoded(spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).text(path)), f"{out}/data", f"{out}/state", told.append)
+    saved = spark.read.schema(S.FRAME).parquet(f"{out}/data")
+    rows = sum(t["rows"] for t in told)
+    whole = F.sum(F.count("*")).over(Window.partitionBy()) == rows
+    return saved.groupBy("project").agg(F.count("*").alias("frames"), F.count_if(F.col("status") == "failed").alias("failed"), whole.alias("told"))
+
+
 @query("st1_typed_frames", f"{FRAMES} SELECT seq, type, status, CASE WHEN type = 'stage' THEN stage END AS stage FROM frames")
 def st1(spark, sf_dir):
     frames = S.decoded(S.encoded(T.frames(spark, sf_dir)))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import spoken as P
 from ..functions import textqc as X
 from ..operators import witnesses as N
 from ..sources import tables as T
@@ -79,9 +80,9 @@ def x19(spark, sf_dir):
     return lines.select("vid", "seq", F.when(F.col("text").rlike(r"\d"), X.spelled_numbers(F.col("text"))).otherwise(F.col("text")).alias("line"))
 
 
-@query("x29_display", cte("segments") + " SELECT vid, seq, floor((dur_ms % 1000) / 1000.0::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT || '%' AS share, dur_ms // 60000 || ':' || printf('%02d', dur_ms // 1000 % 60) AS clock FROM segments")
+@query("x29_display", cte("segments") + " SELECT vid, seq, floor((dur_ms % 1000) / 1000.0::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT || '%' AS share, dur_ms // 60000 || ':' || printf('%02d', dur_ms // 1000 % 60) AS clock, dur_ms // 60000 || ':' || printf('%02d', dur_ms // 1000 % 60) || '.' || ((dur_ms % 1000 + 50) // 100 % 10) AS timecode, (dur_ms % 3) || CASE WHEN dur_ms % 3 = 1 THEN ' line' ELSE ' lines' END AS lines FROM segments")
 def x29(spark, sf_dir):
-    return T.segments(spark, sf_dir).select("vid", "seq", X.percent((F.col("dur_ms") % 1000).cast("double") / 1000).alias("share"), X.clock(F.col("dur_ms")).alias("clock"))
+    return T.segments(spark, sf_dir).select("vid", "seq", X.percent((F.col("dur_ms") % 1000).cast("double") / 1000).alias("share"), X.clock(F.col("dur_ms")).alias("clock"), X.timecode(F.col("dur_ms")).alias("timecode"), X.lines(F.col("dur_ms") % 3).alias("lines"))
 
 
 @query("uf1_witness_table", cte("spans") + ", w AS (SELECT vid, seq, lang, p FROM spans WHERE seq % 2 = 0) SELECT s.vid, s.seq, coalesce(w.lang = 'view' AND w.p >= 0.5::DOUBLE, false) AS is_target FROM spans s LEFT JOIN w USING (vid, seq)")
@@ -130,18 +131,21 @@ def s11(spark, sf_dir):
 
 @query("d1_spoken_pairs")
 def d1(spark, sf_dir):
-    """Written numbers and their spoken form, a kind and a value drawn by a hash of each document's id."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"))
-    u = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(100))
-    n = F.pmod(F.xxhash64(F.lit("value"), "id"), F.lit(1_000_000))
-    kind = F.when(u < 40, "number").when(u < 70, "percent").otherwise("money")
-    drawn = ids.select("id", kind.alias("type"), n.alias("n"))
-    written = F.when(F.col("type") == "percent", F.concat((F.col("n") % 100).cast("string"), F.lit("%"))).when(F.col("type") == "money", F.concat(F.lit("$"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string"))
-    spoken = (
-        F.when(F.col("type") == "percent", F.concat(X.spelled_number(F.col("n") % 100), F.lit(" percent"))).when(F.col("type") == "money", F.concat(X.spelled_number(F.col("n")), F.lit(" dollars")))
-        .otherwise(X.spelled_number(F.col("n")))
-    )
-    return drawn.select("id", "type", written.alias("written"), spoken.alias("spoken"))
+    """Written forms and how they are spoken, drawn by a hash of each document's id."""
+    kind, written, spoken = P.spoken_pair(F.col("doc_id"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), kind.alias("type"), written.alias("written"), spoken.alias("spoken"))
+
+
+def listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("d2_gendered_pairs", f"""SELECT doc_id AS id, 'hebrew_gender_' || CASE WHEN doc_id % 2 = 1 THEN 'f' ELSE 'm' END AS type, ({listed(g[0] for g in P.GENDERED)})[(doc_id % 62 // 2 + 1)::INT] || CASE WHEN doc_id % 2 = 1 THEN ' (Read as Feminine)' ELSE ' (Read as Masculine)' END AS written,
+  CASE WHEN doc_id % 2 = 1 THEN ({listed(g[2] for g in P.GENDERED)})[(doc_id % 62 // 2 + 1)::INT] ELSE ({listed(g[1] for g in P.GENDERED)})[(doc_id % 62 // 2 + 1)::INT] END AS spoken FROM documents""")
+def d2(spark, sf_dir):
+    """The words that a man and a woman are told differently, dealt to the documents in turn."""
+    kind, written, spoken = P.gendered_pair(F.col("doc_id") % 62)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), kind.alias("type"), written.alias("written"), spoken.alias("spoken"))
 
 
 LATIN = r"\x{0041}-\x{005A}\x{0061}-\x{007A}\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}"

@@ -218,3 +218,14 @@ def j1(spark, sf_dir):
   SELECT vid, min(t_ms) AS start_ms, max(t_ms) + 800 AS end_ms, count(*) AS n_words FROM r GROUP BY vid, run HAVING max(t_ms) + 800 - min(t_ms) >= 800""")
 def n8(spark, sf_dir):
     return W.target_runs(mixed(spark, sf_dir), "he", "en")
+
+
+@query("j9_snapped_handoffs", cte("words", "turns") + f""",{REAL}, g AS (SELECT vid, seq, speaker, start_ms + (seq * 37) % 400 AS start_ms, greatest(end_ms, start_ms + (seq * 37) % 400) AS end_ms FROM turns),
+  h AS (SELECT *, greatest(coalesce(lag(end_ms) OVER w, 0), start_ms - 300) AS low, lag(speaker) OVER w IS DISTINCT FROM speaker AS handed FROM g WINDOW w AS (PARTITION BY vid ORDER BY seq)),
+  b AS (SELECT h.vid, h.seq, max(r.start_ms) AS snap FROM h JOIN real r ON h.vid = r.vid AND h.speaker = r.speaker AND h.handed AND r.end_ms > h.start_ms AND r.start_ms >= h.low AND r.start_ms < h.start_ms - 20 GROUP BY ALL)
+  SELECT vid, seq, coalesce(snap, start_ms) AS start_ms FROM g LEFT JOIN b USING (vid, seq)""")
+def j9(spark, sf_dir):
+    """Turns heard up to 0.4 s late, set back to where their speaker began."""
+    late = F.expr("start_ms + (seq * 37) % 400")
+    heard = T.turns(spark, sf_dir).withColumns({"end_ms": F.greatest("end_ms", late), "start_ms": late})
+    return W.snapped_handoffs(heard, T.turns(spark, sf_dir)).select("vid", "seq", "start_ms")

@@ -99,12 +99,16 @@ def cue_words(cue_rows: DataFrame, limit_ms: int | None = None) -> DataFrame:
 
 
 def read_words(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The words of all transcript files below ``folder``, and the rejected files with reasons.
+    """``words_of`` all files below ``folder``, read whole."""
+    return words_of(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
-    ``.srt`` and ``.vtt`` are read whole, ``.json3`` as JSON; a file's name takes the place of vid. Files
+
+def words_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of transcript files (path, text), and the rejected files with reasons.
+
+    ``.srt`` and ``.vtt`` are subtitles, ``.json3`` is JSON; a file's path takes the place of vid. Files
     of another kind, and files without a word, are rejects; none fails the job.
     """
-    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     named = files.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     renamed = named.withColumn("vid", F.col("path"))
     subtitles = cue_words(cues(renamed.where(F.col("kind").isin("srt", "vtt")).select("vid", "text")))

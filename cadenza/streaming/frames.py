@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,29 @@ def decoded(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", FRAME).alias("f")).where(F.col("f.type").isin(*KINDS)).select("f.*")
 
 
+def counted(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """``decoded`` frames, and how many lines there were and how many of them were no frame, once it has run."""
+    seen = Observation("lines")
+    frame = F.from_json("value", FRAME)
+    known = F.coalesce(frame["type"].isin(*KINDS), F.lit(False))
+    told = lines.select("value", known.alias("known")).observe(seen, F.count("*").alias("lines"), F.count_if(~F.col("known")).alias("skipped"))
+    return decoded(told.where("known")), seen
+
+
+def with_progress(frames: DataFrame, path: str, state: str, done: Callable[[dict], None]) -> None:
+    """UF3: saves a stream of frames batch by batch and calls ``done`` with each batch's number, rows and failures.
+
+    The counts are taken while the batch is written; only they reach the caller. A batch that is run again
+    takes the place of its first run.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        seen = Observation("batch")
+        batch.observe(seen, F.count("*").alias("rows"), F.count_if(F.col("status") == "failed").alias("failed")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done({"batch": number} | seen.get)
+
+    frames.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+
+
 def encoded(frames: DataFrame) -> DataFrame:
     """Frames as NDJSON lines."""
     return frames.select(F.to_json(F.struct(*FRAME.names)).alias("value"))

@@ -1,16 +1,20 @@
 """Hand-written cases and properties of the rules that no SQL says."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import script as S
+from cadenza.functions import spoken as P
 from cadenza.functions import textqc as X
 from cadenza.operators import folds as K
+from cadenza.operators import intervals as I
 from cadenza.operators import timeline as L
 from cadenza.operators import words as W
 from cadenza.sources import captions as C
+from cadenza.streaming import frames as Frames
 
 WORDS = "vid long, seq long, text string, t_ms long, end_ms long"
 
@@ -486,3 +490,55 @@ def test_two_voices_sees_all_vectors(spark, sf):
     ids = [r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
     sizes = {run: sum(i // 9 == run for i in ids) for run in {i // 9 for i in ids}}
     assert folds.k12(spark, sf).count() == sum(n for n in sizes.values() if n >= 3) > 300
+
+
+@pytest.mark.parametrize("column, want", [
+    (lambda: P.ordinal(F.lit(21)), "twenty-first"), (lambda: P.ordinal(F.lit(12)), "twelfth"), (lambda: P.ordinal(F.lit(24)), "twenty-fourth"), (lambda: P.ordinal(F.lit(30)), "thirtieth"),
+    (lambda: P.year(F.lit(1907)), "nineteen oh seven"), (lambda: P.year(F.lit(1900)), "nineteen hundred"), (lambda: P.year(F.lit(2003)), "two thousand and three"), (lambda: P.year(F.lit(2000)), "two thousand"), (lambda: P.year(F.lit(2024)), "twenty twenty-four"),
+    (lambda: P.digits(F.lit("204")), "two zero four"),
+])
+def test_spoken_parts(spark, column, want):
+    assert one(spark, column()) == want
+
+
+def test_spoken_pairs_of_all_kinds(spark):
+    kind, written, spoken = P.spoken_pair(F.col("id"))
+    rows = spark.range(4000).select("id", kind.alias("type"), written.alias("written"), spoken.alias("spoken")).collect()
+    shares = {k: sum(r["type"] == k for r in rows) / 40 for k in P.KINDS}
+    assert all(abs(shares[k] - w) < 3 for k, w in P.KINDS.items())
+    assert not any("-" in r["spoken"] or " and " in r["spoken"] or not r["written"] for r in rows)
+    shapes = {"time": r"\d\d:\d\d", "currency": r"\$\d+\.\d\d", "phone": r"\d{3}-\d{3}-\d{4}", "decimal": r"\d+\.\d{1,3}", "number": r"\d+", "date": r".*(19|20)\d\d.*"}
+    assert all(re.fullmatch(shapes[r["type"]], r["written"]) for r in rows if r["type"] in shapes)
+
+
+def segment_rows(spark, rows, schema="vid long, seq long, start_ms long, end_ms long, speaker string"):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], schema)
+
+
+@pytest.mark.parametrize("segments, turns, want", [
+    ([(5000, 8000, "A"), (8500, 10000, "B")], [(4900, 8100, "A"), (8250, 10100, "B")], [4900, 8250]), ([(5000, 8000, "A"), (9000, 10000, "A")], [(4900, 8100, "A"), (8800, 10100, "A")], [4900, 9000]),
+    ([(5000, 8000, "A"), (8200, 12000, "B")], [(4900, 8100, "A"), (7950, 12000, "B")], [4900, 8200]), ([(5000, 8000, "A"), (9000, 12000, "B")], [(4900, 8100, "A"), (8600, 12000, "B")], [4900, 9000]), ([(5000, 8000, "A"), (9000, 12000, "B")], [(4900, 8100, "A"), (9100, 12000, "B")], [4900, 9000]),
+])
+def test_handoffs_snap_back(spark, segments, turns, want):
+    got = W.snapped_handoffs(segment_rows(spark, segments), segment_rows(spark, turns))
+    assert [r["start_ms"] for r in got.orderBy("seq").collect()] == want
+
+
+def gaps_of(spark, levels, segments, target=None, voice=None):
+    rows = spark.createDataFrame([(1, i, x, v) for i, (x, v) in enumerate(zip(levels, voice or levels))], "vid long, frame long, rms double, voice double")
+    spans = spark.createDataFrame([(1, *s) for s in segments], "vid long, start_ms long, end_ms long")
+    return [(r["start_ms"], r["end_ms"]) for r in I.filled_gaps(rows, spans, F.lit(True) if target is None else target).orderBy("start_ms").collect()]
+
+
+def test_gaps_are_filled_from_the_first_pause(spark):
+    levels = [0.09] * 20 + [0.001] * 5 + [0.09] * 40
+    assert gaps_of(spark, levels, [(0, 1500)]) == [(2100, 6500)]
+    assert gaps_of(spark, [0.09] * 65, [(0, 1500)]) == [(1600, 6500)]
+    assert gaps_of(spark, [0.09] * 200, [(0, 2000)], F.col("start_ms") >= 9990) == [(10100, 20000)]
+    assert gaps_of(spark, [0.09] * 200, [(0, 2000)], F.lit(False)) == [] and gaps_of(spark, [0.01] * 65, [(0, 1500)]) == []
+
+
+def test_lines_that_are_no_frames_are_counted(spark):
+    lines = spark.createDataFrame([('{"t": 1, "type": "stage"}',), ('{"t": 1, "ty',), ("",), ('{"type": "noise"}',)], "value string")
+    frames, seen = Frames.counted(lines)
+    assert frames.count() == 1 and seen.get == {"lines": 4, "skipped": 3}
