@@ -1,5 +1,6 @@
 """The numbered operators: edge cases, and brute force where SQL cannot say it."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -331,16 +332,53 @@ PAGES = [
 
 def test_warc(spark):
     pages = spark.createDataFrame([(*p, "extra", "extra") for p in PAGES], "page_id long, url string, html string, archive string, digest string")
-    index = warc.archive_pages(pages, records_per_archive=2).collect()
+    index = warc.archive_pages(pages, archive_bytes=300).collect()
     assert len(index) == len(PAGES)
-    order = [(r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["archive"], r["offset"]) for r in index]
+    order = [warc.order_of(r.asDict()) for r in index]
     assert order == sorted(order)
     said = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in index}
     assert said == {(1, "revisit", 2, 11), (2, "response", None, 11), (3, "revisit", 4, 0), (4, "response", None, 0), (None, "revisit", 2, 11),
                     (6, "response", None, len(PAGES[5][2])), (7, "response", None, 200_000)}
     assert warc.archive_pages(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        list(warc.parse_records(b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Date: x\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: 99\r\n\r\nHTTP/1.1 200\r\nContent-Length: 3\r\n\r\n"))
+        warc.parse_record(b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Date: x\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: 99\r\n\r\nHTTP/1.1 200\r\nContent-Length: 3\r\n\r\n")
+
+
+def test_an_index_entry_fetches_its_record(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    warc.write_archives(warc.capture_plan(pages), f"file://{tmp_path}/a", archive_bytes=300)
+    files = {f"{p.parent.name}/{p.name}": p.read_bytes() for p in (tmp_path / "a").glob("archive=*/part-*")}
+    assert len(files) > 2 and all(gzip.decompress(x).startswith(b"WARC/1.1") for x in files.values())
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"file://{tmp_path}/a")
+    html = {p[0]: p[2] or "" for p in PAGES}
+    for r in warc.read_archives(read).collect():
+        record = warc.fetch(files[r["archive"]], r["offset"], r["length"])
+        assert record["page_id"] == r["page_id"] and record["payload_digest"] == r["payload_digest"]
+        assert record["payload"].decode() == (html[r["page_id"]] if r["record_type"] == "response" else "")
+
+
+def test_members_end_in_zero_and_come_apart():
+    records = [b"a", b"b" * 100_000, b"c" * (17 << 20), b"d"]
+    packed = [warc.member(r) for r in records]
+    assert all(m[-1] == 0 for m in packed)
+    data = b"".join(packed)
+    assert gzip.decompress(data) == b"".join(records)
+    assert [(data[at : at + n][:2], x) for at, n, x in warc.members(data)] == [(b"\x1f\x8b", r) for r in records]
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-4]))
+
+
+def test_many_ranges_give_one_order(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://h{rng.randrange(9)}.org/{rng.randrange(5)}" if i % 3 else "http://hot.org/", str(i)) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.shared_dir(spark)
+    warc.write_archives(warc.capture_plan(pages), path, archive_bytes=20_000)
+    runs = warc.stored(warc.read_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)))
+    merged = warc.merge_index(runs, rows_per_range=200)
+    got = [warc.order_of(r.asDict()) for r in merged.collect()]
+    assert got == sorted(got) and len(got) == 3000 and merged.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, runs.collect()))
 
 
 def test_loser_tree():
@@ -356,7 +394,9 @@ def test_chat(spark):
         (2, 0, "assistant", None), (2, 0, "assistant", None), (3, None, "assistant", "|>é😀"), (None, 1, "assistant", "x\n"), (4, 5, "user", "only"),
     ]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.prefix_examples(frame)).collect()}
+    found = chat.conversation_digests(chat.prefix_examples(frame.unionByName(frame.where("conv_id is null")))).collect()
+    got = {r["conv_id"]: r for r in found}
+    assert [r["n_turns"] for r in found if r["conv_id"] is None] == [1, 1]  # each row without a conversation is one of its own
     for conv in {r[0] for r in rows}:
         turns = [(r[2] or "", r[3] or "") for r in rows if r[0] == conv]
         loss = "".join(t for role, t in turns if role == "assistant")
