@@ -36,20 +36,19 @@ def prefix_examples(conversations: DataFrame) -> DataFrame:
     the whole conversation. Turns that follow the last reply come as one context-only example with
     ``loss_chars`` 0, so that no turn is lost.
 
-    Turns are ordered by turn (null first), then role and text. Null roles and texts count as empty,
-    rows with a null conv_id form one conversation, repeated rows are turns of their own, an empty
-    table has no examples, and other columns are ignored.
+    Turns are ordered by turn (null first), then role and text. Null roles and texts count as empty, a row
+    without a conv_id is a conversation of its own, repeated rows are turns of their own, an empty table
+    has no examples, and other columns are ignored. A conversation is one row here, and its examples
+    together are as long as the square of its turns: that is what expanding every prefix means.
     """
-    turns = (
-        conversations.select(
-            "conv_id",
-            F.struct(
-                "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-            ).alias("turn"),
-        )
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    each = conversations.select(
+        "conv_id",
+        F.struct(
+            "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        ).alias("turn"),
     )
+    told = each.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    turns = told.unionByName(each.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
     written = turns.select(
         "conv_id", "turns", F.size("turns").alias("n"), F.transform("turns", formatted_turn).alias("written")
     )
@@ -99,36 +98,37 @@ def conversation_digests(examples: DataFrame) -> DataFrame:
     lines = F.array_join(
         F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
+    trained = F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
     read = examples.select(
         "conv_id",
-        F.char_length("formatted").cast("long").alias("chars"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
         F.when(F.col("last"), F.size(turns)).cast("long").alias("n_turns"),
         F.when(F.col("last"), F.sha2(lines, 256)).alias("turns_sha256"),
-        F.struct(
-            "example",
-            unescaped(
-                F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
-            ).alias("text"),
-        ).alias("trained"),
+        F.struct("example", unescaped(trained).alias("text")).alias("trained"),
     )
-    return (
-        read.groupBy("conv_id")
+    whole = (
+        read.where("conv_id is not null")
+        .groupBy("conv_id")
         .agg(
             F.max("n_turns").alias("n_turns"),
             F.max("turns_sha256").alias("turns_sha256"),
             F.array_join(F.transform(F.sort_array(F.collect_list("trained")), lambda x: x["text"]), "").alias("loss"),
-            F.sum("chars").alias("formatted_chars"),
+            F.sum("formatted_chars").alias("formatted_chars"),
             F.count("*").alias("n_examples"),
         )
-        .select(
-            "conv_id",
-            "n_turns",
-            "turns_sha256",
-            F.char_length("loss").cast("long").alias("loss_chars"),
-            F.sha2("loss", 256).alias("loss_sha256"),
-            "formatted_chars",
-            "n_examples",
-        )
+    )
+    # A row without a conversation is one turn and so one example.
+    alone = read.where("conv_id is null").select(
+        "conv_id", "n_turns", "turns_sha256", F.col("trained.text").alias("loss"), "formatted_chars", F.lit(1).cast("long").alias("n_examples")
+    )
+    return whole.unionByName(alone).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_examples",
     )
 
 
@@ -137,12 +137,14 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), u AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM rows_
 ), t AS (
   SELECT *, length(regexp_replace(role, '<(\|+)', '<|\1', 'g')) + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')) + 23 AS chars,
-    row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS n
-  FROM rows_ WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id, alone) AS n
+  FROM u WINDOW o AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 ), c AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS prefix FROM t
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id, alone ORDER BY i ROWS UNBOUNDED PRECEDING) AS prefix FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
@@ -150,5 +152,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(prefix) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars,
   count(*) FILTER (role = 'assistant' OR i = n) AS n_examples
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, alone
 """
