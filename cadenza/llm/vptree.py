@@ -1,5 +1,9 @@
 """Nearest neighbours by vantage-point trees, one per shard of the vectors.
 
+Shards are cells about pivots, the vectors nearest to each, and know how near and how far from their pivot
+they reach. A query first searches one shard of its own cell; with the radius found there it visits, of the
+other shards, those alone that the same inequality does not rule out, and takes the radius along.
+
 A node of a tree holds a vantage point and, for the half of its points that is nearer and the half that is
 farther, the smallest and largest distance to it. By the triangle inequality a half can hold nothing
 nearer than the k-th best so far if the query's distance to the vantage point is off its interval by more
@@ -9,6 +13,7 @@ than that. The pruning radius is multiplied by ``factor``: one is exact, less vi
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 LEAF = 64
-#: Keeps rounding in the last place from pruning an equal distance.
-SLACK = 1e-9
+#: Share of the distances in a bound that keeps rounding from pruning an equal distance.
+SLACK = 1e-12
 
 
 def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -68,7 +73,8 @@ def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Search:
     """A batch of queries against one tree; every node is visited once, by the queries it may serve."""
 
-    def __init__(self, queries, query_ids, points, ids, shape, bounds, k, factor):
+    def __init__(self, queries, query_ids, points, ids, shape, bounds, k, factor, radius=None):
+        self.radius = np.full(len(queries), np.inf) if radius is None else radius
         self.q, self.own, self.p, self.ids = queries, query_ids, points, ids
         self.shape, self.bounds, self.k, self.factor = shape, bounds, k, factor
         self.d = np.full((len(queries), k), np.inf)
@@ -109,7 +115,8 @@ class Search:
         while todo:
             node, active, gap = todo.pop()
             # The radius may have shrunk since the node was noted.
-            active = active[gap <= self.factor * self.d[active, -1] + SLACK]
+            keep = gap <= self.factor * np.minimum(self.d[active, -1], self.radius[active])
+            active = active[keep]
             if not len(active):
                 continue
             start, middle, end, near, far = self.shape[node]
@@ -118,8 +125,8 @@ class Search:
                 continue
             d = self.offer(active, start, start + 1)[:, 0]
             low, high, low2, high2 = self.bounds[node]
-            todo.append((far, active, np.maximum(low2 - d, d - high2)))
-            todo.append((near, active, np.maximum(low - d, d - high)))
+            todo.append((far, active, np.maximum(low2 - d, d - high2) - SLACK * (d + high2)))
+            todo.append((near, active, np.maximum(low - d, d - high) - SLACK * (d + high)))
 
 
 def usable(vector: Column) -> Column:
@@ -128,76 +135,134 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 4096) -> DataFrame:
-    """The trees as a table: dims, shard, shards, tree; each row is one shard's tree, vectors included.
+def good(vectors: DataFrame, name: str = "vec_id") -> DataFrame:
+    """The vectors that take part: ``name``, dims, vector in double precision."""
+    return vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long").alias(name), F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+
+
+def drawn_pivots(rows: DataFrame, shard_rows: int, most: int) -> dict[int, np.ndarray]:
+    """Pivots for each number of dimensions: as many as it has shards, ``most`` at most, drawn by a hash of the id."""
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(most), F.ceil(F.col("n") / shard_rows))
+    unit = F.pmod(F.xxhash64(F.lit("pivots"), "vec_id"), F.lit(1 << 30))
+    # Four times as many as needed on the average, and the first of them by their hash.
+    some = rows.join(F.broadcast(sizes), "dims").withColumn("unit", unit).where(F.col("unit") / float(1 << 30) <= 4 * wanted / F.col("n"))
+    place = F.row_number().over(Window.partitionBy("dims").orderBy("unit", "vec_id"))
+    chosen = some.withColumn("place", place).where(F.col("place") <= wanted).select("dims", "vector").toPandas()
+    return {int(d): np.stack(x["vector"].to_list()).astype(np.float64) for d, x in chosen.groupby("dims")}
 
-    ``vectors`` has vec_id and embedding. Vectors that ``usable`` refuses and null ids take no part.
-    Shards are drawn by a hash of the id, so near vectors and copies spread; vectors of different lengths
-    never share one.
+
+def build_index(vectors: DataFrame, shard_rows: int = 4096, pivots: int = 256) -> DataFrame:
+    """The trees as a table, one row for each shard: dims, cell, part, low, high, pivot, tree; vectors included.
+
+    ``vectors`` has vec_id and embedding. Vectors that ``usable`` refuses and null ids take no part. A vector
+    belongs to the cell of its nearest pivot; ``low`` and ``high`` are a shard's distances to it. A cell of
+    more than ``shard_rows`` vectors, however alike, is dealt to several shards by a hash of their ids.
+    Vectors of different lengths never share one. At most ``pivots`` vectors of each length reach the driver.
     """
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long"), F.size("embedding").alias("dims"), F.col("embedding").cast("array<double>")
-    )
-    counts = rows.groupBy("dims").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    placed = rows.join(F.broadcast(counts), "dims").withColumn(
-        "shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")
-    )
+    rows = good(vectors)
+    held = rows.sparkSession.sparkContext.broadcast(drawn_pivots(rows, shard_rows, pivots))
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.assign(cell=np.int32(0), far=0.0)
+            for dims, part in pdf.groupby("dims"):
+                centres = held.value.get(int(dims), np.zeros((1, int(dims))))
+                d = distances(np.stack(part["vector"].to_list()), centres)
+                pdf.loc[part.index, "cell"], pdf.loc[part.index, "far"] = d.argmin(axis=1).astype(np.int32), d.min(axis=1)
+            yield pdf
+
+    placed = rows.mapInPandas(cells, "vec_id bigint, dims int, vector array<double>, cell int, far double")
+    sizes = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(sizes), ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        points = np.stack(pdf["embedding"].to_list()).astype(np.float64)
+        points = np.stack(pdf["vector"].to_list()).astype(np.float64)
         order, shape, bounds = build_tree(points)
         blob = io.BytesIO()
         np.savez(blob, points=points[order], ids=pdf["vec_id"].to_numpy()[order], shape=shape, bounds=bounds)
-        return pd.DataFrame(
-            {"dims": pdf["dims"].iloc[:1].to_numpy(), "shard": pdf["shard"].iloc[:1].to_numpy(),
-             "shards": pdf["shards"].iloc[:1].to_numpy(), "tree": [blob.getvalue()]}
-        )
+        dims, cell = int(pdf["dims"].iloc[0]), int(pdf["cell"].iloc[0])
+        centres = held.value.get(dims, np.zeros((1, dims)))
+        return pd.DataFrame({
+            "dims": [dims], "cell": [cell], "part": [int(pdf["part"].iloc[0])], "low": [pdf["far"].min()], "high": [pdf["far"].max()],
+            "pivot": [centres[cell]], "tree": [blob.getvalue()],
+        })
 
-    return placed.groupBy("dims", "shard").applyInPandas(tree, "dims int, shard int, shards int, tree binary")
+    return dealt.groupBy("dims", "cell", "part").applyInPandas(tree, "dims int, cell int, part int, low double, high double, pivot array<double>, tree binary")
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, block_rows: int = 1024) -> DataFrame:
+def visits(asked: DataFrame, shards: pd.DataFrame, factor: float, first: bool) -> DataFrame:
+    """``asked`` (query_id, dims, vector, radius) with the shards (cell, part) that each query visits.
+
+    First that is one shard of the nearest cell; later all others whose distance to the query, by the
+    triangle inequality about their pivot, is within the radius.
+    """
+    table = {}
+    for dims, x in shards.groupby("dims"):
+        x = x.sort_values(["cell", "part"])
+        table[int(dims)] = (np.stack(x["pivot"].to_list()), x["cell"].to_numpy(), x["part"].to_numpy(), x["low"].to_numpy(), x["high"].to_numpy())
+    held = asked.sparkSession.sparkContext.broadcast(table)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dims, part in pdf.groupby("dims"):
+                if int(dims) not in held.value:
+                    continue
+                pivots, cell, number, low, high = held.value[int(dims)]
+                for at in range(0, len(part), 256):
+                    some = part.iloc[at : at + 256]
+                    d = distances(np.stack(some["vector"].to_list()), pivots)
+                    near = cell[d.argmin(axis=1)]
+                    ids = some["query_id"].to_numpy(np.int64)
+                    many = np.bincount(cell)
+                    home = (cell[None, :] == near[:, None]) & (number[None, :] == (ids % many[near])[:, None])
+                    bound = np.maximum(low - d, d - high) - SLACK * (d + high)
+                    row, col = np.nonzero(home if first else ~home & (bound <= factor * some["radius"].to_numpy()[:, None]))
+                    yield some.iloc[row].assign(cell=cell[col].astype(np.int32), part=number[col].astype(np.int32))
+
+    return asked.select("query_id", "dims", "vector", "radius").mapInPandas(each, "query_id bigint, dims int, vector array<double>, radius double, cell int, part int")
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, block_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest vectors of each query but its own row.
 
-    Score is the Euclidean distance; ties go to the smaller vec_id. Every block of queries visits every
-    shard of its dimension, a task holding one block and one tree at a time, and the shards' best k are
-    merged per query. ``queries`` has vec_id and embedding under the rules of ``build_index``; a query
-    whose dimension no vector has finds nothing, and an empty table gives no rows.
+    Score is the Euclidean distance; ties go to the smaller vec_id. ``index`` is stored. A task holds one
+    tree and a block of about ``block_rows`` of the queries that visit it, and a tree is copied once for
+    each block. ``queries`` has vec_id and embedding under the rules of ``build_index``; a query whose
+    dimension no vector has finds nothing, and an empty table gives no rows. What every task knows of the
+    shards are their pivots and distances, never their vectors.
     """
-    asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("query_id"), F.size("embedding").alias("dims"),
-        F.col("embedding").cast("array<double>").alias("vector"),
-    )
-    blocks = int(-(-asked.count() // block_rows)) or 1
-    shards = index.groupBy("dims").agg(F.max("shards").alias("shards"))
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "dims", "shard", "block", "tree"
-    )
-    right = (
-        asked.join(F.broadcast(shards), "dims")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select("dims", "shard", "block", "query_id", "vector")
-    )
+    shards = index.select("dims", "cell", "part", "low", "high", "pivot").toPandas()
+    asked = good(queries, "query_id").withColumn("radius", F.lit(float("inf")))
+    key = ["dims", "cell", "part", "block"]
 
     def search(trees: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
         if not len(trees) or not len(asked):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         tree = np.load(io.BytesIO(trees["tree"].iloc[0]))
         own = asked["query_id"].to_numpy(np.int64)
         vectors = np.stack(asked["vector"].to_list()).astype(np.float64)
-        found = Search(vectors, own, tree["points"], tree["ids"], tree["shape"], tree["bounds"], k, factor)
+        found = Search(vectors, own, tree["points"], tree["ids"], tree["shape"], tree["bounds"], k, factor, asked["radius"].to_numpy(np.float64))
         found.run()
-        q, _ = np.nonzero(np.isfinite(found.d))
         keep = np.isfinite(found.d)
-        return pd.DataFrame(dict(zip(names, (own[q], found.i[keep], found.d[keep]))))
-
-    key = ["dims", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score double"
-    )
+        q, _ = np.nonzero(keep)
+        return pd.DataFrame({"query_id": own[q], "vec_id": found.i[keep], "score": found.d[keep]})
+
+    def searched(rows: DataFrame) -> DataFrame:
+        rows = stored(rows)
+        sizes = rows.groupBy("dims", "cell", "part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        left = index.join(F.broadcast(sizes), ["dims", "cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = rows.join(F.broadcast(sizes), ["dims", "cell", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        found = left.select(*key, "tree").groupBy(*key).cogroup(right.select(*key, "query_id", "vector", "radius").groupBy(*key))
+        return found.applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+
+    near = stored(searched(visits(asked, shards, factor, first=True)))
+    full = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("reach"))
+    narrowed = asked.join(full, "query_id", "left").withColumn("radius", F.coalesce("reach", "radius"))
+    found = near.unionByName(searched(visits(narrowed, shards, factor, first=False)))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -413,7 +413,8 @@ def test_nearest(spark):
     rows = [(i, p.tolist(), "x") for i, p in enumerate(points)]
     rows += [(1000, None, "x"), (1100, [0.0] * 12, "x"), (1200, [float("nan")] * 12, "x"), (1300, [None] * 12, "x"), (None, points[0].tolist(), "x"), (1400, [1.0, 2.0], "x"), (1401, [1.0, 3.0], "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    index = vptree.build_index(frame, shard_rows=150)
+    index = vptree.stored(vptree.build_index(frame, shard_rows=30, pivots=8))
+    assert index.count() > 15 and index.where("dims = 12").select("cell").distinct().count() == 8
     asked = frame.where("vec_id % 20 = 0")
     got = defaultdict(list)
     for r in vptree.nearest(index, asked, 10, 1.0, block_rows=16).collect():
@@ -424,6 +425,12 @@ def test_nearest(spark):
         exact[q] = sorted((x, i) for i, x in enumerate(d) if i != q)[:10]
         assert [(s, i) for _, s, i in sorted(got[q])] == exact[q]
     assert [x[2] for x in got[1400]] == [1401] and set(got) == {*range(0, 600, 20), 1400}
+    stretched = frame.where("vec_id < 600").withColumn("embedding", F.transform("embedding", lambda x: (x * 1e6 + 1e7).cast("double")))  # large norms, many equal distances
+    far = vptree.nearest(vptree.stored(vptree.build_index(stretched, shard_rows=100)), stretched.where("vec_id between 40 and 60"), 10, 1.0).collect()
+    wide = points.astype(float) * 1e6 + 1e7
+    for q in range(40, 61):
+        d = vptree.distances(wide[q : q + 1], wide)[0]
+        assert [r["vec_id"] for r in sorted(far, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in sorted((x, i) for i, x in enumerate(d) if i != q)[:10]]
     loose = vptree.nearest(index, asked, 10, 0.6).collect()
     hits = sum(r["vec_id"] in {i for _, i in exact.get(r["query_id"], [])} for r in loose)
     assert hits >= 0.9 * 10 * len(exact)
