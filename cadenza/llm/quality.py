@@ -198,18 +198,16 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     Repeated rows stay, an empty table gives no rows, all other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score", "predicted")
-    names = kept.columns
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([text_features(t.as_py()) for t in batch.column("text")]).reshape(-1, len(FEATURES))
-            s = shared.value.scores(x)
-            added = [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], [*names, "score", "predicted"])
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([text_features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
+            yield pa.array(shared.value.scores(x), pa.float64())
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(each, f"{fields}, score double, predicted int")
+    # Only texts go to Python and only scores come back; the other columns stay in one struct and cannot clash.
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    scored = docs.select(F.struct(*kept).alias("row"), F.arrow_udf(each, "double")(F.col("text")).alias("score"))
+    return scored.select(*[F.col("row")[c].alias(c) for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -41,6 +41,7 @@ def shard_documents(
     docs: DataFrame,
     shards: int = 8,
     ranges_per_shard: int = 32,
+    rows_per_range: int = 1_000_000,
     samples_per_range: int = 40,
     tolerance: float = 0.01,
 ) -> DataFrame:
@@ -53,7 +54,8 @@ def shard_documents(
 
     Null texts count as empty; null ids hash as the empty string; rows that agree in everything are
     interchangeable; an empty table gives no rows; other columns are ignored. What reaches the driver is
-    two sums and ``shards * ranges_per_shard - 1`` boundaries, and the only table that every task gets
+    two sums and the boundaries of the ranges, ``ranges_per_shard`` for a shard or one for
+    ``rows_per_range`` records if that is more, and the only table that every task gets
     holds the heavy keys, of which there are at most ``shards / tolerance``.
     """
     text = F.coalesce("text", F.lit(""))
@@ -67,7 +69,7 @@ def shard_documents(
             id_hash.alias("id_hash"),
         )
     )
-    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     heavy_size = max(1, int(total / shards * tolerance))
     heavy = (
         keyed.groupBy("key").agg(F.sum("size").alias("heavy"), F.count("*").alias("copies"))
@@ -77,7 +79,7 @@ def shard_documents(
     marked = keyed.join(F.broadcast(heavy), "key", "left")
 
     # A record enters the sample with a probability in proportion to its size.
-    ranges = shards * ranges_per_shard
+    ranges = max(shards * ranges_per_shard, -(-rows // rows_per_range))
     rate = ranges * samples_per_range / max(1, total)
     drawn = marked.where(F.col("heavy").isNull() & (F.col("id_hash") / float(16**DIGITS) < F.col("size") * rate))
     quantiles = [i / ranges for i in range(1, ranges)]

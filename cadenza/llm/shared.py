@@ -20,9 +20,12 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is empty, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is empty on one machine, as in tests, a temporary folder takes its place; on a
+    cluster the executors would not see it, so there the setting must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)

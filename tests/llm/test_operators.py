@@ -447,6 +447,35 @@ def test_quality(spark, sf):
     assert quality.classify(documents(spark, []).limit(0), labels).count() == 0
 
 
+def test_scores_and_trees_against_plain_loops():
+    """Table additions are sums of what a text's bins hold; trees are the best of all trees."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    model = quality.boost(x, (x[:, 0] * x[:, 1] > 0).astype(float), bins=9, rounds=20)
+    got = model.scores(x)
+    for row, score in zip(x, got):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins))
+        total += sum(t[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]] for (i, j), t in model.pairs.items())
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+    worth = lambda parts, g, h: sum(g[p].sum() ** 2 / (h[p].sum() + 1) for p in parts)
+    for _ in range(40):
+        g, h = rng.normal(size=7), rng.random(7)
+        values = quality._two_splits(g, h)
+        edges = [0, 7]
+        split = lambda edges: worth([slice(a, b) for a, b in zip(edges, edges[1:])], g, h)
+        for _ in range(2):  # the best split there is, if any is worth more than none
+            edges = max([edges, *(sorted([*edges, c]) for c in range(1, 7) if c not in edges)], key=split)
+        assert values == pytest.approx(np.concatenate([[g[a:b].sum() / (h[a:b].sum() + 1)] * (b - a) for a, b in zip(edges, edges[1:])]))
+        g, h = rng.normal(size=(4, 5)), rng.random((4, 5))
+        quarter = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))]
+        i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: worth(quarter(*c), g, h))
+        want = np.zeros((4, 5))
+        for p in quarter(i, j):
+            want[p] = g[p].sum() / (h[p].sum() + 1)
+        assert quality._quadrants(g, h) == pytest.approx(want)
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.random((3000, 3))
@@ -466,7 +495,23 @@ def test_sharding(spark, sf):
         shards[shard].append((slot, size))
     assert sorted(shards) == list(range(8))
     sizes = [sum(s for _, s in v) for v in shards.values()]
-    assert max(sizes) - min(sizes) < 0.1 * np.mean(sizes)
+    largest = max(s for v in shards.values() for _, s in v)
+    assert max(sizes) - min(sizes) <= 0.01 * np.mean(sizes) + 2 * largest
+    home = {d: (s, slot) for d, _, _, s, slot in again[0]}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    # Against one sorted list: no text is heavy here, so the order is that of the texts' and the ids' hashes.
+    key = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    total, at, lead, before, slots = sum(len(t.encode()) + 1 for t in texts.values()), 0, 0, None, defaultdict(int)
+    copies = defaultdict(int)
+    for t in texts.values():
+        copies[t] += len(t.encode()) + 1
+    assert not any(n > total / 8 * 0.01 and n > len(t.encode()) + 1 for t, n in copies.items())
+    for _, _, doc, text in sorted((key(t), key(str(d)), d, t) for d, t in texts.items()):
+        lead, before = (lead, before) if text == before else (at, text)
+        shard = min(7, lead * 8 // total)
+        assert home[doc] == (shard, slots[shard])  # and so equal texts share a shard
+        slots[shard] += 1
+        at += len(text.encode()) + 1
     assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in shards.values())
     assert sharding.shard_documents(docs.limit(0)).count() == 0
     hot = docs.limit(50).unionByName(docs.limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_999)))))
