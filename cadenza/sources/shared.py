@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is empty, a local temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder below ``spark.checkpoint.dir``; only where that is empty on one machine, a local temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/cadenza-{uuid.uuid4().hex}"
