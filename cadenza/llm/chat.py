@@ -29,7 +29,7 @@ def formatted_turn(turn: Column) -> Column:
 
 
 def prefix_examples(conversations: DataFrame) -> DataFrame:
-    """Training examples: conv_id, example (from 0), formatted, loss_start, loss_chars, last.
+    """Training examples: conv_id, alone, example (from 0), formatted, loss_start, loss_chars, last.
 
     ``formatted`` is a prefix of the conversation; the ``loss_chars`` code points from ``loss_start``
     (from 0) are the escaped reply and the only trainable ones. ``last`` marks the example that holds
@@ -37,26 +37,26 @@ def prefix_examples(conversations: DataFrame) -> DataFrame:
     ``loss_chars`` 0, so that no turn is lost.
 
     Turns are ordered by turn (null first), then role and text. Null roles and texts count as empty, a row
-    without a conv_id is a conversation of its own, repeated rows are turns of their own, an empty table
+    without a conv_id is a conversation of its own and has a number in ``alone``, repeated rows are turns of their own, an empty table
     has no examples, and other columns are ignored. A conversation is one row here, and its examples
     together are as long as the square of its turns: that is what expanding every prefix means.
     """
     each = conversations.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(
             "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
         ).alias("turn"),
     )
-    told = each.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    turns = told.unionByName(each.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
+    turns = each.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     written = turns.select(
-        "conv_id", "turns", F.size("turns").alias("n"), F.transform("turns", formatted_turn).alias("written")
+        "conv_id", "alone", "turns", F.size("turns").alias("n"), F.transform("turns", formatted_turn).alias("written")
     )
     ends = F.filter(
         F.sequence(F.lit(1), F.col("n")),
         lambda i: (F.element_at("turns", i)["role"] == "assistant") | (i == F.col("n")),
     )
-    each = written.select("conv_id", "turns", "n", "written", F.posexplode(ends).alias("example", "i"))
+    each = written.select("conv_id", "alone", "turns", "n", "written", F.posexplode(ends).alias("example", "i"))
     turn = F.element_at("turns", F.col("i"))
     head = F.concat(
         F.array_join(F.slice("written", F.lit(1), F.col("i") - 1), ""),
@@ -68,6 +68,7 @@ def prefix_examples(conversations: DataFrame) -> DataFrame:
     reply = escaped(turn["text"])
     return each.select(
         "conv_id",
+        "alone",
         F.col("example").cast("long").alias("example"),
         F.concat(head, reply, F.lit(END)).alias("formatted"),
         F.char_length(head).cast("long").alias("loss_start"),
@@ -101,14 +102,14 @@ def conversation_digests(examples: DataFrame) -> DataFrame:
     trained = F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
     read = examples.select(
         "conv_id",
+        "alone",
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         F.when(F.col("last"), F.size(turns)).cast("long").alias("n_turns"),
         F.when(F.col("last"), F.sha2(lines, 256)).alias("turns_sha256"),
         F.struct("example", unescaped(trained).alias("text")).alias("trained"),
     )
-    whole = (
-        read.where("conv_id is not null")
-        .groupBy("conv_id")
+    return (
+        read.groupBy("conv_id", "alone")
         .agg(
             F.max("n_turns").alias("n_turns"),
             F.max("turns_sha256").alias("turns_sha256"),
@@ -116,19 +117,15 @@ def conversation_digests(examples: DataFrame) -> DataFrame:
             F.sum("formatted_chars").alias("formatted_chars"),
             F.count("*").alias("n_examples"),
         )
-    )
-    # A row without a conversation is one turn and so one example.
-    alone = read.where("conv_id is null").select(
-        "conv_id", "n_turns", "turns_sha256", F.col("trained.text").alias("loss"), "formatted_chars", F.lit(1).cast("long").alias("n_examples")
-    )
-    return whole.unionByName(alone).select(
-        "conv_id",
-        "n_turns",
-        "turns_sha256",
-        F.char_length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        "formatted_chars",
-        "n_examples",
+        .select(
+            "conv_id",
+            "n_turns",
+            "turns_sha256",
+            F.char_length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            "formatted_chars",
+            "n_examples",
+        )
     )
 
 
