@@ -61,8 +61,8 @@ def letters(text: Column) -> Column:
 
 def count_letters(text: Column, script: str) -> Column:
     """Letters of one script; marks and digits inside its blocks never count."""
-    only = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", "")
-    return F.length(F.regexp_replace(only, f"[^{char_class(RANGES[script])}]", ""))
+    whole = F.coalesce(text, F.lit(""))
+    return F.length(whole) - F.length(F.regexp_replace(whole, rf"[\p{{L}}&&[{char_class(RANGES[script])}]]", ""))
 
 
 def script_ratio(text: Column, lang: str) -> Column:

@@ -53,11 +53,18 @@ def k5(spark, sf_dir):
     return K.stubs_merged(whole.select("vid", F.col("segment").alias("seq"), "speaker", "text", "start_ms", "end_ms", "n_words", "brk")).drop("bucket")
 
 
-@query("k6_long_split", cte("words") + """, s AS (SELECT vid, min(t_ms) AS a, max(end_ms) AS b, count(*) AS n, (seq // 60) AS segment FROM words GROUP BY vid, seq // 60) SELECT vid, segment, sum(n)::BIGINT AS words FROM s GROUP BY ALL""")
+@query("k6_long_split", cte("words") + """, e AS (SELECT vid, seq, seq // 60 AS segment, t_ms, greatest(least(end_ms, coalesce(lead(t_ms) OVER (PARTITION BY vid ORDER BY seq), end_ms)), t_ms + 20) AS end_ms FROM words),
+  g AS (SELECT *, greatest(0, t_ms - lag(end_ms) OVER (PARTITION BY vid ORDER BY seq)) AS gap FROM e),
+  n AS (SELECT *, row_number() OVER s - 1 AS i, count(*) OVER p AS n, min(t_ms) OVER p AS a, arg_max(end_ms, seq) OVER p AS b, lag(end_ms) OVER s AS le FROM g WINDOW s AS (PARTITION BY vid, segment ORDER BY seq), p AS (PARTITION BY vid, segment)),
+  c AS (SELECT *, CASE WHEN i > 0 AND le - a >= 1000 AND b - t_ms >= 1000 THEN gap * 50 - abs((le - a) - (b - t_ms)) END AS score FROM n)
+  SELECT vid, segment, count(*) AS words, CASE WHEN max(b) - max(a) > 13000 AND count(*) >= 4 THEN coalesce(arg_max(seq, (score, -i)) FILTER (score > -50000), min(seq) FILTER (i = n // 2)) END AS cut FROM c GROUP BY vid, segment""")
 def k6(spark, sf_dir):
-    """No word is lost when blocks of sixty words are cut at their pauses."""
+    """Blocks of sixty words cut at their pauses: the words of each, and where its first cut is.
+
+    The cuts after the first are held against the rule said by recursion, in the tests.
+    """
     blocks = W.word_ends(T.words(spark, sf_dir)).withColumn("segment", F.floor(F.col("seq") / 60))
-    return K.long_split(blocks).groupBy("vid", "segment").agg(F.count("*").alias("words"))
+    return K.long_split(blocks).groupBy("vid", "segment").agg(F.count("*").alias("words"), F.min(F.when(F.col("piece").startswith("b"), F.col("seq"))).alias("cut"))
 
 
 @query("k8_fragments_merged")

@@ -158,10 +158,14 @@ def x9(spark, sf_dir):
     return T.segments(spark, sf_dir).select("vid", "seq", X.prepared(odd, "en").alias("line"))
 
 
-@query("x14_without_repeated_end", cte("segments") + " SELECT vid, seq, 'one two three four five. Six seven' || seq || '.' AS line FROM segments WHERE seq % 2 = 0 UNION ALL SELECT vid, seq, 'we go, we go, we go.' FROM segments WHERE seq % 2 = 1")
+@query("x14_without_repeated_end", cte("segments") + """, w AS (SELECT vid, seq, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 5) AS a FROM segments), c AS (SELECT vid, seq, array_to_string(a, ' ') AS c FROM w WHERE len(a) = 5)
+  SELECT vid, seq, CASE WHEN seq % 2 = 0 THEN c || ', some other words.' ELSE c || ', some other words, ' || c || ' again.' END AS line FROM c""")
 def x14(spark, sf_dir):
-    said = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("one two three four five. Six seven"), F.col("seq").cast("string"), F.lit(". One two three four five."))).otherwise("we go, we go, we go.")
-    return T.segments(spark, sf_dir).select("vid", "seq", X.without_repeated_end(said).alias("line"))
+    """Lines whose first five words come again at the end; in every other one a word follows, which keeps the clause."""
+    said = T.segments(spark, sf_dir).select("vid", "seq", F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 5).alias("a")).where(F.size("a") == 5)
+    clause = F.array_join("a", " ")
+    line = F.concat(clause, F.lit(", some other words, "), clause, F.when(F.col("seq") % 2 == 0, ".").otherwise(" again."))
+    return said.select("vid", "seq", X.without_repeated_end(line).alias("line"))
 
 
 @query("x20_skeletons")
