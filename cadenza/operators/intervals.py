@@ -64,7 +64,8 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int = 10_000, tou
     """Pairs of one vid whose intervals overlap (grown by ``touch``), from time buckets and not all pairs.
 
     ``left`` and ``right`` have vid, start_ms, end_ms; the right side's other columns, start and end come
-    prefixed with ``r_``. A pair that shares buckets comes from the first of them only.
+    prefixed with ``r_``. A pair that shares buckets comes from the first of them only. Buckets should be
+    about as long as the longer intervals: one of n buckets is n rows of the join.
     """
     def bucket(x: Column) -> Column:
         return F.floor(x / bucket_ms)
@@ -89,18 +90,18 @@ def cover() -> Column:
     return F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
 
 
-def containing(segments: DataFrame, spans: DataFrame, slack: int = 50) -> DataFrame:
+def containing(segments: DataFrame, spans: DataFrame, slack: int = 50, bucket_ms: int = 10_000) -> DataFrame:
     """Segments with span_lang, the language of the first span that contains them up to ``slack``."""
-    inside = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans, touch=slack).where(
+    inside = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans, touch=slack, bucket_ms=bucket_ms).where(
         (F.col("r_start_ms") - slack <= F.col("start_ms")) & (F.col("end_ms") <= F.col("r_end_ms") + slack)
     )
     found = inside.groupBy("vid", "seq").agg(F.min_by("r_lang", "r_seq").alias("span_lang"))
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def residues(segments: DataFrame, spans: DataFrame) -> DataFrame:
+def residues(segments: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """The pieces (vid, seq, start_ms, end_ms) of each segment that no span covers."""
-    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans.select("vid", "start_ms", "end_ms"))
+    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans.select("vid", "start_ms", "end_ms"), bucket_ms=bucket_ms)
     cuts = pairs.where(cover() > 0).select(
         "vid", "seq", "start_ms", "end_ms", F.greatest("start_ms", "r_start_ms").alias("a"), F.least("end_ms", "r_end_ms").alias("b")
     )
@@ -110,15 +111,15 @@ def residues(segments: DataFrame, spans: DataFrame) -> DataFrame:
     return free.where("a > free").select("vid", "seq", F.col("free").alias("start_ms"), F.col("a").alias("end_ms"))
 
 
-def uncovered_points(points: DataFrame, covers: DataFrame, slack: int = 0) -> DataFrame:
+def uncovered_points(points: DataFrame, covers: DataFrame, slack: int = 0, bucket_ms: int = 10_000) -> DataFrame:
     """Intervals of ``points`` (with seq) that no interval of ``covers`` meets, grown by ``slack``."""
-    hit = overlap_join(points, covers.select("vid", "start_ms", "end_ms"), touch=slack).select("vid", "seq").distinct()
+    hit = overlap_join(points, covers.select("vid", "start_ms", "end_ms"), touch=slack, bucket_ms=bucket_ms).select("vid", "seq").distinct()
     return points.join(hit, ["vid", "seq"], "left_anti")
 
 
-def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float = 0.5) -> DataFrame:
+def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float = 0.5, bucket_ms: int = 10_000) -> DataFrame:
     """Segments with ``carried``, the first override (by seq) that overlaps both ways by ``share``."""
-    mutual = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), overrides).where(
+    mutual = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), overrides, bucket_ms=bucket_ms).where(
         (F.col("end_ms") > F.col("start_ms")) & (F.col("r_end_ms") > F.col("r_start_ms"))
         & (cover() >= share * (F.col("end_ms") - F.col("start_ms")))
         & (cover() >= share * (F.col("r_end_ms") - F.col("r_start_ms")))
@@ -127,9 +128,9 @@ def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float =
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6) -> DataFrame:
+def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6, bucket_ms: int = 10_000) -> DataFrame:
     """Segments with detected_lang, the label of the run that covers most of them, if at least ``share``."""
-    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), runs).withColumn("cover", cover())
+    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), runs, bucket_ms=bucket_ms).withColumn("cover", cover())
     best = F.struct("cover", (-F.col("r_start_ms")).alias("a"), (-F.col("r_seq")).alias("b"))
     found = (
         pairs.where("cover > 0").groupBy("vid", "seq")
@@ -139,9 +140,9 @@ def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6) -
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def priority_union(first: DataFrame, second: DataFrame) -> DataFrame:
+def priority_union(first: DataFrame, second: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """All of ``first``, and of ``second`` what overlaps nothing of it."""
-    pairs = overlap_join(second, first.select("vid", "start_ms", "end_ms")).where(cover() > 0)
+    pairs = overlap_join(second, first.select("vid", "start_ms", "end_ms"), bucket_ms=bucket_ms).where(cover() > 0)
     return first.unionByName(second.join(pairs.select("vid", "seq").distinct(), ["vid", "seq"], "left_anti"))
 
 

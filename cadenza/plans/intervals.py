@@ -17,6 +17,10 @@ def sp(spark, sf_dir):
     return T.spans(spark, sf_dir).where("seq % 2 = 1").select("vid", "seq", "lang", "start_ms", "end_ms", (F.col("seq") % 3 == 0).alias("passthrough"))
 
 
+#: Spans of events last most of an hour.
+HOUR = 3_600_000
+
+
 def sg(spark, sf_dir):
     return T.spans(spark, sf_dir).where("seq % 2 = 0").selectExpr(
         "vid", "seq", "lang", "start_ms + 20000 AS start_ms", "start_ms + 20000 + (end_ms - start_ms) div 4 AS end_ms", "seq % 3 = 0 AS passthrough"
@@ -139,7 +143,7 @@ def uncovered(levels, words, floor: float, least_ms: int = 700, before: int = 20
   f AS (SELECT g.vid, g.seq, arg_min(p.lang, p.seq) AS span_lang FROM sg g JOIN sp p ON g.vid = p.vid AND p.start_ms - 50 <= g.start_ms AND g.end_ms <= p.end_ms + 50 GROUP BY ALL)
   SELECT sg.vid, sg.seq, span_lang FROM sg LEFT JOIN f USING (vid, seq)""")
 def j2(spark, sf_dir):
-    return I.containing(sg(spark, sf_dir), sp(spark, sf_dir)).select("vid", "seq", "span_lang")
+    return I.containing(sg(spark, sf_dir), sp(spark, sf_dir), bucket_ms=HOUR).select("vid", "seq", "span_lang")
 
 
 @query("j3_residues", cte("spans") + f",{PAIR}" + """,
@@ -148,13 +152,13 @@ def j2(spark, sf_dir):
   d AS (SELECT *, coalesce(max(b) OVER (PARTITION BY vid, seq ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ms) AS free FROM c)
   SELECT vid, seq, free AS start_ms, a AS end_ms FROM d WHERE a > free""")
 def j3(spark, sf_dir):
-    return I.residues(sg(spark, sf_dir), sp(spark, sf_dir))
+    return I.residues(sg(spark, sf_dir), sp(spark, sf_dir), bucket_ms=HOUR)
 
 
 @query("j6_uncovered_points", cte("spans") + f",{PAIR}" + """ SELECT vid, seq, start_ms FROM sg g WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.vid = g.vid AND p.start_ms - 1000 <= g.start_ms AND g.start_ms <= p.end_ms + 1000)""")
 def j6(spark, sf_dir):
     points = sg(spark, sf_dir).selectExpr("vid", "seq", "start_ms", "start_ms AS end_ms")
-    return I.uncovered_points(points, sp(spark, sf_dir), 1000).select("vid", "seq", "start_ms")
+    return I.uncovered_points(points, sp(spark, sf_dir), 1000, bucket_ms=HOUR).select("vid", "seq", "start_ms")
 
 
 @query("j7_carried_overrides", cte("spans") + """, o AS (SELECT vid, seq, start_ms + 9000 AS start_ms, end_ms + 5000 AS end_ms, seq % 3 = 0 AS passthrough FROM spans),
@@ -163,7 +167,7 @@ def j6(spark, sf_dir):
   SELECT spans.vid, spans.seq, carried FROM spans LEFT JOIN m USING (vid, seq)""")
 def j7(spark, sf_dir):
     overrides = T.spans(spark, sf_dir).selectExpr("vid", "seq", "start_ms + 9000 AS start_ms", "end_ms + 5000 AS end_ms", "seq % 3 = 0 AS passthrough")
-    return I.carried_overrides(T.spans(spark, sf_dir), overrides).select("vid", "seq", "carried")
+    return I.carried_overrides(T.spans(spark, sf_dir), overrides, bucket_ms=HOUR).select("vid", "seq", "carried")
 
 
 @query("j8_stamped_language", cte("spans") + f",{PAIR}" + """,
@@ -171,26 +175,26 @@ def j7(spark, sf_dir):
   b AS (SELECT vid, seq, CASE WHEN cover >= 0.6*len THEN lang END AS detected_lang FROM c WHERE cover > 0 QUALIFY row_number() OVER (PARTITION BY vid, seq ORDER BY cover DESC, start_ms, ps) = 1)
   SELECT sg.vid, sg.seq, detected_lang FROM sg LEFT JOIN b USING (vid, seq)""")
 def j8(spark, sf_dir):
-    return I.stamped_language(sg(spark, sf_dir), sp(spark, sf_dir)).select("vid", "seq", "detected_lang")
+    return I.stamped_language(sg(spark, sf_dir), sp(spark, sf_dir), bucket_ms=HOUR).select("vid", "seq", "detected_lang")
 
 
 @query("j10_priority_union", cte("spans") + f",{PAIR}" + """ SELECT vid, seq, start_ms, end_ms FROM sp UNION ALL
   SELECT vid, seq, start_ms, end_ms FROM sg g WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.vid = g.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms)""")
 def j10(spark, sf_dir):
-    return I.priority_union(sp(spark, sf_dir), sg(spark, sf_dir)).select("vid", "seq", "start_ms", "end_ms")
+    return I.priority_union(sp(spark, sf_dir), sg(spark, sf_dir), bucket_ms=HOUR).select("vid", "seq", "start_ms", "end_ms")
 
 
 @query("j11_new_spans", cte("spans") + f",{PAIR}" + """ SELECT vid, seq FROM sg g WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.vid = g.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms)""")
 def j11(spark, sf_dir):
     known, new = sp(spark, sf_dir).select("vid", "start_ms", "end_ms"), sg(spark, sf_dir)
-    hit = I.overlap_join(new, known).where(I.cover() > 0).select("vid", "seq").distinct()
+    hit = I.overlap_join(new, known, bucket_ms=HOUR).where(I.cover() > 0).select("vid", "seq").distinct()
     return new.join(hit, ["vid", "seq"], "left_anti").select("vid", "seq")
 
 
 @query("j14_refused_bounds", cte("spans") + f",{PAIR}" + """ SELECT g.vid, g.seq, min(p.seq) AS neighbour, 'overlaps a neighbour' AS reason FROM sg g JOIN sp p ON p.vid = g.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms GROUP BY ALL""")
 def j14(spark, sf_dir):
     """New or moved segments refused because they overlap an existing one."""
-    hit = I.overlap_join(sg(spark, sf_dir), sp(spark, sf_dir)).where(I.cover() > 0)
+    hit = I.overlap_join(sg(spark, sf_dir), sp(spark, sf_dir), bucket_ms=HOUR).where(I.cover() > 0)
     return hit.groupBy("vid", "seq").agg(F.min("r_seq").alias("neighbour")).withColumn("reason", F.lit("overlaps a neighbour"))
 
 
