@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round joins links with one minimum per node, so a hub's links stay splittable rows, and the
     minima combine before they are shuffled. Rounds grow with the logarithm of a component's diameter.
-    Every round's links are written to the shared folder; only a count and a checksum reach the driver.
+    Every round's links are written to the shared folder and deleted after the next round; only a count and
+    a checksum reach the driver.
     Links to null and of a node to itself are ignored; repeated links count once.
     """
     edges = stored(
@@ -32,8 +33,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
+        old, edges = edges, stored(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
         before, seen = seen, _summary(edges)
+        forget(old)
         if seen == before:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()

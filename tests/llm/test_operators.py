@@ -593,3 +593,16 @@ def test_pipeline(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == corpus_pipeline.COLUMNS, name
     assert corpus_pipeline.run(spark, sf).count() > n // 2
+
+
+def test_only_stored_tables_are_forgotten(spark, tmp_path):
+    from cadenza.llm.shared import forget, stored
+
+    spark.range(5).write.parquet(f"file://{tmp_path}/mine")
+    mine = spark.read.parquet(f"file://{tmp_path}/mine")
+    table = stored(mine)
+    forget(mine)
+    assert mine.count() == 5 and table.inputFiles()
+    forget(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
