@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often and inside whatever lambda it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores."""
     return F.regexp_extract_all(empty(text), F.lit(f"({WORD})"), F.lit(1))
@@ -41,9 +48,12 @@ def compare_tokens(text: Column, lang: str) -> Column:
 
 def echoes(out: Column, src: Column) -> Column:
     """more than 65 % of the output's tokens stand in a source of four tokens or more."""
-    a, b = words(F.lower(empty(out))), words(F.lower(empty(src)))
-    same = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
-    return (F.size(b) >= 4) & (F.size(a) > 0) & (same * 100 > F.size(a) * 65)
+    def said(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        same = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
+        return (F.size(b) >= 4) & (F.size(a) > 0) & (same * 100 > F.size(a) * 65)
+
+    return bound(F.struct(words(F.lower(empty(out))).alias("a"), words(F.lower(empty(src))).alias("b")), said)
 
 
 def not_a_translation(out: Column, src: Column) -> Column:
@@ -56,18 +66,20 @@ def adjacent_repeat(text: Column, target: str = "en") -> Column:
     """The first word of four letters or more said twice, a coordinator at most between; else null."""
     if S.script_name(target) == "cjk":
         return F.lit(None).cast("string")
-    toks = words(text)
     joins = COORDINATORS.get(target, COORDINATORS["en"]).split()
     skip = REPEATABLE.split() if target == "en" else []
 
-    def hit(i: Column) -> Column:
-        a = F.lower(F.get(toks, i))
-        second, third = F.lower(F.get(toks, i + 1)), F.lower(F.get(toks, i + 2))
-        repeated = (a == second) | (F.coalesce(second.isin(*joins), F.lit(False)) & F.coalesce(a == third, F.lit(False)))
-        return (F.length(a) >= 4) & ~a.isin(*(skip or [""])) & F.coalesce(repeated, F.lit(False))
+    def first_repeated(toks: Column) -> Column:
+        def hit(i: Column) -> Column:
+            a = F.lower(F.get(toks, i))
+            second, third = F.lower(F.get(toks, i + 1)), F.lower(F.get(toks, i + 2))
+            repeated = (a == second) | (F.coalesce(second.isin(*joins), F.lit(False)) & F.coalesce(a == third, F.lit(False)))
+            return (F.length(a) >= 4) & ~a.isin(*(skip or [""])) & F.coalesce(repeated, F.lit(False))
 
-    places = F.filter(F.when(F.size(toks) > 1, F.sequence(F.lit(0), F.size(toks) - 2)).otherwise(F.array().cast("array<int>")), hit)
-    return F.get(toks, F.get(places, F.lit(0)))
+        places = F.filter(F.when(F.size(toks) > 1, F.sequence(F.lit(0), F.size(toks) - 2)).otherwise(F.array().cast("array<int>")), hit)
+        return F.get(toks, F.get(places, F.lit(0)))
+
+    return bound(words(text), first_repeated)
 
 
 def without_adjacent_repeat(text: Column, target: str = "en") -> Column:
@@ -228,25 +240,27 @@ ONES = (
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
-def spelled_number(n: Column) -> Column:
-    """A whole number below a million million in English words."""
-    ones, tens = F.array(*[F.lit(x) for x in ONES]), F.array(*[F.lit(x) for x in TENS])
+def _below_thousand(k: int) -> str:
+    low = k % 100
+    said = ONES[low] if low < 20 else TENS[low // 10 - 2] + (f"-{ONES[low % 10]}" if low % 10 else "")
+    return said if k < 100 else f"{ONES[k // 100]} hundred" + (f" and {said}" if low else "")
+
 
-    def below_hundred(x: Column) -> Column:
-        rest = F.when(x % 10 > 0, F.concat(F.lit("-"), F.get(ones, (x % 10).cast("int")))).otherwise("")
-        return F.when(x < 20, F.get(ones, x.cast("int"))).otherwise(F.concat(F.get(tens, (F.floor(x / 10) - 2).cast("int")), rest))
+#: The numbers below a thousand in words, one text; as a constant it is split once for a whole query.
+BELOW_THOUSAND = "|".join(map(_below_thousand, range(1000)))
 
-    def below_thousand(x: Column) -> Column:
-        head = F.concat(F.get(ones, F.floor(x / 100).cast("int")), F.lit(" hundred"))
-        rest = F.when(x % 100 > 0, F.concat(F.lit(" and "), below_hundred(x % 100))).otherwise("")
-        return F.when(x < 100, below_hundred(x)).otherwise(F.concat(head, rest))
+
+def spelled_number(n: Column) -> Column:
+    """A whole number below a million million in English words."""
+    def group(k: Column) -> Column:
+        return F.get(F.split(F.lit(BELOW_THOUSAND), r"\|"), k.cast("int"))
 
     parts = []
     for size, name in ((10**9, "billion"), (10**6, "million"), (10**3, "thousand")):
         g = F.floor(n / size) % 1000
-        parts.append(F.when(g > 0, F.concat(below_thousand(g), F.lit(f" {name}"))))
+        parts.append(F.when(g > 0, F.concat(group(g), F.lit(f" {name}"))))
     last = n % 1000
-    joint = F.when((last > 0) & (last < 100) & (n >= 1000), F.concat(F.lit("and "), below_thousand(last))).when(last > 0, below_thousand(last))
+    joint = F.when((last > 0) & (last < 100) & (n >= 1000), F.concat(F.lit("and "), group(last))).when(last > 0, group(last))
     return F.when(n == 0, "zero").otherwise(F.regexp_replace(F.concat_ws(", ", *parts, joint), ", and ", " and "))
 
 
@@ -256,21 +270,21 @@ def spelled_numbers(text: Column) -> Column:
     Numbers that touch a letter, a colon, a hyphen or a further dotted part stay; thousands commas are
     read through, an ordinal ending is dropped and a percent sign is spoken.
     """
-    pieces = F.regexp_extract_all(
-        empty(text), F.lit(r"((?<![\p{L}\p{N}_:.\-])(?:\d{1,3}(?:,\d{3})+|\d{1,12})(?:\s?%|(?:st|nd|rd|th)(?![\p{L}\p{N}_]))?(?![\p{L}\p{N}_:\-]|\.\d)|[\s\S])"), F.lit(1)
-    )
+    number = r"((?<![\p{L}\p{N}_:.\-])(?:\d{1,3}(?:,\d{3})+|\d{1,12})(?:\s?%|(?:st|nd|rd|th)(?![\p{L}\p{N}_]))?(?![\p{L}\p{N}_:\-]|\.\d))"
+    # Every piece is a number, what lies between digits, or a digit of a number that stays; group 1 tells.
+    pattern = F.lit(rf"{number}|\D+|\d")
 
     def say(x: Column) -> Column:
+        def spoken(n: Column) -> Column:
+            year = (~x.contains(",")) & (n >= 1900) & (n <= 2099) & ~x.contains("%") & (n % 100 > 9)
+            return F.when(year, F.concat(spelled_number(F.floor(n / 100)), F.lit(" "), spelled_number(n % 100))).otherwise(spelled_number(n))
+
         n = F.regexp_replace(F.regexp_extract(x, r"^([\d,]+)", 1), ",", "").cast("long")
-        year = (~x.contains(",")) & (n >= 1900) & (n <= 2099) & ~x.contains("%") & (n % 100 > 9)
-        spoken = F.when(year, F.concat(spelled_number(F.floor(n / 100)), F.lit(" "), spelled_number(n % 100))).otherwise(spelled_number(n))
-        return F.when(x.rlike(r"^\d") & (F.length(x) > 0), F.concat(spoken, F.when(x.contains("%"), " percent").otherwise(""))).otherwise(x)
-
-    # A digit left over as a single character belongs to a number that stays.
-    whole = F.regexp_extract_all(empty(text), F.lit(r"(?<![\p{L}\p{N}_:.\-])(\d{1,3}(?:,\d{3})+|\d{1,12})(?:\s?%|(?:st|nd|rd|th)(?![\p{L}\p{N}_]))?(?![\p{L}\p{N}_:\-]|\.\d)"), F.lit(0))
-    return F.when(F.size(whole) == 0, empty(text)).otherwise(
-        F.array_join(F.transform(pieces, lambda x: F.when(F.array_contains(whole, x), say(x)).otherwise(x)), "")
-    )
+        return F.concat(bound(n, spoken), F.when(x.contains("%"), " percent").otherwise(""))
+
+    pieces, numbers = F.regexp_extract_all(empty(text), pattern, F.lit(0)), F.regexp_extract_all(empty(text), pattern, F.lit(1))
+    told = F.zip_with(pieces, numbers, lambda x, n: F.when(n != "", say(n)).otherwise(x))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\d"), F.array_join(told, "")).otherwise(empty(text))
 
 
 # Marks of unspaced scripts and the plain mark each stands for.

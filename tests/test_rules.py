@@ -40,7 +40,7 @@ def test_text_bucket(spark, text, src, tgt, want):
 
 @pytest.mark.parametrize("text, want", [
     ("in 1982 we had 4,003 of 21", "in nineteen eighty-two we had four thousand and three of twenty-one"), ("20% off, the 4th", "twenty percent off, the four"),
-    ("at 10:30, A4 and 1.2.3 or 5-6", "at 10:30, A4 and 1.2.3 or 5-6"), ("1000000", "one million"), ("no digits", "no digits"), ("0", "zero"), ("1,234,567", "one million, two hundred and thirty-four thousand, five hundred and sixty-seven"),
+    ("at 10:30, A4 and 1.2.3 or 5-6", "at 10:30, A4 and 1.2.3 or 5-6"), ("1000000", "one million"), ("no digits", "no digits"), ("A7 and 7, 7% of 17", "A7 and seven, seven percent of seventeen"), ("0", "zero"), ("1,234,567", "one million, two hundred and thirty-four thousand, five hundred and sixty-seven"),
 ])
 def test_spelled_numbers(spark, text, want):
     assert one(spark, X.spelled_numbers(F.col("text")), text) == want
