@@ -67,7 +67,12 @@ def k6(spark, sf_dir):
     return K.long_split(blocks).groupBy("vid", "segment").agg(F.count("*").alias("words"), F.min(F.when(F.col("piece").startswith("b"), F.col("seq"))).alias("cut"))
 
 
-@query("k8_fragments_merged")
+@query("k8_fragments_merged", cte("segments").replace("WITH ", "WITH RECURSIVE ") + """, l AS (SELECT vid, seq, 'A' AS speaker, CASE WHEN seq % 3 = 0 THEN 'Le' ELSE text END AS text, start_ms + seq * 3000 AS start_ms, CASE WHEN seq % 3 = 0 THEN start_ms + 900 ELSE end_ms END + seq * 3000 AS end_ms, false AS keep FROM segments),
+  o AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY seq DESC) AS i, end_ms - start_ms <= 2000 AND len(regexp_extract_all(text, '\\S+')) BETWEEN 1 AND 2 AND NOT regexp_matches(trim(text), '[.!?…。｡！？][''"»׳״」』]?$') AS opener FROM l),
+  r AS (SELECT vid, i, seq AS head, start_ms AS onset, text AS line, NULL::VARCHAR AS spans FROM o WHERE i = 1
+    UNION ALL SELECT o.vid, o.i, CASE WHEN joins THEN head ELSE seq END, CASE WHEN joins THEN onset ELSE start_ms END, CASE WHEN joins THEN trim(text) || ' ' || line ELSE text END, CASE WHEN joins THEN concat_ws(',', start_ms || '-' || end_ms, spans) END
+    FROM (SELECT o.*, r.*  EXCLUDE (vid, i), o.opener AND trim(line) <> '' AND onset - o.end_ms BETWEEN 2000 AND 8000 AS joins FROM r JOIN o ON o.vid = r.vid AND o.i = r.i + 1) o)
+  SELECT o.vid, o.seq, speaker, m.line AS text, start_ms, end_ms, keep, m.spans AS merged_from FROM (SELECT vid, head, arg_max(line, i) AS line, arg_max({'s': spans}, i).s AS spans FROM r GROUP BY ALL) m JOIN o ON o.vid = m.vid AND o.seq = m.head""")
 def k8(spark, sf_dir):
     torn = T.segments(spark, sf_dir).selectExpr("vid", "seq", "'A' AS speaker", "if(seq % 3 = 0, 'Le', text) AS text", "start_ms", "if(seq % 3 = 0, start_ms + 900, end_ms) AS end_ms", "false AS keep")
     spread = torn.withColumns({"start_ms": F.col("start_ms") + F.col("seq") * 3000, "end_ms": F.col("end_ms") + F.col("seq") * 3000})

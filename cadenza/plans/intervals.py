@@ -252,7 +252,9 @@ def j4(spark, sf_dir):
     return splice(spark, sf_dir)
 
 
-@query("j5_absorbed_rests")
+@query("j5_absorbed_rests", cte("spans") + f",{PAIR},{TOLD}" + """, m AS (SELECT *, origin = 'rest' AND end_ms - start_ms < 60000 AS short, coalesce(lag(origin) OVER w = 'span' AND start_ms - lag(end_ms) OVER w <= 50, false) AS after, coalesce(lead(origin) OVER w = 'span' AND lead(start_ms) OVER w - end_ms <= 50, false) AS ahead FROM j4 WINDOW w AS (PARTITION BY vid ORDER BY start_ms, end_ms)),
+  o AS (SELECT *, NOT (short AND after) AND NOT coalesce(lag(short AND ahead AND NOT after) OVER (PARTITION BY vid ORDER BY start_ms, end_ms), false) AS opens FROM m), g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY vid ORDER BY start_ms, end_ms) AS g FROM o)
+  SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY start_ms, end_ms, text) AS text, max(origin) AS origin FROM g GROUP BY vid, g""")
 def j5(spark, sf_dir):
     return I.absorbed_rests(splice(spark, sf_dir), most_ms=60_000)
 

@@ -40,14 +40,20 @@ def f9(spark, sf_dir):
     return pairs(spark, sf_dir).select("vid", "seq", X.echoes(F.col("o"), F.col("s")).alias("echo"))
 
 
-@query("f10_not_a_translation", f"{PAIRS} SELECT vid, seq, {ECHO} OR regexp_matches(coalesce(o, ''), '\\*\\*|(^|\\n)[ \\t\\n\\x0B\\f\\r]*[-*•][ \\t\\n\\x0B\\f\\r]') OR (len({toks('s')}) >= 4 AND len({toks('o')}) > 4*len({toks('s')}) + 8) AS bad FROM pairs")
+#: The reply ``o`` to the line ``s`` is none.
+BAD = f"{ECHO} OR regexp_matches(coalesce(o, ''), '\\*\\*|(^|\\n)[ \\t\\n\\x0B\\f\\r]*[-*•][ \\t\\n\\x0B\\f\\r]') OR (len({toks('s')}) >= 4 AND len({toks('o')}) > 4*len({toks('s')}) + 8)"
+
+
+@query("f10_not_a_translation", f"{PAIRS} SELECT vid, seq, {BAD} AS bad FROM pairs")
 def f10(spark, sf_dir):
     return pairs(spark, sf_dir).select("vid", "seq", X.not_a_translation(F.col("o"), F.col("s")).alias("bad"))
 
 
+#: Where the word list ``a`` repeats itself.
+AGAIN = """list_filter(range(1, len(a)), lambda i: length(a[i]) >= 4 AND lower(a[i]) NOT IN ('that', 'this', 'with', 'were', 'very', 'really', 'much', 'more', 'most', 'just', 'even', 'still')
+  AND (lower(a[i]) = lower(a[i+1]) OR (coalesce(lower(a[i+1]) IN ('and', 'or'), false) AND coalesce(lower(a[i]) = lower(a[i+2]), false))))"""
 REPEAT = LINES + r""", rep AS (SELECT vid, seq, regexp_extract_all(CASE WHEN seq % 2 = 0 THEN regexp_replace(text, '^([^\p{L}]*)([\p{L}]+) ', '\1\2, \2 ') ELSE regexp_replace(text, '^([^\p{L}]*)([\p{L}]+) ', '\1\2 and \2 ') END, '([\p{L}\p{N}_]+)') AS a FROM lines),
-ri AS (SELECT vid, seq, a, list_filter(range(1, len(a)), lambda i: length(a[i]) >= 4 AND lower(a[i]) NOT IN ('that', 'this', 'with', 'were', 'very', 'really', 'much', 'more', 'most', 'just', 'even', 'still')
-  AND (lower(a[i]) = lower(a[i+1]) OR (coalesce(lower(a[i+1]) IN ('and', 'or'), false) AND coalesce(lower(a[i]) = lower(a[i+2]), false)))) AS p FROM rep)"""
+ri AS (SELECT vid, seq, a, """ + AGAIN + " AS p FROM rep)"
 
 
 @query("x12_adjacent_repeat", REPEAT + " SELECT vid, seq, a[p[1]] AS word FROM ri")
@@ -62,12 +68,47 @@ def repeated(spark, sf_dir):
     )
 
 
-@query("x13_without_repeat")
+def unrepeated(source: str, name: str) -> str:
+    """X13 in SQL: ``name``, the lines (vid, seq, t) of ``source`` without the second half of an adjacent repeat.
+
+    A pass for each kind of repeat: tokens are words and what lies between; of repeats in a chain every other one goes.
+    """
+    word, space, marks = "[\\p{L}\\p{N}_]", "[ \\t\\n\\x0B\\f\\r]", "[.!?…]"
+
+    def after(k):
+        return f"lead(x, {k}) OVER w"
+
+    joins = "', '".join(X.COORDINATORS["en"].split())
+    kinds = [
+        (2, f"lower(x) = lower({after(2)}) AND regexp_matches({after(1)}, '^{space}*,{space}*$')", "CASE WHEN b1 OR b2 THEN '' ELSE x END"),
+        (2, f"lower(x) = lower({after(2)}) AND regexp_matches({after(1)}, '^{marks}+{space}*$') AND regexp_matches(coalesce({after(3)}, ''), '^{marks}*({space}|$)')",
+         f"CASE WHEN b1 THEN regexp_extract(x, '^{marks}+') WHEN b2 THEN '' WHEN b3 THEN regexp_replace(x, '^{marks}+', '') ELSE x END"),
+        (4, f"lower(x) = lower({after(4)}) AND regexp_matches({after(1)}, '^{space}+$') AND lower({after(2)}) IN ('{joins}') AND regexp_matches({after(3)}, '^{space}+$')", "CASE WHEN b1 OR b2 OR b3 OR b4 THEN '' ELSE x END"),
+    ]
+    sql = ""
+    for k, (step, hit, kept) in enumerate(kinds):
+        was, n = source if k == 0 else f"{name}{k - 1}", f"{name}{k}"
+        sql += f""",
+  {n}a AS (SELECT vid, seq, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT vid, seq, regexp_extract_all(t, '{word}+|[^{word[1:]}+') AS a FROM {was})),
+  {n}b AS (SELECT *, regexp_matches(x, '^{word}{{4,}}$') AND coalesce({hit}, false) AS hit FROM {n}a WINDOW w AS (PARTITION BY vid, seq ORDER BY i)),
+  {n}c AS (SELECT vid, seq, i, i // {step} - row_number() OVER (PARTITION BY vid, seq, i % {step} ORDER BY i) AS chain FROM {n}b WHERE hit),
+  {n}d AS (SELECT vid, seq, i FROM {n}c QUALIFY row_number() OVER (PARTITION BY vid, seq, i % {step}, chain ORDER BY i) % 2 = 1),
+  {n}e AS (SELECT a.*, {", ".join(f"coalesce(lag(d.i, {j}) OVER (PARTITION BY a.vid, a.seq ORDER BY a.i) IS NOT NULL, false) AS b{j}" for j in range(1, 5))} FROM {n}a a LEFT JOIN {n}d d ON d.vid = a.vid AND d.seq = a.seq AND d.i = a.i),
+  {n} AS (SELECT vid, seq, coalesce(string_agg({kept}, '' ORDER BY i), '') AS t FROM {n}e GROUP BY vid, seq)"""
+    return sql + f", {name} AS (SELECT s.vid, s.seq, trim(regexp_replace(coalesce(r.t, ''), '{space}{{2,}}', ' ', 'g')) AS t FROM {source} s LEFT JOIN {name}2 r USING (vid, seq))"
+
+
+TWICE = r", again AS (SELECT vid, seq, CASE WHEN seq % 2 = 0 THEN regexp_replace(text, '^([^\p{L}]*)([\p{L}]+) ', '\1\2, \2 ') ELSE regexp_replace(text, '^([^\p{L}]*)([\p{L}]+) ', '\1\2 and \2 ') END AS t FROM lines)"
+
+
+@query("x13_without_repeat", f"{LINES}{TWICE}{unrepeated('again', 'once')} SELECT vid, seq, t AS line FROM once")
 def x13(spark, sf_dir):
     return repeated(spark, sf_dir).select("vid", "seq", X.without_adjacent_repeat(F.col("text")).alias("line"))
 
 
-@query("x11_without_editorial")
+@query("x11_without_editorial", LINES + r""", a AS (SELECT vid, seq, regexp_replace(trim('thought' || chr(10) || '/' || text || ' [and/or] *(Note: source garbled)*'), '(?i)^(thought|analysis|final)\s*\n+', '') AS t FROM lines),
+  b AS (SELECT vid, seq, regexp_replace(regexp_replace(t, '(?is)\s*\*?\((note|translator''?s? note)\b.*\)\*?\s*\z', ''), '\[([^\]/]*)(/[^\]]*)?\]', '\1', 'g') AS t FROM a)
+  SELECT vid, seq, trim(regexp_replace(regexp_replace(t, '^[\s/|,;:.!?\-–—*]+([\p{L}\p{N}])', '\1'), '[ \t\n\x0B\f\r]{2,}', ' ', 'g')) AS line FROM b""")
 def x11(spark, sf_dir):
     noted = lines(spark, sf_dir).withColumn("text", F.expr("'thought\n/' || text || ' [and/or] *(Note: source garbled)*'"))
     return noted.select("vid", "seq", X.without_editorial(F.col("text")).alias("line"))
@@ -89,13 +130,31 @@ def x16(spark, sf_dir):
     return lines(spark, sf_dir).select("vid", "seq", F.size(X.digit_runs(t)).cast("long").alias("numbers"), X.negated(t).alias("negated"))
 
 
-@query("x17_numbered_lines")
+@query("x17_numbered_lines", LINES + r""", r AS (SELECT vid, seq, list_filter(['1. ' || replace(text, chr(10), ' '), CASE WHEN seq % 3 = 0 THEN '3' ELSE '2' END || '. ' || replace(coalesce(text_en, 'x'), chr(10), ' ')], lambda x: regexp_matches(x, '^\s*\d+[.):]\s+\S')) AS a FROM lines)
+  SELECT vid, seq, CASE WHEN list_transform(a, lambda x: regexp_extract(x, '^\s*(\d+)', 1)) = ['1', '2'] THEN array_to_string(list_transform(a, lambda x: trim(regexp_replace(x, '^\s*\d+[.):]\s+', ''))), '|') END AS lines FROM r""")
 def x17(spark, sf_dir):
     reply = F.expr("'1. ' || text || '\n' || if(seq % 3 = 0, '3', '2') || '. ' || coalesce(text_en, 'x')")
     return lines(spark, sf_dir).select("vid", "seq", F.array_join(X.numbered_lines(F.regexp_replace(reply, r"(?<!\n)\n(?!\d\. )", " "), F.lit(2)), "|").alias("lines"))
 
 
-@query("x18_spelled_numbers")
+def said(n: str) -> str:
+    """SQL of a whole number below a million millions in words, by ``w``, the list of those below a thousand."""
+    parts = [f"CASE WHEN {n} // {size} % 1000 > 0 THEN w[{n} // {size} % 1000 + 1] || ' {name}' END" for size, name in ((10**9, "billion"), (10**6, "million"), (10**3, "thousand"))]
+    last = f"CASE WHEN {n} % 1000 > 0 THEN CASE WHEN {n} % 1000 < 100 AND {n} >= 1000 THEN 'and ' ELSE '' END || w[{n} % 1000 + 1] END"
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE replace(concat_ws(', ', {', '.join([*parts, last])}), ', and ', ' and ') END"
+
+
+def quoted(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+#: Words of the numbers from 0 to 999.
+SAID = f"""n0 AS (SELECT n, {quoted(X.ONES)} AS ones, {quoted(X.TENS)} AS tens, n % 100 AS r FROM (SELECT unnest(range(1000)) AS n)), n1 AS (SELECT *, CASE WHEN r < 20 THEN ones[r + 1] ELSE tens[r // 10 - 1] || CASE WHEN r % 10 > 0 THEN '-' || ones[r % 10 + 1] ELSE '' END END AS low FROM n0),
+  wl AS (SELECT list(CASE WHEN n < 100 THEN low WHEN r = 0 THEN ones[n // 100 + 1] || ' hundred' ELSE ones[n // 100 + 1] || ' hundred and ' || low END ORDER BY n) AS w FROM n1)"""
+
+
+@query("x18_spelled_numbers", f"""{LINES}, {SAID}, k AS (SELECT *, seq * 37 + 1890 AS y, 1000 + vid % 1000 AS z FROM lines, wl)
+  SELECT vid, seq, text || ' ' || CASE WHEN y BETWEEN 1900 AND 2099 AND y % 100 > 9 THEN {said("(y // 100)")} || ' ' || {said("(y % 100)")} ELSE {said("y")} END || ', ' || {said("vid")} || ' percent A' || seq || ' ' || {said("z")} AS line FROM k""")
 def x18(spark, sf_dir):
     t = F.expr("text || ' ' || (seq * 37 + 1890) || ', ' || vid || '% A' || seq || ' 1,' || lpad(cast(vid % 1000 AS string), 3, '0')")
     return lines(spark, sf_dir).select("vid", "seq", X.spelled_numbers(t).alias("line"))

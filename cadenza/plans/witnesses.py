@@ -13,6 +13,7 @@ from ..sources import tables as T
 from ..sources.audio import pcm_frames
 from ..sources.tables import cte
 from .registry import query
+from .textqc import AGAIN, BAD, unrepeated
 
 
 @query("f3_decoded_words", cte("words") + " SELECT vid, row_number() OVER (PARTITION BY vid ORDER BY seq) - 1 AS seq, t_ms, greatest(CASE WHEN seq % 4 = 0 THEN t_ms ELSE end_ms END, t_ms + 20) AS end_ms, text, CASE WHEN seq % 3 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS p FROM words")
@@ -67,7 +68,9 @@ def f14(spark, sf_dir):
     return beats.select("vid", "seq", N.interjection(("hello", "ok", "thanks")).alias("beat"))
 
 
-@query("x32_chosen_line")
+@query("x32_chosen_line", cte("attempts") + ", c AS (SELECT vid, seq, attempt, speak AS s, CASE attempt WHEN 0 THEN '**' || speak WHEN 1 THEN regexp_replace(speak, '[aeiou]', 'o', 'g') ELSE heard END AS o FROM attempts),"
+  + f" m AS (SELECT *, NOT ({BAD}) AND trim(coalesce(o, '')) <> '' AS clean, regexp_extract_all(coalesce(o, ''), '([\\p{{L}}\\p{{N}}_]+)') AS a FROM c), w AS (SELECT *, len({AGAIN}) > 0 AS twice FROM m),"
+  + " f AS (SELECT vid, seq, arg_min(o, attempt) FILTER (clean) AS t, arg_min(o, attempt) FILTER (clean AND NOT twice) AS good FROM w GROUP BY vid, seq)" + unrepeated("f", "u") + " SELECT f.vid, f.seq, coalesce(good, u.t, '') AS line FROM f JOIN u USING (vid, seq)")
 def x32(spark, sf_dir):
     lines = T.attempts(spark, sf_dir).selectExpr("vid", "seq", "attempt", "speak AS src", "CASE attempt WHEN 0 THEN '**' || speak WHEN 1 THEN regexp_replace(speak, '[aeiou]', 'o') ELSE heard END AS out")
     return N.chosen_line(lines)
@@ -168,12 +171,17 @@ def x14(spark, sf_dir):
     return said.select("vid", "seq", X.without_repeated_end(line).alias("line"))
 
 
-@query("x20_skeletons")
+@query("x20_skeletons", cte("words") + """, c AS (SELECT vid, seq, string_split(regexp_replace(replace(lower(text), 'c', 'k'), '[aeiou]', '', 'g'), '') AS a FROM words)
+  SELECT vid, seq, array_to_string(list_filter(a, lambda x, i: i = 1 OR a[i - 1] <> x), '') AS skeleton FROM c""")
 def x20(spark, sf_dir):
     return T.words(spark, sf_dir).select("vid", "seq", X.latin_skeleton(F.col("text")).alias("skeleton"))
 
 
-@query("x26_options")
+@query("x26_options", cte("segments") + f""", d AS (SELECT unnest({listed(X.OPTIONS)}) AS k, unnest({listed(X.OPTIONS.values())}) AS usual), u AS (SELECT vid, seq, unnest(['speed', 'pitch']) AS k, unnest([CASE WHEN seq % 2 = 1 THEN '0.9' END, 'x']) AS v FROM segments),
+  c AS (SELECT vid, seq, unnest(['seed', 'greedy', 'speed']) AS k, unnest([seq::VARCHAR, 'false', '1.2']) AS v FROM segments), o AS (SELECT * FROM u UNION ALL SELECT * FROM c ANTI JOIN u USING (vid, seq, k)),
+  m AS (SELECT vid, seq, k || '=' || v AS kv FROM o JOIN d USING (k) WHERE v <> usual),
+  b AS (SELECT vid, seq, string_agg(k, ',' ORDER BY k) AS bad FROM u WHERE v IS NOT NULL AND NOT (k = 'seed' AND regexp_matches(v, '^\\d*$') OR k = 'greedy' AND v IN ('true', 'false') OR k IN ('speed', 'temperature') AND regexp_matches(v, '^\\d+(\\.\\d+)?$') OR k = 'ref' AND v <> '') GROUP BY ALL)
+  SELECT s.vid, s.seq, count(kv) AS n, coalesce(any_value(bad), '') AS bad, coalesce(substr(sha1(string_agg(kv, '|' ORDER BY kv)), 1, 10), '') AS fingerprint FROM segments s LEFT JOIN m USING (vid, seq) LEFT JOIN b USING (vid, seq) GROUP BY s.vid, s.seq""")
 def x26(spark, sf_dir):
     """Options of each line merged with an update, checked and hashed."""
     lines = T.segments(spark, sf_dir).selectExpr("vid", "seq", "map('seed', cast(seq AS string), 'greedy', 'false', 'speed', '1.2') AS current", "map('speed', if(seq % 2 = 0, null, '0.9'), 'pitch', 'x') AS updates")
