@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, oggmedia, packing, quality, sharding, simhash, vptree, warc
+from . import bloomlm, chat, gnat, heapmeans, langid, mixing, oggmedia, packing, quality, sharding, simhash, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(gnat.planted(table(spark, sf_dir, "embeddings")), every=100, positives=5, negatives=5)
+
+
+def op12_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heapmeans.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -95,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_negatives": op11_negatives,
+        "op12_scoring": op12_scoring,
+        "op13_clusters": op13_clusters,
     }
 
 
@@ -104,4 +119,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE,
         "op6_chat": chat.ORACLE,
         "op7_nearest": vptree.ORACLE,
+        "op11_negatives": gnat.ORACLE,
+        "op13_clusters": heapmeans.ORACLE,
     }
