@@ -8,7 +8,9 @@ from ..sources import tables as T
 from ..sources.shared import shared_dir
 from ..sources.tables import cte
 from ..streaming import frames as S
+from ..streaming import stateful
 from .registry import query
+from .words import BUCKETS, MIXED, mixed, session_sql
 
 FRAMES = cte("frames")
 LIST = "['" + "', '".join(STAGES) + "']"
@@ -178,3 +180,54 @@ def s12(spark, sf_dir):
 @query("st4_replay", f"{FRAMES}, b AS (SELECT * FROM frames WHERE t <= 1705276800000000 QUALIFY row_number() OVER (PARTITION BY job ORDER BY t DESC, seq DESC) = 1) SELECT true AS prelude, job, t, seq, stage, status FROM b UNION ALL SELECT false, job, t, seq, stage, status FROM frames WHERE t > 1705276800000000")
 def st4(spark, sf_dir):
     return S.replay(T.frames(spark, sf_dir), F.lit(1705276800000000))
+
+
+@query("st3_buffer_stream", f"""{FRAMES}, r AS (SELECT project, seq, row_number() OVER (PARTITION BY project ORDER BY t DESC, seq DESC) AS k, count(*) OVER (PARTITION BY project) AS n FROM frames)
+  SELECT project::VARCHAR AS sub, 'frame' AS kind, seq, 1 AS n FROM r WHERE k <= 32 UNION ALL SELECT DISTINCT project::VARCHAR, 'dropped', NULL, n - 32 FROM r WHERE n > 32""")
+def st3_stream(spark, sf_dir):
+    """What a reader of each project gets who takes all at the end, over a stream that stops in between."""
+    path, out, state = (shared_dir(spark) for _ in range(3))
+    frames = T.frames(spark, sf_dir).select(F.col("project").cast("string").alias("sub"), "t", "seq", F.to_json(F.struct("type", "stage")).alias("frame"), F.lit(None).cast("long").alias("takes"))
+    cut = frames.agg(F.percentile_approx("t", 0.5)).first()[0]
+    ends = frames.select("sub").distinct().select("sub", F.lit(1 << 60).alias("t"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("frame"), F.lit(1 << 30).cast("long").alias("takes"))
+    for part in (frames.where(F.col("t") <= cut), frames.where(F.col("t") > cut).unionByName(ends)):
+        part.write.mode("append").parquet(path)
+        sent = stateful.appended(stateful.buffer_stream(spark.readStream.schema(frames.schema).parquet(path), 32), out, state)
+    return sent.select("sub", "kind", "seq", "n")
+
+
+@query("st4_live_stream", f"""{FRAMES}, f AS (SELECT project::VARCHAR AS sub, seq, job, stage, status FROM frames), m AS (SELECT max(seq) * 4 // 5 AS mark FROM f),
+  b AS (SELECT f.* FROM f, m WHERE seq <= mark QUALIFY row_number() OVER (PARTITION BY sub, job ORDER BY seq DESC) = 1)
+  SELECT sub, 'prelude' AS kind, seq, job, stage, status FROM b UNION ALL SELECT sub, 'frame', seq, job, stage, status FROM f, m WHERE seq > mark""")
+def st4_stream(spark, sf_dir):
+    """Each project's subscriber: a snapshot of the first four fifths of the frames, then the rest as a stream that is started twice."""
+    path, out, state, kept = (shared_dir(spark) for _ in range(4))
+    frames = T.frames(spark, sf_dir).select(F.col("project").cast("string").alias("sub"), "seq", "t", "job", "stage", "status")
+    top = frames.agg(F.max("seq")).first()[0]
+    frames.where(F.col("seq") <= top * 4 // 5).write.parquet(path)
+    stateful.snapshot(spark.read.schema(frames.schema).parquet(path)).write.parquet(kept)
+    for part in (frames.where((F.col("seq") > top * 4 // 5) & (F.col("seq") <= top * 9 // 10)), frames.where(F.col("seq") > top * 9 // 10)):
+        part.write.mode("append").parquet(path)
+        live = stateful.live_stream(spark.readStream.schema(frames.schema).parquet(path), spark.read.parquet(kept), heartbeat_ms=3_600_000)
+        sent = stateful.caught_up(live, out, state)
+    return sent.where("kind <> 'heartbeat'").select("sub", "kind", "seq", "job", "stage", "status")
+
+
+#: Marks from the first word on, as a stream knows of them from the first one.
+MARKED = MIXED.replace("seq % 97 = 96", "seq % 97 IN (0, 96)")
+
+
+@query("st8_segment_stream", cte("words") + f",{MARKED},{BUCKETS}," + session_sql("b5") + " SELECT vid, seq, segment FROM s3")
+def st8_segments(spark, sf_dir):
+    """Words as a stream in the order of each video that stops twice, cut into the segments of N19; a last word far ahead ends them all.
+
+    Videos have clocks of their own, so the watermark lags by a day.
+    """
+    path, out, state = (shared_dir(spark) for _ in range(3))
+    marked = mixed(spark, sf_dir).withColumn("brk", F.expr("seq % 97 IN (0, 96) AND vid % 3 = 0"))
+    words = marked.select("vid", "seq", "text", "t_ms", "end_ms", "spk", "brk", F.timestamp_millis(F.col("t_ms") + 86_400_000).alias("ts"))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("vid"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("text"), F.lit(10**12).alias("t_ms"), F.lit(10**12 + 1).alias("end_ms"), F.lit("S0").alias("spk"), F.lit(False).alias("brk"), F.timestamp_millis(F.lit(10**12)).alias("ts"))
+    for part in (words.where("seq < 100"), words.where("seq >= 100"), last):
+        part.write.mode("append").parquet(path)
+        cut = stateful.appended(stateful.segment_stream(spark.readStream.schema(words.schema).parquet(path), late="1 day"), out, state)
+    return cut.where("vid >= 0").select("vid", F.explode("words").alias("w"), "segment").select("vid", "w.seq", "segment")
