@@ -60,12 +60,57 @@ def complement(df: DataFrame, totals: DataFrame, slop: int = 50, min_len: int =
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int = 10_000, touch: int = 0) -> DataFrame:
-    """Pairs of one vid whose intervals overlap (grown by ``touch``), from time buckets and not all pairs.
+def level(start: Column, end: Column) -> Column:
+    """The level of an interval: the least n for which 4^n is longer than it, so that it meets two cells of that length at most."""
+    bits = F.length(F.bin(F.greatest(F.lit(0), end - start).cast("long")))
+    return F.ceil(bits / 2).cast("int")
+
+
+def levels_of(df: DataFrame, start: Column, end: Column) -> Column:
+    """The levels that occur in ``df``, some thirty at most, as one array; a scalar subquery of the join."""
+    return df.agg(F.collect_set(level(start, end)).alias("levels")).scalar()
+
+
+def overlap_join(left: DataFrame, right: DataFrame, touch: int = 0) -> DataFrame:
+    """Pairs of one vid whose intervals overlap (grown by ``touch``), by an index of cells and not from all pairs.
 
     ``left`` and ``right`` have vid, start_ms, end_ms; the right side's other columns, start and end come
-    prefixed with ``r_``. A pair that shares buckets comes from the first of them only. Buckets should be
-    about as long as the longer intervals: one of n buckets is n rows of the join.
+    prefixed with ``r_``. An interval is filed under the cells of its own level, two at most, and looks for
+    longer ones, or as long ones, in its cells of the levels that the other side has. So a pair meets at the
+    level of its longer interval, a long interval makes no more rows than a short one, and short ones meet
+    only what is near. A pair that shares two cells comes from the first of them only.
+    """
+    renamed = right.select("vid", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "vid"])
+    a, b = F.col("start_ms") - touch, F.col("end_ms") + touch
+    r_a, r_b = F.col("r_start_ms"), F.col("r_end_ms")
+
+    def cell(x: Column) -> Column:
+        return F.call_function("shiftright", x, F.col("__level") * 2)
+
+    def filed(df: DataFrame, start: Column, end: Column, others: Column, own: int, beyond: int) -> DataFrame:
+        mine = level(start, end)
+        # -1 stands for the row's own level; the others are those at which it looks for longer ones.
+        each = df.withColumn("__at", F.explode(F.array_append(others, F.lit(-1)))).where((F.col("__at") < 0) | (F.col("__at") >= mine + beyond))
+        placed = each.withColumns({"__way": F.when(F.col("__at") < 0, own).otherwise(1 - own), "__level": F.when(F.col("__at") < 0, mine).otherwise(F.col("__at"))})
+        # A backward interval stands at its start.
+        return placed.withColumn("__cell", F.explode(F.sequence(cell(start), cell(F.greatest(start, end))))).drop("__at")
+
+    # Way 0: the left side looks for right ones as long or longer; way 1: the right side for longer left ones.
+    x = filed(left, a, b, levels_of(renamed, r_a, r_b), 1, 0)
+    y = filed(renamed, r_a, r_b, levels_of(left, a, b), 0, 1)
+    first = cell(F.greatest(a, r_a))
+    return (
+        x.join(y, ["vid", "__way", "__level", "__cell"])
+        .where((r_a <= b) & (r_b >= a) & (F.col("__cell") == first))
+        .drop("__way", "__level", "__cell")
+    )
+
+
+def bucket_join(left: DataFrame, right: DataFrame, bucket_ms: int = 10_000, touch: int = 0) -> DataFrame:
+    """The pairs of ``overlap_join`` from time buckets of one length, for words and turns, which are short by nature.
+
+    An interval makes a row for each bucket that it meets, so sides of any length belong in ``overlap_join``;
+    where all are short, this needs no look at the other side's lengths. A pair comes from its first bucket.
     """
     def bucket(x: Column) -> Column:
         return F.floor(x / bucket_ms)
@@ -90,18 +135,18 @@ def cover() -> Column:
     return F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
 
 
-def containing(segments: DataFrame, spans: DataFrame, slack: int = 50, bucket_ms: int = 10_000) -> DataFrame:
+def containing(segments: DataFrame, spans: DataFrame, slack: int = 50) -> DataFrame:
     """Segments with span_lang, the language of the first span that contains them up to ``slack``."""
-    inside = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans, touch=slack, bucket_ms=bucket_ms).where(
+    inside = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans, touch=slack).where(
         (F.col("r_start_ms") - slack <= F.col("start_ms")) & (F.col("end_ms") <= F.col("r_end_ms") + slack)
     )
     found = inside.groupBy("vid", "seq").agg(F.min_by("r_lang", "r_seq").alias("span_lang"))
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def residues(segments: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def residues(segments: DataFrame, spans: DataFrame) -> DataFrame:
     """The pieces (vid, seq, start_ms, end_ms) of each segment that no span covers."""
-    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans.select("vid", "start_ms", "end_ms"), bucket_ms=bucket_ms)
+    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), spans.select("vid", "start_ms", "end_ms"))
     cuts = pairs.where(cover() > 0).select(
         "vid", "seq", "start_ms", "end_ms", F.greatest("start_ms", "r_start_ms").alias("a"), F.least("end_ms", "r_end_ms").alias("b")
     )
@@ -111,15 +156,15 @@ def residues(segments: DataFrame, spans: DataFrame, bucket_ms: int = 10_000) ->
     return free.where("a > free").select("vid", "seq", F.col("free").alias("start_ms"), F.col("a").alias("end_ms"))
 
 
-def uncovered_points(points: DataFrame, covers: DataFrame, slack: int = 0, bucket_ms: int = 10_000) -> DataFrame:
+def uncovered_points(points: DataFrame, covers: DataFrame, slack: int = 0) -> DataFrame:
     """Intervals of ``points`` (with seq) that no interval of ``covers`` meets, grown by ``slack``."""
-    hit = overlap_join(points, covers.select("vid", "start_ms", "end_ms"), touch=slack, bucket_ms=bucket_ms).select("vid", "seq").distinct()
+    hit = overlap_join(points, covers.select("vid", "start_ms", "end_ms"), touch=slack).select("vid", "seq").distinct()
     return points.join(hit, ["vid", "seq"], "left_anti")
 
 
-def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float = 0.5, bucket_ms: int = 10_000) -> DataFrame:
+def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float = 0.5) -> DataFrame:
     """Segments with ``carried``, the first override (by seq) that overlaps both ways by ``share``."""
-    mutual = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), overrides, bucket_ms=bucket_ms).where(
+    mutual = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), overrides).where(
         (F.col("end_ms") > F.col("start_ms")) & (F.col("r_end_ms") > F.col("r_start_ms"))
         & (cover() >= share * (F.col("end_ms") - F.col("start_ms")))
         & (cover() >= share * (F.col("r_end_ms") - F.col("r_start_ms")))
@@ -128,9 +173,9 @@ def carried_overrides(segments: DataFrame, overrides: DataFrame, share: float =
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6, bucket_ms: int = 10_000) -> DataFrame:
+def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6) -> DataFrame:
     """Segments with detected_lang, the label of the run that covers most of them, if at least ``share``."""
-    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), runs, bucket_ms=bucket_ms).withColumn("cover", cover())
+    pairs = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), runs).withColumn("cover", cover())
     best = F.struct("cover", (-F.col("r_start_ms")).alias("a"), (-F.col("r_seq")).alias("b"))
     found = (
         pairs.where("cover > 0").groupBy("vid", "seq")
@@ -140,9 +185,9 @@ def stamped_language(segments: DataFrame, runs: DataFrame, share: float = 0.6, b
     return segments.join(found, ["vid", "seq"], "left")
 
 
-def priority_union(first: DataFrame, second: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def priority_union(first: DataFrame, second: DataFrame) -> DataFrame:
     """All of ``first``, and of ``second`` what overlaps nothing of it."""
-    pairs = overlap_join(second, first.select("vid", "start_ms", "end_ms"), bucket_ms=bucket_ms).where(cover() > 0)
+    pairs = overlap_join(second, first.select("vid", "start_ms", "end_ms")).where(cover() > 0)
     return first.unionByName(second.join(pairs.select("vid", "seq").distinct(), ["vid", "seq"], "left_anti"))
 
 
@@ -211,7 +256,7 @@ def spliced(segments: DataFrame, spans: DataFrame, words: DataFrame, least_ms: i
     hit = touched.select("vid", "seq").distinct()
     whole = segments.join(hit, ["vid", "seq"], "left_anti").select("vid", "start_ms", "end_ms", "text", F.lit("segment").alias("origin"))
     pieces = residues(segments.join(hit, ["vid", "seq"], "left_semi"), told).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
-    held = overlap_join(pieces, words).where(cover() > overlap_ms)
+    held = bucket_join(pieces, words).where(cover() > overlap_ms)
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r_seq", "r_text"))), lambda w: w["r_text"]), " ")
     kept = held.groupBy("vid", "seq", "start_ms", "end_ms").agg(line.alias("text")).select("vid", "start_ms", "end_ms", "text", F.lit("rest").alias("origin"))
     laid = told.select("vid", "start_ms", "end_ms", "text", F.lit("span").alias("origin"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
-from .intervals import cover, islands, overlap_join
+from .intervals import bucket_join, cover, islands
 
 
 def in_order() -> WindowSpec:
@@ -172,7 +172,7 @@ def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
         F.min("t_ms").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), F.count("*").alias("n")
     )
     points = turn_boundaries(turns).select("vid", F.col("at_ms").alias("start_ms"), F.col("at_ms").alias("end_ms"), "protect")
-    inside = overlap_join(spans.where("n >= 2"), points).where("start_ms < r_start_ms and r_start_ms < end_ms")
+    inside = bucket_join(spans.where("n >= 2"), points).where("start_ms < r_start_ms and r_start_ms < end_ms")
     at = numbered.join(inside.select("vid", "segment", "n", F.col("r_start_ms").alias("at_ms"), F.col("r_protect").alias("protect")), ["vid", "segment"])
     cuts = at.groupBy("vid", "segment", "at_ms").agg(
         F.max("protect").alias("protect"), F.max("n").alias("n"), F.count_if(F.col("mid2") < 2 * F.col("at_ms")).alias("i")
@@ -193,7 +193,7 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     real = real_turns(turns)
     timed = word_ends(words).drop("spk")
     spans = timed.select("vid", "seq", F.col("t_ms").alias("start_ms"), "end_ms")
-    covers = overlap_join(spans, real).withColumn("cover", cover()).where("cover > 0")
+    covers = bucket_join(spans, real).withColumn("cover", cover()).where("cover > 0")
     best = covers.groupBy("vid", "seq").agg(F.max_by("r_speaker", F.struct("cover", -F.col("r_start_ms"))).alias("own"))
     # Twice the midpoint keeps halves of milliseconds exact.
     mid = timed.select("vid", "seq", ((F.col("t_ms") + F.col("end_ms"))).alias("at"), F.lit(None).cast("string").alias("speaker"))
@@ -227,7 +227,7 @@ def snapped_handoffs(segments: DataFrame, turns: DataFrame) -> DataFrame:
     lower = F.greatest("prev_end", F.col("start_ms") - SEG.snap)
     reach = marked.where("handed").select("vid", "seq", "speaker", F.col("start_ms").alias("start"), lower.alias("start_ms"), F.col("start_ms").alias("end_ms"))
     onsets = real_turns(turns).select("vid", "speaker", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("off"))
-    hits = overlap_join(reach, onsets, touch=1).where(
+    hits = bucket_join(reach, onsets, touch=1).where(
         (F.col("speaker") == F.col("r_speaker")) & (F.col("r_off") > F.col("start")) & (F.col("r_start_ms") >= F.col("start_ms")) & (F.col("r_start_ms") < F.col("start") - 20)
     )
     best = hits.groupBy("vid", "seq").agg(F.max("r_start_ms").alias("snap"))
