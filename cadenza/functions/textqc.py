@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +14,20 @@ from . import script as S
 SPACE = r"[ \t\n\x0B\f\r]"
 WORD = r"[\p{L}\p{N}_]+"
 # Words of negation and of coordination, and words whose repetition is not heard as one.
-NEGATIONS = {"en": "not no never cannot none without nor n't", "fr": "ne pas jamais sans", "de": "nicht kein nie ohne", "es": "no nunca sin nada"}
+NEGATIONS = {
+    "en": "not no never cannot none without nor n't",
+    "ru": "не нет никогда нельзя",
+    "es": "no nunca sin nada",
+    "fr": "ne pas jamais sans",
+    "de": "nicht kein nie ohne",
+    "it": "non mai senza",
+    "pt": "não nunca sem",
+    "zh": "不 没",
+    "ja": "ない ません",
+    "ko": "안 않 없",
+    "ar": "لا لم لن ليس",
+    "he": "לא אין בלי",
+}
 COORDINATORS = {"en": "and or", "ru": "и или", "es": "y o", "fr": "et ou", "de": "und oder", "it": "e o", "pt": "e ou"}
 REPEATABLE = (
     "the a an and or of to in on at is are was were be by for with that this it as so no not very really much more most"
@@ -109,9 +124,12 @@ def digit_runs(text: Column) -> Column:
 
 
 def negated(text: Column, target: str = "en") -> Column:
-    """The text has a word of negation; for unspaced scripts, its characters."""
+    """The text has a word of negation; in Chinese, Japanese and Korean, which part or glue words otherwise, anywhere in it."""
     lexicon = NEGATIONS.get(target, NEGATIONS["en"]).split()
     low = F.lower(empty(text))
+    inside = [low.contains(x) for x in lexicon]
+    if S.script_name(target) in ("cjk", "hangul"):
+        return reduce(or_, inside)
     found = F.arrays_overlap(words(low), F.array(*[F.lit(x) for x in lexicon]))
     return found | low.contains("n't") if target == "en" else found
 

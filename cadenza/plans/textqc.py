@@ -124,10 +124,31 @@ def x15(spark, sf_dir):
     return lines(spark, sf_dir).select("vid", "seq", F.array_join(F.array_sort(X.proper_nouns(a)), "|").alias("none"), F.array_join(F.array_sort(X.proper_nouns(b)), "|").alias("names"))
 
 
-@query("x16_digits_and_negation", LINES + ", d AS (SELECT vid, seq, text || ' ' || seq || ', ' || vid || '.' AS t FROM lines) SELECT vid, seq, len(list_distinct(regexp_extract_all(t, '(\\d+)'))) AS numbers, regexp_matches(lower(t), '(^|[^\\p{L}\\p{N}_])(not|no|never|cannot|none|without|nor)($|[^\\p{L}\\p{N}_])') OR contains(lower(t), 'n''t') AS negated FROM d")
+#: Words of negation that two lines in seven get in one of twelve languages, so that each of them is looked for.
+PLANTED = {"en": "is not", "ru": "это не так", "es": "sin duda", "fr": "ne va", "de": "nicht so", "it": "mai più", "pt": "não vai", "zh": "我不知道", "ja": "分からない", "ko": "가지 않습니다", "ar": "لم يكن", "he": "אין דבר"}
+
+
+def negation_sql() -> str:
+    """Whether t has a word of negation of its line's language; substrings for the three that part no words."""
+    cases = []
+    for k, (lang, lexicon) in enumerate(X.NEGATIONS.items()):
+        some = lexicon.replace("n't", "").split()
+        whole = "(^|[^\\p{L}\\p{N}_])(" + "|".join(some) + ")($|[^\\p{L}\\p{N}_])"
+        test = " OR ".join(f"contains(lower(t), '{x}')" for x in some) if lang in ("zh", "ja", "ko") else f"regexp_matches(lower(t), '{whole}')"
+        cases.append(f"WHEN {k} THEN {test}" + (" OR contains(lower(t), 'n''t')" if lang == "en" else ""))
+    return f"CASE (seq + vid) % {len(X.NEGATIONS)} {' '.join(cases)} END"
+
+
+@query("x16_digits_and_negation", LINES + f""", p AS (SELECT {list(PLANTED.values())} AS w), d AS (SELECT vid, seq, text || ' ' || seq || ', ' || vid || '. ' || CASE WHEN seq % 7 < 2 THEN w[((seq + vid) % 12 + 1)::INT] ELSE '' END AS t FROM lines, p)
+  SELECT vid, seq, len(list_distinct(regexp_extract_all(t, '(\\d+)'))) AS numbers, {negation_sql()} AS negated FROM d""")
 def x16(spark, sf_dir):
-    t = F.expr("text || ' ' || seq || ', ' || vid || '.'")
-    return lines(spark, sf_dir).select("vid", "seq", F.size(X.digit_runs(t)).cast("long").alias("numbers"), X.negated(t).alias("negated"))
+    """Numbers and negation of lines, each looked at in one of twelve languages."""
+    which = F.expr("cast((seq + vid) % 12 AS int)")
+    planted = F.when(F.expr("seq % 7 < 2"), F.get(F.array(*[F.lit(w) for w in PLANTED.values()]), which)).otherwise("")
+    t = F.concat(F.expr("text || ' ' || seq || ', ' || vid || '. '"), planted)
+    said = lines(spark, sf_dir).select("vid", "seq", t.alias("t"), which.alias("k"))
+    found = F.coalesce(*[F.when(F.col("k") == k, X.negated(F.col("t"), lang)) for k, lang in enumerate(X.NEGATIONS)])
+    return said.select("vid", "seq", F.size(X.digit_runs(F.col("t"))).cast("long").alias("numbers"), found.alias("negated"))
 
 
 @query("x17_numbered_lines", LINES + r""", r AS (SELECT vid, seq, list_filter(['1. ' || replace(text, chr(10), ' '), CASE WHEN seq % 3 = 0 THEN '3' ELSE '2' END || '. ' || replace(coalesce(text_en, 'x'), chr(10), ' ')], lambda x: regexp_matches(x, '^\s*\d+[.):]\s+\S')) AS a FROM lines)

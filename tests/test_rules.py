@@ -294,6 +294,16 @@ def test_latin_skeleton(spark, word, want):
     assert one(spark, X.latin_skeleton(F.col("text")), word) == want
 
 
+@pytest.mark.parametrize("text, lang, want", [
+    ("It is not so", "en", True), ("I don't", "en", True), ("a knot", "en", False), ("я не знаю", "ru", True), ("небо", "ru", False), ("sin ti", "es", True),
+    ("il ne va", "fr", True), ("kein Wort", "de", True), ("non lo so", "it", True), ("nonna", "it", False), ("não sei", "pt", True), ("我不知道", "zh", True),
+    ("我知道", "zh", False), ("分からない", "ja", True), ("行きません", "ja", True), ("가지 않습니다", "ko", True), ("لم يكن", "ar", True), ("אין דבר", "he", True),
+    ("הלאה", "he", False), (None, "zh", False), ("not", "xx", True),
+])
+def test_negation(spark, text, lang, want):
+    assert one(spark, X.negated(F.col("text"), lang), text) is want
+
+
 def test_a_short_rest_joins_the_span_it_touches(spark):
     from cadenza.operators import intervals as I
 
