@@ -520,6 +520,32 @@ def test_sharding_against_one_sorted_list(spark):
         at += len(text) + 1
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups that fit in a shard, heavy ones too, lie in one; the others even the shards out."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(99)) for _ in range(rng.randrange(5, 30))) for _ in range(700)]
+    rows = list(enumerate([*texts, *["same " * 12] * 80, *["other " * 9] * 60, *["third"] * 40]))
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    where, sizes, slots = defaultdict(set), defaultdict(int), defaultdict(list)
+    for r in got:
+        where[r["text_crc32"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 880 and all(len(x) == 1 for x in where.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert sorted(sizes) == list(range(8)) and max(sizes.values()) - min(sizes.values()) < 200
+    # A group of a third of all bytes exceeds a shard and is the only one to be spread.
+    rows += [(2000 + i, "far too many " * 3) for i in range(400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    where, sizes = defaultdict(set), defaultdict(int)
+    for r in got:
+        where[r["text_crc32"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert sorted(len(x) for x in where.values())[-2:][0] == 1 and max(len(x) for x in where.values()) > 1
+    assert max(sizes.values()) - min(sizes.values()) < 500
+    assert sharding.room([10, 0, 0], 20) == [0, 10, 20] and sharding.room([2, 0], 6) == [2, 6]
+
+
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 HARD = [
     "see <|endoftext|> here", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|>  ", "<|endoftext", " " * 10**6, "a" + "\n \t" * 100_000 + "b",
