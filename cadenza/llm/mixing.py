@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count
+from .shared import stored, word_count
 
 SEED = "mix-1"
 #: Hexadecimal digits of the hash that make a number in [0, 1); 13 digits fit a double exactly.
@@ -84,6 +84,10 @@ def mixing_plan(
     )
 
 
+#: Sources whose rates are still broadcast.
+MANY_SOURCES = 100_000
+
+
 def mix_documents(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -103,7 +107,9 @@ def mix_documents(
     )
     # The columns of the input travel in one struct and cannot clash with those of the plan.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = rows.join(rates, F.col("row.source").eqNullSafe(F.col("of")))
+    # Few sources, counted first, are broadcast, so that no text is shuffled; many are joined by their key.
+    rates = stored(rates)
+    joined = rows.join(F.broadcast(rates) if rates.count() <= MANY_SOURCES else rates, F.col("row.source").eqNullSafe(F.col("of")))
     extra = (unit_hash(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
     copies = joined.select("row", (F.floor("rate").cast("int") + extra).alias("copies")).where("copies > 0")
     each = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
