@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import forget, stored
 
 BITS = 64
 HALF = 32
@@ -327,7 +327,7 @@ def missing_pairs(crowded: DataFrame, roots: DataFrame, marks: DataFrame, simila
 
 
 def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (id, shingles) have at least this Jaccard similarity; empty sets are alike."""
+    """The pairs (a, b) whose sets (id, shingles) have at least this Jaccard similarity, stored; empty sets are alike."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,7 +343,10 @@ def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = sets.join(ids, "id", "left_semi").select("id", "shingles")
     joined = pairs.join(wanted.toDF("a", "x"), "a").join(wanted.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    links = stored(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint"))
+    forget(pairs)
+    forget(ids)
+    return links
 
 
 def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16) -> DataFrame:
@@ -359,10 +362,12 @@ def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16)
         .join(marks.toDF("a", "an", "am"), "a").join(marks.toDF("b", "bn", "bm"), "b")
         .where(may_be_similar(F.col("an"), F.col("am"), F.col("bn"), F.col("bm"), similarity)).select("a", "b")
     )
-    links = stored(similar_links(sets, close, similarity))
+    links = similar_links(sets, close, similarity)
     roots = stored(connected_components(links))
+    forget(links)
     crowded = met.where(F.col("key") != PAIR).select("key", F.col("a").alias("id"), "n", "place")
-    late = stored(similar_links(sets, missing_pairs(crowded, roots, marks, similarity), similarity))
+    late = similar_links(sets, missing_pairs(crowded, roots, marks, similarity), similarity)
+    forget(met)
     if late.isEmpty():
         return roots
     return connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
