@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import script as S
@@ -127,12 +127,14 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return runs.drop("segments"), segments
 
 
-def write_manifests(segments: DataFrame, path: str, fold: int = 64) -> None:
-    """Segments saved with the fields of ``SAVED`` only, in folders by a hash of the video.
+def write_manifests(segments: DataFrame, path: str, part: Column | None = None) -> None:
+    """Segments saved with the fields of ``SAVED`` only, in folders by ``part``, a hash of the video unless given.
 
-    Saving some videos again replaces their folders and no others.
+    All videos of a folder are saved together: saving again replaces the folders of the rows given, and no
+    others.
     """
+    folder = F.pmod(F.xxhash64("vid"), F.lit(64)) if part is None else part
     (
-        segments.select("vid", "id", *SAVED).withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(fold)))
+        segments.select("vid", "id", *SAVED).withColumn("part", folder)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(path)
     )
