@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import script as S
+from ..params import SEG
+
 
 def islands(df: DataFrame, key: str, order: list, starts: Column, name: str = "island") -> DataFrame:
     """Numbers the islands of each key in ``order``; ``starts`` says where one begins."""
@@ -249,42 +252,63 @@ def spliced(segments: DataFrame, spans: DataFrame, words: DataFrame, least_ms: i
 
     ``segments``, ``spans`` and ``words`` have vid, seq, start_ms, end_ms and text. A span takes the place
     of what it covers. What is left of a segment, if 0.4 s long, keeps the words that lie in it by more
-    than 50 ms; a piece without a word goes. Segments that no span touches stay as they are.
+    than 50 ms; a piece without a word goes. Segments that no span touches stay as they are. Where both
+    sides have speaker or lang, pieces keep them.
     """
+    own = [c for c in ("speaker", "lang") if c in segments.columns and c in spans.columns]
     told = spans.where(F.trim("text") != "")
     touched = overlap_join(segments.select("vid", "seq", "start_ms", "end_ms"), told.select("vid", "start_ms", "end_ms")).where(cover() > 0)
     hit = touched.select("vid", "seq").distinct()
-    whole = segments.join(hit, ["vid", "seq"], "left_anti").select("vid", "start_ms", "end_ms", "text", F.lit("segment").alias("origin"))
+    whole = segments.join(hit, ["vid", "seq"], "left_anti").select("vid", "start_ms", "end_ms", "text", F.lit("segment").alias("origin"), *own)
     pieces = residues(segments.join(hit, ["vid", "seq"], "left_semi"), told).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
     held = bucket_join(pieces, words).where(cover() > overlap_ms)
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r_seq", "r_text"))), lambda w: w["r_text"]), " ")
-    kept = held.groupBy("vid", "seq", "start_ms", "end_ms").agg(line.alias("text")).select("vid", "start_ms", "end_ms", "text", F.lit("rest").alias("origin"))
-    laid = told.select("vid", "start_ms", "end_ms", "text", F.lit("span").alias("origin"))
+    kept = held.groupBy("vid", "seq", "start_ms", "end_ms").agg(line.alias("text"))
+    if own:
+        kept = kept.join(segments.select("vid", "seq", *own), ["vid", "seq"])
+    kept = kept.select("vid", "start_ms", "end_ms", "text", F.lit("rest").alias("origin"), *own)
+    laid = told.select("vid", "start_ms", "end_ms", "text", F.lit("span").alias("origin"), *own)
     return whole.unionByName(kept).unionByName(laid)
 
 
-def absorbed_rests(pieces: DataFrame, touch_ms: int = 50, most_ms: int = 1200) -> DataFrame:
+def absorbed_rests(pieces: DataFrame, src: str = "he", tgt: str = "en", touch_ms: int = 50, most_ms: int = SEG.min_len) -> DataFrame:
     """Spliced pieces in which a short rest joins the span it touches, the one before it first.
 
-    ``pieces`` has vid, start_ms, end_ms, text, origin. A rest of under 1.2 s at most 50 ms from a span
-    widens that span and adds its words; other rests stay.
+    ``pieces`` has vid, start_ms, end_ms, text, origin, speaker and lang. A rest that is under 1.2 s or of
+    fewer than three words, in the target's script, at most 50 ms from a span of its speaker without a
+    language of its own, widens that span and adds its words; the next rest then touches the wider span.
+    Other rests stay. A span is longer than the touch.
     """
-    by = Window.partitionBy("vid").orderBy("start_ms", "end_ms")
-    prev, nxt = F.lag(F.struct("origin", "end_ms", "start_ms")).over(by), F.lead(F.struct("origin", "end_ms", "start_ms")).over(by)
-    short = (F.col("origin") == "rest") & (F.col("end_ms") - F.col("start_ms") < most_ms)
-    marked = pieces.withColumns({"p": prev, "n": nxt}).withColumns(
-        {
-            "back": short & F.coalesce((F.col("p.origin") == "span") & (F.col("start_ms") - F.col("p.end_ms") <= touch_ms), F.lit(False)),
-            "ahead": short & F.coalesce((F.col("n.origin") == "span") & (F.col("n.start_ms") - F.col("end_ms") <= touch_ms), F.lit(False)),
-        }
+    by = Window.partitionBy("vid").orderBy("start_ms", "end_ms", "text")
+    inside = Window.partitionBy("vid", "__g").orderBy("start_ms", "end_ms", "text")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    is_span = F.col("origin") == "span"
+    few = F.size(S.split_words(F.col("text"))) < SEG.min_words
+    small = (F.col("end_ms") - F.col("start_ms") < most_ms) | few
+    may = (F.col("origin") == "rest") & small & S.text_bucket(F.col("text"), src, tgt).eqNullSafe("target")
+    marked = pieces.withColumns(
+        {"__may": may, "__g": F.sum(is_span.cast("int")).over(by), "__next": F.lead(F.struct("origin", "start_ms", "speaker", "lang")).over(by)}
     )
-    goes_ahead = F.col("ahead") & ~F.col("back")
+    host = F.first(F.when(is_span, F.struct("speaker", "lang")), ignorenulls=True).over(so_far)
+    top = F.max("end_ms").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+
+    def welcomes(by_whom: Column) -> Column:
+        return by_whom["lang"].isNull() & by_whom["speaker"].eqNullSafe(F.col("speaker"))
+
+    # Rests join the span before them one after the other; the first that does not ends it.
+    joins = F.col("__may") & (F.col("__g") > 0) & welcomes(F.col("__host")) & (F.abs(F.col("start_ms") - F.col("__top")) <= touch_ms)
+    seen = marked.withColumns({"__host": host, "__top": top}).withColumn("__joins", is_span | F.coalesce(joins, F.lit(False)))
+    back = seen.withColumn("__back", ~is_span & F.min("__joins").over(so_far))
+    nxt = F.col("__next")
+    ahead = F.col("__may") & ~F.col("__back") & (nxt["origin"] == "span") & welcomes(nxt) & (F.abs(nxt["start_ms"] - F.col("end_ms")) <= touch_ms)
+    known = back.withColumn("__ahead", F.coalesce(ahead, F.lit(False)))
     # A piece opens a group unless it joins the one before it.
-    opens = ~F.col("back") & ~F.coalesce(F.lag(goes_ahead).over(by), F.lit(False))
-    grouped = islands(marked, "vid", ["start_ms", "end_ms"], opens, "g")
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " ")
+    opens = ~F.col("__back") & ~F.coalesce(F.lag("__ahead").over(by), F.lit(False))
+    grouped = islands(known, "vid", ["start_ms", "end_ms", "text"], opens, "g")
+    line = S.join_words(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]))
     return grouped.groupBy("vid", "g").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), line.alias("text"), F.max("origin").alias("origin")
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), line.alias("text"), F.max("origin").alias("origin"),
+        F.max("speaker").alias("speaker"), F.max("lang").alias("lang"),
     ).drop("g")
 
 

@@ -248,11 +248,28 @@ def j4(spark, sf_dir):
     return splice(spark, sf_dir)
 
 
-@query("j5_absorbed_rests", cte("spans") + f",{PAIR},{TOLD}" + """, m AS (SELECT *, origin = 'rest' AND end_ms - start_ms < 60000 AS short, coalesce(lag(origin) OVER w = 'span' AND start_ms - lag(end_ms) OVER w <= 50, false) AS after, coalesce(lead(origin) OVER w = 'span' AND lead(start_ms) OVER w - end_ms <= 50, false) AS ahead FROM j4 WINDOW w AS (PARTITION BY vid ORDER BY start_ms, end_ms)),
-  o AS (SELECT *, NOT (short AND after) AND NOT coalesce(lag(short AND ahead AND NOT after) OVER (PARTITION BY vid ORDER BY start_ms, end_ms), false) AS opens FROM m), g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY vid ORDER BY start_ms, end_ms) AS g FROM o)
-  SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY start_ms, end_ms, text) AS text, max(origin) AS origin FROM g GROUP BY vid, g""")
+@query("j5_absorbed_rests", cte("spans") + f",{PAIR},{TOLD}" + r""", p5 AS (SELECT vid, start_ms, end_ms, CASE WHEN origin = 'rest' AND start_ms % 4 = 0 THEN replace(text, 'w', 'ש') ELSE text END AS text, origin,
+    'S' || (start_ms // 7000) % 2 AS speaker, CASE WHEN origin = 'span' AND start_ms % 5 = 0 THEN 'fr' END AS lang FROM j4),
+  q AS (SELECT *, sum((origin = 'span')::INT) OVER w AS g, lead(origin) OVER w AS no, lead(start_ms) OVER w AS ns, lead(speaker) OVER w AS nsp, lead(lang) OVER w AS nl,
+    origin = 'rest' AND (end_ms - start_ms < 60000 OR len(string_split(text, ' ')) < 3) AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > length(regexp_replace(text, '[^\x{05D0}-\x{05EA}]', '', 'g')) AS may
+    FROM p5 WINDOW w AS (PARTITION BY vid ORDER BY start_ms, end_ms, text)),
+  h AS (SELECT *, row_number() OVER i AS n, max(end_ms) OVER (PARTITION BY vid, g ORDER BY start_ms, end_ms, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+    first_value(speaker) OVER i AS hsp, first_value(lang) OVER i AS hl FROM q WINDOW i AS (PARTITION BY vid, g ORDER BY start_ms, end_ms, text)),
+  k AS (SELECT *, CASE WHEN n = 1 AND g > 0 THEN 0 WHEN may AND g > 0 AND hl IS NULL AND hsp = speaker AND abs(start_ms - top) <= 50 THEN 0 ELSE 1 END AS fails FROM h),
+  r AS (SELECT *, origin <> 'span' AND sum(fails) OVER (PARTITION BY vid, g ORDER BY start_ms, end_ms, text) = 0 AS back FROM k),
+  s AS (SELECT *, coalesce(may AND NOT back AND no = 'span' AND nl IS NULL AND nsp = speaker AND abs(ns - end_ms) <= 50, false) AS ahead FROM r),
+  o AS (SELECT *, NOT back AND NOT coalesce(lag(ahead) OVER (PARTITION BY vid ORDER BY start_ms, end_ms, text), false) AS opens FROM s),
+  u AS (SELECT *, sum(opens::INT) OVER (PARTITION BY vid ORDER BY start_ms, end_ms, text) AS gg FROM o)
+  SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY start_ms, end_ms, text) AS text, max(origin) AS origin, max(speaker) AS speaker, max(lang) AS lang FROM u GROUP BY vid, gg""")
 def j5(spark, sf_dir):
-    return I.absorbed_rests(splice(spark, sf_dir), most_ms=60_000)
+    """Pieces of two speakers, rests in two scripts, spans with a language of their own among them."""
+    pieces = splice(spark, sf_dir).withColumns(
+        {
+            "text": F.expr("if(origin = 'rest' and start_ms % 4 = 0, replace(text, 'w', 'ש'), text)"), "speaker": F.expr("concat('S', (start_ms div 7000) % 2)"),
+            "lang": F.expr("CASE WHEN origin = 'span' AND start_ms % 5 = 0 THEN 'fr' END"),
+        }
+    )
+    return I.absorbed_rests(pieces, most_ms=60_000)
 
 
 LONG = """long AS (SELECT vec_id // 16 AS vid, vec_id % 16 * 64 + frame AS frame, rms * 3.0::DOUBLE AS rms, rms * 2.0::DOUBLE AS voice FROM (SELECT vid AS vec_id, frame, rms FROM levels)),

@@ -304,12 +304,36 @@ def test_negation(spark, text, lang, want):
     assert one(spark, X.negated(F.col("text"), lang), text) is want
 
 
-def test_a_short_rest_joins_the_span_it_touches(spark):
+@pytest.mark.parametrize("pieces,want", [
+    ([(0, 1000, "a", "segment", "A", None), (1000, 5000, "b", "span", "A", None), (5010, 5600, "c", "rest", "A", None)], [("a", 0, 1000), ("b c", 1000, 5600)]),
+    ([(9000, 9500, "d", "rest", "A", None), (9520, 12000, "e", "span", "A", None)], [("d e", 9000, 12000)]),
+    # Another speaker, another script, a span with a language of its own, too far, too long with three words.
+    ([(0, 5000, "b", "span", "A", None), (5010, 5600, "c", "rest", "B", None)], [("b", 0, 5000), ("c", 5010, 5600)]),
+    ([(0, 5000, "b", "span", "A", None), (5010, 5600, "שלום", "rest", "A", None)], [("b", 0, 5000), ("שלום", 5010, 5600)]),
+    ([(0, 5000, "b", "span", "A", "fr"), (5010, 5600, "c", "rest", "A", None)], [("b", 0, 5000), ("c", 5010, 5600)]),
+    ([(0, 5000, "b", "span", "A", None), (5051, 5600, "c", "rest", "A", None)], [("b", 0, 5000), ("c", 5051, 5600)]),
+    ([(0, 5000, "b", "span", "A", None), (5000, 7000, "c d e", "rest", "A", None)], [("b", 0, 5000), ("c d e", 5000, 7000)]),
+    # Two words may last longer; speakers unknown on both sides are one; a second rest touches the wider span.
+    ([(0, 5000, "b", "span", None, None), (5000, 7000, "c d", "rest", None, None), (7040, 7100, "e", "rest", None, None)], [("b c d e", 0, 7100)]),
+    ([(0, 5000, "b", "span", "A", None), (5000, 5400, "c", "rest", "B", None), (5400, 5600, "d", "rest", "A", None), (5600, 9000, "e", "span", "A", None)], [("b", 0, 5000), ("c", 5000, 5400), ("d e", 5400, 9000)]),
+    ([], []),
+])
+def test_a_short_rest_joins_the_span_it_touches(spark, pieces, want):
+    from cadenza.operators import intervals as I
+
+    rows = [(1, *r) for r in pieces]
+    got = I.absorbed_rests(spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, text string, origin string, speaker string, lang string")).orderBy("start_ms").collect()
+    assert [(r["text"], r["start_ms"], r["end_ms"]) for r in got] == want
+
+
+def test_pieces_keep_their_speaker(spark):
     from cadenza.operators import intervals as I
 
-    rows = [(1, 0, 1000, "a", "segment"), (1, 1000, 5000, "b", "span"), (1, 5010, 5600, "c", "rest"), (1, 9000, 9500, "d", "rest"), (1, 9520, 12000, "e", "span")]
-    got = I.absorbed_rests(spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, text string, origin string")).orderBy("start_ms").collect()
-    assert [(r["text"], r["start_ms"], r["end_ms"]) for r in got] == [("a", 0, 1000), ("b c", 1000, 5600), ("d e", 9000, 12000)]
+    def table(*rows):
+        return spark.createDataFrame(list(rows), "vid long, seq long, start_ms long, end_ms long, text string, speaker string, lang string")
+    segs, spans = table((1, 0, 0, 6000, "a b", "A", None)), table((1, 0, 0, 5000, "x", "B", "fr"))
+    words = spark.createDataFrame([(1, 0, 5100, 5900, "b")], "vid long, seq long, start_ms long, end_ms long, text string")
+    assert sorted(I.spliced(segs, spans, words).select("text", "origin", "speaker", "lang").collect()) == [("b", "rest", "A", None), ("x", "span", "B", "fr")]
 
 
 def test_long_keys_are_folded_too(spark):
