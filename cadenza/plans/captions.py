@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..sources import captions as C
 from ..sources import tables as T
+from ..sources.files import read_captions, write_srt
 from ..sources.shared import shared_dir
 from ..sources.tables import cte
 from .registry import query
@@ -66,6 +67,16 @@ def s4(spark, sf_dir):
     return found.select("path", "words", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("path", F.lit(None).cast("bigint").alias("words"), "reason"))
 
 
+@query("s9_written_srt", CUES + " SELECT 'run-' || vid || '.srt' AS path, seq, start_ms, end_ms, text FROM (SELECT vid, row_number() OVER (PARTITION BY vid ORDER BY seq) - 1 AS seq, start_ms, end_ms, text FROM cu)")
+def s9_written(spark, sf_dir):
+    """Conversations written as subtitle files, one each, and their cues read back from the files."""
+    path = shared_dir(spark)
+    some = T.segments(spark, sf_dir).where("seq % 5 <> 3 and end_ms > start_ms").withColumn("name", F.concat(F.lit("run-"), F.col("vid").cast("string")))
+    write_srt(some, path)
+    files = read_captions(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("vid"), "text")
+    return C.cues(files).withColumnRenamed("vid", "path")
+
+
 @query("s5_checked_transcripts", CUES + " SELECT s.vid, count(cu.seq) AS cues, count(cu.seq) > 0 AS ok FROM (SELECT DISTINCT vid FROM segments) s LEFT JOIN cu USING (vid) GROUP BY s.vid")
 def s5(spark, sf_dir):
     """How many cues each transcript has; none means refusal."""

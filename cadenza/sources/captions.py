@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import script as S
 from ..operators.words import clean_tokens
+from .files import read_captions
 
 #: A word-level caption document: events of segments, times in ms.
 JSON3 = "vid bigint, events array<struct<tStartMs: double, segs: array<struct<utf8: string, tOffsetMs: double, isSpeakerChange: boolean>>>>"
@@ -99,8 +100,10 @@ def cue_words(cue_rows: DataFrame, limit_ms: int | None = None) -> DataFrame:
 
 
 def read_words(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``words_of`` all files below ``folder``, read whole."""
-    return words_of(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    """``words_of`` all files below ``folder``, by the data source of captions, whose refusals are rejects too."""
+    files = read_captions(spark, folder)
+    words, rejects = words_of(files.where("reason is null").select("path", "text"))
+    return words, rejects.unionByName(files.where("reason is not null").select("path", "reason"))
 
 
 def words_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
