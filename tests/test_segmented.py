@@ -72,3 +72,46 @@ def test_one_long_video_is_many_tasks(spark):
 def test_empty(spark):
     words = spark.createDataFrame([], SCHEMA)
     assert G.sessions(words).isEmpty() and G.without_echoes(words).isEmpty() and G.word_ends(words).isEmpty()
+
+
+def plain_envelope(places, total_ms, hz=200):
+    ms = 1000 // hz
+    n = total_ms // ms + 2
+    raw = [1.0] * n
+    for start, end, keep in places:
+        i0, i1 = max(0, start // ms), min(n, (end if keep else end + 400) // ms)
+        low, attack, release = (0.0, 8, 12) if keep else (0.86, 16, 36)
+        a_end = min(i1, i0 + attack)
+        r_start = max(a_end, i1 - release)
+        for f in range(i0, i1):
+            if f < a_end:
+                x = 1 + (low - 1) * (f - i0) / max(1, a_end - i0 - 1)
+            else:
+                x = low if f < r_start else low + (1 - low) * (f - r_start) / max(1, i1 - r_start - 1)
+            raw[f] = min(raw[f], x)
+    return [sum(raw[max(0, f - 6):f + 6]) / 12 for f in range(n)]
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64, 2000])
+def test_envelope_by_tiles(spark, tile):
+    from cadenza.operators import timeline as L
+
+    rng = random.Random(tile)
+    told = {v: [(s, s + rng.choice([0, 20, 300, 2500]), rng.random() < 0.5) for s in [rng.randrange(-100, 4000) for _ in range(v)]] for v in range(5)}
+    rows = [(v, *p) for v, ps in told.items() for p in ps]
+    places = spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, keep boolean")
+    totals = spark.createDataFrame([(v, 3000 + v) for v in told], "vid long, total_ms long")
+    df = L.envelope(places, totals, tile=tile)
+    got = {(r.vid, r.frame): r.level for r in df.collect()}
+    want = {(v, f): x for v, ps in told.items() for f, x in enumerate(plain_envelope(ps, 3000 + v))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_envelope_moves_no_frames(spark):
+    from cadenza.operators import timeline as L
+
+    places = spark.range(100).selectExpr("id % 3 AS vid", "id * 1000 AS start_ms", "id * 1000 + 700 AS end_ms", "id % 2 = 0 AS keep")
+    totals = places.groupBy("vid").agg(F.max("end_ms").alias("total_ms"))
+    plan = L.envelope(places, totals)._jdf.queryExecution().executedPlan().toString()
+    first_frame = plan.rindex("Generate explode(sequence(greatest(")
+    assert "Exchange" not in plan[:first_frame].replace("AdaptiveSparkPlan", "")
