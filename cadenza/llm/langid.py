@@ -104,6 +104,17 @@ class Model:
     costs: np.ndarray
     trees: list[Tree]
 
+    def parts(self) -> dict:
+        """Plain lists and arrays, which a worker reads without this package: broadcasts name classes by their module."""
+        return {**vars(self), "trees": [vars(t) for t in self.trees]}
+
+    @staticmethod
+    def of(parts: dict) -> Model:
+        trees = [Tree.__new__(Tree) for _ in parts["trees"]]
+        for tree, lists in zip(trees, parts["trees"]):
+            vars(tree).update(lists)
+        return Model(**{**parts, "trees": trees})
+
 
 @dataclass
 class Learned:
@@ -295,7 +306,7 @@ def predict(docs: DataFrame, learned: Learned) -> DataFrame:
     for number, model in enumerate(learned.models()):
         if number:
             carried = stored(carried)
-        find = finder(docs.sparkSession.sparkContext.broadcast(model))
+        find = finder(docs.sparkSession.sparkContext.broadcast(model.parts()))
         del model
         carried = carried.withColumn("found", find(F.col("said"), F.col("found")))
     return carried.select(
@@ -311,11 +322,11 @@ FOUND = "best: string, least: bigint, mass: double"
 def finder(shared) -> Callable[[Column, Column], Column]:
     """A column of the best language, its code length and the sum of all shares by it, from a text and what was found before.
 
-    Only the text goes to Python and only these three come back. A null or empty text has none.
+    ``shared`` broadcasts the ``parts`` of a model. Only the text goes to Python and only these three come back. A null or empty text has none.
     """
 
     def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = Model.of(shared.value)
         for said, found in batches:
             best, least, mass = (found.field(i) for i in range(3))
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in said]

@@ -197,12 +197,14 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     Scores the whole of column text alone; null texts count as empty and are scored like any other.
     Repeated rows stay, an empty table gives no rows, all other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain lists and arrays: a broadcast names classes by their module, which workers may lack.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Model(**shared.value)
         for texts in batches:
             x = np.array([text_features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
-            yield pa.array(shared.value.scores(x), pa.float64())
+            yield pa.array(model.scores(x), pa.float64())
 
     # Only texts go to Python and only scores come back; the other columns stay in one struct and cannot clash.
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
