@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from .fold import cut, fields, fold_islands, ordered_fold
-from .words import in_order, speech_gaps
+from .words import in_order, segments_of, sessions, speech_gaps, split_at_turns, word_ends
 
 WORD_COLUMNS = "vid bigint, seq bigint, text string, t_ms bigint, end_ms bigint"
 
@@ -360,6 +360,21 @@ def long_split(words: DataFrame, rounds: int | None = None) -> DataFrame:
     return done.unionByName(timed).drop("gap_ms").unionByName(rest)
 
 
+def segmentation(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """K5: words (with brk) to segments by all rules: groups, long sentences cut, turns, stubs merged.
+
+    What the groups, the cuts and the turns have made is written to the shared folder each time, as later
+    steps look at it several times and one plan over all of them would be larger than a driver should hold.
+    """
+    pieces = Window.partitionBy("vid").orderBy("segment", "piece")
+    grouped = stored(sessions(word_ends(words)))
+    short = stored(long_split(grouped.drop("gap_ms")).withColumn("segment", F.dense_rank().over(pieces)).drop("piece"))
+    split = stored(split_at_turns(short, turns).withColumn("segment", F.dense_rank().over(pieces).cast("long")))
+    marks = split.groupBy("vid", "segment").agg(F.min_by("brk", "seq").alias("brk"))
+    whole = segments_of(split).join(marks, ["vid", "segment"])
+    return stubs_merged(whole.select("vid", F.col("segment").alias("seq"), "speaker", "text", "start_ms", "end_ms", "n_words", "brk"))
+
+
 def two_voices(turns: DataFrame, cut: float = 0.80, margin: float = 1.10) -> DataFrame:
     """(run, key, label): runs of 3–12 turns of one speaker that hold two alternating voices.
 

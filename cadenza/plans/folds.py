@@ -45,12 +45,7 @@ def k7(spark, sf_dir):
 @query("k5_segmentation")
 def k5(spark, sf_dir):
     """Words to segments by all rules: groups, long sentences cut, turns, stubs merged."""
-    words = W.sessions(W.word_ends(T.words(spark, sf_dir)).withColumn("brk", F.lit(False)))
-    cut = K.long_split(words.drop("gap_ms")).withColumn("segment", F.dense_rank().over(W.Window.partitionBy("vid").orderBy("segment", "piece"))).drop("piece")
-    split = W.split_at_turns(cut, T.turns(spark, sf_dir)).withColumn("segment", F.dense_rank().over(W.Window.partitionBy("vid").orderBy("segment", "piece")).cast("long"))
-    marks = split.groupBy("vid", "segment").agg(F.min_by("brk", "seq").alias("brk"))
-    whole = W.segments_of(split).join(marks, ["vid", "segment"])
-    return K.stubs_merged(whole.select("vid", F.col("segment").alias("seq"), "speaker", "text", "start_ms", "end_ms", "n_words", "brk")).drop("bucket")
+    return K.segmentation(T.words(spark, sf_dir).withColumn("brk", F.lit(False)), T.turns(spark, sf_dir)).drop("bucket")
 
 
 @query("k6_long_split", cte("words") + """, e AS (SELECT vid, seq, seq // 60 AS segment, t_ms, greatest(least(end_ms, coalesce(lead(t_ms) OVER (PARTITION BY vid ORDER BY seq), end_ms)), t_ms + 20) AS end_ms FROM words),
