@@ -222,29 +222,32 @@ def window_level(levels: DataFrame, windows: DataFrame, hop_ms: int = 100) -> Da
     return windows.join(found, ["vid", "seq"], "left")
 
 
-def passages(runs: DataFrame, join_ms: int = 1500) -> DataFrame:
+def passages(runs: DataFrame, join_ms: int = 1500, src: str | None = None, tgt: str | None = None) -> DataFrame:
     """Passages (vid, start_ms, end_ms, lang) of language runs (vid, start_ms, end_ms, lang).
 
-    Runs of one language join over gaps of up to 1.5 s and over unlabelled runs of up to 1.5 s; a longer
-    unlabelled run, a longer gap or another language ends a passage. Unlabelled runs at its ends are not
-    part of it.
+    Two runs of one language belong together if the later one starts at most 1.5 s after the earlier one
+    ends, whatever unlabelled runs of up to 1.5 s lie between; a run of another language or a longer
+    unlabelled one keeps them apart. Unlabelled runs join each other over such gaps too, and stay passages
+    without a language where a labelled one reaches over them. Every run is used once. Runs in ``src`` go,
+    and those in ``tgt`` stay single. Runs of a video do not overlap.
     """
     by = Window.partitionBy("vid").orderBy("start_ms", "end_ms")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    long = F.col("lang").isNull() & (F.col("end_ms") - F.col("start_ms") > join_ms)
-    last = F.last("lang", ignorenulls=True).over(before)
-    starts = (
-        F.lag("end_ms").over(by).isNull()
-        | (F.col("start_ms") - F.lag("end_ms").over(by) > join_ms)
-        | long
-        | F.coalesce(F.lag(long).over(by), F.lit(False))
-        | F.coalesce(F.col("lang") != last, F.lit(False))
-    )
-    # A run of another language after unlabelled ones starts at itself, as those are dropped at the ends.
-    named = islands(runs, "vid", ["start_ms", "end_ms"], starts, "passage").where(F.col("lang").isNotNull())
-    return named.groupBy("vid", "passage").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("lang").alias("lang")
-    ).drop("passage")
+    unlabelled = F.col("lang").isNull()
+    walls = F.sum((unlabelled & (F.col("end_ms") - F.col("start_ms") > join_ms)).cast("int")).over(by)
+    walled = runs.withColumn("walls", walls)
+    last = F.last(F.when(~unlabelled, F.struct("lang", "end_ms", "walls")), ignorenulls=True).over(before)
+    joins = (last["lang"] == F.col("lang")) & (F.col("start_ms") - last["end_ms"] <= join_ms) & (last["walls"] == F.col("walls"))
+    if tgt is not None:
+        joins = joins & (F.col("lang") != tgt)
+    silent = F.lag(unlabelled).over(by) & (F.col("start_ms") - F.lag("end_ms").over(by) <= join_ms)
+    opens = ~F.coalesce(F.when(unlabelled, silent).otherwise(joins), F.lit(False))
+    # Both kinds are counted on their own, so that neither cuts what the other has joined.
+    count = lambda kind: F.sum((opens & kind).cast("int")).over(by)
+    numbered = walled.withColumn("passage", F.when(unlabelled, count(unlabelled)).otherwise(count(~unlabelled)))
+    if src is not None:
+        numbered = numbered.where(unlabelled | (F.col("lang") != src))
+    return numbered.groupBy("vid", "lang", "passage").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("passage")
 
 
 def spliced(segments: DataFrame, spans: DataFrame, words: DataFrame, least_ms: int = 400, overlap_ms: int = 50) -> DataFrame:

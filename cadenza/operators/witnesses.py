@@ -163,13 +163,24 @@ def without_stock_phrases(words: DataFrame, gap_ms: int = 1000, reach_ms: int =
     return marked.withColumn("near", near).where("not near").select(*words.columns)
 
 
+def _look_ups(word: Column) -> Column:
+    """The word and all that is left of it without one letter: words that are one edit apart share one of these."""
+    n = F.length(word)
+    places = F.sequence(F.lit(1), n)
+    without = F.transform(places, lambda i: F.concat(F.lit("-"), F.substring(word, 1, i - 1), F.substring(word, i + 1, n)))
+    return F.array_append(without, F.concat(F.lit("-"), word))
+
+
 def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "hebrew", exact: int = 4, loose: int = 5) -> DataFrame:
     """(vid, seq, note): the clauses of a video's note that belong to each segment.
 
     ``clauses`` has (vid, k, clause). A clause without a word in the source script is background and belongs
     to all. One with such words belongs where one of them is said: words of ``exact`` letters as they are,
-    of ``loose`` or more also inside a word or one edit from it. Segments meet their own video's clauses
-    only, of which a note has a few.
+    of ``loose`` or more also inside a word or one edit from it.
+
+    Words meet by keys, never all with all. Words one edit apart share a word of which at most one letter is
+    left out; one that lies inside another has its first ``loose`` letters there. Only words that share a
+    key are compared, each different word of a video once however often it is said.
     """
     from ..functions.script import count_letters, letters
 
@@ -177,15 +188,21 @@ def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "heb
         return (letters(x) > 0) & (count_letters(x, script) * 2 > letters(x))
 
     told = clauses.withColumn("words", F.filter(X.words(F.lower("clause")), own))
-    said = segments.select("vid", "seq", F.lower("text").alias("low"), F.array_distinct(X.words(F.lower("text"))).alias("tokens"))
-
-    def hit(w: Column) -> Column:
-        n = F.length(w)
-        near = F.col("low").contains(w) | F.exists("tokens", lambda t: F.levenshtein(t, w, 1) >= 0)
-        return F.when(n < exact, False).when(n < loose, F.array_contains("tokens", w)).otherwise(near)
-
-    met = said.join(told, "vid").where((F.size("words") == 0) | F.exists("words", hit))
-    notes = met.groupBy("vid", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "clause"))), lambda c: c["clause"]), "; ").alias("note"))
+    said = segments.select("vid", "seq", F.explode(F.array_distinct(X.words(F.lower("text")))).alias("token"))
+    wanted = told.select("vid", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= exact).distinct()
+    tokens = said.select("vid", "token").distinct().where(F.length("token") >= min(exact, loose - 1))
+
+    grams = F.when(F.length("token") >= loose, F.transform(F.sequence(F.lit(1), F.length("token") - (loose - 1)), lambda i: F.substring(F.col("token"), i, F.lit(loose)))).otherwise(F.array().cast("array<string>"))
+    filed = tokens.withColumn("key", F.explode(F.array_union(_look_ups(F.col("token")), grams)))
+    first = F.when(F.length("word") >= loose, F.array_append(_look_ups(F.col("word")), F.substring("word", 1, loose))).otherwise(F.array(F.concat(F.lit("-"), F.col("word"))))
+    asked = wanted.withColumn("key", F.explode(first))
+    like = F.when(F.length("word") < loose, F.col("token") == F.col("word")).otherwise(F.col("token").contains(F.col("word")) | (F.levenshtein("token", "word", 1) >= 0))
+    alike = filed.join(asked, ["vid", "key"]).where(like).select("vid", "token", "word").distinct()
+
+    naming = told.select("vid", "k", "clause", F.explode(F.array_distinct("words")).alias("word"))
+    named = said.join(alike, ["vid", "token"]).join(naming, ["vid", "word"]).select("vid", "seq", "k", "clause").distinct()
+    background = segments.select("vid", "seq").join(told.where(F.size("words") == 0).select("vid", "k", "clause"), "vid")
+    notes = named.unionByName(background).groupBy("vid", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "clause"))), lambda c: c["clause"]), "; ").alias("note"))
     return segments.select("vid", "seq").join(notes, ["vid", "seq"], "left").withColumn("note", F.coalesce("note", F.lit("")))
 
 

@@ -214,13 +214,20 @@ def o5(spark, sf_dir):
     return stats.groupBy("vid").agg(F.min(F.struct(score.alias("s"), "i")).alias("b")).select("vid", (F.col("b.i") * 100).alias("start_ms"), ((F.col("b.i") + 12) * 100).alias("end_ms"))
 
 
-@query("n7_passages", cte("spans") + """, r AS (SELECT vid, start_ms // 60 AS start_ms, start_ms // 60 + (end_ms - start_ms) // 60 AS end_ms, CASE WHEN seq % 4 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END END AS lang FROM spans),
-  f AS (SELECT *, lag(end_ms) OVER w AS pe, lang IS NULL AND end_ms - start_ms > 60000 AS lng, last_value(lang IGNORE NULLS) OVER (PARTITION BY vid ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r WINDOW w AS (PARTITION BY vid ORDER BY start_ms, end_ms)),
-  g AS (SELECT *, pe IS NULL OR start_ms - pe > 60000 OR lng OR coalesce(lag(lng) OVER (PARTITION BY vid ORDER BY start_ms, end_ms), false) OR coalesce(lang <> last, false) AS b FROM f),
-  h AS (SELECT *, sum(b::INT) OVER (PARTITION BY vid ORDER BY start_ms, end_ms) AS k FROM g) SELECT vid, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(lang) AS lang FROM h WHERE lang IS NOT NULL GROUP BY vid, k""")
+LANGUAGE = "CASE WHEN seq % 4 <> 0 THEN CASE WHEN seq % 11 = 5 THEN 'src' WHEN seq % 11 IN (7, 9) THEN 'tgt' WHEN seq % 24 < 12 THEN 'a' ELSE 'b' END END"
+
+
+@query("n7_passages", cte("spans") + f""", r AS (SELECT vid, start_ms // 60 AS a, start_ms // 60 + (end_ms - start_ms) // 60 AS b, {LANGUAGE} AS lang FROM spans),
+  l AS (SELECT *, lag(lang) OVER w AS pl, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM r WHERE lang IS NOT NULL WINDOW w AS (PARTITION BY vid ORDER BY a, b)),
+  wall AS (SELECT DISTINCT l.vid, l.a, l.b FROM l JOIN r ON r.vid = l.vid AND r.lang IS NULL AND r.b - r.a > 60000 AND (r.a, r.b) > (l.pa, l.pb) AND (r.a, r.b) < (l.a, l.b)),
+  o AS (SELECT l.vid, l.a, l.b, lang, pl IS NULL OR lang <> pl OR lang = 'tgt' OR l.a - pb > 60000 OR wall.vid IS NOT NULL AS opens FROM l LEFT JOIN wall ON wall.vid = l.vid AND wall.a = l.a AND wall.b = l.b),
+  n AS (SELECT *, lag(lang) OVER w AS pl, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM r WINDOW w AS (PARTITION BY vid ORDER BY a, b)),
+  u AS (SELECT * FROM o UNION ALL SELECT vid, a, b, lang, pa IS NULL OR pl IS NOT NULL OR a - pb > 60000 FROM n WHERE lang IS NULL),
+  k AS (SELECT *, sum(opens::INT) OVER (PARTITION BY vid, lang IS NULL ORDER BY a, b) AS k FROM u)
+  SELECT vid, min(a) AS start_ms, max(b) AS end_ms, lang FROM k WHERE coalesce(lang, '') <> 'src' GROUP BY vid, lang, k""")
 def n7(spark, sf_dir):
-    runs = T.spans(spark, sf_dir).selectExpr("vid", "start_ms div 60 AS start_ms", "start_ms div 60 + (end_ms - start_ms) div 60 AS end_ms", "CASE WHEN seq % 4 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'a' ELSE 'b' END END AS lang")
-    return I.passages(runs, 60_000)
+    runs = T.spans(spark, sf_dir).selectExpr("vid", "start_ms div 60 AS start_ms", "start_ms div 60 + (end_ms - start_ms) div 60 AS end_ms", f"{LANGUAGE} AS lang")
+    return I.passages(runs, 60_000, "src", "tgt")
 
 
 TOLD = """seg AS (SELECT vid, seq, start_ms, end_ms, 'segment ' || seq AS text FROM sg), spn AS (SELECT vid, seq, start_ms, end_ms, CASE WHEN seq % 7 <> 1 THEN 'span ' || seq ELSE ' ' END AS text FROM sp),

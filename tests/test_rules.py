@@ -12,6 +12,7 @@ from cadenza.functions import textqc as X
 from cadenza.operators import folds as K
 from cadenza.operators import intervals as I
 from cadenza.operators import timeline as L
+from cadenza.operators import witnesses as N
 from cadenza.operators import words as W
 from cadenza.sources import captions as C
 from cadenza.streaming import frames as Frames
@@ -576,3 +577,80 @@ def test_lines_that_are_no_frames_are_counted(spark):
     lines = spark.createDataFrame([('{"t": 1, "type": "stage"}',), ('{"t": 1, "ty',), ("",), ('{"type": "noise"}',)], "value string")
     frames, seen = Frames.counted(lines)
     assert frames.count() == 1 and seen.get == {"lines": 4, "skipped": 3}
+
+
+def walked_passages(runs, src, tgt, join_ms=1500):
+    """N7 by a walk from each unused run to both sides."""
+    used, out = set(), []
+    for i, (start, end, lang) in enumerate(runs):
+        if lang == src or i in used:
+            continue
+        a, b, mine = start, end, {i}
+        for step in (1, -1) if lang != tgt else ():
+            j = i + step
+            while 0 <= j < len(runs) and (runs[j][0] - b if step == 1 else a - runs[j][1]) <= join_ms:
+                x, y, other = runs[j]
+                if other == lang:
+                    a, b, mine = min(a, x), max(b, y), mine | {j}
+                elif other is not None or y - x > join_ms:
+                    break
+                j += step
+        used |= mine
+        out.append((a, b, lang))
+    return sorted(out, key=str)
+
+
+def test_passages_against_a_walk(spark):
+    rng, rows, wanted = random.Random(7), [], {}
+    for vid in range(60):
+        at, runs = 0, []
+        for _ in range(rng.randrange(1, 25)):
+            at += rng.choice([0, 100, 700, 800, 1500, 1501, 3000])
+            end = at + rng.choice([300, 700, 1500, 1600, 4000])
+            runs.append((at, end, rng.choice([None, None, "ar", "ar", "fr", "he", "en"])))
+            at = end
+        wanted[vid] = walked_passages(runs, "he", "en")
+        rows += [(vid, *r) for r in runs]
+    df = spark.createDataFrame(rows, "vid long, start_ms long, end_ms long, lang string")
+    found = {vid: [] for vid in wanted}
+    for r in I.passages(df, src="he", tgt="en").collect():
+        found[r["vid"]].append((r["start_ms"], r["end_ms"], r["lang"]))
+    assert {v: sorted(x, key=str) for v, x in found.items()} == wanted
+    assert I.passages(df.limit(0)).count() == 0
+
+
+def test_a_gap_counts_from_the_last_run_with_a_language(spark):
+    runs = [(1, 0, 4000, "ar"), (1, 4500, 5000, None), (1, 5500, 9000, "ar"), (2, 0, 4000, "ar"), (2, 5000, 5800, None), (2, 6600, 9000, "ar")]
+    got = I.passages(spark.createDataFrame(runs, "vid long, start_ms long, end_ms long, lang string")).where("lang is not null")
+    assert sorted((r["vid"], r["start_ms"], r["end_ms"]) for r in got.collect()) == [(1, 0, 9000), (2, 0, 4000), (2, 6600, 9000)]
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_clauses_against_all_pairs_of_words(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("אבג") for _ in range(rng.randrange(1, 9)))
+    clauses = [(v, k, " ".join([word() for _ in range(rng.randrange(3))] + ["means"])) for v in range(6) for k in range(5)]
+    lines = [(v, s, " ".join(word() for _ in range(rng.randrange(4))) if rng.random() < 0.95 else None) for v in range(7) for s in range(60)]
+
+    def said(word, tokens):
+        if len(word) < 5:
+            return len(word) == 4 and word in tokens
+        return any(word in t or edits_between(word, t) <= 1 for t in tokens)
+
+    wanted = {}
+    for v, s, text in lines:
+        tokens = (text or "").split()
+        mine = [c for w, _, c in clauses if w == v and (c == "means" or any(said(x, tokens) for x in c.split()[:-1]))]
+        wanted[v, s] = "; ".join(mine)
+    segments = spark.createDataFrame(lines, "vid long, seq long, text string")
+    notes = N.relevant_clauses(segments, spark.createDataFrame(clauses, "vid long, k long, clause string"))
+    assert {(r["vid"], r["seq"]): r["note"] for r in notes.collect()} == wanted
+    assert sum("means" in x and len(x) > 5 for x in wanted.values()) > 50
