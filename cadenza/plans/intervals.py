@@ -183,14 +183,14 @@ def j10(spark, sf_dir):
 @query("j11_new_spans", cte("spans") + f",{PAIR}" + """ SELECT vid, seq FROM sg g WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.vid = g.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms)""")
 def j11(spark, sf_dir):
     known, new = sp(spark, sf_dir).select("vid", "start_ms", "end_ms"), sg(spark, sf_dir)
-    hit = I.overlap_join(new, known).where(I.cover() > 0).select("vid", "seq").distinct()
+    hit = I.overlap_join(new, known).where(I.meets()).select("vid", "seq").distinct()
     return new.join(hit, ["vid", "seq"], "left_anti").select("vid", "seq")
 
 
 @query("j14_refused_bounds", cte("spans") + f",{PAIR}" + """ SELECT g.vid, g.seq, min(p.seq) AS neighbour, 'overlaps a neighbour' AS reason FROM sg g JOIN sp p ON p.vid = g.vid AND p.start_ms < g.end_ms AND p.end_ms > g.start_ms GROUP BY ALL""")
 def j14(spark, sf_dir):
     """New or moved segments refused because they overlap an existing one."""
-    hit = I.overlap_join(sg(spark, sf_dir), sp(spark, sf_dir)).where(I.cover() > 0)
+    hit = I.overlap_join(sg(spark, sf_dir), sp(spark, sf_dir)).where(I.meets())
     return hit.groupBy("vid", "seq").agg(F.min("r_seq").alias("neighbour")).withColumn("reason", F.lit("overlaps a neighbour"))
 
 
