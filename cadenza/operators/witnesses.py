@@ -171,12 +171,13 @@ def _look_ups(word: Column) -> Column:
     return F.array_append(without, F.concat(F.lit("-"), word))
 
 
-def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "hebrew", exact: int = 4, loose: int = 5) -> DataFrame:
+def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "hebrew", exact: int = 4, loose: int = 5, fold: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """(vid, seq, note): the clauses of a video's note that belong to each segment.
 
     ``clauses`` has (vid, k, clause). A clause without a word in the source script is background and belongs
     to all. One with such words belongs where one of them is said: words of ``exact`` letters as they are,
-    of ``loose`` or more also inside a word or one edit from it.
+    of ``loose`` or more also inside a word or one edit from it. Edits are counted on ``fold`` of both words,
+    for letters that count as one another.
 
     Words meet by keys, never all with all. Words one edit apart share a word of which at most one letter is
     left out; one that lies inside another has its first ``loose`` letters there. Only words that share a
@@ -193,10 +194,10 @@ def relevant_clauses(segments: DataFrame, clauses: DataFrame, script: str = "heb
     tokens = said.select("vid", "token").distinct().where(F.length("token") >= min(exact, loose - 1))
 
     grams = F.when(F.length("token") >= loose, F.transform(F.sequence(F.lit(1), F.length("token") - (loose - 1)), lambda i: F.substring(F.col("token"), i, F.lit(loose)))).otherwise(F.array().cast("array<string>"))
-    filed = tokens.withColumn("key", F.explode(F.array_union(_look_ups(F.col("token")), grams)))
-    first = F.when(F.length("word") >= loose, F.array_append(_look_ups(F.col("word")), F.substring("word", 1, loose))).otherwise(F.array(F.concat(F.lit("-"), F.col("word"))))
+    filed = tokens.withColumn("key", F.explode(F.array_union(F.array_append(_look_ups(fold(F.col("token"))), F.concat(F.lit("-"), F.col("token"))), grams)))
+    first = F.when(F.length("word") >= loose, F.array_append(_look_ups(fold(F.col("word"))), F.substring("word", 1, loose))).otherwise(F.array(F.concat(F.lit("-"), F.col("word"))))
     asked = wanted.withColumn("key", F.explode(first))
-    like = F.when(F.length("word") < loose, F.col("token") == F.col("word")).otherwise(F.col("token").contains(F.col("word")) | (F.levenshtein("token", "word", 1) >= 0))
+    like = F.when(F.length("word") < loose, F.col("token") == F.col("word")).otherwise(F.col("token").contains(F.col("word")) | (F.levenshtein(fold(F.col("token")), fold(F.col("word")), 1) >= 0))
     alike = filed.join(asked, ["vid", "key"]).where(like).select("vid", "token", "word").distinct()
 
     naming = told.select("vid", "k", "clause", F.explode(F.array_distinct("words")).alias("word"))

@@ -31,3 +31,17 @@ def test_empty_spans(spark, tmp_path, name):
     table = [(k, at + dt.timedelta(seconds=s), 1, "view", value, "{}") for k, s, value in rows]
     write(tmp_path, "events", "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR", table)
     oracle.check(spark, str(tmp_path), entry.queries()[name], entry.oracle_sql()[name])
+
+
+def said(folder, *texts):
+    write(folder, "conversations", "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", [(1, i, "user", t) for i, t in enumerate(texts)])
+
+
+def test_edits_of_words_with_a_q(spark, tmp_path):
+    said(tmp_path, "Q" + "a" * 5 + "ó" + "a" * 7, "Qaaa", "a" * 7 + "éé" + "a" * 5, "a" * 12 + "É", "aaaa Q" + "a" * 12)
+    oracle.check(spark, str(tmp_path), entry.queries()["j12_relevant_clauses"], entry.oracle_sql()["j12_relevant_clauses"])
+
+
+def test_edits_of_bytes(spark, tmp_path):
+    said(tmp_path, "éa b", "aa b", "éé b", "ae", "ée", "ê", "", "éß", "x")
+    oracle.check(spark, str(tmp_path), entry.queries()["x21_edit_distance"], entry.oracle_sql()["x21_edit_distance"])
