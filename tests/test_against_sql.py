@@ -45,3 +45,10 @@ def test_edits_of_words_with_a_q(spark, tmp_path):
 def test_edits_of_bytes(spark, tmp_path):
     said(tmp_path, "éa b", "aa b", "éé b", "ae", "ée", "ê", "", "éß", "x")
     oracle.check(spark, str(tmp_path), entry.queries()["x21_edit_distance"], entry.oracle_sql()["x21_edit_distance"])
+
+
+def test_every_seventh_video_is_saved_again(spark, tmp_path):
+    write(tmp_path, "conversations", "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", [(v, t, "user", f"{v} {t}") for v in range(90) for t in range(2)])
+    got = {(r.vid, r.id): r.text for r in entry.queries()["s8_saved_fields"](spark, str(tmp_path)).collect()}
+    assert got == {(v, t): "saved again" if v % 7 == 0 else f"{v} {t}" for v in range(90) for t in range(2)}
+    oracle.check(spark, str(tmp_path), entry.queries()["s8_saved_fields"], entry.oracle_sql()["s8_saved_fields"])
