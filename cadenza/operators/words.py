@@ -57,12 +57,19 @@ def speaker_blocks(turns: DataFrame) -> DataFrame:
 
 def embedded_target(words: DataFrame, src: str, tgt: str) -> DataFrame:
     """Words with bucket and embedded, true in target-script runs of fewer than three words."""
-    marked = words.withColumn("bucket", S.text_bucket(F.col("text"), src, tgt))
-    is_target = F.col("bucket").eqNullSafe("target")
-    flips = ~F.lag(is_target).over(in_order()).eqNullSafe(is_target)
-    runs = islands(marked, "vid", ["seq"], flips, "run")
-    size = F.count("*").over(Window.partitionBy("vid", "run"))
-    return runs.withColumn("embedded", is_target & (size < SEG.foreign_min_words)).drop("run")
+    marked = words.withColumn("bucket", S.text_bucket(F.col("text"), src, tgt)).withColumn("__tg", F.col("bucket").eqNullSafe("target"))
+    # A run's length is told by the nearest words on either side, so runs need no order of their own.
+    near = {0: F.col("__tg")} | {
+        sign * i: F.coalesce(look("__tg", i).over(in_order()), F.lit(False)) for i in range(1, SEG.foreign_min_words) for sign, look in ((-1, F.lag), (1, F.lead))
+    }
+    seen = marked.withColumns({f"__n{i}": x for i, x in near.items()})
+    long = F.lit(False)
+    for first in range(1 - SEG.foreign_min_words, 1):
+        stretch = F.lit(True)
+        for i in range(first, first + SEG.foreign_min_words):
+            stretch = stretch & F.col(f"__n{i}")
+        long = long | stretch
+    return seen.withColumn("embedded", F.col("__tg") & ~long).drop("__tg", *[f"__n{i}" for i in near])
 
 
 def sessions(words: DataFrame, src: str = "he", tgt: str = "en") -> DataFrame:
@@ -87,13 +94,19 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en") -> DataFrame:
     return islands(marked, "vid", ["seq"], starts, "segment")
 
 
+def _weight() -> Column:
+    return F.sum(F.greatest(F.lit(SEG.word_overlap), F.col("end_ms") - F.col("t_ms")))
+
+
+def _speaker() -> Column:
+    return F.max_by("spk", F.struct("weight", -F.col("first")))
+
+
 def majority_speaker(words: DataFrame) -> DataFrame:
     """A1: (vid, segment, speaker): the speaker with the most time, a word counting 50 ms at least; the
     first heard wins ties."""
-    weights = words.groupBy("vid", "segment", "spk").agg(
-        F.sum(F.greatest(F.lit(SEG.word_overlap), F.col("end_ms") - F.col("t_ms"))).alias("weight"), F.min("seq").alias("first")
-    )
-    return weights.groupBy("vid", "segment").agg(F.max_by("spk", F.struct("weight", -F.col("first"))).alias("speaker"))
+    weights = words.groupBy("vid", "segment", "spk").agg(_weight().alias("weight"), F.min("seq").alias("first"))
+    return weights.groupBy("vid", "segment").agg(_speaker().alias("speaker"))
 
 
 def segments_of(words: DataFrame) -> DataFrame:
@@ -102,11 +115,15 @@ def segments_of(words: DataFrame) -> DataFrame:
     The text joins the words in order, without a space at seams of unspaced scripts; the words of one
     segment, a few dozen, are gathered in one row.
     """
-    line = S.join_words(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]))
-    whole = words.groupBy("vid", "segment").agg(
-        F.min("t_ms").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), line.alias("text"), F.count("*").alias("n_words")
+    # Speakers are counted and gathered in one pass over the words; a segment's rows lie together from the first.
+    spoken = words.where("vid is not null").groupBy("vid", "segment", "spk").agg(
+        _weight().alias("weight"), F.min("seq").alias("first"), F.min("t_ms").alias("t_ms"), F.max(F.struct("seq", "end_ms")).alias("last"),
+        F.collect_list(F.struct("seq", "text")).alias("parts"), F.count("*").alias("n"),
+    )
+    line = S.join_words(F.transform(F.sort_array(F.flatten(F.collect_list("parts"))), lambda w: w["text"]))
+    return spoken.groupBy("vid", "segment").agg(
+        F.min("t_ms").alias("start_ms"), F.max("last")["end_ms"].alias("end_ms"), line.alias("text"), F.sum("n").alias("n_words"), _speaker().alias("speaker")
     )
-    return whole.join(majority_speaker(words), ["vid", "segment"])
 
 
 def without_echoes(words: DataFrame) -> DataFrame:
