@@ -1,9 +1,11 @@
 """How much work the word operators plan: no table read twice, no order made twice."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import folds as K
 from cadenza.operators import words as W
 
 
@@ -29,6 +31,11 @@ def test_embedded_words_are_ordered_once(spark, tmp_path):
     assert plan(W.embedded_target(stored_words(spark, tmp_path), "he", "en")).count("Sort [") == 1
 
 
+def test_loops_look_ahead_once(spark, tmp_path):
+    text = plan(K.loops_collapsed(stored_words(spark, tmp_path)))
+    assert len(set(re.findall(r"RowFrame, currentrow\$\(\), \d+", text))) == 1
+
+
 def test_embedded_runs_of_all_lengths(spark):
     rng = random.Random(4)
     rows = [(vid, seq, rng.choice(["yes", "yes", "שלום", "12"])) for vid in range(20) for seq in range(vid * 3)]
