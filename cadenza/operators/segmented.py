@@ -18,7 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
-from ..sources.shared import stored
+from ..sources.shared import forget, stored
 from .intervals import bucket_join, cover
 
 #: Positions of a video in one chunk.
@@ -189,6 +189,7 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en", size: int = CHU
     ).drop("__tg", *[f"__{s}{i}" for s in "ab" for i in reach])
     own = F.when(~F.col("embedded"), F.col("bucket"))
     placed = scan(seen, {"__context": last(own)}, size)
+    forget(seen)  # each scan has stored its rows, so those of the scan before go
     starts = (
         F.col("__prev.seq").isNull()
         | (F.col("gap_ms") >= SEG.gap)
@@ -197,7 +198,9 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en", size: int = CHU
         | F.coalesce(own != F.col("__context"), F.lit(False))
         | F.coalesce(F.col("__prev.text").rlike(SENTENCE_END), F.lit(False))
     )
-    return scan(placed.withColumn("__starts", starts).drop("__prev", "__marks", "__context"), {"segment": total(F.col("__starts"))}, size).drop("__starts")
+    numbered = scan(placed.withColumn("__starts", starts).drop("__prev", "__marks", "__context"), {"segment": total(F.col("__starts"))}, size)
+    forget(placed)
+    return numbered.drop("__starts")
 
 
 def without_echoes(words: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -210,10 +213,13 @@ def without_echoes(words: DataFrame, size: int = CHUNK) -> DataFrame:
     keyed = scan(words.withColumn("__key", key), {"__prev": before(F.struct("__key"))}, size)
     flips = F.col("__prev").isNull() | ~F.col("__prev.__key").eqNullSafe(F.col("__key"))
     runs = scan(keyed.withColumn("__flip", F.when(flips, F.col("seq"))), {"__run": last(F.col("__flip"), own=True)}, size)
+    forget(keyed)
     seen = scan(runs.drop("__prev", "__flip"), {"__top": highest(F.struct(F.col("__run").alias("run"), F.col("end_ms").alias("end")))}, size)
+    forget(runs)
     twin = F.when(F.col("__top.run") == F.col("__run"), F.col("__top.end"))
     marked = seen.withColumn("__echo", (F.col("__key") != "") & F.coalesce(F.col("t_ms") < twin - 50, F.lit(False))).drop("__top", "__run", "__key")
     kept = scan(marked.withColumn("__own", F.when(~F.col("__echo"), F.col("seq"))), {"__kept": last(F.col("__own"), own=True)}, size)
+    forget(seen)
     word = F.first(F.when(~F.col("__echo"), F.struct(*[F.col(c) for c in words.columns])), ignorenulls=True)
     whole = kept.groupBy("vid", "__kept").agg(word.alias("w"), F.max("end_ms").alias("__end"))
     return whole.select(*[F.col("__end").alias(c) if c == "end_ms" else F.col(f"w.{c}") for c in words.columns])
@@ -238,5 +244,6 @@ def word_speakers(words: DataFrame, turns: DataFrame, size: int = CHUNK) -> Data
     close = near.groupBy("vid", "seq").agg(F.min_by("r_speaker", away).alias("__close"))
     found = timed.join(best, ["vid", "seq"], "left").join(close, ["vid", "seq"], "left").withColumn("__known", F.coalesce("__own", "__close"))
     filled = scan(found.drop("__own", "__close"), {"__spk": last(F.col("__known"), own=True)}, size)
+    forget(timed)
     first = real.groupBy("vid").agg(F.min_by("speaker", F.struct("start_ms", "seq")).alias("__first"))
     return filled.join(first, "vid", "left").withColumn("spk", F.coalesce("__spk", "__first", F.lit("SPEAKER_00"))).drop("__spk", "__known", "__first")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,17 @@ def test_embedded_runs_of_all_lengths(spark):
             want[vid, i] = flag and b - a + 1 < W.SEG.foreign_min_words
     got = W.embedded_target(spark.createDataFrame(rows, "vid long, seq long, text string"), "he", "en").select("vid", "seq", F.col("embedded").alias("e"))
     assert {(r.vid, r.seq): r.e for r in got.collect()} == want
+
+
+def test_scans_leave_one_copy_of_the_words(spark, tmp_path):
+    from cadenza.operators import segmented as G
+
+    words = stored_words(spark, tmp_path)
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    turns = words.selectExpr("vid", "seq", "spk AS speaker", "t_ms AS start_ms", "end_ms")
+    for make, copies in [
+        (lambda: G.sessions(words, size=7), 1), (lambda: G.without_echoes(words.drop("brk", "spk"), 7), 1), (lambda: G.word_speakers(words, turns, 7), 2)
+    ]:
+        root.mkdir(exist_ok=True)
+        before = set(root.iterdir())
+        assert make().count() and len(set(root.iterdir()) - before) == copies
