@@ -4,10 +4,13 @@ import random
 import re
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cadenza.operators import folds as K
 from cadenza.operators import words as W
+from cadenza.sources import tables as T
 
 
 def plan(df):
@@ -66,3 +69,64 @@ def test_scans_leave_one_copy_of_the_words(spark, tmp_path):
         root.mkdir(exist_ok=True)
         before = set(root.iterdir())
         assert make().count() and len(set(root.iterdir()) - before) == copies
+
+
+def documents(folder, texts):
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_documents_are_dealt_out_before_their_words_are_made(spark, tmp_path):
+    """A shuffle takes whole texts; turns are sums of their words, with no window and no order of their own but the words'."""
+    folder = documents(tmp_path, ["one two three. four"] * 20)
+    for made in (T.words(spark, folder), T.turns(spark, folder)):
+        text = plan(made)
+        assert text.count("Exchange ") == 1 and text.count("Window [") == 1
+        assert text.index("Generate") < text.index("Exchange ")  # plans are printed from the top
+
+
+def test_turns_are_the_runs_of_one_speaker(spark, tmp_path):
+    """Of texts of all lengths about the places where speakers change, with blanks at both ends and without words."""
+    folder = documents(tmp_path, [" \n" * (n % 3) + "\n".join(["a."] * n) + " \n" * (n % 2) for n in range(100)] + [None, "", "\n\n"])
+    by = W.in_order()
+    heard = T.words(spark, folder).withColumn("speaker", F.expr("if(seq % 46 = 11, 'S9', spk)"))
+    changed = heard.withColumn("b", (~F.lag("speaker").over(by).eqNullSafe(F.col("speaker"))).cast("int"))
+    runs = changed.withColumn("k", F.sum("b").over(by)).groupBy("vid", "k").agg(F.min("speaker").alias("speaker"), F.min("t_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    told = runs.select("vid", (F.col("k") - 1).alias("seq"), "speaker", "start_ms", "end_ms")
+    assert sorted(T.turns(spark, folder).collect()) == sorted(told.collect()) != []
+
+
+def test_words_are_not_moved_to_find_their_speakers(spark, tmp_path):
+    folder = documents(tmp_path, ["one two three. four"] * 20)
+    found = W.word_speakers(T.words(spark, folder), T.turns(spark, folder))
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(found))
+    assert not any("seq" in m or "__b" in m for m in moved)
+
+
+def test_speakers_by_all_turns_that_overlap(spark):
+    """Turns that overlap, lie far apart, are long, backward or without a name, against all pairs."""
+    draw = random.Random(3)
+    words, turns = [], []
+    for vid in range(12):
+        t = draw.choice([0, 5_000_000, -40_000])
+        for seq in range(60):
+            t += draw.choice([20, 300, 1200, 9000, 90_000 if vid % 3 else 50])
+            words.append((vid, seq, "x", t, draw.choice([None, t + 100, t + 30_000])))
+            if vid and draw.random() < 0.3:
+                start = t + draw.randint(-1500, 1500)
+                turns.append((vid, seq, draw.choice(["A", "B", "C", None]), start, start + draw.choice([-50, 300, 450, 2000, 400_000])))
+    w = spark.createDataFrame(words, "vid long, seq long, text string, t_ms long, end_ms long").withColumn("spk", F.lit("?"))
+    t = spark.createDataFrame(turns, "vid long, seq long, speaker string, start_ms long, end_ms long")
+    timed = {(r["vid"], r["seq"]): r["end_ms"] for r in W.word_ends(w).collect()}
+    want, last = {}, {}
+    for vid, seq, _, a, _ in words:
+        b = timed[vid, seq]
+        mine = [x for x in turns if x[0] == vid]
+        real = [x for x in mine if x[4] - x[3] >= 400] or mine
+        over = [(min(b, x[4]) - max(a, x[3]), -x[3], x[2] or "") for x in real if min(b, x[4]) > max(a, x[3])]
+        edges = [(abs(2 * e - a - b), 2 * e > a + b, x[3], x[2]) for x in real if x[2] for e in x[3:5] if abs(2 * e - a - b) <= 1000]
+        known = (max(over)[2] if over else "") or (min(edges)[3] if edges else "") or last.get(vid)
+        last[vid] = known
+        first = min(real, key=lambda x: (x[3], x[1]))[2] if real else None
+        want[vid, seq] = known or first or "SPEAKER_00"
+    assert {(r["vid"], r["seq"]): r["spk"] for r in W.word_speakers(w, t).collect()} == want
