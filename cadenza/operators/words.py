@@ -8,7 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
-from .intervals import bucket_join, cover, islands
+from .intervals import bucket_join, islands
 
 
 def in_order() -> WindowSpec:
@@ -201,35 +201,57 @@ def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
     ).drop("i", "mid2", "protect")
 
 
+#: Least width in ms of the cells that a video's turns are filed under.
+CELL_MS = 10_000
+
+
+def filed_turns(turns: DataFrame) -> DataFrame:
+    """One row a video: first (the earliest turn's speaker), lo, width, and cells, each an array of the turns that meet it.
+
+    Cells are as wide as makes no more than four to a turn, so a video's row is as long as its turns are many.
+    """
+    sized = turns.groupBy("vid").agg(
+        F.min("start_ms").alias("lo"), F.max(F.greatest("start_ms", "end_ms")).alias("hi"), F.count("*").alias("n"),
+        F.min_by("speaker", F.struct("start_ms", "seq")).alias("first"),
+    ).select("vid", "lo", "hi", F.greatest(F.lit(CELL_MS), F.ceil((F.col("hi") - F.col("lo")) / (4 * F.col("n")))).alias("width"), "first")
+    turn = F.struct("start_ms", "end_ms", "speaker").alias("turn")
+    placed = turns.join(sized, "vid").select(
+        "vid", F.explode(F.expr("sequence((start_ms - lo) div width, (greatest(start_ms, end_ms) - lo) div width)")).alias("cell"), turn
+    )
+    every = sized.select("vid", F.explode(F.expr("sequence(0L, (hi - lo) div width)")).alias("cell"), F.lit(None).cast(placed.schema["turn"].dataType).alias("turn"))
+    held = placed.unionByName(every).groupBy("vid", "cell").agg(F.collect_list("turn").alias("held"))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("cell", "held"))), lambda c: c["held"])
+    return sized.drop("hi").join(held.groupBy("vid").agg(cells.alias("cells")), "vid")
+
+
 def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Words with spk: the real turn that overlaps most, else the nearest turn edge within 500 ms of
     the midpoint, else the speaker of the word before.
 
-    Looks at all turns, which equals a look at the nearby ones where turns do not overlap.
+    Looks at all turns, which equals a look at the nearby ones where turns do not overlap. A video's turns
+    come to its words as one row of cells of time; a word reads the cells that it and the 500 ms reach, so
+    words are neither moved nor multiplied.
     """
-    real = real_turns(turns)
     timed = word_ends(words).drop("spk")
-    spans = timed.select("vid", "seq", F.col("t_ms").alias("start_ms"), "end_ms")
-    covers = bucket_join(spans, real).withColumn("cover", cover()).where("cover > 0")
-    best = covers.groupBy("vid", "seq").agg(F.max_by("r_speaker", F.struct("cover", -F.col("r_start_ms"))).alias("own"))
-    # Twice the midpoint keeps halves of milliseconds exact.
-    mid = timed.select("vid", "seq", ((F.col("t_ms") + F.col("end_ms"))).alias("at"), F.lit(None).cast("string").alias("speaker"))
-    edges = real.select("vid", F.lit(None).cast("long").alias("seq"), F.explode(F.array(F.col("start_ms") * 2, F.col("end_ms") * 2)).alias("at"), "speaker", F.col("start_ms"))
-    every = mid.withColumn("start_ms", F.lit(None).cast("long")).unionByName(edges)
-    edge = F.when(F.col("speaker").isNotNull(), F.struct("at", "start_ms", "speaker"))
-    # Both looks go back in their order: a look ahead to the end would be made anew for every row.
-    low = Window.partitionBy("vid").orderBy("at", F.col("speaker").isNull(), F.desc("start_ms")).rowsBetween(Window.unboundedPreceding, 0)
-    high = Window.partitionBy("vid").orderBy(F.desc("at"), F.col("speaker").isNull().desc(), F.desc("start_ms")).rowsBetween(Window.unboundedPreceding, 0)
-    near = every.withColumns({"low": F.last(edge, ignorenulls=True).over(low), "high": F.last(edge, ignorenulls=True).over(high)}).where("seq is not null")
-    below, above = F.col("at") - F.col("low.at"), F.col("high.at") - F.col("at")
-    pick = F.when(below.isNull() | (above < below), F.col("high")).otherwise(F.col("low"))
-    nearest = near.select("vid", "seq", F.when(F.least(below, above) <= 1000, pick["speaker"]).alias("close"))
-    joined = timed.join(best, ["vid", "seq"], "left").join(nearest, ["vid", "seq"], "left")
-    found = joined.withColumn("known", F.coalesce("own", "close"))
-    first = real.groupBy("vid").agg(F.min_by("speaker", F.struct("start_ms", "seq")).alias("first"))
-    return found.join(first, "vid", "left").withColumn(
+    first, last = F.expr("greatest(0L, (t_ms - 500 - lo) div width)"), F.expr("(end_ms + 500 - lo) div width")
+    near = F.flatten(F.slice("cells", (first + 1).cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")))
+    met = timed.join(filed_turns(real_turns(turns)), "vid", "left").withColumn("near", near).drop("lo", "width", "cells")
+
+    def covering(r: Column) -> Column:
+        cover = F.least("end_ms", r["end_ms"]) - F.greatest("t_ms", r["start_ms"])
+        return F.when(cover > 0, F.struct(cover, -r["start_ms"], r["speaker"].alias("speaker")))
+
+    def edge(r: Column, at: str) -> Column:
+        # Twice the times keeps halves of milliseconds exact.
+        past = 2 * r[at] - F.col("t_ms") - F.col("end_ms")
+        return F.when(r["speaker"].isNotNull() & (F.abs(past) <= 1000), F.struct(F.abs(past), past > 0, r["start_ms"], r["speaker"].alias("speaker")))
+
+    own = F.array_max(F.transform("near", covering))["speaker"]
+    closest = lambda at: F.array_min(F.transform("near", lambda r: edge(r, at)))
+    known = met.withColumn("own", own).withColumn("known", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.least(closest("start_ms"), closest("end_ms"))["speaker"]))
+    return known.withColumn(
         "spk", F.coalesce(F.last("known", ignorenulls=True).over(in_order()), F.col("first"), F.lit("SPEAKER_00"))
-    ).drop("own", "close", "known", "first")
+    ).drop("near", "own", "known", "first")
 
 
 def snapped_handoffs(segments: DataFrame, turns: DataFrame) -> DataFrame:
