@@ -21,6 +21,10 @@ def fields(schema: str) -> dict[str, str]:
     return dict(x.split() for x in schema.split(","))
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return pa.schema([(n, TYPES[t]) for n, t in fields(schema).items()])
+
+
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str
 ) -> DataFrame:
@@ -30,15 +34,21 @@ def ordered_fold(
     the step keeps. A key is folded by one task, so callers cut long keys where their rule cannot reach
     across, and leave out what it cannot change. All rows are folded; a null key is a key.
     """
-    arrow = pa.schema([(n, TYPES[t]) for n, t in fields(schema).items()])
+    each = _each(keys, step, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+
+
+def _each(keys: list[str], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` over the rows of sorted batches, key after key."""
+    arrow, most = arrow_schema(schema), OUT_ROWS
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in b.to_pylist())
         folded = (x for _, group in itertools.groupby(rows, lambda r: [r[k] for k in keys]) for x in step(group))
-        while part := list(itertools.islice(folded, OUT_ROWS)):
+        while part := list(itertools.islice(folded, most)):
             yield pa.RecordBatch.from_pylist(part, arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+    return each
 
 
 def cut(df: DataFrame, order: list[str | Column], opens: Column, touched: Column, key: str = "vid") -> DataFrame:
@@ -52,6 +62,21 @@ def cut(df: DataFrame, order: list[str | Column], opens: Column, touched: Column
 def fold_islands(
     df: DataFrame, order: list[str | Column], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str, key: str = "vid"
 ) -> DataFrame:
-    """The rows of ``df`` after ``cut``: islands marked ``fold`` go through ``step``, the others pass by."""
-    folded = ordered_fold(df.where("fold").drop("fold"), [key, "island"], order, step, schema)
-    return folded.unionByName(df.where("not fold").select(*fields(schema)))
+    """The rows of ``df`` after ``cut``: islands marked ``fold`` go through ``step``, the others pass by.
+
+    ``df`` comes from windows over ``key``, so a key's rows lie in one partition; they are sorted there, those that
+    pass by first, and are neither moved nor made twice.
+    """
+    kinds = fields(schema)
+    arrow, each_island = arrow_schema(schema), _each([key, "island"], step, schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            past = batch.num_rows - batch.column("fold").true_count
+            if past:
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(0, past) for c in arrow.names], schema=arrow)
+            if past < batch.num_rows:
+                yield from each_island(itertools.chain([batch.slice(past)], batches))
+
+    typed = df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if c in df.columns} | {"fold": F.coalesce("fold", F.lit(False))})
+    return typed.sortWithinPartitions("fold", key, "island", *order).mapInArrow(each, schema)

@@ -109,6 +109,17 @@ def majority_speaker(words: DataFrame) -> DataFrame:
     return weights.groupBy("vid", "segment").agg(_speaker().alias("speaker"))
 
 
+def line_speaker(words: str) -> Column:
+    """A1 of one segment's words, an array."""
+    def votes(spk: Column) -> Column:
+        own = F.filter(words, lambda w: w["spk"].eqNullSafe(spk))
+        weight = F.aggregate(own, F.lit(0).cast("long"), lambda total, w: total + F.greatest(F.lit(SEG.word_overlap), w["end_ms"] - w["t_ms"]))
+        return F.struct(weight.alias("weight"), (-F.get(own, F.lit(0))["seq"]).alias("first"), spk.alias("spk"))
+
+    heard = F.array_distinct(F.transform(words, lambda w: w["spk"]))
+    return F.when(F.size(heard) == 1, heard[0]).otherwise(F.array_max(F.transform(heard, votes))["spk"])
+
+
 def segments_of(words: DataFrame) -> DataFrame:
     """Segments of sessionized words: vid, segment, start_ms, end_ms, speaker, text, n_words.
 
@@ -169,13 +180,21 @@ def turn_boundaries(turns: DataFrame) -> DataFrame:
     """(vid, at_ms, protect): cuts at handovers between real turns and in the middle of long silences."""
     by = Window.partitionBy("vid").orderBy("start_ms", "seq")
     gap = F.lead("start_ms").over(by) - F.col("end_ms")
-    silent = turns.withColumn("gap", gap).where(F.col("gap") >= SEG.turn_gap).select(
-        "vid", (F.col("end_ms") + F.expr("gap div 2")).alias("at_ms"), F.lit(True).alias("protect")
-    )
-    handed = real_turns(turns).withColumn("before", F.lag("speaker").over(by)).where("before <> speaker").select(
-        "vid", F.col("start_ms").alias("at_ms"), F.lit(False).alias("protect")
-    )
-    return silent.unionByName(handed)
+    long = (F.col("end_ms") - F.col("start_ms") >= SEG.min_turn).cast("int")
+    seen = turns.withColumns({"gap": gap, "long": long, "some": F.max(long).over(Window.partitionBy("vid"))})
+    real = seen.withColumn("real", F.coalesce(F.expr("long = 1 or some = 0"), F.lit(False)))
+    # The real turn before, in a box that holds a speaker without a name too.
+    before = F.last(F.when(F.col("real"), F.struct("speaker")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    told = real.withColumn("before", before["speaker"])
+    silent = F.when(F.col("gap") >= SEG.turn_gap, F.struct((F.col("end_ms") + F.expr("gap div 2")).alias("at_ms"), F.lit(True).alias("protect")))
+    handed = F.when(F.col("real") & (F.col("before") != F.col("speaker")), F.struct(F.col("start_ms").alias("at_ms"), F.lit(False).alias("protect")))
+    return told.select("vid", F.explode(F.array_compact(F.array(silent, handed))).alias("at")).select("vid", "at.at_ms", "at.protect")
+
+
+def gathered(words: DataFrame) -> DataFrame:
+    """One row a segment: vid, segment, words, its words in order with all their other columns."""
+    others = [c for c in words.columns if c not in ("vid", "segment", "seq")]
+    return words.groupBy("vid", "segment").agg(F.sort_array(F.collect_list(F.struct("seq", *others))).alias("words"))
 
 
 def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
@@ -183,45 +202,70 @@ def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
 
     A word lies on the side of its midpoint; each side keeps a word. Protected cuts set brk.
     """
-    place = Window.partitionBy("vid", "segment").orderBy("seq")
-    numbered = words.withColumns({"i": F.row_number().over(place) - 1, "mid2": F.col("t_ms") + F.col("end_ms")})
-    spans = numbered.groupBy("vid", "segment").agg(
-        F.min("t_ms").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), F.count("*").alias("n")
-    )
+    cut = cut_at_turns(gathered(words), turns).select("vid", "segment", F.explode("words").alias("w"))
+    return cut.select(*[F.col("w")[c].alias(c) if c not in ("vid", "segment") else c for c in words.columns if c != "brk"], "w.piece", "w.brk")
+
+
+def cut_at_turns(lines: DataFrame, turns: DataFrame) -> DataFrame:
+    """``lines`` of ``gathered`` whose words have brk and piece by the rules of ``split_at_turns``.
+
+    A video's boundaries come to its segments as one row of cells of time, so words are not moved for them.
+    """
     points = turn_boundaries(turns).select("vid", F.col("at_ms").alias("start_ms"), F.col("at_ms").alias("end_ms"), "protect")
-    inside = bucket_join(spans.where("n >= 2"), points).where("start_ms < r_start_ms and r_start_ms < end_ms")
-    at = numbered.join(inside.select("vid", "segment", "n", F.col("r_start_ms").alias("at_ms"), F.col("r_protect").alias("protect")), ["vid", "segment"])
-    cuts = at.groupBy("vid", "segment", "at_ms").agg(
-        F.max("protect").alias("protect"), F.max("n").alias("n"), F.count_if(F.col("mid2") < 2 * F.col("at_ms")).alias("i")
-    ).select("vid", "segment", F.least(F.greatest("i", F.lit(1)), F.col("n") - 1).alias("i"), "protect")
-    cuts = cuts.groupBy("vid", "segment", "i").agg(F.max("protect").alias("protect"))
-    marked = numbered.join(cuts, ["vid", "segment", "i"], "left")
-    return marked.withColumns(
-        {"piece": F.sum(F.col("protect").isNotNull().cast("int")).over(place), "brk": F.coalesce("protect", F.lit(False))}
-    ).drop("i", "mid2", "protect")
+    n = F.size("words")
+    spans = lines.withColumns({"__a": F.array_min(F.transform("words", lambda w: w["t_ms"])), "__b": F.element_at("words", -1)["end_ms"]})
+    first, last = F.expr("greatest(0L, (__a - lo) div width)"), F.expr("(__b - lo) div width")
+    near = F.flatten(F.slice("cells", (first + 1).cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")))
+    inside = F.filter(near, lambda p: (F.col("__a") < p["start_ms"]) & (p["start_ms"] < F.col("__b")))
+    met = spans.join(filed(points, F.struct("start_ms", "protect")), "vid", "left").withColumn("__points", F.when(n >= 2, inside))
+
+    def place(p: Column) -> Column:
+        sooner = F.size(F.filter("words", lambda w: w["t_ms"] + w["end_ms"] < 2 * p["start_ms"]))
+        return F.struct(F.least(F.greatest(sooner, F.lit(1)), n - 1).alias("i"), p["protect"].alias("protect"))
+
+    placed = met.withColumn("__cuts", F.transform("__points", place))
+    names = [f.name for f in lines.schema["words"].dataType.elementType.fields if f.name not in ("brk", "piece")]
+
+    def marked(w: Column, j: Column) -> Column:
+        sooner = F.array_distinct(F.transform(F.filter("__cuts", lambda c: c["i"] <= j), lambda c: c["i"]))
+        brk = F.exists("__cuts", lambda c: (c["i"] == j) & c["protect"])
+        return F.struct(*[w[c].alias(c) for c in names], F.size(sooner).cast("long").alias("piece"), brk.alias("brk"))
+
+    def whole(w: Column) -> Column:
+        return F.struct(*[w[c].alias(c) for c in names], F.lit(0).cast("long").alias("piece"), F.lit(False).alias("brk"))
+
+    cut = F.when(F.size("__cuts") > 0, F.transform("words", marked)).otherwise(F.transform("words", whole))
+    return placed.withColumn("words", cut).select(*lines.columns)
 
 
 #: Least width in ms of the cells that a video's turns are filed under.
 CELL_MS = 10_000
 
 
-def filed_turns(turns: DataFrame) -> DataFrame:
-    """One row a video: first (the earliest turn's speaker), lo, width, and cells, each an array of the turns that meet it.
+def filed(spans: DataFrame, held: Column, **others: Column) -> DataFrame:
+    """One row a video: lo, width, ``others``, and cells, each an array of what is ``held`` of the spans that meet it.
 
-    Cells are as wide as makes no more than four to a turn, so a video's row is as long as its turns are many.
+    Cells are as wide as makes no more than four to a span, so a video's row is as long as its spans are many.
     """
-    sized = turns.groupBy("vid").agg(
-        F.min("start_ms").alias("lo"), F.max(F.greatest("start_ms", "end_ms")).alias("hi"), F.count("*").alias("n"),
-        F.min_by("speaker", F.struct("start_ms", "seq")).alias("first"),
-    ).select("vid", "lo", "hi", F.greatest(F.lit(CELL_MS), F.ceil((F.col("hi") - F.col("lo")) / (4 * F.col("n")))).alias("width"), "first")
-    turn = F.struct("start_ms", "end_ms", "speaker").alias("turn")
-    placed = turns.join(sized, "vid").select(
-        "vid", F.explode(F.expr("sequence((start_ms - lo) div width, (greatest(start_ms, end_ms) - lo) div width)")).alias("cell"), turn
+    video = Window.partitionBy("vid")
+    names = list(others)
+    sized = spans.withColumns({
+        "lo": F.min("start_ms").over(video), "hi": F.max(F.greatest("start_ms", "end_ms")).over(video), "n": F.count("*").over(video)
+    } | {c: x.over(video) for c, x in others.items()}).withColumn("width", F.greatest(F.lit(CELL_MS), F.ceil((F.col("hi") - F.col("lo")) / (4 * F.col("n")))))
+    placed = sized.select(
+        "vid", "lo", "width", *names, F.explode(F.expr("sequence((start_ms - lo) div width, (greatest(start_ms, end_ms) - lo) div width)")).alias("cell"), held.alias("one")
     )
-    every = sized.select("vid", F.explode(F.expr("sequence(0L, (hi - lo) div width)")).alias("cell"), F.lit(None).cast(placed.schema["turn"].dataType).alias("turn"))
-    held = placed.unionByName(every).groupBy("vid", "cell").agg(F.collect_list("turn").alias("held"))
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("cell", "held"))), lambda c: c["held"])
-    return sized.drop("hi").join(held.groupBy("vid").agg(cells.alias("cells")), "vid")
+    some = placed.groupBy("vid", "lo", "width", *names, "cell").agg(F.collect_list("one").alias("held"))
+    # Cells that nothing meets lie behind the one before them.
+    following = F.coalesce(F.lead("cell").over(video.orderBy("cell")) - 1, F.col("cell"))
+    full = some.withColumn("to", following).select("vid", "lo", "width", *names, "cell", "held", F.explode(F.sequence("cell", "to")).alias("at"))
+    own = F.when(F.col("at") == F.col("cell"), F.col("held")).otherwise(F.expr("slice(held, 1, 0)"))
+    return full.groupBy("vid", "lo", "width", *names).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", own.alias("held")))), lambda c: c["held"]).alias("cells"))
+
+
+def filed_turns(turns: DataFrame) -> DataFrame:
+    """``filed`` turns, with first, the earliest turn's speaker."""
+    return filed(turns, F.struct("start_ms", "end_ms", "speaker"), first=F.min_by("speaker", F.struct("start_ms", "seq")))
 
 
 def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:

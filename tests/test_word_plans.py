@@ -135,3 +135,33 @@ def test_speakers_by_all_turns_that_overlap(spark):
         first = min(real, key=lambda x: (x[3], x[1]))[2] if real else None
         want[vid, seq] = known or first or "SPEAKER_00"
     assert {(r["vid"], r["seq"]): r["spk"] for r in W.word_speakers(w, t).collect()} == want
+
+
+def stored_turns(spark, folder):
+    turns = spark.range(40).selectExpr("id % 4 AS vid", "id AS seq", "concat('S', id div 4 % 3) AS speaker", "id * 3000 AS start_ms", "id * 3000 + 2500 AS end_ms")
+    turns.write.parquet(f"{folder}/turns")
+    return spark.read.parquet(f"{folder}/turns")
+
+
+def test_segmentation_reads_words_and_turns_once_and_stores_neither(spark, tmp_path):
+    whole = K.segmentation(stored_words(spark, tmp_path), stored_turns(spark, tmp_path))
+    text = plan(whole)
+    assert text.count("FileScan parquet") == 2 and "cadenza-" not in text
+    assert whole.count() > 4
+
+
+def test_islands_are_folded_without_making_their_words_twice(spark, tmp_path):
+    words = stored_words(spark, tmp_path)
+    for folded in (K.stretched_dropped(words), K.loops_collapsed(words)):
+        assert plan(folded).count("FileScan parquet") == 1
+
+
+def test_long_segments_are_cut_where_they_lie(spark, tmp_path):
+    text = plan(K.long_split(stored_words(spark, tmp_path).withColumn("segment", F.lit(0))))
+    assert text.count("FileScan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_boundaries_come_from_one_look_at_the_turns(spark, tmp_path):
+    turns = stored_turns(spark, tmp_path)
+    assert plan(W.turn_boundaries(turns)).count("FileScan parquet") == 1
+    assert plan(W.filed_turns(turns)).count("FileScan parquet") == 1
