@@ -173,3 +173,12 @@ def test_parts_of_the_bed_grow_with_its_frames(spark, monkeypatch):
     places = spark.createDataFrame([(v, v * 1000, 120_000, False) for v in range(40)], "vid long, start_ms long, end_ms long, keep boolean")
     bed = L.envelope(places, places.selectExpr("vid", "end_ms AS total_ms"))
     assert bed.rdd.getNumPartitions() >= 40 * 24_000 // 2000
+
+
+def test_captions_are_compressed_and_dealt_out_whole(spark, sf):
+    from cadenza.plans.captions import s1
+
+    read = s1(spark, sf)
+    assert all(f.endswith(".gz") for f in read.inputFiles())
+    text = plan(read)
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("REPARTITION_BY_NUM") == 1
