@@ -209,7 +209,7 @@ def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
 def cut_at_turns(lines: DataFrame, turns: DataFrame) -> DataFrame:
     """``lines`` of ``gathered`` whose words have brk and piece by the rules of ``split_at_turns``.
 
-    A video's boundaries come to its segments as one row of cells of time, so words are not moved for them.
+    A video's boundaries come to its segments as one row of cells of time, where they lie in equal parts nothing is moved.
     """
     points = turn_boundaries(turns).select("vid", F.col("at_ms").alias("start_ms"), F.col("at_ms").alias("end_ms"), "protect")
     n = F.size("words")
