@@ -61,6 +61,19 @@ def test_late_words_are_counted_and_left_out(spark):
     assert [w["seq"] for w in segment["words"]] == [0, 2, 3] and segment["late"] == 1
 
 
+def test_videos_share_a_few_states(spark):
+    path, out, state = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    rows = [(v, *rest) for v in range(40) for _, *rest in speech()[:60]] + [(None, *rest) for _, *rest in speech()[:60]]
+    run = lambda: stateful.appended(stateful.segment_stream(spark.readStream.schema(WORD).parquet(path), groups=4), out, state)
+    for some in ([r for r in rows if r[1] < 30], [r for r in rows if r[1] >= 30]):
+        word_rows(spark, some).write.mode("append").parquet(path)
+        run()
+    assert 0 < spark.read.format("statestore").load(state).count() <= 4
+    word_rows(spark, [(-1, 0, "end", 10**9, 10**9 + 1, "S0", False)]).write.mode("append").parquet(path)
+    said = {(r["vid"], w["seq"], r["segment"]) for r in run().where("vid is null or vid >= 0").collect() for w in r["words"]}
+    assert said == {(r["vid"], r["seq"], r["segment"]) for r in W.sessions(word_rows(spark, rows)).collect()}
+
+
 OFFER = "sub string, t long, seq long, frame string, takes long"
 
 
