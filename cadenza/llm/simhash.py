@@ -161,8 +161,12 @@ PAIR_ROWS = 1 << 18
 SLACK = 1e-9
 
 
+def set_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.astype("<u4"))
+
+
 def as_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words).astype("<u4"))
+    return set_of(shingle_hashes(text, words))
 
 
 def marks_of(held: np.ndarray) -> np.ndarray:
@@ -349,8 +353,20 @@ def similar_links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     return links
 
 
-def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16) -> DataFrame:
-    """(node, root) of the sets (id, n, marks, shingles) that similar pairs link, directly or over others: no pair is missed.
+def fingerprint_links(nodes: DataFrame, crowd: int = 64) -> DataFrame:
+    """The links (a, b) of ids by their fingerprints (id, fp), stored: equal ones, and those that ``hamming_links`` finds."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = nodes.join(firsts, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = hamming_links(firsts.select("fp"), crowd).toDF("x", "y")
+    named = near.join(firsts.toDF("x", "a"), "x").join(firsts.toDF("y", "b"), "y").select("a", "b")
+    links = stored(equal.unionByName(named))
+    forget(firsts)
+    return links
+
+
+def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16, alike: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets (id, n, marks, shingles) that similar pairs and the links ``alike`` connect, directly or over
+    others: no pair is missed.
 
     A pair whose first common shingle has few sets is verified at once. In a crowded one most of a group is
     linked first, and then all pairs of its members that are still in different components are verified.
@@ -363,7 +379,7 @@ def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16)
         .where(may_be_similar(F.col("an"), F.col("am"), F.col("bn"), F.col("bm"), similarity)).select("a", "b")
     )
     links = similar_links(sets, close, similarity)
-    roots = stored(connected_components(links))
+    roots = stored(connected_components(links if alike is None else links.unionByName(alike)))
     forget(links)
     crowded = met.where(F.col("key") != PAIR).select("key", F.col("a").alias("id"), "n", "place")
     late = similar_links(sets, missing_pairs(crowded, roots, marks, similarity), similarity)
@@ -376,9 +392,10 @@ def near_groups(sets: DataFrame, similarity: float = 0.8, open_bucket: int = 16)
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of linked texts the row with the smallest doc_id stays.
 
-    Equal texts are one node, named by a 64-bit hash. Texts link if the sets of their word shingles have at
-    least this Jaccard similarity, and all such pairs count; a text of fewer words has one shingle of them
-    all. Null and wordless texts are one group. Of rows with the same doc_id and text one stays; a null
+    Equal texts are one node, named by a 64-bit hash. Texts link if the fingerprints of their word shingles
+    differ in at most two bits, or if the sets of these have at least this Jaccard similarity, and all such
+    pairs count; a text of fewer words has one shingle of them all. Null and wordless texts are one group. Of
+    rows with the same doc_id and text one stays; a null
     doc_id counts as larger than any other. All columns pass through, and an empty table stays empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -386,20 +403,27 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [as_set(x.as_py(), words) for x in batch.column("text")]
+            hashes = [shingle_hashes(x.as_py(), words) for x in batch.column("text")]
+            sets = [set_of(x) for x in hashes]
             columns = [
+                pa.array(np.array([majority(x) for x in hashes], "<u8").view("<i8"), pa.int64()),
                 pa.array([len(x) for x in sets], pa.int64()), pa.array([marks_of(x) for x in sets], pa.list_(pa.int64())),
                 pa.array([x.tobytes() for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *columns], ["id", "doc_id", "n", "marks", "shingles"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    named = docs.select(F.xxhash64(text).alias("id"), "doc_id", text.alias("text"))
-    marked = named.mapInArrow(shingles, f"id bigint, doc_id {kind}, n bigint, marks array<bigint>, shingles binary")
-    one = F.max(F.struct("n", "marks", "shingles")).alias("set")  # equal texts have equal sets
-    nodes = stored(marked.groupBy("id").agg(F.min(order).alias("first"), one).select("id", "first", "set.*"))
-    roots = near_groups(nodes.select("id", "n", "marks", "shingles"), similarity)
-    group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "fp", "n", "marks", "shingles"])
+
+    # Copies are told by their hashes, so only the texts that have some are moved, and a set is made once and where its text lies.
+    named = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
+    heads = stored(docs.select(F.xxhash64(text).alias("id"), "doc_id").groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("rows")))
+    copied = heads.where("rows > 1").select("id")
+    one = named.join(copied, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = named.join(copied, "id", "left_anti").unionByName(one)
+    nodes = stored(texts.mapInArrow(shingles, "id bigint, fp bigint, n bigint, marks array<bigint>, shingles binary"))
+    # Fingerprints are quick to meet but promise no similarity, so the pairs of sets that have it are all found as well.
+    alike = fingerprint_links(nodes.select("id", "fp"))
+    roots = near_groups(nodes.select("id", "n", "marks", "shingles"), similarity, alike=alike)
+    forget(alike)
+    group = heads.join(roots, heads["id"] == roots["node"], "left").select(
         "id", "first", F.coalesce("root", "id").alias("root")
     )
     kept = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("kept")).select(

@@ -178,6 +178,17 @@ def test_crowded_near_copies_all_meet(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
 
 
+def test_near_copies_are_those_of_fingerprints_too(spark):
+    """A line said often outweighs what differs: the fingerprints are near, the sets are not similar."""
+    rows = [(i, " ".join([f"the line that all of them {i % 2}"] * 40 + [f"w{i}x{j}" for j in range(60)]), "en", "a") for i in range(6)]
+    docs = documents(spark, rows)
+    links = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=5).collect()}
+    sets = [set(simhash.as_set(r[1], 5).tolist()) for r in rows]
+    assert all(len(a & b) < 0.5 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert set(links.values()) == {0, 1}
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == [0, 1]
+
+
 def test_copies_with_a_fifth_of_new_words_leave_one(spark):
     rng = random.Random(13)
     rows = []
