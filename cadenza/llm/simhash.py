@@ -415,10 +415,11 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     # Copies are told by their hashes, so only the texts that have some are moved, and a set is made once and where its text lies.
     named = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     heads = stored(docs.select(F.xxhash64(text).alias("id"), "doc_id").groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("rows")))
-    copied = heads.where("rows > 1").select("id")
+    copied = stored(heads.where("rows > 1").select("id"))  # a table of its own, so that Spark knows how small it is
     one = named.join(copied, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = named.join(copied, "id", "left_anti").unionByName(one)
     nodes = stored(texts.mapInArrow(shingles, "id bigint, fp bigint, n bigint, marks array<bigint>, shingles binary"))
+    forget(copied)
     # Fingerprints are quick to meet but promise no similarity, so the pairs of sets that have it are all found as well.
     alike = fingerprint_links(nodes.select("id", "fp"))
     roots = near_groups(nodes.select("id", "n", "marks", "shingles"), similarity, alike=alike)
