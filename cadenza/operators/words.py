@@ -202,7 +202,8 @@ def split_at_turns(words: DataFrame, turns: DataFrame) -> DataFrame:
 
     A word lies on the side of its midpoint; each side keeps a word. Protected cuts set brk.
     """
-    cut = cut_at_turns(gathered(words), turns).select("vid", "segment", F.explode("words").alias("w"))
+    # Outer, as from an inner explode Spark infers that the words are some, and asks so by making the cuts anew for every word.
+    cut = cut_at_turns(gathered(words), turns).select("vid", "segment", F.explode_outer("words").alias("w"))
     return cut.select(*[F.col("w")[c].alias(c) if c not in ("vid", "segment") else c for c in words.columns if c != "brk"], "w.piece", "w.brk")
 
 

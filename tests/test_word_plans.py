@@ -182,3 +182,9 @@ def test_captions_are_compressed_and_dealt_out_whole(spark, sf):
     assert all(f.endswith(".gz") for f in read.inputFiles())
     text = plan(read)
     assert text.count("Exchange hashpartitioning") == 1 and text.count("REPARTITION_BY_NUM") == 1
+
+
+def test_cuts_at_turns_are_not_made_again_by_a_filter(spark, tmp_path):
+    words = stored_words(spark, tmp_path).withColumn("segment", F.expr("seq div 20"))
+    text = plan(W.split_at_turns(words, stored_turns(spark, tmp_path)))
+    assert not re.search(r"Filter .*transform\(", text)
