@@ -188,3 +188,16 @@ def test_cuts_at_turns_are_not_made_again_by_a_filter(spark, tmp_path):
     words = stored_words(spark, tmp_path).withColumn("segment", F.expr("seq div 20"))
     text = plan(W.split_at_turns(words, stored_turns(spark, tmp_path)))
     assert not re.search(r"Filter .*transform\(", text)
+
+
+def test_parts_of_documents_are_no_fewer_than_a_shuffle_s_and_grow_with_the_files(spark, tmp_path):
+    """So a join by the key moves no words, and a task's share stays small: Spark puts a part's columns at half a megabyte."""
+    folder = documents(tmp_path, ["".join(random.Random(n).choices("abcdefgh ", k=20_000)) for n in range(600)])
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    try:
+        few = T.words(spark, folder).rdd.getNumPartitions()
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        many = T.whole_rows(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert few >= 29 and many >= Path(f"{folder}/documents.parquet").stat().st_size // 600_000
