@@ -5,9 +5,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import bloomlm, gnat, heapmeans
 
@@ -195,3 +197,25 @@ def test_gaps_spare_vectors():
         block = heapmeans.Block.unpack(block.pack())
         block.advance(centroids, drift)
         assert (block.own == heapmeans.squared(points, centroids).argmin(axis=1)).all() and block.measured < 400
+
+
+def test_questions_to_segments_store_no_texts_and_leave_no_shuffle(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    local = Path(spark.conf.get("spark.local.dir"))
+    docs = spark.range(0, 300, 1, 3).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 90), i -> concat('w', (i * id * 7919) % 997))) AS text")
+    shuffles = lambda: {f for f in local.rglob("shuffle_*.data")}
+    root.mkdir(exist_ok=True)
+    folders, files = set(root.iterdir()), shuffles()
+    model = bloomlm.fit(docs, F.lit(True), segment_bytes=10_000)
+    found = bloomlm.score(docs, model, broadcast_bytes=0, chunk_rows=16)
+    made = set(root.iterdir()) - folders
+    assert len(made) == 2  # the model and the answers
+    left = sum(f.stat().st_size for f in shuffles() - files)
+    assert left < sum(f.stat().st_size for d in made for f in d.glob("*.parquet"))
+    assert sorted(found.collect()) == sorted(bloomlm.score(docs, model).collect())
+
+
+def test_hashes_are_packed_without_loss():
+    for n in (0, 1, 500):
+        h = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+        assert bloomlm.unpacked(bloomlm.packed(h.tobytes())).tolist() == h.tolist()
