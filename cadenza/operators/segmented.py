@@ -3,13 +3,16 @@
 A window over ``vid`` is one task for one video. Here a video is cut into chunks of ``size`` positions
 (``seq`` div size), every chunk is a partition of its own, and what leaks over a cut (the rows just before
 and after it, sums, highest and last values so far) is made from one row a chunk. ``scan`` does that for any
-number of looks at once: a native pass in each chunk, whose rows are written once since two passes read them;
-a window over the chunks' last rows, which are a ``size``-th of all; and a join that brings them to the rows
-of videos with more than one chunk. Results equal those of the functions of the same name in ``words``.
+number of looks at once: a native pass in each chunk; a window over the chunks' last rows, which are a
+``size``-th of all; and a join that brings them to the rows of videos with more than one chunk. Only what is
+handed to chunks is stored; words never are, and are made again by each scan that follows. Where the rows of a
+video lie in one partition already, as those of ``tables.words`` do, they are not moved either; elsewhere
+chunks are dealt out once. Results equal those of the functions of the same name in ``words``.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +21,9 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import script as S
 from ..params import SEG, SENTENCE_END
-from ..sources.shared import forget, stored
-from .intervals import bucket_join, cover
+from ..sources.shared import shared_dir, stored
+from .intervals import bucket_join
+from .words import filed, heard
 
 #: Positions of a video in one chunk.
 CHUNK = 50_000
@@ -127,24 +131,52 @@ def _both(name: str, look: Look) -> Column:
     return F.coalesce(h, l) if look.kind == "overall" else F.coalesce(l, h)
 
 
-def scan(df: DataFrame, looks: dict[str, Look], size: int = CHUNK) -> DataFrame:
-    """``df`` (vid, seq and others; vid is not null, a position occurs once in a video) with a column for each look."""
-    cut = df.withColumn("__c", F.floor(F.col("seq") / size))
-    placed = cut.withColumns({"__r": F.row_number().over(_ordered()), "__n": F.count("*").over(Window.partitionBy(*CELL)).cast("int")})
+def together(df: DataFrame) -> bool:
+    """Whether the plan of ``df`` has the rows of a video in one partition."""
+    dealt = df._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return re.fullmatch(r"hashpartitioning\(vid#\d+L?, \d+\)", dealt) is not None
+
+
+def chunked(df: DataFrame, size: int) -> DataFrame:
+    return df.withColumn("__c", F.floor(F.col("seq") / size))
+
+
+def brought(rows: DataFrame, handed: DataFrame) -> DataFrame:
+    """``rows`` (vid, __c and others) with the columns of ``handed``, which has one row for a chunk or none.
+
+    Chunks that lie together get a video's rows of ``handed`` as one map, as a join by chunk would deal them out again.
+    """
+    names = [c for c in handed.columns if c not in CELL]
+    if not together(rows):
+        return rows.join(handed, list(CELL), "left")
+    each = F.map_from_entries(F.collect_list(F.struct("__c", F.struct(*names))))
+    videos = handed.groupBy("vid").agg(each.alias("__chunks"))
+    met = rows.join(videos, "vid", "left").withColumn("__mine", F.try_element_at("__chunks", F.col("__c")))
+    return met.select(*rows.columns, *[F.col("__mine")[c].alias(c) for c in names])
+
+
+def scan(df: DataFrame, looks: dict[str, Look], size: int = CHUNK, folder: str | None = None) -> DataFrame:
+    """``df`` (vid, seq and others; vid is not null, a position occurs once in a video) with a column for each look.
+
+    What is handed to chunks is stored below ``folder``, by the names of the looks.
+    """
+    placed = chunked(df, size).withColumns({"__r": F.row_number().over(_ordered()), "__n": F.count("*").over(Window.partitionBy(*CELL)).cast("int")})
     inside: dict[str, Column] = {}
     for name, look in looks.items():
         inside |= _inside(name, look)
-    local = stored(placed.withColumns(inside))
+    local = placed.withColumns(inside)
     edges = local.where("__r = 1 or __r = __n").groupBy(*CELL).agg(*[F.first(f"__e_{n}", ignorenulls=True).alias(f"__e_{n}") for n in looks])
     counted = edges.withColumns({"__k": F.count("*").over(Window.partitionBy("vid"))} | {f"__h_{n}": _handed(n, x) for n, x in looks.items()})
     handed = counted.where("__k > 1").select(*CELL, *[f"__h_{n}" for n in looks])
-    return local.join(handed, list(CELL), "left").select(*df.columns, *[_both(n, x).alias(n) for n, x in looks.items()])
+    kept = stored(handed, f"{folder or shared_dir(df.sparkSession)}/{'-'.join(looks)[:80]}")
+    needed = [c for c in local.columns if not c.startswith("__e_")]
+    return brought(local.select(*needed), kept).select(*df.columns, *[_both(n, x).alias(n) for n, x in looks.items()])
 
 
-def word_ends(words: DataFrame, size: int = CHUNK) -> DataFrame:
+def word_ends(words: DataFrame, size: int = CHUNK, folder: str | None = None) -> DataFrame:
     """end_ms measured or the longest a word may take, not past the next onset, 20 ms at least."""
     end = F.coalesce("end_ms", F.col("t_ms") + SEG.word_max)
-    seen = scan(words, {"__next": after(F.col("t_ms"))}, size)
+    seen = scan(words, {"__next": after(F.col("t_ms"))}, size, folder)
     return seen.withColumn("end_ms", F.greatest(F.least(end, F.coalesce("__next", end)), F.col("t_ms") + 20)).drop("__next")
 
 
@@ -184,12 +216,12 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en", size: int = CHU
     looks = {"__prev": before(F.struct("seq", "spk", "text", _guessed_end().alias("end"))), "__marks": overall(mark)}
     looks |= {f"__b{i}": before(F.col("__tg"), i) for i in reach} | {f"__a{i}": after(F.col("__tg"), i) for i in reach}
     near = {-i: F.col(f"__b{i}") for i in reach} | {i: F.col(f"__a{i}") for i in reach}
-    seen = scan(bucketed, looks, size).withColumns(
+    folder = shared_dir(words.sparkSession)
+    seen = scan(bucketed, looks, size, folder).withColumns(
         {"embedded": _short_run(F.col("__tg"), SEG.foreign_min_words, near), "gap_ms": _gap(F.col("__prev.end"))}
     ).drop("__tg", *[f"__{s}{i}" for s in "ab" for i in reach])
     own = F.when(~F.col("embedded"), F.col("bucket"))
-    placed = scan(seen, {"__context": last(own)}, size)
-    forget(seen)  # each scan has stored its rows, so those of the scan before go
+    placed = scan(seen, {"__context": last(own)}, size, folder)
     starts = (
         F.col("__prev.seq").isNull()
         | (F.col("gap_ms") >= SEG.gap)
@@ -198,8 +230,7 @@ def sessions(words: DataFrame, src: str = "he", tgt: str = "en", size: int = CHU
         | F.coalesce(own != F.col("__context"), F.lit(False))
         | F.coalesce(F.col("__prev.text").rlike(SENTENCE_END), F.lit(False))
     )
-    numbered = scan(placed.withColumn("__starts", starts).drop("__prev", "__marks", "__context"), {"segment": total(F.col("__starts"))}, size)
-    forget(placed)
+    numbered = scan(placed.withColumn("__starts", starts).drop("__prev", "__marks", "__context"), {"segment": total(F.col("__starts"))}, size, folder)
     return numbered.drop("__starts")
 
 
@@ -210,16 +241,14 @@ def without_echoes(words: DataFrame, size: int = CHUNK) -> DataFrame:
     run, if it has one. An echo's end goes to the kept word before it in one aggregate.
     """
     key = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_]", ""))
-    keyed = scan(words.withColumn("__key", key), {"__prev": before(F.struct("__key"))}, size)
+    folder = shared_dir(words.sparkSession)
+    keyed = scan(words.withColumn("__key", key), {"__prev": before(F.struct("__key"))}, size, folder)
     flips = F.col("__prev").isNull() | ~F.col("__prev.__key").eqNullSafe(F.col("__key"))
-    runs = scan(keyed.withColumn("__flip", F.when(flips, F.col("seq"))), {"__run": last(F.col("__flip"), own=True)}, size)
-    forget(keyed)
-    seen = scan(runs.drop("__prev", "__flip"), {"__top": highest(F.struct(F.col("__run").alias("run"), F.col("end_ms").alias("end")))}, size)
-    forget(runs)
+    runs = scan(keyed.withColumn("__flip", F.when(flips, F.col("seq"))), {"__run": last(F.col("__flip"), own=True)}, size, folder)
+    seen = scan(runs.drop("__prev", "__flip"), {"__top": highest(F.struct(F.col("__run").alias("run"), F.col("end_ms").alias("end")))}, size, folder)
     twin = F.when(F.col("__top.run") == F.col("__run"), F.col("__top.end"))
     marked = seen.withColumn("__echo", (F.col("__key") != "") & F.coalesce(F.col("t_ms") < twin - 50, F.lit(False))).drop("__top", "__run", "__key")
-    kept = scan(marked.withColumn("__own", F.when(~F.col("__echo"), F.col("seq"))), {"__kept": last(F.col("__own"), own=True)}, size)
-    forget(seen)
+    kept = scan(marked.withColumn("__own", F.when(~F.col("__echo"), F.col("seq"))), {"__kept": last(F.col("__own"), own=True)}, size, folder)
     word = F.first(F.when(~F.col("__echo"), F.struct(*[F.col(c) for c in words.columns])), ignorenulls=True)
     whole = kept.groupBy("vid", "__kept").agg(word.alias("w"), F.max("end_ms").alias("__end"))
     return whole.select(*[F.col("__end").alias(c) if c == "end_ms" else F.col(f"w.{c}") for c in words.columns])
@@ -228,22 +257,20 @@ def without_echoes(words: DataFrame, size: int = CHUNK) -> DataFrame:
 def word_speakers(words: DataFrame, turns: DataFrame, size: int = CHUNK) -> DataFrame:
     """Words with spk, by the rules of ``words.word_speakers``.
 
-    Turn edges within reach of a word are met by buckets of time, so the only look along the whole video is
-    the last known speaker.
+    Turns meet chunks, not words: a chunk gets those within reach of its words as one row of cells, as long as its
+    turns are many. The only look along the whole video is the last known speaker.
     """
+    folder = shared_dir(words.sparkSession)
     length = (F.col("end_ms") - F.col("start_ms") >= SEG.min_turn).cast("int")
     real = scan(turns.withColumn("__long", length), {"__some": overall(F.col("__long"))}, size).where("__long = 1 or __some = 0").drop("__long", "__some")
-    timed = word_ends(words.drop("spk"), size)
-    covers = bucket_join(timed.select("vid", "seq", F.col("t_ms").alias("start_ms"), "end_ms"), real).withColumn("cover", cover()).where("cover > 0")
-    best = covers.groupBy("vid", "seq").agg(F.max_by("r_speaker", F.struct("cover", -F.col("r_start_ms"))).alias("__own"))
-    # Twice the times keeps halves of milliseconds exact.
-    mid = timed.select("vid", "seq", (F.col("t_ms") + F.col("end_ms")).alias("start_ms")).withColumn("end_ms", F.col("start_ms"))
-    edges = real.select("vid", "speaker", F.col("start_ms").alias("onset"), F.explode(F.array(F.col("start_ms") * 2, F.col("end_ms") * 2)).alias("start_ms"))
-    near = bucket_join(mid, edges.withColumn("end_ms", F.col("start_ms")), bucket_ms=20_000, touch=1000)
-    away = F.struct(F.abs(F.col("r_start_ms") - F.col("start_ms")), F.col("r_start_ms") > F.col("start_ms"), F.col("r_onset"))
-    close = near.groupBy("vid", "seq").agg(F.min_by("r_speaker", away).alias("__close"))
-    found = timed.join(best, ["vid", "seq"], "left").join(close, ["vid", "seq"], "left").withColumn("__known", F.coalesce("__own", "__close"))
-    filled = scan(found.drop("__own", "__close"), {"__spk": last(F.col("__known"), own=True)}, size)
-    forget(timed)
+    timed = chunked(word_ends(words.drop("spk"), size, folder), size)
+    reach = timed.groupBy(*CELL).agg(F.min("t_ms").alias("start_ms"), F.max(F.greatest("t_ms", "end_ms")).alias("end_ms"))
+    ends = real.select("vid", "start_ms", F.greatest("start_ms", "end_ms").alias("end_ms"), F.col("end_ms").alias("off"), "speaker")
+    near = bucket_join(reach, ends, touch=1000).select(
+        F.struct(*CELL).alias("vid"), F.col("r_start_ms").alias("start_ms"), F.col("r_off").alias("end_ms"), F.col("r_speaker").alias("speaker")
+    )
+    cells = filed(near, F.struct("start_ms", "end_ms", "speaker")).select("vid.*", "lo", "width", "cells")
+    known = heard(brought(timed, stored(cells, f"{folder}/cells"))).drop("__c").withColumnRenamed("known", "__known")
+    filled = scan(known, {"__spk": last(F.col("__known"), own=True)}, size, folder)
     first = real.groupBy("vid").agg(F.min_by("speaker", F.struct("start_ms", "seq")).alias("__first"))
     return filled.join(first, "vid", "left").withColumn("spk", F.coalesce("__spk", "__first", F.lit("SPEAKER_00"))).drop("__spk", "__known", "__first")

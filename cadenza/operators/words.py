@@ -269,18 +269,11 @@ def filed_turns(turns: DataFrame) -> DataFrame:
     return filed(turns, F.struct("start_ms", "end_ms", "speaker"), first=F.min_by("speaker", F.struct("start_ms", "seq")))
 
 
-def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """Words with spk: the real turn that overlaps most, else the nearest turn edge within 500 ms of
-    the midpoint, else the speaker of the word before.
-
-    Looks at all turns, which equals a look at the nearby ones where turns do not overlap. A video's turns
-    come to its words as one row of cells of time; a word reads the cells that it and the 500 ms reach, so
-    words are neither moved nor multiplied.
-    """
-    timed = word_ends(words).drop("spk")
+def heard(timed: DataFrame) -> DataFrame:
+    """Words with known, the speaker that ``filed`` turns (lo, width, cells) tell, in place of these: by overlap, else by the nearest edge."""
     first, last = F.expr("greatest(0L, (t_ms - 500 - lo) div width)"), F.expr("(end_ms + 500 - lo) div width")
     near = F.flatten(F.slice("cells", (first + 1).cast("int"), F.greatest(F.lit(0), last - first + 1).cast("int")))
-    met = timed.join(filed_turns(real_turns(turns)), "vid", "left").withColumn("near", near).drop("lo", "width", "cells")
+    met = timed.withColumn("near", near).drop("lo", "width", "cells")
 
     def covering(r: Column) -> Column:
         cover = F.least("end_ms", r["end_ms"]) - F.greatest("t_ms", r["start_ms"])
@@ -293,10 +286,23 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
 
     own = F.array_max(F.transform("near", covering))["speaker"]
     closest = lambda at: F.array_min(F.transform("near", lambda r: edge(r, at)))
-    known = met.withColumn("own", own).withColumn("known", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.least(closest("start_ms"), closest("end_ms"))["speaker"]))
+    return met.withColumn("own", own).withColumn(
+        "known", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.least(closest("start_ms"), closest("end_ms"))["speaker"])
+    ).drop("near", "own")
+
+
+def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """Words with spk: the real turn that overlaps most, else the nearest turn edge within 500 ms of
+    the midpoint, else the speaker of the word before.
+
+    Looks at all turns, which equals a look at the nearby ones where turns do not overlap. A video's turns
+    come to its words as one row of cells of time; a word reads the cells that it and the 500 ms reach, so
+    words are neither moved nor multiplied.
+    """
+    known = heard(word_ends(words).drop("spk").join(filed_turns(real_turns(turns)), "vid", "left"))
     return known.withColumn(
         "spk", F.coalesce(F.last("known", ignorenulls=True).over(in_order()), F.col("first"), F.lit("SPEAKER_00"))
-    ).drop("near", "own", "known", "first")
+    ).drop("known", "first")
 
 
 def snapped_handoffs(segments: DataFrame, turns: DataFrame) -> DataFrame:

@@ -115,3 +115,28 @@ def test_envelope_moves_no_frames(spark):
     plan = L.envelope(places, totals)._jdf.queryExecution().executedPlan().toString()
     first_frame = plan.rindex("Generate explode(sequence(greatest(")
     assert "Exchange" not in plan[:first_frame].replace("AdaptiveSparkPlan", "")
+
+
+def cut_documents(spark, folder, make):
+    """The plan of a cut operator over the words of documents, and the rows and columns of what it stores."""
+    from pathlib import Path
+
+    from cadenza.sources import tables as T
+
+    spark.createDataFrame([(i, "one two three. four " * 30) for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    root.mkdir(exist_ok=True)
+    before = set(root.iterdir())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = make(T.words(spark, str(folder)), T.turns(spark, str(folder)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = {p.parent for d in set(root.iterdir()) - before for p in d.rglob("*.parquet")}
+    return plan, [spark.read.parquet(str(p)) for p in kept]
+
+
+def test_sessions_of_documents_move_and_store_no_words(spark, tmp_path):
+    plan, kept = cut_documents(spark, tmp_path, lambda words, turns: G.sessions(words.withColumn("brk", F.lit(False)), size=40))
+    assert "hashpartitioning(vid" in plan and not any("__c" in line for line in plan.split("\n") if "Exchange" in line)
+    assert kept and all(df.count() == 120 and "text" not in df.columns for df in kept)  # forty texts of three chunks
