@@ -146,3 +146,9 @@ def test_echoes_of_documents_move_and_store_no_words(spark, tmp_path):
     plan, kept = cut_documents(spark, tmp_path, lambda words, turns: G.without_echoes(words.drop("spk"), 40))
     assert "hashpartitioning(vid" in plan and not any("__c" in line or "__kept" in line for line in plan.split("\n") if "Exchange" in line)
     assert kept and all(df.count() == 120 and "text" not in df.columns for df in kept)
+
+
+def test_speakers_of_documents_move_and_store_no_words(spark, tmp_path):
+    plan, kept = cut_documents(spark, tmp_path, lambda words, turns: G.word_speakers(words, turns, 40))
+    assert "hashpartitioning(vid" in plan and not any("__c" in line or "seq" in line for line in plan.split("\n") if "Exchange" in line)
+    assert kept and all(df.count() <= 120 and "text" not in df.columns for df in kept)
