@@ -131,3 +131,15 @@ def test_an_idle_subscriber_gets_heartbeats(spark):
     finally:
         query.stop()
     assert beats >= 4
+
+
+def test_segment_stream_keeps_no_words_it_has_read(spark, sf):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    root.mkdir(exist_ok=True)
+    before = set(root.iterdir())
+    found = entry.queries()["st8_segment_stream"](spark, sf)
+    assert len(set(root.iterdir()) - before) == 2 and found.count() > 0  # what it gave out, and its state
